@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, toxicity
-from .common import table
+from . import bpe, language, neardup_vectors, simhash, topk, toxicity, urlfilter
+from .common import held_out, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,18 +20,65 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = public_tokenizer
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import held_out
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = language.identify(docs.select("doc_id", "text"), language.train(docs))
     return judged.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, urlfilter.build(pages))
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_simhash": op3_simhash,
     "op7_language": op7_language,
+    "op8_topk": op8_topk,
+    "op9_urls": op9_urls,
+    "op10_vectors": op10_vectors,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) i from embeddings
+           where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(range(1, len(c.i) + 1), lambda k: q.i[k] * c.i[k]))::bigint score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, rank::int rank, vec_id, score from r where rank <= 5
+""",
+    "op9_urls": """
+with a as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end s from pages),
+b as (select page_id, translate(regexp_extract(s, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+             regexp_extract(s, '^[^/?#]*([^?#]*)', 1) path from a),
+r(h, p, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m as (select page_id, h || p rule, v, row_number() over (partition by page_id order by length(h || p) desc) k
+      from b join r on (host = h or host like '%.' || h) and starts_with(path, p))
+select b.page_id, host, path, rule, coalesce(v, 'allow') verdict from b left join m on b.page_id = m.page_id and k = 1
+""",
+    "op10_vectors": """
+with recursive v as (select vec_id, embedding, list_transform(embedding, lambda x: x::double) e from embeddings),
+u as (select vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) e from v
+      where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_sum(list_transform(range(1, len(a.e) + 1), lambda k: a.e[k] * b.e[k])) >= 0.9),
+c(x, y) as (select vec_id, vec_id from v union select c.x, p.b from c join p on c.y = p.a),
+n as (select a, count(*) n from p group by a), m as (select x, min(y) m from c group by x)
+select vec_id, coalesce(n, 0)::bigint n_links, m component_id, vec_id = m kept from v left join n on a = vec_id join m on x = vec_id
+""",
+}
