@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """Let the driver's JVM collect its garbage, upon which Spark deletes shuffle files that nothing needs any more."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; false for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, neardup_vectors, simhash, topk, toxicity, urlfilter
+from . import bpe, language, neardup_vectors, simhash, suffixes, topk, toxicity, urlfilter
 from .common import held_out, table
 
 
@@ -24,6 +24,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = language.identify(docs.select("doc_id", "text"), language.train(docs))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_suffixes": op4_suffixes,
     "op7_language": op7_language,
     "op8_topk": op8_topk,
     "op9_urls": op9_urls,
