@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Transitions and remembered pieces that one worker keeps before it starts anew.
-MAX_TRANSITIONS, MAX_PIECES = 400_000, 400_000
+MAX_TRANSITIONS, MAX_PIECES = 1_000_000, 600_000
 #: Ids that the decoder takes at a time.
 DECODE_BLOCK = 4096
 
@@ -102,19 +102,21 @@ class Transducer:
         exact = plain.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{later}]]")
         exact = regex.sub(r"(?<!\{White_Space\})\\p\{([LN])\}(?!\\p|\])", lambda m: rf"[\p{{{m[1]}}}--[{later}]]", exact)
         self._plain, self._exact = regex.compile(plain), regex.compile(exact, regex.V1)
-        self.children: dict[tuple[int, int], int] = {}
+        self.children: dict[int, int] = {}  # by node * 256 + byte
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                nxt = self.children.get((node, b))
+                nxt = self.children.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self.children[node, b] = len(self.token_at)
+                    nxt = self.children[node << 8 | b] = len(self.token_at)
                     self.token_at.append(-1)
                 node = nxt
             self.token_at[node] = rank
+        inner = {k >> 8 for k in self.children}
+        self._leaf = [node not in inner for node in range(len(self.token_at))]
         self._valid: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by token before << 32 | token
         self._clear()
 
     @classmethod
@@ -123,7 +125,7 @@ class Transducer:
         return cls({base64.b64decode(a): int(r) for a, r in (x.split() for x in lines if x)}, pattern)
 
     def _clear(self) -> None:
-        self._states: dict[frozenset, int] = {}
+        self._states: dict[tuple, int] = {}
         self._members: list[tuple] = []
         self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self._ends: list[tuple[int, ...] | None] = []
@@ -131,14 +133,12 @@ class Transducer:
         self.start = self._state(((-1, 0, ()),))
 
     def _state(self, members: tuple) -> int:
-        key = frozenset(members)
-        n = self._states.get(key)
+        n = self._states.get(members)
         if n is None:
-            n = self._states[key] = len(self._members)
+            n = self._states[members] = len(self._members)
             self._members.append(members)
             self._next.append({})
-            ends = [out for _, node, out in members if node == 0]
-            self._ends.append(ends[0] if ends else None)
+            self._ends.append(members[-1][2] if members[-1][1] == 0 else None)
         return n
 
     def merged(self, piece: bytes) -> list[int]:
@@ -161,30 +161,43 @@ class Transducer:
             ok = self._valid[token] = self.merged(self.bytes_of[token]) == [token]
         if not ok or before < 0:
             return ok
-        pair = self._pairs.get((before, token))
+        pair = self._pairs.get(before << 32 | token)
         if pair is None:
-            if len(self._pairs) > 4 * MAX_TRANSITIONS:
+            if len(self._pairs) > 2 * MAX_TRANSITIONS:
                 self._pairs.clear()
-            pair = self._pairs[before, token] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+            pair = self._pairs[before << 32 | token] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
         return pair
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Determinise one transition: the subset reached and the tokens all its branches agree on."""
-        found = []
-        for before, node, out in self._members[state]:
-            nxt = self.children.get((node, byte))
+        found, ended = [], None
+        children, token_at, leaf, pairs = self.children, self.token_at, self._leaf, self._pairs
+        for member in self._members[state]:
+            before, node, out = member
+            nxt = children.get(node << 8 | byte)
             if nxt is None:
                 continue
-            found.append((before, nxt, out))
-            token = self.token_at[nxt]
-            if token >= 0 and self._may_follow(before, token):
-                found.append((token, 0, (*out, token)))
-        agreed = 0
-        shortest = min(len(out) for *_, out in found)
-        while agreed < shortest and all(out[agreed] == found[0][2][agreed] for *_, out in found):
-            agreed += 1
-        emitted = found[0][2][:agreed]
-        reached = self._state(tuple((b, n, out[agreed:]) for b, n, out in found))
+            if not leaf[nxt]:
+                found.append((before, nxt, out))
+            token = token_at[nxt]
+            if token >= 0 and ended is None:  # no more than one branch may end here
+                ok = pairs.get(before << 32 | token)
+                if ok or (ok is None and self._may_follow(before, token)):
+                    ended = (token, 0, (*out, token))
+        found.append(ended)
+        emitted = ended[2]
+        for *_, out in found[:-1]:
+            if not out:
+                emitted = ()
+                break
+            n = 0
+            for x, y in zip(emitted, out, strict=False):
+                if x != y:
+                    break
+                n += 1
+            emitted = emitted[:n]
+        n = len(emitted)
+        reached = self._state(tuple((b, node, out[n:]) for b, node, out in found) if n else tuple(found))
         self._size += 1
         self._next[state][byte] = reached, emitted
         return reached, emitted
