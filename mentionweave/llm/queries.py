@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, neardup_vectors, simhash, suffixes, topk, toxicity, urlfilter
+from . import bpe, language, licenses, mixing, neardup_vectors, simhash, suffixes, topk, toxicity, urlfilter
 from .common import held_out, table
 
 
@@ -28,6 +29,16 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = language.identify(docs.select("doc_id", "text"), language.train(docs))
@@ -52,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op4_suffixes": op4_suffixes,
+    "op5_mixing": op5_mixing,
+    "op6_licenses": op6_licenses,
     "op7_language": op7_language,
     "op8_topk": op8_topk,
     "op9_urls": op9_urls,
@@ -59,6 +72,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_licenses": """
+with tpl(k, license, notice) as (values """ + ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(licenses.TEMPLATES)) + """),
+tv as (select k, license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) t from tpl),
+tt as (select k, license, t, count(*) tf from tv group by all),
+voc as (select distinct t from tt),
+n as (select count(*) n from documents),
+terms as (select unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) t from documents),
+df as (select t, count(*) df from terms where t in (select t from voc) group by t),
+idf as (select t, ln((1 + n) / (1 + coalesce(df, 0))::double) + 1 w from voc left join df using (t), n),
+vec as (select k, license, t, tf * w / sqrt(sum(tf * w * tf * w) over (partition by k)) w from tt join idf using (t)),
+docs as (select doc_id, text, source || '/' || lang || '/' || doc_id path, source || '/' || lang dir from documents),
+ln as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from docs),
+lt as (select doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) t from ln where regexp_matches(lower(line), '(^|[^a-z0-9])(' || (select string_agg(t, '|') from voc) || ')([^a-z0-9]|$)')),
+lf as (select doc_id, i, t, count(*) tf from lt group by all),
+lw as (select doc_id, i, t, tf, coalesce(w, (select ln(1 + n) + 1 from n)) w from lf left join idf using (t)),
+norm as (select doc_id, i, sqrt(sum(tf * w * tf * w)) norm, sum(tf) terms from lw group by all),
+sc as (select doc_id, i, k, license, any_value(terms) terms, round(sum(l.tf * l.w * v.w) / any_value(norm), 6) score from lw l join vec v using (t) join norm using (doc_id, i) group by doc_id, i, k, license),
+best as (select *, row_number() over (partition by doc_id, i order by score desc, k) r from sc where score >= 0.6),
+own as (select doc_id, arg_max(license, struct_pack(s := score, k := -k)) license, max(score) score, sum(terms) covered from best where r = 1 group by doc_id),
+judged as (select d.doc_id, path, dir, license, score, covered / len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 0.5 speaks from docs d left join own using (doc_id)),
+files as (select dir up, license, score, row_number() over (partition by dir order by score desc, license) r from judged where license is not null and speaks),
+near as (select d.dir, f.up, f.license, f.score, row_number() over (partition by d.dir order by length(f.up) desc) r
+         from (select distinct dir from judged) d join files f on f.r = 1 and (d.dir = f.up or starts_with(d.dir, f.up || '/')))
+select doc_id, path, coalesce(j.license, n.license) license, case when j.license is not null then 'own' when n.license is not null then 'inherited' end origin,
+       coalesce(j.score, n.score) score, case when j.license is null then n.up end license_dir
+from judged j left join near n on j.dir = n.dir and n.r = 1
+""",
     "op8_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) i from embeddings
            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
