@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionweave.llm import bpe, language, mixing, simhash, suffixes
-from mentionweave.llm.common import table, written
+from mentionweave.llm.common import bounded, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is recognised; texts that are null or without a letter go, as do rejected ones."""
+    bounded(spark)
     return language.reject(docs, language.train(docs))
 
 

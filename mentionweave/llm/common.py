@@ -22,9 +22,17 @@ STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession, size: str = "4m") -> None:
+    """Hand texts to Python in Arrow batches of a few MB, unless the session says otherwise than Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
     sc = spark.sparkContext
@@ -42,15 +50,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a Parquet table under the shared folder and read it back (compressed, column-pruned)."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(df: DataFrame) -> DataFrame:
-    """Let the driver's JVM collect its garbage, upon which Spark deletes shuffle files that nothing needs any more."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+def discard(df: DataFrame) -> None:
+    """Delete the table that `written` gave and that nothing needs any more, and the shuffle files it was made with.
+
+    Spark deletes a shuffle's files once the driver's JVM has collected what refers to them.
+    """
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None and "-" in path.getName():
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._jvm.System.gc()
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -33,14 +33,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, strings, written
+from .common import discard, strings, written
 
-WINDOW, GRAM, SYMBOL, SHARD = 200, 32, 40, 4096
+WINDOW, GRAM, SYMBOL, SHARD = 200, 32, 40, 2048
 #: Windows of one text taken at a time; bytes of strings merged at a time, and of one shard among them.
-CHUNK, MERGE_BYTES, SHARD_BYTES = 1 << 22, 1 << 21, 1 << 19
+CHUNK, MERGE_BYTES, SHARD_BYTES = 1 << 20, 1 << 20, 1 << 18
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -136,17 +137,27 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     left: pa.Table | None = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
-        if left is not None:
+        if left is not None and left.num_rows:
             now = pa.concat_tables([left, now])
-        if now.get_total_buffer_size() > MERGE_BYTES:
-            key = _group(now)
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(1))
-            if len(cut):
-                yield from _repeats(now.slice(0, int(cut[-1]) + 1))
-                now = now.slice(int(cut[-1]) + 1)
-        left = now
+        left = yield from _pieces(now, False)
     if left is not None and left.num_rows:
-        yield from _repeats(left)
+        yield from _pieces(left, True)
+
+
+def _pieces(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+    """Merge whole groups, about MERGE_BYTES at a time; returns what may be an unfinished group."""
+    key = _group(t)
+    ends = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+    if last:
+        ends = np.append(ends, len(key))
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(t["bytes"]).to_numpy())])
+    a = 0
+    while len(ends) and a < ends[-1]:
+        fit = ends[(ends > a) & (size[ends] <= size[a] + MERGE_BYTES)]
+        b = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, a, "right")])
+        yield from _repeats(t.slice(a, b - a))
+        a = b
+    return t.slice(a)
 
 
 def _group(t: pa.Table) -> np.ndarray:
@@ -191,13 +202,27 @@ def _repeats(t: pa.Table) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace text by its compressed bytes, so that texts that move between machines are small; null stays null."""
+    z = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.names.index("text")
+        packed = pa.array([None if t is None else z.compress(t.encode()) for t in batch["text"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def _unpacked(array: pa.Array) -> pa.Array:
+    z = zstandard.ZstdDecompressor()
+    return pa.array([b"" if t is None else z.decompress(t) for t in array.to_pylist()], pa.large_binary())
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the wanted strings out of their texts."""
     for batch in batches:
-        data, off = strings(batch["text"])
+        data, off = strings(_unpacked(batch["text"]))
         wanted = batch["wanted"]
         flat, ends = wanted.flatten(), np.concatenate([[0], np.cumsum(np.array(pc.list_value_length(wanted)))])
-        gram, unit, n, start, stop = (x.to_numpy() for x in flat.flatten())
+        gram, unit, n, start, stop, parts = (x.to_numpy() for x in flat.flatten())
         doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
         view = memoryview(data)
         for a in range(0, len(doc), 4096):
@@ -205,39 +230,47 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = [bytes(view[x:y]) for x, y in zip((off[doc[s]] + start[s]).tolist(), (off[doc[s]] + stop[s] + WINDOW - 1).tolist(), strict=True)]
             rows = pa.array(doc[s])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[s]), pa.array(unit[s]), pa.array(n[s]), batch["key"].take(rows), batch["salt"].take(rows), pa.array(start[s]), pa.array(cut, pa.binary())],
-                ["gram", "unit", "n", "key", "salt", "start", "bytes"],
+                [pa.array(gram[s]), pa.array(unit[s]), pa.array(n[s]), batch["key"].take(rows), batch["salt"].take(rows), pa.array(start[s]), pa.array(parts[s]), pa.array(cut, pa.binary())],
+                ["gram", "unit", "n", "key", "salt", "start", "parts", "bytes"],
             )
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """key and salt name a row by its id and text; rows that share both are copies."""
-    return documents.withColumns({"key": F.coalesce("doc_id", F.lit(-1).cast("long")), "salt": F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int")})
+def keys() -> tuple:
+    """key and salt, which name a row by its id and text; rows that share both are copies."""
+    return (
+        F.coalesce("doc_id", F.lit(-1).cast("long")).alias("key"),
+        F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int"), F.lit(0)).alias("salt"),
+    )
 
 
-def ranges(texts: DataFrame) -> DataFrame:
-    """key, salt, removed: of each text with repeats the byte ranges (a, b), which may overlap.
+def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, removed): the rows with their text compressed, and by key and salt the byte ranges (a, b), which may overlap.
 
-    `texts` has key, salt and text.
+    `rows` has key, salt, text and any other columns. Both joins with the texts deal them out alike, so Spark moves them once.
     """
-    found = written(texts.mapInArrow(_classed, "gram long, unit long, key long, salt int, start int, stop int"), "suffix-classes")
+    found = rows.select("key", "salt", "text").mapInArrow(_classed, "gram long, unit long, key long, salt int, start int, stop int")
+    found = written(found, "suffix-classes")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("unit").alias("u"), F.max("unit").alias("v")).where("n > 1")
     again = written(found.join(grams.select("gram", (F.col("u") != F.col("v")).alias("mixed")), "gram"), "suffix-again")
-    released(again)
+    discard(found)
     whole = again.where("not mixed").select("key", "salt", F.col("start").alias("a"), (F.col("stop") + WINDOW - 1).alias("b"))
     mixed = again.where("mixed").drop("mixed")
     units = mixed.groupBy("gram", "unit").agg(F.count("*").alias("n"), F.min(F.struct("key", "salt", "start", "stop")).alias("at"))
     units = written(units.select("gram", "unit", "n", "at.*"), "suffix-units")
     twice = mixed.join(units.where("n > 1").select("gram", "unit"), ["gram", "unit"]).select("key", "salt", F.col("start").alias("a"), (F.col("stop") + WINDOW - 1).alias("b"))
-    wanted = units.groupBy("key", "salt").agg(F.collect_list(F.struct("gram", "unit", "n", "start", "stop")).alias("wanted"))
-    cut = texts.join(wanted, ["key", "salt"]).select("key", "salt", "text", "wanted").mapInArrow(_strings, "gram long, unit long, n long, key long, salt int, start int, bytes binary")
-    large = units.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > SHARD)
-    cut = cut.join(large, "gram", "left").withColumn("parts", F.coalesce(F.ceil(F.col("m") / SHARD), F.lit(1)).cast("int"))
+    simple = written(whole.unionByName(twice), "suffix-whole")
+    discard(again)
+    large = units.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > SHARD).select("gram", F.ceil(F.col("m") / SHARD).cast("int").alias("parts"))
+    sized = units.join(large, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    wanted = sized.groupBy("key", "salt").agg(F.collect_list(F.struct("gram", "unit", "n", "start", "stop", "parts")).alias("wanted"))
+    fields = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema.fields)
+    texts = rows.mapInArrow(_packed, fields).where("key is not null and salt is not null")
+    cut = texts.join(wanted, ["key", "salt"]).mapInArrow(_strings, "gram long, unit long, n long, key long, salt int, start int, parts int, bytes binary")
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.select("gram", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard", "n", "key", "salt", "start", "bytes")
     partly = cut.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high").mapInArrow(_merge, "key long, salt int, a int, b int")
-    every = whole.unionByName(twice).unionByName(partly)
-    return every.groupBy("key", "salt").agg(F.collect_list(F.struct("a", "b")).alias("removed"))
+    removed = simple.unionByName(partly).groupBy("key", "salt").agg(F.collect_list(F.struct("a", "b")).alias("removed"))
+    return texts, removed
 
 
 def _kept(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -248,7 +281,7 @@ def _kept(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray | None]]:
     """Text and mask of kept bytes (None: all) of each row."""
-    data, off = strings(batch["text"])
+    data, off = strings(_unpacked(batch["text"]))
     removed = batch["removed"]
     size = np.array(pc.fill_null(pc.list_value_length(removed), 0))
     ends = np.cumsum(size)
@@ -274,10 +307,8 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    rows = keyed(documents.select("doc_id", "text"))
-    found = ranges(rows.select("key", "salt", "text"))
-    joined = rows.select("key", "salt", "text", "doc_id").join(found, ["key", "salt"], "left")
-    return joined.select("doc_id", "text", "removed").mapInArrow(_reported, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts, removed = ranges(documents.select(*keys(), "doc_id", "text"))
+    return texts.join(removed, ["key", "salt"], "left").mapInArrow(_reported, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -287,19 +318,20 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     """
     names = documents.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    at = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            given = batch["text"].to_pylist()
-            new = [g if keep is None else text[keep].tobytes().decode("utf-8", "ignore") for g, (text, keep) in zip(given, _each(batch), strict=True)]
-            cols = [batch[f"__{n}" if n != "text" else "text"] for n in names]
-            cols[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    rows = keyed(documents.select(*(F.col(f"`{n}`").alias(f"__{n}") for n in names if n != "text"), "text", F.col("doc_id")))
-    found = ranges(rows.select("key", "salt", "text"))
-    joined = rows.drop("doc_id").join(found, ["key", "salt"], "left").drop("key", "salt")
-    return joined.mapInArrow(cut, fields)
+            if batch.num_rows:
+                had = batch["text"].is_valid().to_pylist()
+                new = [text.tobytes() if keep is None else text[keep].tobytes() for text, keep in _each(batch)]
+                text = pa.array([t.decode("utf-8", "ignore") if h else None for t, h in zip(new, had, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([text if n == "text" else batch[_inner(n)] for n in names], names)
+
+    rows = documents.select(*keys(), "text", *(F.col(f"`{n}`").alias(_inner(n)) for n in names if n != "text"))
+    texts, removed = ranges(rows)
+    return texts.join(removed, ["key", "salt"], "left").mapInArrow(cut, fields)
+
+
+def _inner(name: str) -> str:
+    """A name that clashes with none of the columns that the joins add."""
+    return f"own_{name}"
