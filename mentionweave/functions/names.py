@@ -21,6 +21,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(_c(c), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
@@ -68,19 +73,19 @@ def uniform(c: Column | str, strip_suffixes: bool = False) -> Column:
 
 def close_up(c: Column) -> Column:
     """Spelled legal forms closed up, in the fixed order; only where single letters stand together."""
-    done = reduce(lambda x, f: F.regexp_replace(x, r"\b" + r"\s+".join(f.split()) + r"\b", f.replace(" ", "")), V.SPACED_FORMS, c)
-    return F.when(c.rlike(r"\b[A-Z]\s+[A-Z]\b"), done).otherwise(c)
+    done = lambda v: reduce(lambda x, f: F.regexp_replace(x, r"\b" + r"\s+".join(f.split()) + r"\b", f.replace(" ", "")), V.SPACED_FORMS, v)
+    return let(c, lambda v: F.when(v.rlike(r"\b[A-Z]\s+[A-Z]\b"), done(v)).otherwise(v))
 
 
 def owner(c: Column | str) -> Column:
     """The owner or parent that a name mentions, else the repaired name."""
-    x = repair(c)
-    owned = F.regexp_extract(x, r"(?i)\(\s*owned by\s+([^()]+)\s*\)\s*$", 1)
     edge = lambda y: F.regexp_replace(y, r"^[ .;,)]+|[ .;,)]+$", "")
-    holder = F.regexp_replace(F.regexp_extract(x, r"^(.+?)['’]s\s+.+$", 1), r"^[ .;,]+|[ .;,]+$", "")
-    unit = F.regexp_extract(x, r"(?i)(?:,\s*)?(?:a\s+)?(?:division|unit|subsidiary|business|brand)\s+of\s+(.+)$", 1)
-    unit = strip(F.regexp_extract(edge(unit), r"^([^,(;]*)", 1))
-    return F.when(owned != "", edge(owned)).when(F.length(holder) > 2, holder).when(F.length(unit) > 2, unit).otherwise(x)
+    owned = lambda x: edge(F.regexp_extract(x, r"(?i)\(\s*owned by\s+([^()]+)\s*\)\s*$", 1))
+    holder = lambda x: F.regexp_replace(F.regexp_extract(x, r"^(.+?)['’]s\s+.+$", 1), r"^[ .;,]+|[ .;,]+$", "")
+    unit = lambda x: F.regexp_extract(x, r"(?i)(?:,\s*)?(?:a\s+)?(?:division|unit|subsidiary|business|brand)\s+of\s+(.+)$", 1)
+    part = lambda x: strip(F.regexp_extract(edge(unit(x)), r"^([^,(;]*)", 1))
+    long = lambda f, n: lambda x: let(f(x), lambda y: F.when(F.length(y) > n, y))
+    return let(repair(c), lambda x: F.coalesce(long(owned, 0)(x), long(holder, 2)(x), long(part, 2)(x), x))
 
 
 def standard(c: Column | str, parent: bool = False) -> Column:
@@ -108,9 +113,13 @@ def canonical(c: Column | str, suffixes: Iterable[str] = tuple(V.RECOVERY_SUFFIX
 
 def safe_core(c: Column | str) -> Column:
     """The name without its legal forms, or null where that is not safe or changes nothing."""
-    name, core = _c(c), strip_suffixes(c)
-    unsafe = (core == name) | (F.length(core) < 4) | F.replace(core, F.lit(","), F.lit("")).rlike(r"^\d+$") | (name.contains(" ") & ~core.contains(" "))
-    return F.when(~unsafe, core)
+    name = _c(c)
+
+    def judged(core: Column) -> Column:
+        unsafe = (core == name) | (F.length(core) < 4) | F.replace(core, F.lit(","), F.lit("")).rlike(r"^\d+$") | (name.contains(" ") & ~core.contains(" "))
+        return F.when(~unsafe, core)
+
+    return let(strip_suffixes(name), judged)
 
 
 def without_legal_terms(c: Column | str) -> Column:
@@ -237,50 +246,54 @@ def unsafe_continuation(parent: Column, prefix: Column) -> Column:
     return F.filter(continuation(parent, prefix), lambda t: ~F.array_contains(safe, t))
 
 
-def raw_variants(c: Column | str) -> Column:
-    """(name, method, parent) readings of a raw name, in order; empty ones are left out."""
-    x = repair(c)
+def _readings(given: Column, x: Column) -> Column:
     edge = lambda y: F.regexp_replace(y, r"^[ .;,]+|[ .;,]+$", "")
     item = lambda name, method, parent=False: F.struct(name.alias("name"), method.alias("method"), F.lit(parent).alias("parent"))
     bracket = r"^(.+?)\s*\(([^()]+)\)\s*$"
     one = lambda name, method: F.array(item(name, F.lit(method)))
-    slashes = F.filter(F.transform(F.split(x, r"\s*/\s*"), edge), lambda p: p != "")
-    slashed = F.when(x.contains("/") & (F.size(slashes) >= 2), F.transform(slashes, lambda p, i: item(p, F.concat(F.lit("slash_part_"), (i + 1).cast("string")))))
-    affiliates = F.regexp_extract(x, r"(?i)^(.+?)\s+and\s+(?:its\s+|their\s+)?affiliates?$", 1)
-    left, right = (edge(F.regexp_extract(x, r"(?i)^(.+?)\s+and\s+(.+?)\s+affiliates?$", k)) for k in (1, 2))
-    ands = F.filter(F.transform(F.split(x, r"(?i)\s+and\s+"), edge), lambda p: p != "")
-    both = x.rlike(r"(?i)\s+and\s+") & ~F.lower(x).contains("affiliate") & (F.size(ands) == 2)
     none = F.array().cast("array<struct<name:string,method:string,parent:boolean>>")
-    parts = [
-        one(text(c), "full_raw"),
+    parts = lambda pattern: F.filter(F.transform(F.split(x, pattern), edge), lambda p: p != "")
+    counted = lambda array, label: F.transform(array, lambda p, i: item(p, F.concat(F.lit(label), (i + 1).cast("string"))))
+    slashed = F.when(x.contains("/"), let(parts(r"\s*/\s*"), lambda a: F.when(F.size(a) >= 2, counted(a, "slash_part_")).otherwise(none))).otherwise(none)
+    twice = r"(?i)^(.+?)\s+and\s+(.+?)\s+affiliates?$"
+    repeated = let(
+        F.struct(edge(F.regexp_extract(x, twice, 1)).alias("l"), edge(F.regexp_extract(x, twice, 2)).alias("r")),
+        lambda s: F.when((s["l"] != "") & (F.lower(s["l"]) == F.lower(s["r"])), one(s["l"], "remove_repeated_and_affiliates")).otherwise(none),
+    )
+    split_and = let(parts(r"(?i)\s+and\s+"), lambda a: F.when(F.size(a) == 2, counted(a, "and_part_")).otherwise(none))
+    both = x.rlike(r"(?i)\s+and\s+") & ~F.lower(x).contains("affiliate")
+    every = [
+        one(given, "full_raw"),
         one(edge(F.regexp_extract(x, bracket, 1)), "outside_parentheses"),
         one(edge(F.regexp_extract(x, bracket, 2)), "inside_parentheses"),
-        F.array(item(text(c), F.lit("parent_or_owner_recovery"), True)),
-        F.coalesce(slashed, none),
-        one(edge(affiliates), "remove_and_affiliates"),
-        F.when((left != "") & (F.lower(left) == F.lower(right)), one(left, "remove_repeated_and_affiliates")).otherwise(none),
-        F.when(both, F.transform(ands, lambda p, i: item(p, F.concat(F.lit("and_part_"), (i + 1).cast("string"))))).otherwise(none),
+        F.array(item(given, F.lit("parent_or_owner_recovery"), True)),
+        slashed,
+        one(edge(F.regexp_extract(x, r"(?i)^(.+?)\s+and\s+(?:its\s+|their\s+)?affiliates?$", 1)), "remove_and_affiliates"),
+        repeated,
+        F.when(both, split_and).otherwise(none),
     ]
-    return F.filter(F.concat(*parts), lambda v: v["name"] != "")
+    return F.filter(F.concat(*every), lambda v: v["name"] != "")
+
+
+def raw_variants(c: Column | str) -> Column:
+    """(name, method, parent) readings of a raw name, in order; empty ones are left out."""
+    return let(F.struct(text(c).alias("g"), repair(c).alias("x")), lambda s: _readings(s["g"], s["x"]))
 
 
 def variants(c: Column | str) -> Column:
     """Ordered (name, method) candidates of a raw name: each reading's standard name, then its safe core; the first of equal names stays."""
+    item = lambda name, method: F.struct(name.alias("name"), method.alias("method"))
 
     def both(v: Column) -> Column:
-        name = F.when(v["parent"], standard(v["name"], parent=True)).otherwise(standard(v["name"]))
-        core = F.coalesce(safe_core(name), F.lit(""))
-        return F.array(
-            F.struct(name.alias("name"), v["method"].alias("method")), F.struct(core.alias("name"), F.concat(v["method"], F.lit("_suffix_cleaned")).alias("method"))
-        )
+        name = standard(F.when(v["parent"], owner(v["name"])).otherwise(v["name"]))
+        return let(name, lambda n: F.array(item(n, v["method"]), item(F.coalesce(safe_core(n), F.lit("")), F.concat(v["method"], F.lit("_suffix_cleaned")))))
 
     every = F.filter(F.flatten(F.transform(raw_variants(c), both)), lambda v: v["name"] != "")
-    firsts = F.aggregate(
+    return F.aggregate(
         every,
         F.array().cast("array<struct<name:string,method:string>>"),
         lambda acc, v: F.when(F.exists(acc, lambda a: a["name"] == v["name"]), acc).otherwise(F.array_append(acc, v)),
     )
-    return firsts
 
 
 def keyword_filter(c: Column | str) -> Column:

@@ -23,8 +23,8 @@ def companies(part: DataFrame) -> DataFrame:
 def bridge(part: DataFrame) -> DataFrame:
     """name_original, fyear, cik, gvkey, source: two consecutive years for each part."""
     rows = part.selectExpr("p_partkey", f"{BRIDGE_NAME} as name_original", f"{CIK} as cik", f"{GVKEY} as gvkey", f"{SOURCE} as source")
-    first = F.col("p_partkey") % 6 + 1995
-    return rows.withColumn("fyear", F.explode(F.array(first, first + 1)).cast("int")).drop("p_partkey")
+    first = (F.col("p_partkey") % 6 + 1995).cast("int")
+    return rows.withColumn("fyear", F.explode(F.array(first, first + 1))).drop("p_partkey")
 
 
 def mentions(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:

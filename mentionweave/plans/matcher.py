@@ -59,27 +59,34 @@ def prefix_table(bridge: DataFrame) -> DataFrame:
 def match(mentions: DataFrame, bridge: DataFrame) -> DataFrame:
     """Raw, fyear, method, matched_name, matched_original, source, cik, gvkey for each distinct (raw, fyear).
 
-    Names are read once each and years joined after, as the same names recur in many mentions and years.
+    A raw name is read once and years are joined after. All its keys - readings in order, then the
+    prefixes of readings in order - meet one table of names and safe prefixes in one join, and the
+    first hit stays.
     """
     wanted = mentions.select("raw", "fyear").distinct()
-    read = wanted.select("raw").distinct().withColumn("readings", names.variants("raw"))
-    usable = wanted.where(F.col("fyear").isNotNull() & names.capital("raw")).join(read, "raw")
-    spread = usable.select("raw", "fyear", F.posexplode("readings").alias("at", "v")).select("raw", "fyear", "at", "v.*")
-    exact = keep_first(spread.join(prepare_bridge(bridge), ["name", "fyear"]), ["raw", "fyear"], [F.col("at")]).select(
-        "raw", "fyear", F.concat(F.lit("exact_"), "method").alias("method"), F.col("name").alias("matched_name"), F.col("name_original").alias("matched_original"), "source", "cik", "gvkey"
+    item = lambda kind, k, key: F.struct(F.lit(kind).alias("kind"), k.alias("k"), key.alias("key"))
+    keys = lambda v: F.concat(F.array(item(0, F.lit(0), v["name"])), F.transform(names.prefixes(v["name"]), lambda p, k: item(1, k, p)))
+    read = wanted.select("raw").distinct().where(names.capital("raw")).select("raw", F.posexplode(names.variants("raw")).alias("place", "v"))
+    probes = read.select("raw", "place", F.col("v.method").alias("reading"), F.inline(keys(F.col("v"))))
+    row = ["name", "name_original", "source", "cik", "gvkey"]
+    named = prepare_bridge(bridge).select(F.lit(0).alias("kind"), F.col("name").alias("key"), "fyear", F.lit("").alias("rule"), *row)
+    safe = prefix_table(bridge).where("unsafe = ''").select(F.lit(1).alias("kind"), F.col("prefix").alias("key"), "fyear", "rule", *row)
+    asked = wanted.where("fyear is not null").join(probes, "raw")
+    first = keep_first(asked.join(named.unionByName(safe), ["kind", "key", "fyear"]), ["raw", "fyear"], [F.col("kind"), F.col("place"), F.col("k")])
+    exact = F.col("kind") == 0
+    hits = first.select(
+        F.col("raw").alias("hit_raw"),
+        F.col("fyear").alias("hit_year"),
+        F.when(exact, F.concat(F.lit("exact_"), "reading")).otherwise(F.concat_ws("_", F.lit("parent_prefix_recovery"), "rule", "reading")).alias("method"),
+        F.col("name").alias("matched_name"),
+        F.col("name_original").alias("matched_original"),
+        F.when(exact, F.col("source")).otherwise(F.concat_ws("_", F.lit("parent_token_recovery"), "rule", "source")).alias("source"),
+        "cik",
+        "gvkey",
     )
-    rest = spread.join(exact.select("raw", "fyear"), ["raw", "fyear"], "left_anti")
-    tried = rest.select("raw", "fyear", "at", "method", F.posexplode(names.prefixes("name")).alias("k", "prefix"))
-    safe = prefix_table(bridge).where("unsafe = ''")
-    found = keep_first(tried.join(safe, ["prefix", "fyear"]), ["raw", "fyear"], [F.col("at"), F.col("k")]).select(
-        "raw", "fyear", F.concat(F.lit("parent_prefix_recovery_"), "rule", F.lit("_"), "method").alias("method"),
-        F.col("name").alias("matched_name"), F.col("name_original").alias("matched_original"), F.concat(F.lit("parent_token_recovery_"), "rule", F.lit("_"), "source").alias("source"), "cik", "gvkey",
-    )
-    hits = exact.unionByName(found)
-    blank = names.strip(names.text("raw")) == ""
-    why = F.when(blank, "unmatched_empty").when(F.col("fyear").isNull(), "unmatched_missing_fyear").when(~names.capital("raw"), "unmatched_invalid_or_lowercase").otherwise("unmatched_after_all_candidates")
-    missed = wanted.join(hits, (wanted.raw.eqNullSafe(hits.raw)) & (wanted.fyear.eqNullSafe(hits.fyear)), "left_anti").withColumn("method", why)
-    return hits.unionByName(missed, allowMissingColumns=True)
+    raw, fyear = F.col("raw"), F.col("fyear")
+    why = F.when(names.strip(names.text(raw)) == "", "unmatched_empty").when(fyear.isNull(), "unmatched_missing_fyear").when(~names.capital(raw), "unmatched_invalid_or_lowercase").otherwise("unmatched_after_all_candidates")
+    return wanted.join(hits, raw.eqNullSafe(F.col("hit_raw")) & fyear.eqNullSafe(F.col("hit_year")), "left").select(raw, fyear, F.coalesce("method", why).alias("method"), "matched_name", "matched_original", "source", "cik", "gvkey")
 
 
 def blocked(mentions: DataFrame, bridge: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_names
+from .plans import queries_names, queries_relational
 
-MODULES = (queries_names,)
+MODULES = (queries_names, queries_relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
