@@ -58,12 +58,15 @@ def word_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 def gram_ids(data: np.ndarray, off: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Bucket of the byte n-gram that starts at each position; 2**bits where it would leave its document."""
     base = off[0]
-    b = _LOWER[data[base : off[-1]]].astype(np.uint64)
-    h = np.zeros(len(b), np.uint64)
-    for k in range(n):
-        h[: len(b) - k] |= b[k:] << np.uint64(8 * k)
-    h = ((h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    out = h.astype(np.int64)
+    b = _LOWER[data[base : off[-1]]].astype(np.uint32)
+    h = b.copy()
+    for k in range(1, n):  # up to four bytes fill the 32 bits
+        h[: len(b) - k] |= b[k:] << np.uint32(8 * k)
+    h += np.uint32(n)
+    h *= np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    out = (h >> np.uint32(32 - bits)).view(np.int32)
     for k in range(1, n):
         ends = off[1:] - base - k
         ends = ends[ends >= 0]

@@ -32,14 +32,14 @@ REJECT_RATE = 0.001
 @dataclass
 class LanguageModel:
     langs: list[str]
-    table: np.ndarray  # (len(GRAMS) * (2**BITS + 1), languages): embeddings times softmax weights
+    table: np.ndarray  # (languages, len(GRAMS) * (2**BITS + 1)): softmax weights times embeddings
     bias: np.ndarray
     temperature: float
     threshold: float
 
     def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         out = np.zeros((len(off) - 1, len(self.langs)))
-        for a, b in steps(off, max(1 << 16, (1 << 22) // len(self.langs))):
+        for a, b in steps(off, 1 << 18):
             o = off[a : b + 1]
             size = np.diff(o)
             if o[-1] == o[0]:
@@ -47,8 +47,10 @@ class LanguageModel:
             full = size > 0
             total, n = np.zeros((full.sum(), len(self.langs))), np.zeros(full.sum())
             for k, g in enumerate(GRAMS):
-                ids = gram_ids(data, o, g, BITS) + k * ((1 << BITS) + 1)
-                total += np.add.reduceat(self.table[ids], (o[:-1] - o[0])[full], axis=0, dtype=np.float64)
+                ids = gram_ids(data, o, g, BITS)
+                at = slice(k * ((1 << BITS) + 1), (k + 1) * ((1 << BITS) + 1))
+                for c in range(1, len(self.langs)):  # relative to the first language, which stays at zero
+                    total[:, c] += np.add.reduceat(self.table[c, at].take(ids), (o[:-1] - o[0])[full], dtype=np.float64)
                 n += np.maximum(size[full] - g + 1, 0)
             out[a:b][full] = total / np.maximum(n, 1)[:, None]
         return out + self.bias
@@ -68,7 +70,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.0,
     bags = []
     for t in texts:
         b = np.frombuffer(t.encode(), np.uint8)
-        ids = np.concatenate([gram_ids(b, np.array([0, len(b)]), g, BITS) + k * width for k, g in enumerate(GRAMS)] or [[]]) if len(b) else np.zeros(0, np.int64)
+        ids = np.concatenate([gram_ids(b, np.array([0, len(b)]), g, BITS).astype(np.int64) + k * width for k, g in enumerate(GRAMS)] or [[]]) if len(b) else np.zeros(0, np.int64)
         ids, n = np.unique(ids[ids % width != 1 << BITS], return_counts=True)
         bags.append((ids, n / max(1, n.sum())))
     order = rng.permutation(len(texts))
@@ -95,9 +97,10 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.0,
                 out += rng.normal(0, 0.1, out.shape)
     for k in range(len(GRAMS)):
         emb[k * width + (1 << BITS)] = 0
-    model = LanguageModel(names, (emb @ out).astype(np.float32), bias, 1.0, 0.0)
+    table = (emb @ out).T
+    model = LanguageModel(names, np.ascontiguousarray(table - table[0], np.float32), bias, 1.0, 0.0)
     if cut and len(names) > 1:
-        z = np.stack([bags[i][1] @ model.table[bags[i][0]].astype(float) for i in held]) + bias
+        z = np.stack([model.table[:, bags[i][0]].astype(float) @ bags[i][1] for i in held]) + bias
         grid = np.exp(np.linspace(np.log(0.02), np.log(5), 60))
         loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(cut), y[held]], 1e-9)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
