@@ -152,3 +152,17 @@ v3 as (select {key}, i, m, {standard('nm')} s from v2),
 v4 as (select {key}, i * 2 i, m, s from v3 union all select {key}, i * 2 + 1, m || '_suffix_cleaned', {safe_core('s')} from v3),
 v5 as (select {key}, i, m, s, row_number() over (partition by {key}, s order by i) k from v4 where coalesce(s, '') <> ''),
 reading as (select {key}, row_number() over (partition by {key} order by i) - 1 place, s name, m method from v5 where k = 1)"""
+
+
+def candidate(x: str) -> str:
+    """The candidate stage's name; ASCII input."""
+    x = rf"replace(regexp_replace({repair(x)}, '[\[\](){{}}]', ' ', 'g'), '&', ' AND ')"
+    x = squeeze(f"regexp_replace({x}, '[-/\\\\,.;:''\"`’‘“”]+', ' ', 'g')")
+    x = squeeze(rf"regexp_replace(regexp_replace({x}, '(?i)\bAND\s+CO(?:MPANY)?\b', ' CO ', 'g'), '(?i)\bCOMPANY\b', ' CO ', 'g')")
+    x = finish(x)
+    return f"case {x} " + " ".join(f"when {q(a)} then {q(b)}" for a, b in V.ALIASES.items()) + f" else {x} end"
+
+
+def partial(x: str) -> str:
+    x = f"trim(regexp_replace(replace(upper({null_word(x)}), '&', ' AND '), '[^A-Z0-9]+', ' ', 'g'))"
+    return rf"case when regexp_matches({x}, '^\S{{3,}} S$') then regexp_replace({x}, ' S$', 'S') else {x} end"

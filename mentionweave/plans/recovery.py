@@ -102,7 +102,6 @@ def partial_evidence(aliases: DataFrame, sources: DataFrame) -> DataFrame:
     return met.withColumn("hit", rule).where("hit is not null").select("record_id", "alias", "source", "candidate", "cik", "gvkey", "hit.*")
 
 
-#: J14. Fixed values: (condition, action, decision) of the consolidation, the first that holds.
 def consolidate() -> Column:
     """struct(action, decision, gvkey, cik) from refined status, crosswalk evidence and pattern."""
     refined, upgrade = F.col("refined"), F.coalesce(F.col("ciq_upgrade"), F.lit(False))

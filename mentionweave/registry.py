@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_names, queries_relational
+from .plans import queries_names, queries_relational, queries_resolution
 
-MODULES = (queries_names, queries_relational)
+MODULES = (queries_names, queries_relational, queries_resolution)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
