@@ -27,8 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import task
+
 #: Transitions and remembered pieces that one worker keeps before it starts anew.
-MAX_TRANSITIONS, MAX_PIECES = 1_000_000, 600_000
+MAX_TRANSITIONS, MAX_PIECES = 500_000, 350_000
 #: Ids that the decoder takes at a time.
 DECODE_BLOCK = 4096
 
@@ -127,9 +129,8 @@ class Transducer:
     def _clear(self) -> None:
         self._states: dict[tuple, int] = {}
         self._members: list[tuple] = []
-        self._next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self._next: dict[int, int | tuple] = {}  # by state << 8 | byte: the state reached, or with it what is emitted
         self._ends: list[tuple[int, ...] | None] = []
-        self._size = 0
         self.start = self._state(((-1, 0, ()),))
 
     def _state(self, members: tuple) -> int:
@@ -137,7 +138,6 @@ class Transducer:
         if n is None:
             n = self._states[members] = len(self._members)
             self._members.append(members)
-            self._next.append({})
             self._ends.append(members[-1][2] if members[-1][1] == 0 else None)
         return n
 
@@ -168,7 +168,7 @@ class Transducer:
             pair = self._pairs[before << 32 | token] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
         return pair
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> int | tuple:
         """Determinise one transition: the subset reached and the tokens all its branches agree on."""
         found, ended = [], None
         children, token_at, leaf, pairs = self.children, self.token_at, self._leaf, self._pairs
@@ -198,25 +198,26 @@ class Transducer:
             emitted = emitted[:n]
         n = len(emitted)
         reached = self._state(tuple((b, node, out[n:]) for b, node, out in found) if n else tuple(found))
-        self._size += 1
-        self._next[state][byte] = reached, emitted
-        return reached, emitted
+        hit = self._next[state << 8 | byte] = (reached, emitted) if emitted else reached
+        return hit
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if self._size > MAX_TRANSITIONS:
+        if len(self._next) > MAX_TRANSITIONS:
             self._clear()
         out: list[int] = []
-        state, step = self.start, self._next
+        state, step = self.start, self._next.get
         for b in data:
-            hit = step[state].get(b)
+            hit = step(state << 8 | b)
             if hit is None:
                 hit = self._step(state, b)
-            state = hit[0]
-            if hit[1]:
+            if hit.__class__ is int:
+                state = hit
+            else:
+                state = hit[0]
                 out += hit[1]
         return out + list(self._ends[state])
 
@@ -283,7 +284,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 text_hash.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(task(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(documents: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -296,7 +297,7 @@ def encode_column(documents: DataFrame, path: str, pattern: str, text: str = "te
             out = [list(chain.from_iterable(pieces)) for pieces in encoded(path, pattern, (x.as_py() for x in batch[text]))]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.list_(pa.int32()))], [*names, ids])
 
-    return documents.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+    return documents.mapInArrow(task(run), f"{fields}, `{ids}` array<int>")
 
 
 def decode_column(encoded_rows: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -310,6 +311,6 @@ def decode_column(encoded_rows: DataFrame, path: str, pattern: str, ids: str = "
             out = ["".join(t.decode(x.as_py() or ())) for x in batch[ids]]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.string())], [*names, text])
 
-    return encoded_rows.mapInArrow(run, f"{fields}, `{text}` string")
+    return encoded_rows.mapInArrow(task(run), f"{fields}, `{text}` string")
 
 

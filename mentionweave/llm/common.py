@@ -6,9 +6,12 @@ numpy byte buffers of bounded size, and the deterministic held-out fold.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +86,21 @@ def sample_ids(ids: DataFrame, key: str, bound: int, salt: int) -> DataFrame:
     return ids.orderBy(h, key).limit(bound)
 
 
+def task(run: Callable) -> Callable:
+    """`run` for mapInArrow; at its end the worker gives freed memory back, as it may idle beside other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def strings(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string array, without copying the text; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -60,7 +60,7 @@ def gram_ids(data: np.ndarray, off: np.ndarray, n: int, bits: int) -> np.ndarray
     base = off[0]
     b = _LOWER[data[base : off[-1]]].astype(np.uint32)
     h = b.copy()
-    for k in range(1, n):  # up to four bytes fill the 32 bits
+    for k in range(1, min(n, len(b))):  # up to four bytes fill the 32 bits
         h[: len(b) - k] |= b[k:] << np.uint32(8 * k)
     h += np.uint32(n)
     h *= np.uint32(0x9E3779B1)

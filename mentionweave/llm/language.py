@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, steps, strings
+from .common import held_out, steps, strings, task
 from .features import gram_ids
 
 GRAMS, BITS, DIM = (2, 3, 4), 15, 16
@@ -150,7 +150,7 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return kept.mapInArrow(judged, f"{fields}, lang_pred string, score double, rejected boolean")
+    return kept.mapInArrow(task(judged), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def reject(documents: DataFrame, model: LanguageModel | None) -> DataFrame:

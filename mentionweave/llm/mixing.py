@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids, written
+from .common import sample_ids, task, written
 from .common import strings as strings_of
 from .language import LanguageModel, _softmax, fit
 from .toxicity import PuModel
@@ -88,7 +88,7 @@ def posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
             p = shared.value.posteriors(*strings_of(batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
 
-    return documents.select("doc_id", _tokens().alias("n_tokens"), "text").mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return documents.select("doc_id", _tokens().alias("n_tokens"), "text").mapInArrow(task(run), "doc_id long, n_tokens long, p array<double>")
 
 
 def replay(p: np.ndarray, residuals: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
@@ -119,7 +119,7 @@ def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: floa
                 s += (replay(p, past, ridge) * batch["n_tokens"].to_numpy()) @ p
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in s], list(DOMAINS))
 
-        row = soft.select("n_tokens", "p").mapInArrow(sums, ", ".join(f"{d} double" for d in DOMAINS)).agg(*(F.sum(d) for d in DOMAINS)).first()
+        row = soft.select("n_tokens", "p").mapInArrow(task(sums), ", ".join(f"{d} double" for d in DOMAINS)).agg(*(F.sum(d) for d in DOMAINS)).first()
         e = np.array(row, float) / total - goal
         still = len(residuals) and np.abs(e - residuals[-1]).max() < TOLERANCE
         residuals = np.vstack([residuals, e])
@@ -141,7 +141,7 @@ def rates(documents: DataFrame, labels: DataFrame, targets: tuple[float, ...] =
             p = _matrix(batch)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], *(pa.array(c) for c in p.T), pa.array(replay(p, residuals))], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
 
-    return soft.mapInArrow(rated, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
+    return soft.mapInArrow(task(rated), "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
 
 
 def resample(documents: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -162,4 +162,4 @@ def resample(documents: DataFrame, labels: DataFrame, targets: tuple[float, ...]
 
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(1 << 40)) / float(1 << 40)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.withColumn("__u", u).mapInArrow(drawn, fields)
+    return documents.withColumn("__u", u).mapInArrow(task(drawn), fields)

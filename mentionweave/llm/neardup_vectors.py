@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import task, written
 from .components import connected
 from .vectors import cross_polytope, rotated, usable
 
@@ -191,7 +191,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None =
     """vec_id, links, root: for vectors that link, partial numbers of linked rows and spanning edges."""
     n, dim = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
     hashes = hashes_for(n, dim or 1)
-    hashed = vectors.select("vec_id", "n", "embedding").mapInArrow(_hashed(hashes, tables or tables_for(hashes)), "vec_id long, n long, unit binary, codes binary, buckets array<long>")
+    hashed = vectors.select("vec_id", "n", "embedding").mapInArrow(task(_hashed(hashes, tables or tables_for(hashes))), "vec_id long, n long, unit binary, codes binary, buckets array<long>")
     hashed = written(hashed, "vector-codes")
     entries = hashed.select("vec_id", F.explode(F.array_distinct("buckets")).alias("bucket"))
     full = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -202,7 +202,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None =
     met = placed.join(hashed.select("vec_id", "n", "unit", "codes"), "vec_id").select(
         "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "n", "unit", "codes"
     )
-    return met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "vec_id").mapInArrow(_verified(threshold), "vec_id long, links long, root long")
+    return met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "vec_id").mapInArrow(task(_verified(threshold)), "vec_id long, links long, root long")
 
 
 def components(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, written
+from .common import strings, task, written
 from .components import connected
 
 SHINGLE, SEED, MAX_BUCKET = 3, 42, 32
@@ -61,7 +61,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every whole text."""
-    return documents.select("doc_id", "text").mapInArrow(_prints, "doc_id long, fp long")
+    return documents.select("doc_id", "text").mapInArrow(task(_prints), "doc_id long, fp long")
 
 
 def _variants(prints: DataFrame) -> DataFrame:
@@ -99,6 +99,7 @@ def components(documents: DataFrame) -> DataFrame:
     edges = edges.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
     joined = connected(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     named = groups.join(joined, groups.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = written(named, "simhash-named")  # a table of its own, so that Spark can split the join's hot keys
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

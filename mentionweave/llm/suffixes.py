@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, strings, written
+from .common import discard, strings, task, written
 
 WINDOW, GRAM, SYMBOL, SHARD = 200, 32, 40, 2048
 #: Windows of one text taken at a time; bytes of strings merged at a time, and of one shard among them.
@@ -248,11 +248,13 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     `rows` has key, salt, text and any other columns. Both joins with the texts deal them out alike, so Spark moves them once.
     """
-    found = rows.select("key", "salt", "text").mapInArrow(_classed, "gram long, unit long, key long, salt int, start int, stop int")
+    found = rows.select("key", "salt", "text").mapInArrow(task(_classed), "gram long, unit long, key long, salt int, start int, stop int")
     found = written(found, "suffix-classes")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("unit").alias("u"), F.max("unit").alias("v")).where("n > 1")
-    again = written(found.join(grams.select("gram", (F.col("u") != F.col("v")).alias("mixed")), "gram"), "suffix-again")
+    grams = written(grams.select("gram", (F.col("u") != F.col("v")).alias("mixed")), "suffix-grams")  # a table of its own, so that Spark can split the join's hot keys
+    again = written(found.join(grams, "gram"), "suffix-again")
     discard(found)
+    discard(grams)
     whole = again.where("not mixed").select("key", "salt", F.col("start").alias("a"), (F.col("stop") + WINDOW - 1).alias("b"))
     mixed = again.where("mixed").drop("mixed")
     units = mixed.groupBy("gram", "unit").agg(F.count("*").alias("n"), F.min(F.struct("key", "salt", "start", "stop")).alias("at"))
@@ -264,11 +266,11 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = units.join(large, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     wanted = sized.groupBy("key", "salt").agg(F.collect_list(F.struct("gram", "unit", "n", "start", "stop", "parts")).alias("wanted"))
     fields = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema.fields)
-    texts = rows.mapInArrow(_packed, fields).where("key is not null and salt is not null")
-    cut = texts.join(wanted, ["key", "salt"]).mapInArrow(_strings, "gram long, unit long, n long, key long, salt int, start int, parts int, bytes binary")
+    texts = rows.mapInArrow(task(_packed), fields).where("key is not null and salt is not null")
+    cut = texts.join(wanted, ["key", "salt"]).mapInArrow(task(_strings), "gram long, unit long, n long, key long, salt int, start int, parts int, bytes binary")
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.select("gram", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard", "n", "key", "salt", "start", "bytes")
-    partly = cut.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high").mapInArrow(_merge, "key long, salt int, a int, b int")
+    partly = cut.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high").mapInArrow(task(_merge), "key long, salt int, a int, b int")
     removed = simple.unionByName(partly).groupBy("key", "salt").agg(F.collect_list(F.struct("a", "b")).alias("removed"))
     return texts, removed
 
@@ -308,7 +310,7 @@ def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     texts, removed = ranges(documents.select(*keys(), "doc_id", "text"))
-    return texts.join(removed, ["key", "salt"], "left").mapInArrow(_reported, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(removed, ["key", "salt"], "left").mapInArrow(task(_reported), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -329,7 +331,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     rows = documents.select(*keys(), "text", *(F.col(f"`{n}`").alias(_inner(n)) for n in names if n != "text"))
     texts, removed = ranges(rows)
-    return texts.join(removed, ["key", "salt"], "left").mapInArrow(cut, fields)
+    return texts.join(removed, ["key", "salt"], "left").mapInArrow(task(cut), fields)
 
 
 def _inner(name: str) -> str:

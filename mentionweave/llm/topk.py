@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import task, written
 from .vectors import cross_polytope, rotated, usable
 
 K, SCALE, BLOCK, SUPER, CHUNK, SUMMARIES = 5, 256.0, 64, 1024, 256, 512
@@ -185,17 +185,17 @@ def search(embeddings: DataFrame, k: int = K, every: int = 50) -> DataFrame:
     rows = embeddings.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", "embedding")
     size = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     n, dim = (size.n, size.d) if size else (0, 1)
-    coded = rows.where(F.size("embedding") == dim).mapInArrow(_coded, "vec_id long, code long, ints binary")
+    coded = rows.where(F.size("embedding") == dim).mapInArrow(task(_coded), "vec_id long, code long, ints binary")
     spread = coded.repartitionByRange(max(1, min(4096, n // (8 * SUPER))), "code", "vec_id").sortWithinPartitions("code", "vec_id")
-    supers = written(spread.mapInArrow(_supers(k, every), _SUPER).withColumn("super", F.monotonically_increasing_id()), "topk-supers")
-    chunks = supers.select("query_ids", "queries", "floors").mapInArrow(_chunks, "query_ids binary, queries binary, floors binary")
+    supers = written(spread.mapInArrow(task(_supers(k, every)), _SUPER).withColumn("super", F.monotonically_increasing_id()), "topk-supers")
+    chunks = supers.select("query_ids", "queries", "floors").mapInArrow(task(_chunks), "query_ids binary, queries binary, floors binary")
     chunks = written(chunks.withColumn("chunk", F.monotonically_increasing_id()), "topk-queries")
-    summed = written(supers.select("super", "high", "low").mapInArrow(_summaries, "supers binary, high binary, low binary").withColumn("part", F.monotonically_increasing_id()), "topk-summaries")
+    summed = written(supers.select("super", "high", "low").mapInArrow(task(_summaries), "supers binary, high binary, low binary").withColumn("part", F.monotonically_increasing_id()), "topk-summaries")
     parts = [r.part for r in summed.select("part").collect()]  # one number for SUMMARIES * SUPER rows
     pairs = chunks.withColumn("part", F.explode(F.lit(parts).cast("array<bigint>"))).join(summed, "part")
-    met = pairs.select("chunk", "queries", "floors", "supers", "high", "low").mapInArrow(_survivors, "chunk long, super long")
+    met = pairs.select("chunk", "queries", "floors", "supers", "high", "low").mapInArrow(task(_survivors), "chunk long, super long")
     met = written(met, "topk-met")
     work = met.join(supers.select("super", "ids", "x"), "super").join(chunks, "chunk")
-    found = work.select("query_ids", "queries", "floors", "ids", "x").mapInArrow(_scored(k), "query_id long, vec_id long, score long")
+    found = work.select("query_ids", "queries", "floors", "ids", "x").mapInArrow(task(_scored(k)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_ids, steps, strings
+from .common import held_out, sample_ids, steps, strings, task
 from .features import word_features
 
 #: Documented bounds of the training sample.
@@ -131,7 +131,7 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, m
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .select("positive", "text")
-        .mapInArrow(_features_of, "positive boolean, features binary")
+        .mapInArrow(task(_features_of), "positive boolean, features binary")
         .collect()
     )
     sets = [np.frombuffer(r.features, np.uint64) for r in rows]
@@ -169,5 +169,5 @@ def score(documents: DataFrame, model: PuModel) -> DataFrame:
             )
 
     return documents.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(
-        scored, "doc_id long, held_out boolean, score double, predicted int"
+        task(scored), "doc_id long, held_out boolean, score double, predicted int"
     )

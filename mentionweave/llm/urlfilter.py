@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import task
+
 #: The verdict of the cascade on a url without a listed key: it is on no list.
 DEFAULT = "allow"
 MAX_ERRORS = 16
@@ -116,7 +118,7 @@ def build(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES) -> Ca
             keys = {h + p for hs, ps in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True) for h, p in keys_of(hs, ps, lengths, labels)}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], ["key"])
 
-    universe = stems.mapInArrow(explode, "key string").distinct()
+    universe = stems.mapInArrow(task(explode), "key string").distinct()
     size = max(len(listed), universe.agg(F.approx_count_distinct("key")).first()[0])
     salt = 0
     while True:
@@ -130,7 +132,7 @@ def build(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES) -> Ca
                 yield pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], ["key"])
 
         bound = MAX_ERRORS * (len(listed) + 1)
-        errors = [r.key for r in universe.mapInArrow(erring, "key string").limit(bound + 1).collect()]
+        errors = [r.key for r in universe.mapInArrow(task(erring), "key string").limit(bound + 1).collect()]
         if len(errors) <= bound:
             break
         salt += 1000  # rarer than one time in a million; none is dropped
@@ -170,4 +172,4 @@ def judge(pages: DataFrame, cascade: Cascade, rules: Iterable[tuple[str, str, st
                 verdict.append(verdicts.get(found, DEFAULT))
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["host"], batch["path"], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
-    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(judged, "page_id long, host string, path string, rule string, verdict string")
+    return pages.select("page_id", host.alias("host"), path.alias("path")).mapInArrow(task(judged), "page_id long, host string, path string, rule string, verdict string")
