@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.names import no_null_word
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out over all cores before work that costs much a row: adaptive coalescing goes by bytes, and a few MB of names are hours of patterns."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def joined_set(c: Column | str, sep: str = "|", limit: int | None = None) -> Column:
     """Distinct non-blank values, sorted, joined, the first `limit`."""
     values = F.array_sort(F.collect_set(F.nullif(no_null_word(c), F.lit(""))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import ids, names
+from ..operators.aggregates import spread
 from ..operators.joins import in_panel, nearest_year
 
 
@@ -22,8 +23,8 @@ def cascade(aliases: DataFrame, bridge: DataFrame, panel: DataFrame) -> DataFram
     `aliases`: record_id, alias, years. `bridge`: name_original, fyear, source, cik, gvkey. `panel`: cik,
     gvkey, fyear. All stages are equality joins; the least stage number of a record is kept.
     """
-    a = aliases.withColumns({"name": names.candidate_name("alias")}).withColumn("legal", names.without_legal_terms("name"))
-    b = bridge.withColumn("name", names.candidate_name("name_original")).withColumn("legal", names.without_legal_terms("name"))
+    a = spread(aliases, "record_id").withColumns({"name": names.candidate_name("alias")}).withColumn("legal", names.without_legal_terms("name"))
+    b = spread(bridge, "name_original").withColumn("name", names.candidate_name("name_original")).withColumn("legal", names.without_legal_terms("name"))
     b = b.where("name <> ''").select("name", "legal", "fyear", "source", "cik", "gvkey", F.col("name_original").alias("bridge_name")).distinct()
     item = ["record_id", "bridge_name", "source", "cik", "gvkey"]
     in_year = a.withColumn("fyear", F.explode("years"))
@@ -54,32 +55,36 @@ def cascade(aliases: DataFrame, bridge: DataFrame, panel: DataFrame) -> DataFram
     return found.join(first, ["record_id", "stage"])
 
 
-def score(alias: Column, candidate: Column, source: Column, cik: Column, gvkey: Column, rule: Column, panel: Column) -> Column:
-    """Sum of weights of source, priority, identifiers, rule, equality of cores, suffix and shape."""
+def score(candidates: DataFrame) -> DataFrame:
+    """`candidates` with score, the sum of weights of source, priority, identifiers, rule, equality of cores, suffix and shape.
+
+    Names are worked out in steps of their own, so that each is evaluated once a row.
+    """
     look = lambda table, key, default: F.coalesce(F.try_element_at(names.lookup(table), key), F.lit(default))
-    has = lambda c: ids.valid_id(c, "candidate")
     points = lambda condition, n: F.when(condition, n).otherwise(0)
-    a, c = names.candidate_name(alias), names.candidate_name(candidate)
-    core_a, core_c = names.strip_suffixes(a, V.LEGAL_TERMS), names.strip_suffixes(c, V.LEGAL_TERMS)
+    cik, gvkey = ids.valid_id("cik", "candidate"), ids.valid_id("gvkey", "candidate")
+    source = F.upper("source")
+    named = candidates.withColumns({"__a": names.candidate_name("alias"), "__c": names.candidate_name("bridge_name")})
+    shaped = named.withColumns({"__ac": names.strip_suffixes("__a", V.LEGAL_TERMS), "__cc": names.strip_suffixes("__c", V.LEGAL_TERMS), "__aw": names.tokens(F.col("__a")), "__cw": names.tokens(F.col("__c"))})
+    core_a, core_c, words_a, words_c = (F.col(x) for x in ("__ac", "__cc", "__aw", "__cw"))
     both = (core_a != "") & (core_c != "")
-    tail = F.when(core_c.startswith(F.concat(core_a, F.lit(" "))), 45)
-    words_c, words_a = names.tokens(c), names.tokens(a)
-    return (
-        look(V.SOURCE_SCORE, F.upper(source), 0)
-        + F.greatest(F.lit(0), 60 - 10 * look(V.SOURCE_PRIORITY, F.upper(source), 9))
-        + points(has(cik), 20)
-        + points(has(gvkey), 10)
-        + points(has(cik) & has(gvkey), 10)
-        + points(panel, 5)
-        + look(V.RULE_SCORE, rule, 0)
-        + F.when(both & (core_a == core_c), 80).when(both, F.coalesce(tail, F.lit(0))).otherwise(0)
-        + names.suffix_score(c)
-        + points(names.without_legal_terms(a) == names.without_legal_terms(c), 20)
+    total = (
+        look(V.SOURCE_SCORE, source, 0)
+        + F.greatest(F.lit(0), 60 - 10 * look(V.SOURCE_PRIORITY, source, 9))
+        + points(cik, 20)
+        + points(gvkey, 10)
+        + points(cik & gvkey, 10)
+        + points(F.col("in_panel"), 5)
+        + look(V.RULE_SCORE, F.col("rule"), 0)
+        + F.when(both & (core_a == core_c), 80).when(both & core_c.startswith(F.concat(core_a, F.lit(" "))), 45).otherwise(0)
+        + names.suffix_score("__c")
+        + points(names.without_legal_terms("__a") == names.without_legal_terms("__c"), 20)
         + points(F.size(F.array_intersect(words_c, names.words([*V.LEGAL_TERMS, "LIMITED"]))) > 0, 20)
-        + points(F.upper(source).isin(*V.STRONG_SOURCES) | has(cik), 20)
+        + points(source.isin(*V.STRONG_SOURCES) | cik, 20)
         - points(F.arrays_overlap(words_c, names.words(V.GEOGRAPHIC_TERMS[:7])), 25)
         - points((F.size(words_c) >= F.size(words_a) + 2) & (core_a != core_c), 15)
     )
+    return shaped.withColumn("score", total).drop("__a", "__c", "__ac", "__cc", "__aw", "__cw")
 
 
 def rank(candidates: DataFrame, margin: int = 30) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, names
-from ..operators.aggregates import duplicated, keep_first
+from ..operators.aggregates import duplicated, keep_first, spread
 
 
 def tier(source: Column) -> Column:
@@ -20,7 +20,7 @@ def _order() -> list[Column]:
 
 def aliases(bridge: DataFrame) -> DataFrame:
     """name_original, fyear, cik, gvkey, source under its standard name and, where safe, the core of it."""
-    std = bridge.withColumns({"name": names.standard("name_original"), "cik": ids.clean_id("cik"), "gvkey": ids.clean_id("gvkey")})
+    std = spread(bridge, "name_original").withColumns({"name": names.standard("name_original"), "cik": ids.clean_id("cik"), "gvkey": ids.clean_id("gvkey")})
     core = std.withColumn("name", names.safe_core("name")).where("name is not null")
     return std.where("name <> ''").withColumn("alias", F.lit("standard")).unionByName(core.withColumn("alias", F.lit("suffix_cleaned")))
 
@@ -66,7 +66,7 @@ def match(mentions: DataFrame, bridge: DataFrame) -> DataFrame:
     wanted = mentions.select("raw", "fyear").distinct()
     item = lambda kind, k, key: F.struct(F.lit(kind).alias("kind"), k.alias("k"), key.alias("key"))
     keys = lambda v: F.concat(F.array(item(0, F.lit(0), v["name"])), F.transform(names.prefixes(v["name"]), lambda p, k: item(1, k, p)))
-    read = wanted.select("raw").distinct().where(names.capital("raw")).select("raw", F.posexplode(names.variants("raw")).alias("place", "v"))
+    read = spread(mentions.select("raw").distinct(), "raw").where(names.capital("raw")).select("raw", F.posexplode(names.variants("raw")).alias("place", "v"))
     probes = read.select("raw", "place", F.col("v.method").alias("reading"), F.inline(keys(F.col("v"))))
     row = ["name", "name_original", "source", "cik", "gvkey"]
     named = prepare_bridge(bridge).select(F.lit(0).alias("kind"), F.col("name").alias("key"), "fyear", F.lit("").alias("rule"), *row)
@@ -91,6 +91,6 @@ def match(mentions: DataFrame, bridge: DataFrame) -> DataFrame:
 
 def blocked(mentions: DataFrame, bridge: DataFrame) -> DataFrame:
     """Readings whose prefix names one global parent with an unsafe continuation."""
-    read = mentions.select("raw", "fyear").distinct().withColumn("v", F.explode(names.variants("raw")))
+    read = spread(mentions.select("raw", "fyear").distinct(), "raw").withColumn("v", F.explode(names.variants("raw")))
     tried = read.select("raw", "fyear", F.col("v.method").alias("method"), F.explode(names.prefixes(F.col("v.name"))).alias("prefix"))
     return tried.join(prefix_table(bridge).where("unsafe <> ''"), ["prefix", "fyear"]).select("raw", "fyear", "method", "prefix", "name", "source", "unsafe")

@@ -57,8 +57,7 @@ def _case(table: dict, key: str, default: object) -> str:
 def _scored(t):
     found = C.cascade(_aliases(t), bridge(t("part")), _panel(t)).join(_aliases(t).select("record_id", "alias"), "record_id")
     found = found.withColumn("in_panel", F.coalesce(F.col("cik").isNotNull() & (F.substring("gvkey", -1, 1).isin("0", "2", "4", "6", "8")), F.lit(False)))
-    points = C.score(F.col("alias"), F.col("bridge_name"), F.col("source"), F.col("cik"), F.col("gvkey"), F.col("rule"), F.col("in_panel"))
-    return found.withColumn("score", points.cast("int"))
+    return C.score(found).withColumn("score", F.col("score").cast("int"))
 
 
 _OVER = S.listed([*V.LEGAL_TERMS, "LIMITED"])
