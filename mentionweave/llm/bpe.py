@@ -246,6 +246,11 @@ def transducer(path: str, pattern: str) -> tuple[Transducer, dict[str, tuple[int
     return _loaded[path, pattern]
 
 
+def forget_pieces(path: str, pattern: str) -> None:
+    """At a task's end: the worker keeps its transitions, and not the pieces, as it may idle beside other stages."""
+    transducer(path, pattern)[1].clear()
+
+
 def encoded(path: str, pattern: str, texts: Iterable[str | None]) -> Iterator[list[tuple[int, ...]]]:
     """For each text the ids of its pieces."""
     t, known = transducer(path, pattern)
@@ -283,6 +288,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                     h.update(part.encode())
                 text_hash.append(h.hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        forget_pieces(path, pattern)
 
     return documents.select("doc_id", "text").mapInArrow(task(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -296,6 +302,7 @@ def encode_column(documents: DataFrame, path: str, pattern: str, text: str = "te
         for batch in batches:
             out = [list(chain.from_iterable(pieces)) for pieces in encoded(path, pattern, (x.as_py() for x in batch[text]))]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.list_(pa.int32()))], [*names, ids])
+        forget_pieces(path, pattern)
 
     return documents.mapInArrow(task(run), f"{fields}, `{ids}` array<int>")
 

@@ -30,9 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded(spark: SparkSession, size: str = "4m") -> None:
-    """Hand texts to Python in Arrow batches of a few MB, unless the session says otherwise than Spark's default."""
+    """Hand texts to Python in Arrow batches of a few MB, unless the session has a size of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) == "67108864b":
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, size)
 
 

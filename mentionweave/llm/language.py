@@ -23,8 +23,8 @@ from .common import held_out, steps, strings, task
 from .features import gram_ids
 
 GRAMS, BITS, DIM = (2, 3, 4), 15, 16
-#: Documented bound of the training sample, shared out evenly over the languages.
-MAX_TRAIN = 3000
+#: Documented bounds of the training sample: texts, shared out evenly over the languages, and how long one may be.
+MAX_TRAIN, MAX_CHARS = 3000, 200_000
 #: Share of correctly labelled calibration texts that the rejection threshold may cost, before it is halved.
 REJECT_RATE = 0.001
 
@@ -121,7 +121,9 @@ def train(documents: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | N
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, int(1.5 * each / n * (1 << 30)) + 1))])
     ids = known.select("doc_id", "lang", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
     ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("text", "lang").where("text is not null").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select("text", "lang").where(F.length("text") <= MAX_CHARS).collect()
+    if not rows:
+        return None
     rows.sort(key=lambda r: (r.lang, r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import sample_ids, task, written
 from .common import strings as strings_of
-from .language import LanguageModel, _softmax, fit
+from .language import MAX_CHARS, LanguageModel, _softmax, fit
 from .toxicity import PuModel
 from .toxicity import train as train_toxicity
 
@@ -65,7 +65,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
         return None
     low, high = (sample_ids(known.where(F.col("domain") == d), "doc_id", max_train // 2, 5) for d in ("low", "high"))
     chosen = low.unionByName(high)  # at most max_train rows
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "domain").collect()
+    rows = documents.where(F.length("text") <= MAX_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "domain").collect()
     if len({r.domain for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.domain, r.text))

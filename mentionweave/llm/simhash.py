@@ -12,7 +12,7 @@ most 65 fingerprints share one, so no group grows with the data, and no link is
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts
 of one or two words are one shingle; repeated rows share a component; a null doc_id is carried along
-and never names a component while another id is there; an empty table gives no rows.
+and never names a component while another id is there (fingerprints of such rows alone link nothing); an empty table gives no rows.
 """
 
 from __future__ import annotations
