@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions import ids, names
 from ..operators.aggregates import spread
-from ..operators.joins import in_panel, nearest_year
+from ..operators.joins import in_panel
 
 
 def abbreviations(spark) -> DataFrame:
@@ -17,42 +17,44 @@ def abbreviations(spark) -> DataFrame:
     return spark.createDataFrame(rows, "alias string, search string")
 
 
+#: The rule of each stage of the cascade.
+STAGES = {1: "exact_standardized_match", 2: "legal_form_normalization", 3: "approved_abbreviation_bridge_match", 4: "exact_other_year", 5: "legal_other_year", 6: "identifier_level"}
+
+
 def cascade(aliases: DataFrame, bridge: DataFrame, panel: DataFrame) -> DataFrame:
     """record_id's candidates of the first stage that has any.
 
     `aliases`: record_id, alias, years. `bridge`: name_original, fyear, source, cik, gvkey. `panel`: cik,
-    gvkey, fyear. All stages are equality joins; the least stage number of a record is kept.
+    gvkey, fyear. The bridge is reduced to identities with the set of their years, and both sides' names
+    and legal keys meet in one equality join; whether years overlap then tells the stages apart.
     """
-    a = spread(aliases, "record_id").withColumns({"name": names.candidate_name("alias")}).withColumn("legal", names.without_legal_terms("name"))
-    b = spread(bridge, "name_original").withColumn("name", names.candidate_name("name_original")).withColumn("legal", names.without_legal_terms("name"))
-    b = b.where("name <> ''").select("name", "legal", "fyear", "source", "cik", "gvkey", F.col("name_original").alias("bridge_name")).distinct()
-    item = ["record_id", "bridge_name", "source", "cik", "gvkey"]
-    in_year = a.withColumn("fyear", F.explode("years"))
-
-    def stage(df: DataFrame, n: int, rule: str, distance: Column) -> DataFrame:
-        return df.select(*item, F.lit(n).alias("stage"), F.lit(rule).alias("rule"), distance.alias("distance"))
-
-    zero = F.lit(0)
-    exact = in_year.select("record_id", "name", "fyear").join(b, ["name", "fyear"])
-    legal = in_year.where("legal <> ''").select("record_id", "legal", "fyear", F.col("name").alias("own")).join(b, ["legal", "fyear"]).where("own <> name")
-    short = in_year.join(abbreviations(aliases.sparkSession), "alias").select("record_id", "fyear", names.candidate_name("search").alias("name")).distinct()
-    short = short.join(b.where(F.col("source").isin(*V.STRONG_SOURCES)), ["name", "fyear"])
-    other = nearest_year(a.select("record_id", "name", "years"), b.drop("legal"))
-    other_legal = nearest_year(a.where("legal <> ''").select("record_id", F.col("name").alias("own"), "legal", "years"), b, name="legal").where("own <> name")
-    level = a.select("record_id", "name", "years").join(b.select("name", "bridge_name", "source", "cik", "gvkey").distinct(), "name")
-    key = level.withColumn("__k", F.xxhash64(*item))
-    valid = in_panel(key.select("__k", F.col("cik"), F.col("gvkey"), "years"), "__k", panel, ["cik", "gvkey"])
-    level = key.join(valid.select("__k"), "__k", "left_semi")
-    every = [
-        stage(exact, 1, "exact_standardized_match", zero), stage(legal, 2, "legal_form_normalization", zero), stage(short, 3, "approved_abbreviation_bridge_match", zero),
-        stage(other, 4, "exact_other_year", F.col("distance")), stage(other_legal, 5, "legal_other_year", F.col("distance")), stage(level, 6, "identifier_level", zero),
-    ]
-    found = every[0]
-    for e in every[1:]:
-        found = found.unionByName(e)
-    found = found.groupBy(*item, "stage", "rule").agg(F.min("distance").alias("distance"))
-    first = found.groupBy("record_id").agg(F.min("stage").alias("stage"))
-    return found.join(first, ["record_id", "stage"])
+    key = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("key"))
+    short = abbreviations(aliases.sparkSession).groupBy("alias").agg(F.collect_set("search").alias("search"))
+    a = spread(aliases, "record_id").join(short, "alias", "left").withColumn("own", names.candidate_name("alias"))
+    searched = F.transform(F.coalesce("search", F.array().cast("array<string>")), lambda x: key("abbreviation", names.candidate_name(x)))
+    a = a.select("record_id", "years", "own", F.inline(F.array_distinct(F.concat(F.array(key("name", F.col("own")), key("legal", names.without_legal_terms("own"))), searched)))).where("key <> ''")
+    identity = ["bridge_name", "source", "cik", "gvkey"]
+    b = spread(bridge.withColumnRenamed("name_original", "bridge_name"), "bridge_name").groupBy(*identity).agg(F.array_sort(F.collect_set("fyear")).alias("bridge_years"))
+    b = b.withColumn("name", names.candidate_name("bridge_name")).where("name <> ''")
+    b = b.select("name", *identity, "bridge_years", F.inline(F.array(key("name", F.col("name")), key("abbreviation", F.col("name")), key("legal", names.without_legal_terms("name")))))
+    met = a.join(b, ["kind", "key"]).where((F.col("kind") != "legal") | (F.col("own") != F.col("name")))
+    within = F.coalesce(F.arrays_overlap("bridge_years", "years"), F.lit(False))
+    apart = ~within & (F.size("years") > 0)
+    kind, strong = F.col("kind"), F.col("source").isin(*V.STRONG_SOURCES)
+    stage = (
+        F.when((kind == "name") & within, 1).when((kind == "legal") & within, 2).when((kind == "abbreviation") & within & strong, 3)
+        .when((kind == "name") & apart, 4).when((kind == "legal") & apart, 5)
+    )
+    item = ["record_id", *identity]
+    distance = F.when(within, 0).otherwise(ids.year_distance(F.col("bridge_years"), F.col("years")))
+    found = met.select(*item, stage.alias("stage"), distance.alias("distance")).where("stage is not null")
+    level = met.where(kind == "name").select(*item, "years").distinct().withColumn("__k", F.xxhash64(*item))
+    valid = in_panel(level, "__k", panel, ["cik", "gvkey"])
+    level = level.join(valid, "__k", "left_semi").select(*item, F.lit(6).alias("stage"), F.lit(0).alias("distance"))
+    every = found.unionByName(level).groupBy(*item, "stage").agg(F.min("distance").alias("distance"))
+    first = every.groupBy("record_id").agg(F.min("stage").alias("stage"))
+    rule = F.try_element_at(names.lookup(STAGES), F.col("stage"))
+    return every.join(first, ["record_id", "stage"]).withColumn("rule", rule)
 
 
 def score(candidates: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def _(t):
 
 
 @query("variant_probe", """with p as (select s_suppkey, unnest([1, 2, 3]) place, unnest([s_suppkey % 300 + 1400, s_suppkey % 50 + 1480, s_suppkey]) k from supplier), h as (select s_suppkey, place, k, c_name, row_number() over (partition by s_suppkey order by place) r from p join customer on k = c_custkey)
-select s_suppkey, (place - 1)::int at, k, c_name from h where r = 1""".replace("::int at", "::int as probe"))
+select s_suppkey, (place - 1)::int as probe, k, c_name from h where r = 1""")
 def _(t):
     probes = F.expr("array(named_struct('k', s_suppkey % 300 + 1400), named_struct('k', s_suppkey % 50 + 1480), named_struct('k', s_suppkey))")
     table = t("customer").select(F.col("c_custkey").alias("k"), "c_name")
@@ -258,7 +258,7 @@ def _(t):
     return A.summary(t("events"), {"n_events": F.count("*"), "n_users": F.count_distinct("user_id"), "max_value": F.max("value")})
 
 
-@query("descriptives_grouping", "select coalesce(cast(year(o_orderdate) as varchar), 'all') fyear, o_orderstatus, count(*) n, count(distinct o_custkey) n_customers from orders group by grouping sets ((), (year(o_orderdate)), (o_orderstatus)), year(o_orderdate), o_orderstatus having true".replace("group by grouping sets ((), (year(o_orderdate)), (o_orderstatus)), year(o_orderdate), o_orderstatus having true", "group by grouping sets ((), (year(o_orderdate)), (o_orderstatus))"))
+@query("descriptives_grouping", "select coalesce(cast(year(o_orderdate) as varchar), 'all') fyear, o_orderstatus, count(*) n, count(distinct o_custkey) n_customers from orders group by grouping sets ((), (year(o_orderdate)), (o_orderstatus))")
 def _(t):
     o = t("orders").select(F.year("o_orderdate").alias("y"), "o_orderstatus", "o_custkey")
     g = o.groupingSets([[], ["y"], ["o_orderstatus"]], "y", "o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("n_customers"))
@@ -307,7 +307,7 @@ def _(t):
 
 
 @query("run_diff", """with a as (select o_orderkey, o_orderstatus s from orders where o_orderkey % 10 <> 1), b as (select o_orderkey, case when o_orderkey % 6 = 0 then 'X' else o_orderstatus end s from orders where o_orderkey % 10 <> 2)
-select coalesce(a.o_orderkey, b.o_orderkey) o_orderkey, a.s before, b.s as after, case when a.s is null then 'added' when b.s is null then 'removed' when a.s = b.s then 'same' else 'changed' end change from a full join b on a.o_orderkey = b.o_orderkey""".replace(" before,", " as before,"))
+select coalesce(a.o_orderkey, b.o_orderkey) o_orderkey, a.s as before, b.s as after, case when a.s is null then 'added' when b.s is null then 'removed' when a.s = b.s then 'same' else 'changed' end change from a full join b on a.o_orderkey = b.o_orderkey""")
 def _(t):
     a = t("orders").where("o_orderkey % 10 <> 1").select("o_orderkey", F.col("o_orderstatus").alias("s"))
     b = t("orders").where("o_orderkey % 10 <> 2").select("o_orderkey", F.expr("case when o_orderkey % 6 = 0 then 'X' else o_orderstatus end").alias("s"))

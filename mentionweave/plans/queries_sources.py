@@ -27,7 +27,7 @@ def _(t):
     return model.extract_names(passages, "doc_id", "snippet")
 
 
-@query("model_requests", "select ((row_number() over (order by p_name) - 1) // 25)::bigint batch, p_name from (select distinct p_name from part) qualify true".replace(" qualify true", ""))
+@query("model_requests", "select ((row_number() over (order by p_name) - 1) // 25)::bigint batch, p_name from (select distinct p_name from part)")
 def _(t):
     batches = T.requests(t("part").select("p_name").distinct(), "p_name", ["p_name"], 25)
     return batches.select("batch", F.explode(F.from_json("records", "array<struct<p_name: string>>")).alias("r")).select("batch", "r.p_name")

@@ -67,3 +67,32 @@ def test_chunks_cover_text(spark):
     df = spark.createDataFrame([("abcdefghij", 3), ("", 2), ("ab", 5)], "x string, n int")
     got = [r[0] for r in df.select(T.chunks("x", F.col("n"))).collect()]
     assert got == [["abc", "def", "ghij"], [], ["a", "b"]]
+
+
+def test_cascade_stages(spark):
+    from mentionweave.plans import candidates as C
+
+    aliases = spark.createDataFrame([(1, "Acme Inc", [2000]), (2, "Acme Ltd", [2000]), (3, "IBM", [2000]), (4, "Beta", [2000]), (5, "Beta Corp", [1990, 2001]), (6, "Gamma", [2000]), (7, "Acme Inc", [])], "record_id int, alias string, years array<int>")
+    bridge = spark.createDataFrame(
+        [("ACME INC", 2000, "DISCERN", "1", "11"), ("INTERNATIONAL BUSINESS MACHINES", 2000, "COMPUSTAT_US", "2", "22"), ("BETA", 1997, "SEC_HEADER", None, "33"), ("BETA", 2003, "SEC_HEADER", None, "33")],
+        "name_original string, fyear int, source string, cik string, gvkey string",
+    )
+    panel = spark.createDataFrame([("1", "11", 2000)], "cik string, gvkey string, fyear int")
+    got = {r.record_id: (r.stage, r.rule, r.distance) for r in C.cascade(aliases, bridge, panel).collect()}
+    assert got == {1: (1, "exact_standardized_match", 0), 2: (2, "legal_form_normalization", 0), 3: (3, "approved_abbreviation_bridge_match", 0), 4: (4, "exact_other_year", 3), 5: (5, "legal_other_year", 2)}
+
+
+def test_match_methods(spark):
+    from mentionweave.plans import matcher
+
+    bridge = spark.createDataFrame(
+        [("ACME WIDGETS INC", 2000, "1", "11", "DISCERN"), ("ZETA PUMPS CORP", 2000, "2", "22", "CCM_COMPUSTAT_EXTENSION"), ("ZETA VALVES CORP", 2000, "3", "33", "COMPUSTAT_US"), ("OMEGA TOYS", 2000, "4", "44", "COMPUSTAT_GLOBAL"), ("SIGMA TECH", 2000, "5", "55", "COMPUSTAT_GLOBAL"), ("PI ONE", 2000, "6", "66", "DISCERN"), ("PI TWO", 2000, "7", "77", "DISCERN")],
+        "name_original string, fyear int, cik string, gvkey string, source string",
+    )
+    raws = [("Acme Widgets, Inc.", 2000), ("Acme Widgets", 2000), ("Zeta Motors", 2000), ("Omega Games", 2000), ("Sigma Games", 2000), ("Pi Three", 2000), ("acme", 2000), ("", 2000), ("Acme", None), ("Acme Widgets", 1999)]
+    got = {(r.raw, r.fyear): (r.method, r.gvkey) for r in matcher.match(spark.createDataFrame(raws, "raw string, fyear int"), bridge).collect()}
+    assert got == {
+        ("Acme Widgets, Inc.", 2000): ("exact_full_raw", "11"), ("Acme Widgets", 2000): ("exact_full_raw", "11"), ("Zeta Motors", 2000): ("parent_prefix_recovery_CCM_PRIORITY_full_raw", "22"),
+        ("Omega Games", 2000): ("unmatched_after_all_candidates", None), ("Sigma Games", 2000): ("parent_prefix_recovery_ALL_SOURCES_full_raw", "55"), ("Pi Three", 2000): ("unmatched_after_all_candidates", None),
+        ("acme", 2000): ("unmatched_invalid_or_lowercase", None), ("", 2000): ("unmatched_empty", None), ("Acme", None): ("unmatched_missing_fyear", None), ("Acme Widgets", 1999): ("unmatched_after_all_candidates", None),
+    }
