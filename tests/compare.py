@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
@@ -22,14 +23,14 @@ def rows(frame) -> list[tuple]:
     cols = sorted(frame.columns)
 
     def cell(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "NULL"
         if isinstance(v, float):
             return repr(round(v, 9))
         return str(v)
 
     def line(values):
-        return tuple(cell(float(v)) if c in numeric else cell(v) for c, v in zip(cols, values, strict=True))
+        return tuple(cell(float(v)) if c in numeric and not pd.isna(v) else cell(v) for c, v in zip(cols, values, strict=True))
 
     numeric = {c for c in cols if frame[c].dtype.kind in "fiu" or str(frame[c].dtype) in ("Int32", "Int64")}
     return sorted(line(x) for x in frame[cols].astype(object).values.tolist())
