@@ -100,3 +100,16 @@ def requests(df: DataFrame, key: str, columns: list[str], size: int = 25) -> Dat
     numbered = df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
     items = F.array_sort(F.collect_list(F.struct(key, *[c for c in columns if c != key])))
     return numbered.groupBy("batch").agg(F.count("*").alias("n"), F.to_json(items).alias("records"))
+
+
+def clean_filing_text(c: Column | str) -> Column:
+    """Without contents headings and page numbers on lines of their own; a break after `Inc.` is closed."""
+    x = F.regexp_replace(text(c), r"(?im)^[ \t]*table of contents[ \t]*$", "")
+    x = F.regexp_replace(x, r"(?m)^[ \t]*(?:page[ \t]+)?\d{1,4}[ \t]*$", "")
+    return F.regexp_replace(x, r"(?i)\b(inc|corp|ltd|co)\.[ \t]*\n", r"$1. ")
+
+
+def word_set(c: Column | str, separators: str = r"()#@!;:|,?.\"'/\[\]{}`~*=^+%&-") -> Column:
+    """Distinct words between white space and separators, sorted."""
+    spaced = F.translate(text(c), separators, " " * len(separators))
+    return F.array_sort(F.array_distinct(F.filter(F.split(spaced, r"\s+"), lambda w: w != "")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_names, queries_relational, queries_resolution, queries_sources
+from .plans import queries_bridges, queries_names, queries_relational, queries_resolution, queries_sources
 
-MODULES = (queries_names, queries_relational, queries_resolution, queries_sources)
+MODULES = (queries_names, queries_relational, queries_resolution, queries_sources, queries_bridges)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
