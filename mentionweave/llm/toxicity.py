@@ -28,9 +28,10 @@ from .features import word_features
 
 #: Documented bounds of the training sample.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
-#: A feature is kept if this many confirmed examples of the sample hold it, if it is this many times
-#: as frequent in them as in the unlabelled texts, and if that difference has this many standard errors.
-MIN_POSITIVE_DF, MIN_LIFT, MIN_Z = 4, 5.0, 4.0
+#: A feature is kept if this many confirmed examples of the sample hold it, if it is this many times as
+#: frequent in them as in the unlabelled texts, and if chance would give it so often less than once in
+#: `CHANCE` tries over all features of the examples (by a Poisson bound).
+MIN_POSITIVE_DF, MIN_LIFT, CHANCE = 4, 5.0, 20
 
 
 @dataclass
@@ -63,7 +64,7 @@ class PuModel:
         return self._sieve[key >> np.uint64(44)]
 
 
-def nnpu(ptr: np.ndarray, idx: np.ndarray, positive: np.ndarray, n_features: int, prior: float, epochs: int = 40, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def nnpu(ptr: np.ndarray, idx: np.ndarray, positive: np.ndarray, n_features: int, prior: float, epochs: int = 40, rate: float = 0.05, l2: float = 1e-5, seed: int = 7, nonnegative: bool = True) -> tuple[np.ndarray, float]:
     """Train on documents whose present features are idx[ptr[i]:ptr[i+1]]; returns weights and bias."""
     rng = np.random.default_rng(seed)
     w, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
@@ -100,6 +101,8 @@ def nnpu(ptr: np.ndarray, idx: np.ndarray, positive: np.ndarray, n_features: int
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad**2
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            if nonnegative:
+                np.maximum(w[:-1], 0, out=w[:-1])
     return w[:-1], float(w[-1])
 
 
@@ -112,6 +115,25 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["positive"], pa.array(found, pa.binary())], ["positive", "features"])
 
 
+def _spread(sets: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
+    """Mask that keeps one of the sampled texts that share their least rare feature, in each class.
+
+    Near copies mostly do, and would have what they alone share taken for a mark of their class. A feature is
+    rare if a fiftieth of the texts at most hold it.
+    """
+    if not sets:
+        return np.zeros(0, bool)
+    keys, df = np.unique(np.concatenate(sets), return_counts=True)
+    common = keys[df > max(1, len(sets) // 50)]
+    seen, kept = set(), np.zeros(len(sets), bool)
+    for i, s in enumerate(sets):
+        rare = s[~np.isin(s, common, assume_unique=True)]
+        mark = (bool(positive[i]), int(rare[0])) if len(rare) else (bool(positive[i]), i, "none")
+        kept[i] = mark not in seen
+        seen.add(mark)
+    return kept
+
+
 def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> PuModel:
     """Learn from the confirmed toxic rows and from unlabelled text outside the held-out fold.
 
@@ -136,18 +158,21 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, m
     )
     sets = [np.frombuffer(r.features, np.uint64) for r in rows]
     positive = np.array([r.positive for r in rows], bool)
+    kept = _spread(sets, positive)
+    sets, positive = [s for s, k in zip(sets, kept, strict=True) if k], positive[kept]
     if not positive.any():
         return PuModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     keys, df = np.unique(np.concatenate([s for s, p in zip(sets, positive, strict=True) if p]), return_counts=True)
+    n_seen = len(keys)
     keys, df = keys[df >= MIN_POSITIVE_DF], df[df >= MIN_POSITIVE_DF]
     n_p, n_u = positive.sum(), max(1, (~positive).sum())
     df_u = np.zeros(len(keys))
     for s, p in zip(sets, positive, strict=True):
         if not p:
             df_u += np.isin(keys, s, assume_unique=True)
-    in_p, in_u, both = df / n_p, df_u / n_u, (df + df_u) / (n_p + n_u)
-    z = (in_p - in_u) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_p + 1 / n_u))
-    keys = keys[(z >= MIN_Z) & (in_p >= MIN_LIFT * in_u)]
+    expected = np.maximum(n_p * (df_u + 1) / n_u, 1e-9)
+    surprise = df * np.log(df / expected) - df + expected  # minus the logarithm of the chance, at least
+    keys = keys[(df / n_p >= MIN_LIFT * df_u / n_u) & (df > expected) & (surprise >= np.log(CHANCE * max(1, n_seen)))]
     if not len(keys):
         return PuModel(keys, np.zeros(0), float(np.log(prior / (1 - prior))))
     cols = [np.flatnonzero(np.isin(keys, s, assume_unique=True)) for s in sets]
