@@ -78,7 +78,8 @@ def links(prints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     meets = written(meets, "simhash-meets")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     pairs = meets.where("n = 2").select("a", "b").where(near)
-    crowd = written(index.join(meets.where("n > 2").select("key", "n"), "key"), "simhash-crowd")
+    # Crowded keys grow with the corpus: the join is a merge join at every size, and none that only small ones could have.
+    crowd = written(index.join(meets.where("n > 2").select("key", "n").hint("merge"), "key"), "simhash-crowd")
     few = crowd.where(F.col("n") <= max_bucket)
     joined = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where(F.col("a") < F.col("b")).select("a", "b").where(near)
     many = crowd.where(F.col("n") > max_bucket).select("fp").distinct()
