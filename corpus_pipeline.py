@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mentionweave.llm import bpe, language, mixing, simhash, suffixes
+from mentionweave.llm import bpe, language, mixing, nearcopies, suffixes
 from mentionweave.llm.common import bounded, table, written
 
 
@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the least doc_id of each group of near-duplicates; rows without a doc_id go."""
-    return simhash.deduplicate(docs)
+    """One row of each group of texts whose five-word shingles are alike by 0.8 or more."""
+    return nearcopies.deduplicate(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from mentionweave.llm import bpe, language, licenses, mixing, neardup_vectors, queries, simhash, suffixes, topk, toxicity, urlfilter
+from mentionweave.llm import bpe, language, licenses, mixing, nearcopies, neardup_vectors, queries, simhash, suffixes, topk, toxicity, urlfilter
 from mentionweave.llm.components import connected
 
 from ..compare import SF, connect, rows
@@ -182,6 +182,48 @@ def test_simhash_odd(spark):
     assert simhash.report(twice).count() == 2 and simhash.deduplicate(twice).count() == 1
 
 
+def shingle_set(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def edited_texts():
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    bases = [rng.choices(words, k=200) for _ in range(40)]
+    texts = []
+    for n, base in enumerate(bases):
+        for edits in (0, 1, 2, 3, 8, 40) if n else range(100):  # many copies of the first, each with four words changed
+            copy = list(base)
+            for at in rng.sample(range(200), edits if n else 4):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_near_copies_are_dropped(spark):
+    import corpus_pipeline
+
+    texts = edited_texts()
+    df = docs(spark, texts)
+    sets = [shingle_set(t) for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    component = least_reachable(range(len(texts)), alike)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()}
+    assert not [e for e in alike if set(e) <= kept]
+    assert set(component.values()) <= kept and len(alike) > 200
+
+
+def test_near_copies_odd(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, ODD), SF)
+    assert got.columns == docs(spark, []).columns
+    assert {r.doc_id for r in got.collect()} == {0, 3, 4, 6, 7, 8, 9}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), SF).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     linked = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, k) for k in range(501, 560)]
