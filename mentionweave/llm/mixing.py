@@ -1,15 +1,17 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier trained on a labelled table gives each document posteriors over the domains: the
-toxicity learner's probability, and what is left of one by a softmax over averaged subword embeddings
-that tells low from high quality, weighted with the labelled classes' shares. Nonnegative document rates r are fitted by projected gradient descent to
+toxicity learner's score, brought to the labels' scale on labelled rows that it was not trained on (its own least
+score is far above the share of toxic texts among those that get it, and would count as toxic tokens), and what is left of one by a softmax over averaged subword embeddings
+that tells low from high quality, weighted with the labelled classes' shares. Nonnegative document rates r minimise
 
     1/2 sum_d (sum_i r_i n_i p_id / T - target_d)^2 + ridge/2 sum_i (n_i / T) (r_i - 1)^2
 
-where n_i are tokens, p_id posteriors and T all tokens. In the metric of the token shares n_i / T a
-step is r_i <- max(0, r_i - step * (p_i . e + ridge * (r_i - 1))) with e the domains' residuals, so
-that the rates after any number of rounds follow from the residuals of the rounds before. A round is
-one pass over the posteriors that replays them and sums up; nothing of a document's size is sent.
+where n_i are tokens, p_id posteriors and T all tokens. At the least value, r_i = max(0, 1 - p_i . m) with m the
+domains' residuals over the ridge, one multiplier a domain, so that the dual problem has as many unknowns as there
+are domains. It is convex and solved by Newton steps; a step is one pass over the posteriors that sums up the value,
+residuals and slopes at several step lengths; nothing of a document's size is sent. Rates are fitted with the
+ridge `HELD`, which vanishes against the data term: totals are the targets, and rates as near to 1 as that allows.
 
 Defined results: null and empty texts have no tokens, the class shares as posteriors and do not change
 the sums; a table without labels leaves every rate at 1; repeated rows are fitted row by row; columns of
@@ -26,16 +28,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_ids, task, written
+from .common import held_out, sample_ids, task, written
 from .common import strings as strings_of
 from .language import MAX_CHARS, LanguageModel, _softmax, fit
 from .toxicity import PuModel
+from .toxicity import score as toxic_scores
 from .toxicity import train as train_toxicity
 
 DOMAINS = ("high", "low", "toxic")
 #: Shares of all tokens that the domains should have.
 TARGETS = (0.84, 0.12, 0.04)
 MAX_TRAIN, RIDGE, ROUNDS, TOLERANCE = 2400, 0.1, 80, 1e-7
+#: The ridge that rates and resample use: totals within about HELD of the targets, and bounded copies where they cannot be reached.
+HELD = 1e-4
+#: Step lengths that a pass tries.
+LENGTHS = 0.5 ** np.arange(16)
+
+
+def _logit(score: np.ndarray) -> np.ndarray:
+    score = np.clip(score, 1e-6, 1 - 1e-6)
+    return np.log(score / (1 - score))
+
+
+def scaling(score: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logit that fit the labels (Platt's method); none where a class is missing."""
+    if toxic.all() or not toxic.any():
+        return 1.0, 0.0
+    x = np.stack([_logit(score), np.ones(len(score))], 1)
+    goal = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    at, best = np.array([1.0, 0.0]), np.inf
+    step = np.zeros(2)
+    for _ in range(100):
+        tried = [at + t * step for t in LENGTHS]
+        values = [np.mean(np.logaddexp(0, x @ a) - goal * (x @ a)) + 1e-6 * a @ a for a in tried]
+        k = int(np.argmin(values))
+        if not values[k] < best - 1e-12:
+            break
+        at, best = tried[k], values[k]
+        s = 1 / (1 + np.exp(-x @ at))
+        step = np.linalg.solve(x.T @ (x * (s * (1 - s))[:, None]) / len(x) + 2e-6 * np.eye(2), x.T @ (goal - s) / len(x) - 2e-6 * at)
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
 @dataclass
@@ -43,12 +75,13 @@ class DomainModel:
     quality: LanguageModel
     shares: np.ndarray  # of the labelled classes, in the order of quality.langs
     toxic: PuModel
+    scale: tuple[float, float] = (1.0, 0.0)  # of the toxicity score's logit
 
     def posteriors(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """(texts, DOMAINS) probabilities that sum to 1."""
         q = _softmax(self.quality.logits(data, off) / self.quality.temperature) * self.shares
         q /= q.sum(1, keepdims=True)
-        t = self.toxic.score(data, off)
+        t = 1 / (1 + np.exp(-(self.scale[0] * _logit(self.toxic.score(data, off)) + self.scale[1])))
         p = np.zeros((len(q), len(DOMAINS)))
         p[:, [DOMAINS.index(d) for d in self.quality.langs]] = q * (1 - t)[:, None]
         p[:, DOMAINS.index("toxic")] = t
@@ -71,7 +104,14 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     rows.sort(key=lambda r: (r.domain, r.text))
     quality = fit([r.text for r in rows], [r.domain for r in rows])
     shares = np.array([counts[d] for d in quality.langs]) / sum(counts.values())
-    return DomainModel(quality, shares, train_toxicity(documents, labels))
+    toxic = train_toxicity(documents, labels)
+    judged = labels.where(F.col("toxic").isNotNull() & held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = sample_ids(judged, "doc_id", max_train, 6)  # at most max_train rows
+    tested = toxic_scores(documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), toxic)
+    seen = tested.join(F.broadcast(chosen), "doc_id").select("score", "toxic").collect()
+    seen.sort()
+    scale = scaling(np.array([r.score for r in seen]), np.array([r.toxic == 1 for r in seen], bool)) if seen else (1.0, 0.0)
+    return DomainModel(quality, shares, toxic, scale)
 
 
 def _tokens() -> Column:
@@ -91,12 +131,9 @@ def posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
     return documents.select("doc_id", _tokens().alias("n_tokens"), "text").mapInArrow(task(run), "doc_id long, n_tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, residuals: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Rates after the rounds whose residuals are given, from rates of 1."""
-    r = np.ones(len(p))
-    for e in residuals:
-        r = np.maximum(0.0, r - (p @ e + ridge * (r - 1)) / (1 + ridge))
-    return r
+def replay(p: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Rates under the multipliers that `fit_rates` found."""
+    return np.maximum(0.0, 1 - p @ multipliers)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -104,28 +141,40 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: float = RIDGE, rounds: int = ROUNDS) -> np.ndarray:
-    """The residuals of all rounds until they no longer change, by one pass over `soft` a round."""
+    """The domains' multipliers, by one pass over `soft` a Newton step."""
     total = soft.agg(F.sum("n_tokens")).first()[0] or 0
-    residuals = np.zeros((0, len(DOMAINS)))
+    n, m = len(DOMAINS), np.zeros(len(DOMAINS))
     if not total:
-        return residuals
+        return m
     goal = np.array(targets) / sum(targets)
+    names = [f"s{k}" for k in range(1 + n + n * n)]
+    best, step = np.inf, np.zeros(n)
     for _ in range(rounds):
+        tried = [m + t * step for t in (LENGTHS if step.any() else LENGTHS[:1])]
 
-        def sums(batches: Iterator[pa.RecordBatch], past=residuals) -> Iterator[pa.RecordBatch]:
-            s = np.zeros(len(DOMAINS))
+        def sums(batches: Iterator[pa.RecordBatch], tried=tried) -> Iterator[pa.RecordBatch]:
+            s = np.zeros((len(tried), len(names)))
             for batch in batches:
-                p = _matrix(batch)
-                s += (replay(p, past, ridge) * batch["n_tokens"].to_numpy()) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in s], list(DOMAINS))
-
-        row = soft.select("n_tokens", "p").mapInArrow(task(sums), ", ".join(f"{d} double" for d in DOMAINS)).agg(*(F.sum(d) for d in DOMAINS)).first()
-        e = np.array(row, float) / total - goal
-        still = len(residuals) and np.abs(e - residuals[-1]).max() < TOLERANCE
-        residuals = np.vstack([residuals, e])
-        if still:
+                p, tokens = _matrix(batch), batch["n_tokens"].to_numpy()
+                for k, at in enumerate(tried):
+                    r = replay(p, at)
+                    s[k, 0] += tokens @ r**2 / 2
+                    s[k, 1 : 1 + n] += (r * tokens) @ p
+                    s[k, 1 + n :] += (p.T @ (p * (tokens * (r > 0))[:, None])).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(tried))), *(pa.array(c) for c in s.T)], ["at", *names])
+
+        schema = "at long, " + ", ".join(f"{c} double" for c in names)
+        found = {r["at"]: np.array(r[1:], float) / total for r in soft.select("n_tokens", "p").mapInArrow(task(sums), schema).groupBy("at").agg(*(F.sum(c) for c in names)).collect()}
+        values = [found[k][0] + goal @ at + ridge / 2 * at @ at for k, at in enumerate(tried)]
+        k = int(np.argmin(values))
+        if not values[k] < best:  # no length is better: the least value, as near as numbers tell
+            break
+        m, best, s = tried[k], values[k], found[k]
+        slope = s[1 : 1 + n] - goal - ridge * m
+        if np.abs(slope).max() < TOLERANCE * max(ridge, 1e-3):
             break
-    return residuals
+        step = np.linalg.solve(s[1 + n :].reshape(n, n) + ridge * np.eye(n), slope)
+    return m
 
 
 def rates(documents: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -134,12 +183,12 @@ def rates(documents: DataFrame, labels: DataFrame, targets: tuple[float, ...] =
     if model is None:
         return documents.select("doc_id", _tokens().alias("n_tokens"), *(F.lit(1 / len(DOMAINS)).alias(f"p_{d}") for d in DOMAINS), F.lit(1.0).alias("rate"))
     soft = written(posteriors(documents, model), "mixing-posteriors")
-    residuals = fit_rates(soft, targets)
+    multipliers = fit_rates(soft, targets, HELD)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _matrix(batch)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], *(pa.array(c) for c in p.T), pa.array(replay(p, residuals))], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], *(pa.array(c) for c in p.T), pa.array(replay(p, multipliers))], ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
 
     return soft.mapInArrow(task(rated), "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
 
@@ -150,13 +199,13 @@ def resample(documents: DataFrame, labels: DataFrame, targets: tuple[float, ...]
     if model is None:
         return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    residuals = fit_rates(written(posteriors(documents, model), "mixing-posteriors"), targets)
+    multipliers = fit_rates(written(posteriors(documents, model), "mixing-posteriors"), targets, HELD)
     names = documents.columns
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = shared.value.posteriors(*strings_of(batch["text"]))
-            times = np.floor(replay(p, residuals) + batch["__u"].to_numpy()).astype(np.int64)
+            times = np.floor(replay(p, multipliers) + batch["__u"].to_numpy()).astype(np.int64)
             for a in range(0, batch.num_rows, 256):
                 yield batch.select(names).take(pa.array(a + np.repeat(np.arange(len(times[a : a + 256])), times[a : a + 256])))
 

@@ -312,6 +312,25 @@ def test_rates_solve_the_least_squares(spark):
     assert np.abs((w * r) @ p - goal).sum() < np.abs(w @ p - goal).sum()
 
 
+def test_rates_reach_the_targets(spark):
+    rng = np.random.default_rng(3)
+    p = np.eye(3)[rng.choice(3, 3000, p=[0.76, 0.127, 0.113])]
+    p = np.vstack([p, rng.dirichlet([8, 2, 0.3], 1000)])
+    documents = spark.createDataFrame([(i, int(n), p[i].tolist()) for i, n in enumerate(rng.integers(1, 900, len(p)))], "doc_id long, n_tokens long, p array<double>")
+    multipliers = mixing.fit_rates(documents, mixing.TARGETS, mixing.HELD)
+    w = np.array([r.n_tokens for r in documents.orderBy("doc_id").collect()], float)
+    reached = (w / w.sum() * mixing.replay(p, multipliers)) @ p
+    assert np.abs(reached - mixing.TARGETS).max() < 5e-4
+
+
+def test_mixed_table_has_the_target_shares(spark):
+    sf = SF.replace("0.001", "0.1")
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.rates(documents, labels).toPandas()
+    shares = [(got.rate * got.n_tokens * got[f"p_{d}"]).sum() / got.n_tokens.sum() for d in mixing.DOMAINS]
+    assert np.abs(np.array(shares) - mixing.TARGETS).max() < 1e-3
+
+
 def test_mixing_odd(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.rate for r in mixing.rates(docs(spark, ODD), none).collect()} == {1.0}
