@@ -81,10 +81,11 @@ _WORDS = "regexp_extract_all(lower(x), '[a-z]+')"
 
 @query("generic_score", f"""with s as (select doc_id, left(text, 60) x from documents where lang = 'en' union all select -p_partkey, case p_partkey % 4 when 0 then 'local ' || p_name || ' companies' when 1 then 'credit unions' when 2 then p_name || ' bank' else p_type end from part)
 select doc_id, len(list_filter({_WORDS}, lambda t: list_contains({S.listed(V.GENERIC_TERMS)}, t)))::int generic_score,
- len({_WORDS}) >= 2 and (list_contains({S.listed(V.CATEGORY_HEADS)}, {_WORDS}[-1]) or lower({S.strip('x')}) in ({', '.join(map(S.q, V.FINANCIAL_PHRASES))})) is_category from s""")
+ len({_WORDS}) >= 2 and (list_contains({S.listed(V.CATEGORY_HEADS)}, {_WORDS}[-1]) or lower({S.strip('x')}) in ({', '.join(map(S.q, V.FINANCIAL_PHRASES))})) is_category from s""", whole={"left(text, 60) x": "text x", " where lang = 'en'": ""})
 def _(t):
     parts = t("part").selectExpr("-p_partkey as doc_id", "case p_partkey % 4 when 0 then concat('local ', p_name, ' companies') when 1 then 'credit unions' when 2 then concat(p_name, ' bank') else p_type end as x")
-    s = t("documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 60).alias("x")).unionByName(parts)
+    x = F.col("text") if t.whole else F.substring("text", 1, 60)
+    s = t.some("documents", "lang = 'en'").select("doc_id", x.alias("x")).unionByName(parts)
     return s.select("doc_id", names.generic_score("x").alias("generic_score"), names.is_category("x").alias("is_category"))
 
 
