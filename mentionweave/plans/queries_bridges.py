@@ -78,10 +78,10 @@ def _(t):
 
 
 @query("text_cleaning", r"""with s as (select doc_id, 'Table of Contents' || chr(10) || '  12 ' || chr(10) || 'Acme Inc.' || chr(10) || text x from documents where doc_id % 2 = 0)
-select doc_id, length(regexp_replace(regexp_replace(regexp_replace(x, '(?im)^[ \t]*table of contents[ \t]*$', '', 'g'), '(?m)^[ \t]*(?:page[ \t]+)?\d{1,4}[ \t]*$', '', 'g'), '(?i)\b(inc|corp|ltd|co)\.[ \t]*\n', '\1. ', 'g'))::int n from s""")
+select doc_id, length(regexp_replace(regexp_replace(regexp_replace(x, '(?im)^[ \t]*table of contents[ \t]*$', '', 'g'), '(?m)^[ \t]*(?:page[ \t]+)?\d{1,4}[ \t]*$', '', 'g'), '(?i)\b(inc|corp|ltd|co)\.[ \t]*\n', '\1. ', 'g'))::int n from s""", whole={" where doc_id % 2 = 0": ""})
 def _(t):
     x = F.concat(F.lit("Table of Contents\n  12 \nAcme Inc.\n"), F.col("text"))
-    return t("documents").where("doc_id % 2 = 0").select("doc_id", F.length(T.clean_filing_text(x)).alias("n"))
+    return t.some("documents", "doc_id % 2 = 0").select("doc_id", F.length(T.clean_filing_text(x)).alias("n"))
 
 
 @query("word_sets", "select p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(translate(p_name || '/' || p_brand || '-' || p_name, '/#-', '   '), '\\s+'), lambda w: w <> ''))), ' ') as bag from part")

@@ -22,3 +22,9 @@ def test_generic_score_reads_whole_texts_of_all_languages(spark, tmp_path):
     sf = folder(tmp_path, spark, part=([(1, "red widget", "Brand#1", "STEEL", 1)], PART), documents=([(1, late, "en"), (2, late, "de"), (3, late, None)], DOCUMENTS))
     got = {r.doc_id: r.generic_score for r in QUERIES["generic_score_whole"](spark, sf).collect()}
     assert got[1] == got[2] == got[3] == 1
+
+
+def test_text_cleaning_reads_every_document(spark, tmp_path):
+    sf = folder(tmp_path, spark, documents=([(1, "a", "en"), (2, "bc", "en"), (None, "def", None)], DOCUMENTS))
+    got = {r.doc_id: r.n for r in QUERIES["text_cleaning_whole"](spark, sf).collect()}
+    assert set(got) == {1, 2, None} and got[None] == got[1] + 2
