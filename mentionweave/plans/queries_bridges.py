@@ -40,11 +40,11 @@ b as (select 'A' || p_partkey approved_cik, case when p_partkey % 2 = 0 then 'G'
 k as (select trim(regexp_replace(upper(a), '[^A-Z0-9]+', ' ', 'g')) key, 0 o, * from b union all select trim(regexp_replace(upper(c), '[^A-Z0-9]+', ' ', 'g')), 1, * from b),
 f as (select * from (select *, row_number() over (partition by key order by approved_gvkey, approved_cik, o) r from k) where r = 1)
 select l_orderkey, l_linenumber, l_partkey, name, case when m.cik = '-1' and f.key is not null then approved_cik else m.cik end cik, case when m.cik = '-1' and f.key is not null then approved_gvkey else m.gvkey end gvkey, m.cik = '-1' and f.key is not null alias_applied
-from m left join f on trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) = f.key""")
+from m left join f on trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) = f.key""", whole={" where l_orderkey % 10 = 0": "", " where p_partkey % 9 = 0": ""})
 def _(t):
     p = t("part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    m = t("lineitem").where("l_orderkey % 10 = 0").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "if(l_suppkey % 2 = 0, '-1', cast(l_suppkey as string)) as cik", "'-1' as gvkey").join(p, "l_partkey")
-    b = t("part").where("p_partkey % 9 = 0").selectExpr("concat('A', p_partkey) as approved_cik", "if(p_partkey % 2 = 0, concat('G', p_partkey), '-1') as approved_gvkey", "concat(p_name, ' ', p_brand) as a", "concat(p_name, '-', p_type) as c")
+    m = t.some("lineitem", "l_orderkey % 10 = 0").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "if(l_suppkey % 2 = 0, '-1', cast(l_suppkey as string)) as cik", "'-1' as gvkey").join(p, "l_partkey")
+    b = t.some("part", "p_partkey % 9 = 0").selectExpr("concat('A', p_partkey) as approved_cik", "if(p_partkey % 2 = 0, concat('G', p_partkey), '-1') as approved_gvkey", "concat(p_name, ' ', p_brand) as a", "concat(p_name, '-', p_type) as c")
     return B.apply_alias_bridge(m, b, ["a", "c"])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from mentionweave import registry
 
+from .compare import SF
+
 QUERIES = registry.queries()
 
 
@@ -28,3 +30,14 @@ def test_text_cleaning_reads_every_document(spark, tmp_path):
     sf = folder(tmp_path, spark, documents=([(1, "a", "en"), (2, "bc", "en"), (None, "def", None)], DOCUMENTS))
     got = {r.doc_id: r.n for r in QUERIES["text_cleaning_whole"](spark, sf).collect()}
     assert set(got) == {1, 2, None} and got[None] == got[1] + 2
+
+
+def test_relational_queries_read_whole_tables(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    assert QUERIES["mixed_sort_whole"](spark, SF).count() == orders
+    assert QUERIES["conflict_repair_whole"](spark, SF).count() == part.count()
+    assert QUERIES["recovery_resolved_whole"](spark, SF).select("record_id").distinct().count() == part.count()
+    assert QUERIES["manual_alias_bridge_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert QUERIES["first_key_fanout_whole"](spark, SF).count() == part.selectExpr("explode(array(p_brand, p_type)) as k").distinct().count()
+    assert QUERIES["unique_or_blank_whole"](spark, SF).count() == part.select("p_name").distinct().count()
