@@ -28,6 +28,8 @@ from .features import word_features
 
 #: Documented bounds of the training sample.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+#: Share of common features that makes a near copy in the training sample, and how many rare features find it.
+COPY, MARKS = 0.8, 3
 #: A feature is kept if this many confirmed examples of the sample hold it, if it is this many times as
 #: frequent in them as in the unlabelled texts, and if chance would give it so often less than once in
 #: `CHANCE` tries over all features of the examples (by a Poisson bound).
@@ -116,24 +118,33 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(sets: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """Mask that keeps one of the sampled texts that share their least rare feature, in each class.
+    """Mask that keeps one of the sampled texts that are near copies of each other, in each class.
 
-    Near copies mostly do, and would have what they alone share taken for a mark of their class. A feature is
-    rare if a fiftieth of the texts at most hold it.
+    They would have what they alone share taken for a mark of their class. A text is a near copy of a kept one if
+    at least `COPY` of the features of both are common; texts that share one of their `MARKS` least rare features are
+    compared. A feature is rare if a fiftieth of the texts at most hold it; texts without a rare feature stay.
     """
     if not sets:
         return np.zeros(0, bool)
     keys, df = np.unique(np.concatenate(sets), return_counts=True)
     common = keys[df > max(1, len(sets) // 50)]
-    seen, kept = set(), np.zeros(len(sets), bool)
+    held: dict[tuple[bool, int], list[int]] = {}
+    kept = np.zeros(len(sets), bool)
     for i, s in enumerate(sets):
-        rare = s[~np.isin(s, common, assume_unique=True)]
-        mark = (bool(positive[i]), int(rare[0])) if len(rare) else (bool(positive[i]), i, "none")
-        kept[i] = mark not in seen
-        seen.add(mark)
+        marks = [(bool(positive[i]), int(k)) for k in s[~np.isin(s, common, assume_unique=True)][:MARKS]]
+        met = {j for m in marks for j in held.get(m, ()) if min(len(s), len(sets[j])) >= COPY * max(len(s), len(sets[j]))}
+        kept[i] = not any(_alike(s, sets[j]) for j in met)
+        if kept[i]:
+            for m in marks:
+                held.setdefault(m, []).append(i)
     return kept
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= COPY * (len(a) + len(b) - both)
+
+
 def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> PuModel:
     """Learn from the confirmed toxic rows and from unlabelled text outside the held-out fold.
 

@@ -73,6 +73,13 @@ def test_nnpu_risk_gradient_prefers_positives():
     assert w[0] + b > 0 > w[1] + b
 
 
+def test_spread_drops_near_copies_alone():
+    rng = np.random.default_rng(4)
+    own = [np.unique(np.append(rng.integers(100, 1 << 60, 60, np.uint64), np.uint64(i // 2))) for i in range(400)]  # each pair shares its least feature
+    copies = [np.unique(np.append(own[0][:-2], np.uint64(1 << 61) + np.uint64(i))) for i in range(5)]
+    assert toxicity._spread(own + copies, np.zeros(405, bool)).tolist() == [True] * 400 + [False] * 5
+
+
 def test_toxicity_odd(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs(spark, ODD), none)
