@@ -231,6 +231,15 @@ def test_near_copies_odd(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), SF).count() == 0
 
 
+def test_near_copies_keep_clean_rows_without_or_with_shared_ids(spark):
+    import corpus_pipeline
+
+    texts = [(None, "one text without any id at all"), (None, "another text without an id here"), (None, "one text without any id at all"), (7, "a first text under the id seven"), (7, "some other text under that id"), (8, "a first text under the id seven")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in texts], DOCS)
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect())
+    assert got == sorted((i or 0, t) for i, t in {texts[0], texts[1], texts[3], texts[4]})
+
+
 def test_components(spark):
     rng = random.Random(2)
     linked = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, k) for k in range(501, 560)]
