@@ -6,7 +6,8 @@ share none with a chance of 7e-5, and fewer the more alike they are. All who mee
 their exact sets of shingles, in rounds: the first texts of each key (in the order in which rows are
 kept) with all others of it; who is found like an earlier one needs no further comparison there, as it
 will not be kept, and the rest go on to the next round with four times as many first ones. So no two
-rows are kept that meet and are alike, and a group of many copies costs one comparison a copy.
+rows are kept that meet and are alike. A group all like its first text costs one comparison a copy; one whose
+texts meet but are not alike costs up to the square of its size.
 
 Defined results: null, empty and blank texts are one text; texts shorter than a shingle are one shingle;
 one row of each component is kept, that of the least (doc_id, row hash), rows without a doc_id last, so
