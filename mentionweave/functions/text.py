@@ -103,10 +103,11 @@ def requests(df: DataFrame, key: str, columns: list[str], size: int = 25) -> Dat
 
 
 def clean_filing_text(c: Column | str) -> Column:
-    """Without contents headings and page numbers on lines of their own; a break after `Inc.` is closed."""
-    x = F.regexp_replace(text(c), r"(?im)^[ \t]*table of contents[ \t]*$", "")
-    x = F.regexp_replace(x, r"(?m)^[ \t]*(?:page[ \t]+)?\d{1,4}[ \t]*$", "")
-    return F.regexp_replace(x, r"(?i)\b(inc|corp|ltd|co)\.[ \t]*\n", r"$1. ")
+    """Breaks after `Inc.` and `Corp.` closed, lines of contents headings and page numbers emptied, blank lines closed up."""
+    x = F.replace(F.replace(text(c), F.lit("Inc.\n"), F.lit("Inc. ")), F.lit("Corp.\n"), F.lit("Corp. "))
+    for line in (V.CONTENTS_LINE, V.PAGE_LINE):
+        x = F.regexp_replace(x, f"(?imdU){line}", "")
+    return F.regexp_replace(x, r"(?U)\n\s*\n", "\n")
 
 
 def word_set(c: Column | str, separators: str = r"()#@!;:|,?.\"'/\[\]{}`~*=^+%&-") -> Column:

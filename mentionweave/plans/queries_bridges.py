@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import vocab as V
 from ..functions import names
 from ..functions import text as T
 from . import bridges as B
@@ -35,16 +36,16 @@ def _(t):
     return B.round_trip(c, B.dictionary(c, F.col("p_partkey")))
 
 
-@query("manual_alias_bridge", """with m as (select l_orderkey, l_linenumber, l_partkey, case when l_suppkey % 2 = 0 then '-1' else l_suppkey::varchar end cik, '-1' gvkey, p_name || ' ' || p_brand as name from lineitem join part on l_partkey = p_partkey where l_orderkey % 10 = 0),
-b as (select 'A' || p_partkey approved_cik, case when p_partkey % 2 = 0 then 'G' || p_partkey else '-1' end approved_gvkey, p_name || ' ' || p_brand a, p_name || '-' || p_type c from part where p_partkey % 9 = 0),
+@query("manual_alias_bridge", """with m as (select l_orderkey, l_linenumber, l_partkey, case when l_suppkey % 2 = 0 then '-1' else l_suppkey::varchar end cik, '-1' gvkey, p_name || ' ' || p_brand as name from lineitem join part on l_partkey = p_partkey),
+b as (select 'A' || p_partkey approved_cik, case when p_partkey % 2 = 0 then 'G' || p_partkey else '-1' end approved_gvkey, p_name || ' ' || p_brand a, p_name || '-' || p_type c from part),
 k as (select trim(regexp_replace(upper(a), '[^A-Z0-9]+', ' ', 'g')) key, 0 o, * from b union all select trim(regexp_replace(upper(c), '[^A-Z0-9]+', ' ', 'g')), 1, * from b),
 f as (select * from (select *, row_number() over (partition by key order by approved_gvkey, approved_cik, o) r from k) where r = 1)
 select l_orderkey, l_linenumber, l_partkey, name, case when m.cik = '-1' and f.key is not null then approved_cik else m.cik end cik, case when m.cik = '-1' and f.key is not null then approved_gvkey else m.gvkey end gvkey, m.cik = '-1' and f.key is not null alias_applied
-from m left join f on trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) = f.key""", whole={" where l_orderkey % 10 = 0": "", " where p_partkey % 9 = 0": ""})
+from m left join f on trim(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g')) = f.key""")
 def _(t):
     p = t("part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    m = t.some("lineitem", "l_orderkey % 10 = 0").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "if(l_suppkey % 2 = 0, '-1', cast(l_suppkey as string)) as cik", "'-1' as gvkey").join(p, "l_partkey")
-    b = t.some("part", "p_partkey % 9 = 0").selectExpr("concat('A', p_partkey) as approved_cik", "if(p_partkey % 2 = 0, concat('G', p_partkey), '-1') as approved_gvkey", "concat(p_name, ' ', p_brand) as a", "concat(p_name, '-', p_type) as c")
+    m = t("lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "if(l_suppkey % 2 = 0, '-1', cast(l_suppkey as string)) as cik", "'-1' as gvkey").join(p, "l_partkey")
+    b = t("part").selectExpr("concat('A', p_partkey) as approved_cik", "if(p_partkey % 2 = 0, concat('G', p_partkey), '-1') as approved_gvkey", "concat(p_name, ' ', p_brand) as a", "concat(p_name, '-', p_type) as c")
     return B.apply_alias_bridge(m, b, ["a", "c"])
 
 
@@ -77,11 +78,12 @@ def _(t):
     return B.ticker_candidates(a, b).select("record_id", "tic", "fyear", "gvkey", "rule")
 
 
-@query("text_cleaning", r"""with s as (select doc_id, 'Table of Contents' || chr(10) || '  12 ' || chr(10) || 'Acme Inc.' || chr(10) || text x from documents where doc_id % 2 = 0)
-select doc_id, length(regexp_replace(regexp_replace(regexp_replace(x, '(?im)^[ \t]*table of contents[ \t]*$', '', 'g'), '(?m)^[ \t]*(?:page[ \t]+)?\d{1,4}[ \t]*$', '', 'g'), '(?i)\b(inc|corp|ltd|co)\.[ \t]*\n', '\1. ', 'g'))::int n from s""", whole={" where doc_id % 2 = 0": ""})
+@query("text_cleaning", rf"""with s as (select doc_id, 'Table of Contents' || chr(10) || '  12 ' || chr(10) || 'Acme Inc.' || chr(10) || text || chr(10) || 'Page - 7' x from documents),
+z as (select doc_id, replace(replace(x, 'Inc.' || chr(10), 'Inc. '), 'Corp.' || chr(10), 'Corp. ') x from s)
+select doc_id, length(y)::int n, md5(y) digest from (select doc_id, regexp_replace(regexp_replace(regexp_replace(x, '(?im){V.CONTENTS_LINE}', '', 'g'), '(?im){V.PAGE_LINE}', '', 'g'), '\n\s*\n', chr(10), 'g') y from z)""")
 def _(t):
-    x = F.concat(F.lit("Table of Contents\n  12 \nAcme Inc.\n"), F.col("text"))
-    return t.some("documents", "doc_id % 2 = 0").select("doc_id", F.length(T.clean_filing_text(x)).alias("n"))
+    y = T.clean_filing_text(F.concat(F.lit("Table of Contents\n  12 \nAcme Inc.\n"), F.col("text"), F.lit("\nPage - 7")))
+    return t("documents").select("doc_id", F.length(y).alias("n"), F.md5(y.cast("binary")).alias("digest"))
 
 
 @query("word_sets", "select p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(translate(p_name || '/' || p_brand || '-' || p_name, '/#-', '   '), '\\s+'), lambda w: w <> ''))), ' ') as bag from part")

@@ -79,13 +79,12 @@ def _(t):
 _WORDS = "regexp_extract_all(lower(x), '[a-z]+')"
 
 
-@query("generic_score", f"""with s as (select doc_id, left(text, 60) x from documents where lang = 'en' union all select -p_partkey, case p_partkey % 4 when 0 then 'local ' || p_name || ' companies' when 1 then 'credit unions' when 2 then p_name || ' bank' else p_type end from part)
+@query("generic_score", f"""with s as (select doc_id, text x from documents union all select -p_partkey, case p_partkey % 4 when 0 then 'local ' || p_name || ' companies' when 1 then 'credit unions' when 2 then p_name || ' bank' else p_type end from part)
 select doc_id, len(list_filter({_WORDS}, lambda t: list_contains({S.listed(V.GENERIC_TERMS)}, t)))::int generic_score,
- len({_WORDS}) >= 2 and (list_contains({S.listed(V.CATEGORY_HEADS)}, {_WORDS}[-1]) or lower({S.strip('x')}) in ({', '.join(map(S.q, V.FINANCIAL_PHRASES))})) is_category from s""", whole={"left(text, 60) x": "text x", " where lang = 'en'": ""})
+ len({_WORDS}) >= 2 and (list_contains({S.listed(V.CATEGORY_HEADS)}, {_WORDS}[-1]) or lower({S.strip('x')}) in ({', '.join(map(S.q, V.FINANCIAL_PHRASES))})) is_category from s""")
 def _(t):
     parts = t("part").selectExpr("-p_partkey as doc_id", "case p_partkey % 4 when 0 then concat('local ', p_name, ' companies') when 1 then 'credit unions' when 2 then concat(p_name, ' bank') else p_type end as x")
-    x = F.col("text") if t.whole else F.substring("text", 1, 60)
-    s = t.some("documents", "lang = 'en'").select("doc_id", x.alias("x")).unionByName(parts)
+    s = t("documents").select("doc_id", F.col("text").alias("x")).unionByName(parts)
     return s.select("doc_id", names.generic_score("x").alias("generic_score"), names.is_category("x").alias("is_category"))
 
 
@@ -182,10 +181,10 @@ def _(t):
 
 
 @query("chunks", """with s as (select doc_id, text, ceil(greatest(length(text), 1) / 2000.0)::int n from documents), k as (select *, greatest(length(text) // n, 1)::int z, unnest(range(n)) i from s)
-select doc_id, i::int part, length(case when i = n - 1 then substr(text, (i * z + 1)::bigint) else substr(text, (i * z + 1)::bigint, z) end)::int n_chars from k""")
+select doc_id, i::int part, length(x)::int n_chars, md5(x) digest from (select doc_id, i, case when i = n - 1 then substr(text, (i * z + 1)::bigint) else substr(text, (i * z + 1)::bigint, z) end x from k)""")
 def _(t):
     s = t("documents").select("doc_id", F.posexplode(T.chunks("text", F.ceil(F.greatest(F.length("text"), F.lit(1)) / 2000))).alias("part", "x"))
-    return s.select("doc_id", "part", F.length("x").alias("n_chars"))
+    return s.select("doc_id", "part", F.length("x").alias("n_chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
 
 
 @query("json_props", "select event_id, cast(json_extract(props, '$.k') as int) k from events")

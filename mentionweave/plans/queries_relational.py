@@ -85,10 +85,10 @@ def _(t):
     return matcher.blocked(mentions(t("lineitem"), t("orders"), t("part")), bridge(t("part")))
 
 
-@query("exact_year_match", f"with {BRIDGE_SQL}, s as (select distinct {S.alnum('name_original')} name, fyear, source from bridge), o as (select {S.alnum('name_original')} name, year(o_orderdate)::int fyear, count(*) n from bridge b join orders on b.fyear = year(o_orderdate) and o_orderkey % 50 = 0 group by all) select name, fyear, source, n from s join o using (name, fyear)", whole={" and o_orderkey % 50 = 0": ""})
+@query("exact_year_match", f"with {BRIDGE_SQL}, s as (select distinct {S.alnum('name_original')} name, fyear, source from bridge), o as (select {S.alnum('name_original')} name, year(o_orderdate)::int fyear, count(*) n from bridge b join orders on b.fyear = year(o_orderdate) group by all) select name, fyear, source, n from s join o using (name, fyear)")
 def _(t):
     b = bridge(t("part")).withColumn("name", names.alnum_key("name_original"))
-    o = t.some("orders", "o_orderkey % 50 = 0").select(F.year("o_orderdate").alias("fyear")).groupBy("fyear").agg(F.count("*").alias("k"))
+    o = t("orders").select(F.year("o_orderdate").alias("fyear")).groupBy("fyear").agg(F.count("*").alias("k"))
     per = b.groupBy("name", "fyear").agg(F.count("*").alias("m")).join(o, "fyear").select("name", "fyear", (F.col("m") * F.col("k")).alias("n"))
     return b.select("name", "fyear", "source").distinct().join(per, ["name", "fyear"])
 
@@ -140,11 +140,11 @@ def _(t):
     return U.except_keys(t("customer").select("c_custkey", "c_name"), urgent, "c_custkey")
 
 
-@query("priority_coalesce", """with a as (select s_nationkey, min(s_name) x from supplier where s_suppkey % 2 = 0 group by 1), b as (select c_nationkey, min(c_name) x from customer where c_custkey % 40 = 0 group by 1)
-select n_nationkey, coalesce(a.x, b.x, '-88888') gvkey, case when a.x is not null then 'panel' when b.x is not null then 'bridge' else 'missing' end gvkey_source from nation left join a on n_nationkey = s_nationkey left join b on n_nationkey = c_nationkey""", whole={" where s_suppkey % 2 = 0": "", " where c_custkey % 40 = 0": ""})
+@query("priority_coalesce", """with a as (select s_nationkey, min(s_name) x from supplier group by 1), b as (select c_nationkey, min(c_name) x from customer group by 1)
+select n_nationkey, coalesce(a.x, b.x, '-88888') gvkey, case when a.x is not null then 'panel' when b.x is not null then 'bridge' else 'missing' end gvkey_source from nation left join a on n_nationkey = s_nationkey left join b on n_nationkey = c_nationkey""")
 def _(t):
-    a = t.some("supplier", "s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_name").alias("x"))
-    b = t.some("customer", "c_custkey % 40 = 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_name").alias("x"))
+    a = t("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.min("s_name").alias("x"))
+    b = t("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_name").alias("x"))
     return J.by_priority(t("nation").select("n_nationkey"), [("panel", a, ["n_nationkey"], "x"), ("bridge", b, ["n_nationkey"], "x")], "gvkey")
 
 
@@ -155,19 +155,19 @@ def _(t):
     return J.without_self(rows, focal, ["l_partkey"], [("own", "focal")])[0].drop("own")
 
 
-@query("crosswalk_unique", "select p_brand, min(p_type) p_type from part where p_partkey % 50 = 3 group by 1 having count(distinct p_type) = 1", whole={" where p_partkey % 50 = 3": ""})
+@query("crosswalk_unique", "select p_name || '/' || p_size as key, min(p_type) p_type from part group by 1 having count(distinct p_type) = 1")
 def _(t):
-    return J.unique_crosswalk(t.some("part", "p_partkey % 50 = 3"), "p_brand", "p_type")
+    return J.unique_crosswalk(t("part").select(F.concat_ws("/", "p_name", "p_size").alias("key"), "p_type"), "key", "p_type")
 
 
-@query("first_key_fanout", """with k as (select p_brand as key, p_partkey, 0 c from part where p_partkey % 7 = 0 union all select p_type, p_partkey, 1 from part where p_partkey % 7 = 0), r as (select *, row_number() over (partition by key order by p_partkey desc, c) n from k where key <> '') select key, p_partkey from r where n = 1""", whole={" where p_partkey % 7 = 0": ""})
+@query("first_key_fanout", """with k as (select p_brand as key, p_partkey, 0 c from part union all select p_type, p_partkey, 1 from part), r as (select *, row_number() over (partition by key order by p_partkey desc, c) n from k where key <> '') select key, p_partkey from r where n = 1""")
 def _(t):
-    return J.first_key(t.some("part", "p_partkey % 7 = 0"), ["p_brand", "p_type"], [F.col("p_partkey").desc()]).select("key", "p_partkey")
+    return J.first_key(t("part"), ["p_brand", "p_type"], [F.col("p_partkey").desc()]).select("key", "p_partkey")
 
 
-@query("full_outer_map", "select coalesce(a.k, b.k) k, x, y from (select c_nationkey k, count(*) x from customer where c_custkey % 90 = 0 group by 1) a full join (select s_nationkey k, count(*) y from supplier group by 1) b on a.k = b.k", whole={" where c_custkey % 90 = 0": ""})
+@query("full_outer_map", "select coalesce(a.k, b.k) k, x, y from (select c_nationkey k, count(*) x from customer group by 1) a full join (select s_nationkey k, count(*) y from supplier group by 1) b on a.k = b.k")
 def _(t):
-    a = t.some("customer", "c_custkey % 90 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("x"))
+    a = t("customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("x"))
     return a.join(t("supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("y")), "k", "full")
 
 
@@ -197,9 +197,9 @@ def _(t):
     return t("orders").withColumn("p", F.expr("case when o_orderkey % 3 > 0 then o_orderpriority else '' end")).groupBy("o_custkey").agg(A.first_nonblank("p", "o_orderkey").alias("priority"))
 
 
-@query("unique_or_blank", "select p_name, case when count(distinct p_type) = 1 then min(p_type) else '' end p_type from part where p_partkey % 40 = 1 group by 1", whole={" where p_partkey % 40 = 1": ""})
+@query("unique_or_blank", "select p_name, p_size, case when count(distinct p_type) = 1 then min(p_type) else '' end p_type from part group by 1, 2")
 def _(t):
-    return t.some("part", "p_partkey % 40 = 1").groupBy("p_name").agg(A.unique_or_blank("p_type").alias("p_type"))
+    return t("part").groupBy("p_name", "p_size").agg(A.unique_or_blank("p_type").alias("p_type"))
 
 
 @query("keyed_first", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_extendedprice desc, l_partkey, l_suppkey, l_quantity) k from lineitem) where k = 1")
@@ -248,9 +248,9 @@ def _(t):
     return o.join(t("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "fyear", "l_suppkey").agg(F.min("l_linenumber").alias("first_order"), F.count("*").alias("n"))
 
 
-@query("having_conflict", "select p_name, p_type, count(distinct p_brand) n_brands, string_agg(distinct p_brand, ';' order by p_brand) brands from part where p_partkey % 3 = 0 group by 1, 2 having n_brands > 1", whole={" where p_partkey % 3 = 0": ""})
+@query("having_conflict", "select p_name, p_type, count(distinct p_brand) n_brands, string_agg(distinct p_brand, ';' order by p_brand) brands from part group by 1, 2 having n_brands > 1")
 def _(t):
-    return t.some("part", "p_partkey % 3 = 0").groupBy("p_name", "p_type").agg(F.count_distinct("p_brand").alias("n_brands"), A.joined_set("p_brand", ";").alias("brands")).where("n_brands > 1")
+    return t("part").groupBy("p_name", "p_type").agg(F.count_distinct("p_brand").alias("n_brands"), A.joined_set("p_brand", ";").alias("brands")).where("n_brands > 1")
 
 
 @query("metric_summary", "with a as (select count(*) n, count(distinct user_id) u, max(value) m from events) select 'n_events' metric, n::double as value from a union all select 'n_users', u from a union all select 'max_value', m from a")
@@ -346,11 +346,11 @@ def _(t):
     return t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("fyear"), "o_orderpriority").where(F.col("fyear").between(1996, 1999) & ~F.lower("o_orderpriority").contains("low")).drop("o_orderpriority")
 
 
-@query("mixed_sort", "select o_orderkey, o_orderstatus, o_totalprice, row_number() over (order by o_orderstatus, o_totalprice desc nulls last, o_orderkey)::int as place from orders where o_orderkey % 20 = 0", whole={" where o_orderkey % 20 = 0": ""})
+@query("mixed_sort", "select o_orderkey, o_orderstatus, o_totalprice, row_number() over (order by o_orderstatus, o_totalprice desc nulls last, o_orderkey)::int as place from orders")
 def _(t):
     # A global position is what the query reports; a plain multi-key sort needs no single task.
     w = Window.orderBy(F.col("o_orderstatus").asc_nulls_last(), F.col("o_totalprice").desc_nulls_last(), "o_orderkey")
-    return t.some("orders", "o_orderkey % 20 = 0").select("o_orderkey", "o_orderstatus", "o_totalprice", F.row_number().over(w).alias("place"))
+    return t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.row_number().over(w).alias("place"))
 
 
 @query("worklist", "select distinct p_brand from part where p_brand is not null union select trim(x) from (select unnest(string_split('Brand#1, Brand#2,Brand#99', ',')) x)")

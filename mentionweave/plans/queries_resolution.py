@@ -16,24 +16,19 @@ from .registering import collection
 query, QUERIES, ORACLES = collection()
 
 _ALIAS = "concat('K', cast(p_partkey % 5000 as string), ' ', p_name, case p_partkey % 7 when 0 then ' Inc' when 1 then '' when 2 then ' Holding & Co' when 3 then ' Technologies' when 4 then ' Limited' when 5 then ' Global Widgets' else ' SA' end)"
-_ALIASES_SQL = f"""alias as (select p_partkey record_id, {_ALIAS.replace('as string', 'as varchar')} alias, list_sort(list_distinct([(1995 + p_partkey % 9)::int, (1996 + p_partkey % 4)::int])) as years from part where p_partkey % 3 = 0)"""
-
-#: The cuts of the aliases and of the panel, for the queries over all rows.
-_ALL_ALIASES = {"from part where p_partkey % 3 = 0)": "from part)"}
-_ALL_CASCADE = _ALL_ALIASES | {"from part where p_partkey % 2 = 0)": "from part)"}
-
+_ALIASES_SQL = f"""alias as (select p_partkey record_id, {_ALIAS.replace('as string', 'as varchar')} alias, list_sort(list_distinct([(1995 + p_partkey % 9)::int, (1996 + p_partkey % 4)::int])) as years from part)"""
 
 def _aliases(t):
     years = F.array_sort(F.array_distinct(F.array((1995 + F.col("p_partkey") % 9).cast("int"), (1996 + F.col("p_partkey") % 4).cast("int"))))
-    return t.some("part", "p_partkey % 3 = 0").select(F.col("p_partkey").alias("record_id"), F.expr(_ALIAS).alias("alias"), years.alias("years"))
+    return t("part").select(F.col("p_partkey").alias("record_id"), F.expr(_ALIAS).alias("alias"), years.alias("years"))
 
 
 def _panel(t):
-    return t.some("part", "p_partkey % 2 = 0").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".0")).alias("cik"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("gvkey"), (1995 + F.col("p_partkey") % 8).cast("int").alias("fyear"))
+    return t("part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".0")).alias("cik"), F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("gvkey"), (1995 + F.col("p_partkey") % 8).cast("int").alias("fyear"))
 
 
 _CASCADE_SQL = f"""{_ALIASES_SQL}, {BRIDGE_SQL},
-panel as (select p_partkey || '.0' cik, lpad(p_partkey::varchar, 6, '0') gvkey, (1995 + p_partkey % 8)::int fyear from part where p_partkey % 2 = 0),
+panel as (select p_partkey || '.0' cik, lpad(p_partkey::varchar, 6, '0') gvkey, (1995 + p_partkey % 8)::int fyear from part),
 a as (select record_id, alias, years, n as name, {S.without_legal('n')} legal from (select *, {S.candidate('alias')} n from alias)),
 b as (select distinct name, {S.without_legal('name')} legal, fyear, source, cik, gvkey, bridge_name from (select {S.candidate('name_original')} name, name_original bridge_name, fyear, source, cik, gvkey from bridge) where name <> ''),
 iy as (select *, unnest(years) y from a),
@@ -49,7 +44,7 @@ c0 as (select record_id, bridge_name, source, cik, gvkey, stage, rule, min(dista
 cascade as (select * from c0 where stage = (select min(d.stage) from c0 d where d.record_id = c0.record_id))"""
 
 
-@query("candidate_cascade", f"with {_CASCADE_SQL} select * from cascade", whole=_ALL_CASCADE)
+@query("candidate_cascade", f"with {_CASCADE_SQL} select * from cascade")
 def _(t):
     return C.cascade(_aliases(t), bridge(t("part")), _panel(t)).withColumn("distance", F.col("distance").cast("int"))
 
@@ -80,7 +75,7 @@ ranked as (select *, row_number() over w candidate_rank, lead(score) over w nx,
 final as (select * exclude (nx, n_ids), candidate_rank = 1 and rule in ('exact_standardized_match', 'legal_form_normalization', 'exact_other_year', 'legal_other_year') and (nx is null or score >= nx + 30) and n_ids > 0 recommended from ranked)"""
 
 
-@query("candidate_ranking", f"with {_SCORED_SQL} select record_id, bridge_name, source, rule, score, candidate_rank::int candidate_rank, recommended from final", whole=_ALL_CASCADE)
+@query("candidate_ranking", f"with {_SCORED_SQL} select record_id, bridge_name, source, rule, score, candidate_rank::int candidate_rank, recommended from final")
 def _(t):
     return C.rank(_scored(t)).select("record_id", "bridge_name", "source", "rule", "score", "candidate_rank", "recommended")
 
@@ -93,7 +88,7 @@ u as (select record_id, rule, recommended, candidate_rank, case rule when 'exact
  when 'legal_form_normalization' then 'Tier B ' || case when n_year = 1 and pr <= 3 and not sec_only then 'auto_accept' else 'manual_review' end when 'exact_other_year' then 'Tier C ' || case when n_all = 1 and (distance <= 3 or strong) then 'auto_accept' else 'manual_review' end
  when 'legal_other_year' then 'Tier D ' || case when n_legal = 1 and not sec_only then 'auto_accept' else 'manual_review' end when 'identifier_level' then 'Tier E ' || case when n_all = 1 and in_panel then 'auto_accept' else 'manual_review' end else 'manual_review' end tier from t),
 sc(scenario, tiers) as (values {', '.join(f"({S.q(k)}, {S.listed(v) if v else '[]::varchar[]'})" for k, v in C.SCENARIOS.items())})
-select scenario, case when (len(tiers) = 0 and recommended) or list_contains(tiers, regexp_extract(tier, '^Tier (.*) auto_accept$', 1)) and tier like '%auto_accept' then 'auto_accept' else 'manual_review' end status, count(*) n from u, sc where candidate_rank = 1 group by all""", whole=_ALL_CASCADE)
+select scenario, case when (len(tiers) = 0 and recommended) or list_contains(tiers, regexp_extract(tier, '^Tier (.*) auto_accept$', 1)) and tier like '%auto_accept' then 'auto_accept' else 'manual_review' end status, count(*) n from u, sc where candidate_rank = 1 group by all""")
 def _(t):
     tiered = C.reliability(C.rank(_scored(t))).withColumn("tier", C.tier(F.lit(False)))
     return C.scenarios(tiered).groupBy("scenario", "status").agg(F.count("*").alias("n"))
@@ -120,7 +115,7 @@ rr as (select *, {S.valid_id('gvkey', 'recovery')} or {S.valid_id('cik', 'recove
 
 @query("recovery_resolved", f"""with {_RECOVER_SQL}, n as (select record_id, count(*) n_candidates, count(distinct case when {S.valid_id('gvkey', 'recovery')} then gvkey when {S.valid_id('cik', 'recovery')} then cik end) n_public_ids, count(distinct {S.recovery('candidate')}) n_names from rr group by 1)
 select a.record_id, a.alias, candidate, rule, score, n_candidates, n_public_ids, n_names, case when n_candidates is null then 'no_external_evidence' when n_public_ids > 1 then 'manual_review_candidate' when has_public then 'recovered_public_identifier' else 'verified_company_no_public_identifier' end suggestion
-from alias a left join (select * from rr where candidate_rank = 1) r using (record_id) left join n using (record_id)""", whole=_ALL_ALIASES)
+from alias a left join (select * from rr where candidate_rank = 1) r using (record_id) left join n using (record_id)""")
 def _(t):
     a = _aliases(t).drop("years")
     out = R.resolve(a, R.rank_recovered(R.recover(a, _sources(t))))
@@ -131,7 +126,7 @@ def _(t):
 x2 as (select *, case when {S.canonical('a', V.PARTIAL_SUFFIXES)} <> '' then {S.canonical('a', V.PARTIAL_SUFFIXES)} else a end k from x where a <> ''), y2 as (select *, case when {S.canonical('c', V.PARTIAL_SUFFIXES)} <> '' then {S.canonical('c', V.PARTIAL_SUFFIXES)} else c end b from y where c <> ''),
 m as (select *, string_split(b, ' ')[len(string_split(k, ' ')) + 1:] r from x2 join y2 on b = k or starts_with(b, k || ' ') where len(string_split(k, ' ')) <= 6),
 h as (select *, case when a = c then 'possessive_or_exact_name' when k = b then 'legal_canonical_name' when len(r) > 0 and len(list_filter(r, lambda t: not list_contains({S.listed(V.SAFE_CONTINUATIONS)}, t))) = 0 then 'alias_prefix_safe_continuation' when contains(k, ' ') then 'multi_token_prefix' end rule from m)
-select record_id, alias, source, candidate, cik, gvkey, rule, case rule when 'possessive_or_exact_name' then 100 when 'legal_canonical_name' then 90 when 'alias_prefix_safe_continuation' then 75 else 65 end score from h where rule is not null""", whole=_ALL_ALIASES)
+select record_id, alias, source, candidate, cik, gvkey, rule, case rule when 'possessive_or_exact_name' then 100 when 'legal_canonical_name' then 90 when 'alias_prefix_safe_continuation' then 75 else 65 end score from h where rule is not null""")
 def _(t):
     return R.partial_evidence(_aliases(t).drop("years"), _sources(t))
 
@@ -146,7 +141,7 @@ i as (select record_id, candidate, source, has_public, gvkey, cik, support, (sco
  + case when w[-1] in ({', '.join(map(S.q, V.REFINED_SUFFIXES))}) then 15 else 0 end + case when list_has_any(w, {S.listed(V.STRONG_SUFFIXES)}) then 12 else 0 end + case support when 'sic4_match' then 20 when 'sic3_match' then 12 when 'sic2_match' then 8 when 'sic_mismatch' then -8 else 0 end
  - case when list_has_any(w, {S.listed(V.GEOGRAPHIC_TERMS)}) then 18 else 0 end - case when list_has_any(w, {S.listed(V.UNIT_TERMS)}) then 12 else 0 end + case when contains(rule, 'exact') then 8 else 0 end)::bigint refined_score from h),
 j as (select *, row_number() over z k, lead(refined_score, 1, -9999) over z nx from i window z as (partition by record_id order by refined_score desc, has_public desc, source, candidate, gvkey nulls last, cik nulls last))
-select record_id, candidate, source, support sic_support, refined_score, refined_score - nx gap from j where k = 1""", whole=_ALL_ALIASES)
+select record_id, candidate, source, support sic_support, refined_score, refined_score - nx gap from j where k = 1""")
 def _(t):
     a = _aliases(t).drop("years")
     ranked = R.rank_recovered(R.recover(a, _sources(t)))
@@ -240,12 +235,12 @@ def _(t):
     return D.coverage_audit(population, o, o.where("o_orderpriority = '1-URGENT'"), ["c_custkey"], "o_orderstatus", ["F", "O"])
 
 
-@query("conflict_repair", """with r as (select p_partkey, p_name, p_type, p_brand v from part where p_partkey % 90 = 1), m as (select p_name, p_type from r group by 1, 2 having count(distinct v) > 1), q as (select p_name, p_type, p_size, p_brand v from part where p_partkey % 50 = 2),
+@query("conflict_repair", """with r as (select p_partkey, p_name, p_type, p_brand v from part), m as (select p_name, p_type from r group by 1, 2 having count(distinct v) > 1), q as (select p_name, p_type, p_size, p_brand v from part),
 b as (select p_name, p_type, min(p_size) p_size from q group by 1, 2), o as (select p_name, p_type, min(v) x from q join b using (p_name, p_type, p_size) group by 1, 2 having count(distinct v) = 1)
-select p_partkey, coalesce(o.x, r.v) v, o.x is not null v_repaired from r left join m using (p_name, p_type) left join o on m.p_name = o.p_name and m.p_type = o.p_type""", whole={" where p_partkey % 90 = 1": "", " where p_partkey % 50 = 2": ""})
+select p_partkey, coalesce(o.x, r.v) v, o.x is not null v_repaired from r left join m using (p_name, p_type) left join o on m.p_name = o.p_name and m.p_type = o.p_type""")
 def _(t):
-    rows = t.some("part", "p_partkey % 90 = 1").select("p_partkey", "p_name", "p_type", F.col("p_brand").alias("v"))
-    reference = t.some("part", "p_partkey % 50 = 2").select("p_name", "p_type", "p_size", F.col("p_brand").alias("v"))
+    rows = t("part").select("p_partkey", "p_name", "p_type", F.col("p_brand").alias("v"))
+    reference = t("part").select("p_name", "p_type", "p_size", F.col("p_brand").alias("v"))
     return D.repair_conflicts(rows, reference, ["p_name", "p_type"], "v", "p_size").select("p_partkey", "v", "v_repaired")
 
 

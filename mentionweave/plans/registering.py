@@ -8,40 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Tables:
-    """Tables by name; `some` gives the rows of a condition, or all where the whole table is asked for."""
+    """Whole tables by name."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
-    def some(self, table: str, condition: str) -> DataFrame:
-        return self(table) if self.whole else self(table).where(condition)
-
 
 def collection() -> tuple[Callable, dict, dict]:
     """A decorator that registers `f(t)`, t giving tables by name, and the dictionaries it fills."""
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     oracles: dict[str, str] = {}
 
-    def query(name: str, sql: str | None = None, whole: dict[str, str] | None = None) -> Callable:
-        """`whole`: what the SQL cuts, and what stands there in the SQL of a second query, `name`_whole, over all rows."""
-
+    def query(name: str, sql: str | None = None) -> Callable:
         def add(f: Callable) -> Callable:
-            def register(name: str, sql: str | None, whole: bool) -> None:
-                queries[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir, whole))
-                if sql is not None:
-                    oracles[name] = sql
-
-            register(name, sql, False)
-            if whole:
-                every = sql
-                for cut, full in whole.items():
-                    if cut not in every:
-                        raise ValueError(f"{name}: no {cut!r} in its SQL")
-                    every = every.replace(cut, full)
-                register(f"{name}_whole", every, True)
+            queries[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+            if sql is not None:
+                oracles[name] = sql
             return f
 
         return add

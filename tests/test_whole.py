@@ -1,4 +1,4 @@
-"""Queries over whole tables, where the query of the shorter name and its SQL read some rows."""
+"""Queries read whole tables and whole texts."""
 
 from __future__ import annotations
 
@@ -22,22 +22,22 @@ DOCUMENTS = "doc_id long, text string, lang string"
 def test_generic_score_reads_whole_texts_of_all_languages(spark, tmp_path):
     late = "x" * 70 + " local zzz"
     sf = folder(tmp_path, spark, part=([(1, "red widget", "Brand#1", "STEEL", 1)], PART), documents=([(1, late, "en"), (2, late, "de"), (3, late, None)], DOCUMENTS))
-    got = {r.doc_id: r.generic_score for r in QUERIES["generic_score_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.generic_score for r in QUERIES["generic_score"](spark, sf).collect()}
     assert got[1] == got[2] == got[3] == 1
 
 
 def test_text_cleaning_reads_every_document(spark, tmp_path):
     sf = folder(tmp_path, spark, documents=([(1, "a", "en"), (2, "bc", "en"), (None, "def", None)], DOCUMENTS))
-    got = {r.doc_id: r.n for r in QUERIES["text_cleaning_whole"](spark, sf).collect()}
+    got = {r.doc_id: r.n for r in QUERIES["text_cleaning"](spark, sf).collect()}
     assert set(got) == {1, 2, None} and got[None] == got[1] + 2
 
 
 def test_relational_queries_read_whole_tables(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
     part = spark.read.parquet(f"{SF}/part.parquet")
-    assert QUERIES["mixed_sort_whole"](spark, SF).count() == orders
-    assert QUERIES["conflict_repair_whole"](spark, SF).count() == part.count()
-    assert QUERIES["recovery_resolved_whole"](spark, SF).select("record_id").distinct().count() == part.count()
-    assert QUERIES["manual_alias_bridge_whole"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    assert QUERIES["first_key_fanout_whole"](spark, SF).count() == part.selectExpr("explode(array(p_brand, p_type)) as k").distinct().count()
-    assert QUERIES["unique_or_blank_whole"](spark, SF).count() == part.select("p_name").distinct().count()
+    assert QUERIES["mixed_sort"](spark, SF).count() == orders
+    assert QUERIES["conflict_repair"](spark, SF).count() == part.count()
+    assert QUERIES["recovery_resolved"](spark, SF).select("record_id").distinct().count() == part.count()
+    assert QUERIES["manual_alias_bridge"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert QUERIES["first_key_fanout"](spark, SF).count() == part.selectExpr("explode(array(p_brand, p_type)) as k").distinct().count()
+    assert QUERIES["unique_or_blank"](spark, SF).count() == part.select("p_name", "p_size").distinct().count()
