@@ -283,24 +283,50 @@ def test_suffixes_brute_force(spark):
     assert got == dict(enumerate(slow_removal(texts)))
 
 
-def test_suffixes_with_small_shards(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "SHARD", 4)
+@pytest.mark.parametrize("shard", [1, 4, 30])
+def test_suffixes_narrow_hot_grams(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffixes, "SHARD", shard)
     texts = repeated_texts()
-    got = {r.doc_id: r.n_removed for r in suffixes.report(docs(spark, texts)).collect()}
-    assert got == {i: w[1] for i, w in enumerate(slow_removal(texts))}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.report(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(slow_removal(texts)))
+
+
+def test_suffixes_rows_without_or_with_shared_ids(spark):
+    texts = repeated_texts()
+    want = Counter(slow_removal(texts))
+    for ids in ([None] * len(texts), [7] * len(texts), [i % 3 or None for i in range(len(texts))]):
+        df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string")
+        assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.report(df).collect()) == want
 
 
-def test_merged_classes_are_equality_of_windows():
+def test_merged_transform_is_that_of_all_texts(monkeypatch):
     rng = random.Random(8)
-    passage = bytes(rng.choice(b"abc") for _ in range(240))
-    data = [passage + bytes(rng.choice(b"ab") for _ in range(100)) for _ in range(6)]
-    shards = [(suffixes._hashes(suffixes._loads(np.frombuffer(b, np.uint8)), suffixes.SYMBOL), np.arange(len(b) - 199)) for b in data]
-    merged = suffixes.merged_classes(shards)
-    seen = {}
-    for b, c in zip(data, merged, strict=True):
-        for i, k in enumerate(c.tolist()):
-            assert seen.setdefault(k, b[i : i + 200]) == b[i : i + 200]
-    assert len(seen) == len({b[i : i + 200] for b in data for i in range(len(b) - 199)})
+    passage = bytes(rng.choice(b"abc") for _ in range(260))
+    data = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(200, 500))) for _ in range(20)] + [passage + bytes(rng.choice(b"ab") for _ in range(100)) for _ in range(6)] + [b"a" * 300, b"a" * 290, bytes(range(256)) * 2]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in data])])
+    joined = b"".join(data)
+    every = [(joined[p : p + 200], p) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for p in range(s, e - 199)]
+    want = [joined[p - 1] if p not in off else None for _, p in sorted(every)]
+    for size in (1, 900, 1 << 18):
+        monkeypatch.setattr(suffixes, "SHARD_BYTES", size)
+        numbered = suffixes.shards_of(np.frombuffer(joined, np.uint8), off)
+        which, at, same = suffixes.merged_order([s for _, s in numbered])
+        p = at + off[[a for a, _ in numbered]][which]
+        assert [joined[x - 1] if x not in off else None for x in p.tolist()] == want
+        assert same.tolist() == [False] + [joined[x : x + 200] == joined[y : y + 200] for x, y in zip(p[:-1].tolist(), p[1:].tolist(), strict=True)]
+
+
+def test_suffixes_of_bytes_that_are_no_utf8(spark):
+    rng = random.Random(3)
+    passage = bytes(rng.randrange(256) for _ in range(230))
+    data = [passage + b"\xff\xfe", b"x\xc3" + passage, b"\xff" * 50, "é".encode() * 120]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(data)], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffixes.report(df).collect()}
+    left = [b"\xff\xfe", b"x\xc3", b"\xff" * 50, "é".encode()]
+    assert {i: g[2] for i, g in got.items() if i < 3} == {i: hashlib.sha256(b).hexdigest() for i, b in enumerate(left[:3])}
+    assert [got[i][:2] for i in range(4)] == [(232, 230), (232, 230), (50, 0), (240, 240)]
+    kept = {r.doc_id: bytes(r.b) for r in suffixes.deduplicate(df).select("doc_id", F.col("text").cast("binary").alias("b")).collect()}
+    assert kept == {0: b"", 1: b"x", 2: b"\xff" * 50, 3: b""}
 
 
 def test_suffixes_deduplicate(spark):
