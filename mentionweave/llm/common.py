@@ -37,10 +37,13 @@ def bounded(spark: SparkSession, size: str = "4m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, one of this machine's if no other has a part."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mentionweave-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="mentionweave-"))
     return sc.getCheckpointDir()
 
 
@@ -56,21 +59,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the table that `written` gave and that nothing needs any more, and the shuffle files it was made with.
+    """Delete the table that `written` gave and that nothing needs any more.
 
-    Spark deletes a shuffle's files once the driver's JVM has collected what refers to them.
+    The driver's JVM is asked to collect what nothing refers to, as Spark deletes a shuffle's files no sooner.
     """
     sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if path is not None and "-" in path.getName():
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
     sc._jvm.System.gc()
 
 
+def set_apart(df: DataFrame, *needed: Column | str) -> tuple[DataFrame, dict[str, str]]:
+    """(`df` with its columns under names of their own and copies of the `needed` ones, the own name of each column).
+
+    What an operator adds then clashes with no column, whatever it is called.
+    """
+    own = {c: f"own_{k}" for k, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], *needed), own
+
+
+def replacing(df: DataFrame, own: dict[str, str], added: list[str]) -> DataFrame:
+    """The columns that `set_apart` put aside under their names, and `added` after them; one that is called like an added one goes."""
+    taken = {a.lower() for a in added}
+    return df.select(*[F.col(n).alias(c) for c, n in own.items() if c.lower() not in taken], *added)
+
+
+def fields_of(df: DataFrame) -> str:
+    """The columns of `df` as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; false for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,17 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Candidates and verification of near copies by the Jaccard similarity of word shingles.
 
 Texts that are equal but for case of A-Z and white space are one text. Of each text's shingles,
 `BANDS` keys of `ROWS` minimum hashes are made; texts that share a key meet. Two of similarity 0.8
-share none with a chance of 7e-5, and fewer the more alike they are. All who meet are compared by
-their exact sets of shingles, in rounds: the first texts of each key (in the order in which rows are
-kept) with all others of it; who is found like an earlier one needs no further comparison there, as it
-will not be kept, and the rest go on to the next round with four times as many first ones. So no two
-rows are kept that meet and are alike. A group all like its first text costs one comparison a copy; one whose
-texts meet but are not alike costs up to the square of its size.
-
-Defined results: null, empty and blank texts are one text; texts shorter than a shingle are one shingle;
-one row of each component is kept, that of the least (doc_id, row hash), rows without a doc_id last, so
-that rows that share a doc_id but no component stay.
+share none with a chance of 7e-5, and fewer the more alike they are. Who meets is compared by exact sets of
+shingles, until every two texts that meet are known to be of one component or not alike.
+
+Comparisons go in rounds. A round takes the first texts of each band (those that meet most others, so that
+the middle of a group of copies leads it in all of its bands) and compares them with the band's texts of other
+components; they are done then and leave the band. Bands whose texts are of one component are done as a whole. The next
+round takes four times as many. No pair within a component is formed: a group of copies costs about one comparison a text,
+while texts that meet in great number and are alike in none cost up to the square of a band's size.
 """
 
 from __future__ import annotations
@@ -21,13 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import strings, task, written
 from .components import connected
 
-SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 24, 5, 42
 #: Shingles that are hashed under all functions at a time.
 BLOCK = 1 << 9
@@ -37,12 +34,12 @@ _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
 def normal(text: bytes) -> bytes:
-    """Words in lower case (A-Z only) with one space between."""
+    """Words in lower case (A-Z only) with one space between; white space is 09-0D and 20."""
     return b" ".join(text.lower().split())
 
 
-def shingles(words: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a normal text."""
+def hashes(words: bytes, shingle: int) -> np.ndarray:
+    """64-bit hash of each shingle of a normal text, repeats included; one of a text that is shorter, none of an empty one."""
     if not words:
         return np.zeros(0, np.uint64)
     size = np.fromiter(map(len, words.split(b" ")), np.int64)
@@ -50,122 +47,95 @@ def shingles(words: bytes, shingle: int = SHINGLE) -> np.ndarray:
     end = (start + size)[shingle - 1 :] if len(size) >= shingle else np.array([len(words)])
     digest = xxhash.xxh64_intdigest
     spans = zip(start[: len(end)].tolist(), end.tolist(), strict=True)
-    return np.unique(np.fromiter((digest(words[a:b], SEED) for a, b in spans), np.uint64, len(end)))
+    return np.fromiter((digest(words[a:b], SEED) for a, b in spans), np.uint64, len(end))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
+def bands(distinct: np.ndarray) -> list[int]:
     """A signed key for each band; none of an empty text."""
-    if not len(hashes):
+    if not len(distinct):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), BLOCK):
-        mixed = hashes[k : k + BLOCK, None] * _MUL + _ADD
+    for k in range(0, len(distinct), BLOCK):
+        mixed = distinct[k : k + BLOCK, None] * _MUL + _ADD
         least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(0))
     rows = least.reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(rows[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     data, off = strings(batch["text"])
     view = memoryview(data)
     for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
         yield normal(bytes(view[a:b]))
 
 
-def _key(words: bytes) -> int:
+def key_of(words: bytes) -> int:
     return xxhash.xxh64_intdigest(words, SEED) - (1 << 63)
 
 
-def _sketches(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, mark (the row's hash), key (the text's) and bands of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = [], []
-            for words in _texts(batch):
-                keys.append(_key(words))
-                found.append(bands(shingles(words, shingle)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "mark", "key", "bands"])
-
-    return documents.select("doc_id", "mark", "text").mapInArrow(task(run), "doc_id long, mark long, key long, bands array<long>")
-
-
 def _sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """key and its shingles of every row."""
+    """key and its distinct shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = [], []
-            for words in _texts(batch):
-                keys.append(_key(words))
-                found.append(shingles(words, shingle).view(np.int64))
+            for words in texts(batch):
+                keys.append(key_of(words))
+                found.append(np.unique(hashes(words, shingle)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["key", "hashes"])
 
     return documents.select("text").mapInArrow(task(run), "key long, hashes array<long>")
 
 
-def _order() -> list:
-    return [F.col("doc_id").asc_nulls_last(), F.col("mark")]
+def components(rows: DataFrame, groups: DataFrame, index: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of the keys that are alike to another by `similarity` or more, over links between such; all but the least of each.
 
-
-def links(documents: DataFrame, groups: DataFrame, index: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) between keys of alike texts.
-
-    `groups`: key, doc_id, mark of the row that would be kept of each text; `index`: band, key where several texts meet.
+    `rows`: doc_id, mark, text; `groups`: key, doc_id, mark of one row of each text; `index`: band and key, texts of a band meet.
     """
-    rows = documents.join(groups.join(index.select("key").distinct(), "key", "left_semi").select("doc_id", "mark"), _same(documents, groups), "left_semi")
-    sets = written(_sets(rows, shingle).groupBy("key").agg(F.first("hashes").alias("hashes")), "nearcopies-sets")
-    left = index.join(groups, "key")
-    alike, first = None, 1
-    while True:
-        left = written(left, "nearcopies-left")
-        if left.isEmpty():
-            break
-        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(*_order()))).where(F.col("rank") <= first)
-        leaders = written(ranked.select("band", F.col("key").alias("a"), F.col("doc_id").alias("a_id"), F.col("mark").alias("a_mark")), "nearcopies-first")
-        later = F.struct(F.col("doc_id").isNull(), "doc_id", "mark") > F.struct(F.col("a_id").isNull(), "a_id", "a_mark")
-        met = written(left.join(leaders, "band").where(later & (F.col("a") != F.col("key"))).select("band", "a", F.col("key").alias("b")), "nearcopies-met")
-        pairs = met.select("a", "b").distinct()
-        both = pairs.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
+    crowded = index.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    index = written(index.join(crowded.hint("merge"), "band"), "nearcopies-index")
+    meets = index.groupBy("key").agg(F.sum("n").alias("meets"))
+    left = written(index.join(meets, "key").select("band", "key", "meets", F.col("key").alias("of")), "nearcopies-left")
+    wanted = groups.join(meets, "key", "left_semi").select("doc_id", "mark")
+    sets = written(_sets(rows.join(wanted, _same(rows, wanted), "left_semi"), shingle).groupBy("key").agg(F.first("hashes").alias("hashes")), "nearcopies-sets")
+    alike, component, first = None, None, 1
+    while not left.isEmpty():
+        order = Window.partitionBy("band").orderBy(F.desc("meets"), "key")
+        leaders = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+        leaders = written(leaders.select("band", F.col("key").alias("a"), F.col("of").alias("of_a"), F.col("meets").alias("meets_a")), "nearcopies-first")
+        later = (F.col("meets") < F.col("meets_a")) | ((F.col("meets") == F.col("meets_a")) & (F.col("key") > F.col("a")))
+        met = left.join(leaders, "band").where(later & (F.col("of") != F.col("of_a"))).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        both = met.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
         common = F.size(F.array_intersect("ha", "hb"))
-        found = both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b")
-        found = written(found, "nearcopies-found")
+        found = written(both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "nearcopies-found")
         alike = found if alike is None else alike.unionByName(found)
-        done = met.join(found, ["a", "b"], "left_semi").select("band", F.col("b").alias("key")).unionByName(leaders.select("band", F.col("a").alias("key"))).distinct()
-        left, first = left.join(done, ["band", "key"], "left_anti"), first * 4
-    return groups.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0) if alike is None else alike
+        component = connected(alike)
+        left = left.join(leaders.select("band", F.col("a").alias("key")), ["band", "key"], "left_anti").drop("of")
+        left = left.join(component.select(F.col("node").alias("key"), F.col("component").alias("of")), "key", "left").withColumn("of", F.coalesce("of", "key"))
+        left = written(left, "nearcopies-labelled")
+        open_bands = left.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("band")
+        left, first = written(left.join(open_bands, "band", "left_semi"), "nearcopies-left"), first * 4
+    return connected(groups.select(F.col("key").alias("a"), F.col("key").alias("b"))) if component is None else component
 
 
-def _same(documents: DataFrame, kept: DataFrame):
-    return documents["doc_id"].eqNullSafe(kept["doc_id"]) & (documents["mark"] == kept["mark"])
+def _same(rows: DataFrame, kept: DataFrame) -> Column:
+    return rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["mark"] == kept["mark"])
 
 
-def keep_one(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of `documents` (with mark) that `chosen` (doc_id, mark) names, one of each."""
-    kept = documents.join(chosen, _same(documents, chosen), "left_semi")
-    return kept.dropDuplicates(["doc_id", "mark"]).drop("mark")
+def mark(documents: DataFrame) -> Column:
+    """A hash of all columns: rows that share it and the doc_id are the same row."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]).alias("mark")
 
 
-def marked(documents: DataFrame) -> DataFrame:
-    """`documents` with mark, a hash of all columns: rows that share it and the doc_id are the same row."""
-    return documents.withColumn("mark", F.xxhash64(*documents.columns))
+def keep_one(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of `documents` that `chosen` (doc_id, mark) names, one of each."""
+    own = {c: f"own_{c}" for c in documents.columns}
+    rows = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("doc_id"), mark(documents))
+    kept = rows.join(chosen, _same(rows, chosen), "left_semi").dropDuplicates(["doc_id", "mark"])
+    return kept.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
 
 
 def least_row(rows: DataFrame, by: str) -> DataFrame:
     """`by`, doc_id and mark of the row of each group that is kept."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("best")
     return rows.groupBy(by).agg(best).select(by, "best.doc_id", "best.mark")
-
-
-def deduplicate(documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each group of texts linked by a similarity of `similarity` or more."""
-    rows = marked(documents)
-    sketches = written(_sketches(rows, shingle), "nearcopies-sketches")
-    groups = written(least_row(sketches, "key"), "nearcopies-groups")
-    keys = sketches.select("key", F.explode("bands").alias("band")).distinct()
-    crowded = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    index = written(keys.join(crowded.hint("merge"), "band"), "nearcopies-index")
-    component = connected(links(rows, groups, index, shingle, similarity))
-    named = groups.join(component, groups["key"] == component["node"], "left").select("doc_id", "mark", F.coalesce("component", "key").alias("component"))
-    chosen = written(least_row(named, "component").select("doc_id", "mark"), "nearcopies-chosen")
-    return keep_one(rows, chosen).select(*documents.columns)

@@ -10,9 +10,16 @@ themselves: their members are linked through the fingerprints at distance one of
 differ in at most two bits exactly if they have such a neighbour (or themselves) in common. At
 most 65 fingerprints share one, so no group grows with the data, and no link is lost.
 
+`report` takes three words a shingle and links at two bits. `deduplicate` is for texts alike by `SIMILARITY` of their
+five-word shingles, which flips more bits than two (six in the middle, up to eleven, of the 293 such pairs of different
+texts in the 15 MB table): there the neighbourhoods of fingerprints are one source of candidates, keys of least
+hashes (`nearcopies`) are the other, and exact similarity decides.
+
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; texts
-of one or two words are one shingle; repeated rows share a component; a null doc_id is carried along
-and never names a component while another id is there (fingerprints of such rows alone link nothing); an empty table gives no rows.
+of one or two words are one shingle; repeated rows share a component; a null doc_id is carried along, links like any
+other and never names a component while another id is there (one of such rows alone has none); an empty table gives no rows.
+`deduplicate` keeps one row of each component, that of the least (doc_id, row hash), rows without a doc_id last, so
+that rows that share a doc_id but no component stay; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,33 +28,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import nearcopies
 from .common import strings, task, written
 from .components import connected
 
 SHINGLE, SEED, MAX_BUCKET = 3, 42, 32
+#: Words of a shingle and similarity of near copies.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 14
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the word shingles, repeats included."""
-    words = text.lower().split()  # bytes: A-Z only; white space is 09-0D and 20
-    if not words:
-        return 0
-    n = max(1, len(words) - SHINGLE + 1)
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    end = (start + size)[SHINGLE - 1 :] if len(words) >= SHINGLE else np.array([len(joined)])
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    words = nearcopies.normal(text)
+    return combined(nearcopies.hashes(words, shingle)) if words else 0
+
+
+def combined(hashes: np.ndarray) -> int:
+    """The fingerprint of the shingles' hashes."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for k in range(0, n, BLOCK):
-        spans = zip(start[k : min(n, k + BLOCK)].tolist(), end[k : k + BLOCK].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        bits = np.ascontiguousarray(hashes[k : k + BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(bits, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -95,12 +101,10 @@ def components(documents: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of every row: the least doc_id reachable over links."""
     prints = written(fingerprints(documents), "simhash-prints")
     groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-groups")
-    edges = links(groups.select("fp"))
-    rep = groups.where("rep is not null")
-    edges = edges.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    joined = connected(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    named = groups.join(joined, groups.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = written(named, "simhash-named")  # a table of its own, so that Spark can split the join's hot keys
+    joined = connected(links(groups.select("fp")))
+    named = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("at"))
+    least = named.groupBy("at").agg(F.min("rep").alias("component_id"))
+    named = written(named.join(least, "at").select("fp", "component_id"), "simhash-named")  # a table of its own, so that Spark can split the join's hot keys
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -109,7 +113,41 @@ def report(documents: DataFrame) -> DataFrame:
     return components(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
-    """One row of each component: that of its least doc_id."""
-    kept = components(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+def _sketches(documents: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, mark (the row's hash), key (the text's), fp and bands of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, prints, found = [], [], []
+            for words in nearcopies.texts(batch):
+                h = nearcopies.hashes(words, shingle)
+                keys.append(nearcopies.key_of(words))
+                prints.append(combined(h) if len(h) else 0)
+                found.append(nearcopies.bands(np.unique(h)))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["mark"], pa.array(keys, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "key", "fp", "bands"],
+            )
+
+    return documents.mapInArrow(task(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, mark long, key long, fp long, bands array<long>")
+
+
+def neighbourhoods(prints: DataFrame) -> DataFrame:
+    """band and key: texts (key, fp) that share a fingerprint or link with the same one are of one band, which that names."""
+    edges = links(prints.select("fp").distinct()).select(F.col("a").alias("fp"), F.col("b").alias("centre"))
+    near = edges.unionByName(edges.select(F.col("centre").alias("fp"), "centre")).unionByName(prints.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.col("fp").alias("centre")))
+    near = written(near.distinct(), "simhash-near")  # a table of its own, so that Spark can split the join's hot keys
+    return prints.join(near, "fp").select(F.xxhash64(F.lit("fingerprint"), "centre").alias("band"), "key")
+
+
+def deduplicate(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of texts linked by a similarity of `similarity` or more of their shingles."""
+    rows = documents.select("doc_id", nearcopies.mark(documents), "text")
+    sketches = written(_sketches(rows, shingle), "nearcopies-sketches")
+    groups = written(nearcopies.least_row(sketches, "key"), "nearcopies-groups")
+    index = sketches.select("key", F.explode("bands").alias("band")).distinct()
+    index = index.unionByName(neighbourhoods(written(sketches.select("key", "fp").distinct(), "nearcopies-prints")).select("key", "band"))
+    component = nearcopies.components(rows, groups, index, shingle, similarity)
+    named = groups.join(component, groups["key"] == component["node"], "left").select("doc_id", "mark", F.coalesce("component", "key").alias("component"))
+    chosen = written(nearcopies.least_row(named, "component").select("doc_id", "mark"), "nearcopies-chosen")
+    return nearcopies.keep_one(documents, chosen)
