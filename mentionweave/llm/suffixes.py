@@ -136,12 +136,14 @@ class Shard:
                 key = known[at] * (len(firsts[-1]) + 1) + known[at + step]
             else:
                 key = word[at]
-            found, first, number = np.unique(key, return_index=True, return_inverse=True)
+            by = np.argsort(key)
+            key = key[by]
+            new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
             block = np.zeros(off[-1], np.int64)
-            block[at] = number
-            words = words if k else found
+            block[at[by]] = np.cumsum(new) - 1
+            words = words if k else key[new]
             blocks.append(block)
-            firsts.append(at[first])
+            firsts.append(at[by[new]])
         return cls(np.flatnonzero(left >= WINDOW), words, blocks, firsts)
 
     def order(self) -> np.ndarray:
@@ -149,32 +151,26 @@ class Shard:
         return self.starts[np.argsort(self.blocks[-1][self.starts], kind="stable")]
 
 
-def interleave(lists: list[np.ndarray]) -> np.ndarray:
-    """Merge sorted lists of distinct keys into one, two at a time, without sorting what is sorted."""
-    while len(lists) > 1:
-        merged = []
-        for a, b in zip(lists[::2], lists[1::2], strict=False):
-            at = np.searchsorted(a, b)
-            new = (at == len(a)) | (a[np.minimum(at, len(a) - 1)] != b) if len(a) else np.ones(len(b), bool)
-            merged.append(np.insert(a, at[new], b[new]))
-        if len(lists) % 2:
-            merged.append(lists[-1])
-        lists = merged
-    return lists[0]
+def interleave(lists: list[np.ndarray]) -> tuple[int, list[np.ndarray]]:
+    """Merge sorted lists of distinct keys: how many differ, and the place of each list's keys among them."""
+    keys = np.concatenate(lists)
+    at = np.argsort(keys, kind="stable")  # finds the sorted runs and merges them
+    keys = keys[at]
+    place = np.empty(len(keys), np.int64)
+    place[at] = np.cumsum(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]) - 1
+    return int(place.max(initial=-1)) + 1, np.split(place, np.cumsum([len(x) for x in lists])[:-1])
 
 
-def refined(shards: list[Shard], rounds: int = len(LEVELS)) -> list[np.ndarray]:
+def refined(shards: list[Shard]) -> list[np.ndarray]:
     """For each shard the place of its blocks of the last level in the merged order of all shards' blocks."""
-    order = interleave([s.words for s in shards])
-    place = [np.searchsorted(order, s.words) for s in shards]
-    for k in range(1, rounds):
+    n, place = interleave([s.words for s in shards])
+    for k in range(1, len(LEVELS)):
         step = LEVELS[k] - LEVELS[k - 1]
         lists = []
         for s, at in zip(shards, place, strict=True):
             known, first = s.blocks[k - 1], s.firsts[k]
-            lists.append(at[known[first]] * (len(order) + 1) + at[known[first + step]])
-        order = interleave(lists)
-        place = [np.searchsorted(order, x) for x in lists]
+            lists.append(at[known[first]] * (n + 1) + at[known[first + step]])
+        n, place = interleave(lists)
     return place
 
 
