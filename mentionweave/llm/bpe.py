@@ -10,9 +10,10 @@ agree. The lookahead is bounded, as branches start at most one longest token bac
 Decoding. Token ids become bytes by table; a UTF-8 state machine carries the unfinished tail of
 one block of ids over to the next, so text comes out while ids still arrive.
 
-Defined results: null and empty texts have no tokens; ids outside the vocabulary raise KeyError in
-`decode`; repeated rows are encoded row by row; columns beyond doc_id and text are ignored by `digests`
-and carried along by `encode_column`.
+Defined results: null and empty texts have no tokens; bytes that are no UTF-8 are read as U+FFFD, as Python's own
+replacement does, and decode to it; ids outside the vocabulary raise KeyError in `decode`; repeated rows are encoded row
+by row; an empty table gives no rows; columns beyond doc_id and text are ignored by `digests` and carried along by
+`encode_column` and `decode_column`, whose result takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pathlib import Path
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import task
+from .common import fields_of, replacing, set_apart, task
 
 #: Transitions and remembered pieces that one worker keeps before it starts anew.
 MAX_TRANSITIONS, MAX_PIECES = 500_000, 350_000
@@ -271,6 +273,12 @@ def encoded(path: str, pattern: str, texts: Iterable[str | None]) -> Iterator[li
         yield out
 
 
+def texts_of(array: pa.Array) -> Iterator[str]:
+    """The texts of a string column; null is empty, and what is no UTF-8 becomes U+FFFD."""
+    for x in array.cast(pa.binary()):
+        yield (x.as_py() or b"").decode("utf-8", "replace")
+
+
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, through encode and decode."""
 
@@ -279,7 +287,7 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         names = {i: b"%d" % i for i in t.bytes_of}
         for batch in batches:
             count, ids_hash, text_hash = [], [], []
-            for pieces in encoded(path, pattern, (x.as_py() for x in batch["text"])):
+            for pieces in encoded(path, pattern, texts_of(batch["text"])):
                 ids = list(chain.from_iterable(pieces))
                 count.append(len(ids))
                 ids_hash.append(hashlib.sha256(b" ".join(map(names.__getitem__, ids))).hexdigest())
@@ -290,34 +298,32 @@ def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         forget_pieces(path, pattern)
 
-    return documents.select("doc_id", "text").mapInArrow(task(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(task(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(documents: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`documents` with an array of token ids appended."""
-    names = documents.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    """`documents` with an array of token ids appended, in place of a column of that name."""
+    apart, own = set_apart(documents, F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [list(chain.from_iterable(pieces)) for pieces in encoded(path, pattern, (x.as_py() for x in batch[text]))]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.list_(pa.int32()))], [*names, ids])
+            out = [list(chain.from_iterable(pieces)) for pieces in encoded(path, pattern, texts_of(batch["text"]))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own.values()), pa.array(out, pa.list_(pa.int32()))], [*own.values(), "ids"])
         forget_pieces(path, pattern)
 
-    return documents.mapInArrow(task(run), f"{fields}, `{ids}` array<int>")
+    done = apart.mapInArrow(task(run), f"{fields_of(apart.drop('text'))}, ids array<int>")
+    return replacing(done.withColumnRenamed("ids", ids), own, [ids])
 
 
 def decode_column(encoded_rows: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """`encoded_rows` with the text of an array of ids appended."""
-    names = encoded_rows.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded_rows.schema.fields)
+    """`encoded_rows` with the text of an array of ids appended, in place of a column of that name."""
+    apart, own = set_apart(encoded_rows, F.col(f"`{ids}`").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, _ = transducer(path, pattern)
         for batch in batches:
-            out = ["".join(t.decode(x.as_py() or ())) for x in batch[ids]]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, pa.string())], [*names, text])
-
-    return encoded_rows.mapInArrow(task(run), f"{fields}, `{text}` string")
-
+            out = ["".join(t.decode(x.as_py() or ())) for x in batch["ids"]]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own.values()), pa.array(out, pa.string())], [*own.values(), "decoded"])
 
+    done = apart.mapInArrow(task(run), f"{fields_of(apart.drop('ids'))}, decoded string")
+    return replacing(done.withColumnRenamed("decoded", text), own, [text])
