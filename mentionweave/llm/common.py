@@ -110,6 +110,13 @@ def sample_ids(ids: DataFrame, key: str, bound: int, salt: int) -> DataFrame:
     return ids.orderBy(h, key).limit(bound)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def task(run: Callable) -> Callable:
     """`run` for mapInArrow; at its end the worker gives freed memory back, as it may idle beside other stages."""
 
@@ -118,9 +125,7 @@ def task(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields_of, held_out, replacing, set_apart, steps, strings, task
+from .common import fields_of, give_back, held_out, replacing, set_apart, steps, strings, task
 from .features import gram_ids
 from .nearcopies import hashes, normal
 
@@ -39,6 +39,8 @@ GRAMS, BITS, DIM = (2, 3, 4), 15, 16
 MAX_TRAIN, MAX_LANGS, MAX_CHARS = 3000, 200, 20_000
 #: Share of whole held-back texts that the least score may cost, and how likely of no language a rejected text is.
 REJECT_RATE, NONE = 0.001, 0.5
+#: Most characters of an example of no language.
+FOREIGN = 1000
 #: The class of no language.
 NO_LANGUAGE = ""
 
@@ -82,18 +84,19 @@ def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(text, np.uint8)
     ids = np.concatenate([gram_ids(b, np.array([0, len(b)]), g, BITS).astype(np.int64) + k * width for k, g in enumerate(GRAMS)]) if len(b) else np.zeros(0, np.int64)
     ids, n = np.unique(ids[ids % width != 1 << BITS], return_counts=True)
-    return ids, n / max(1, n.sum())
+    return ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def _foreign(text: str, rng: np.random.Generator) -> str:
-    """A text of no language: the letters of `text` in place of each other, or random words about as long."""
+    """A text of no language: the letters of a part of `text` in place of each other, or random words about as long."""
+    text = text[: int(rng.integers(40, FOREIGN))]
     kind = rng.integers(0, 4)
     if kind < 2:
         letters = sorted({c for c in text.lower() if c.isalpha()} | set("abcdefghijklmnopqrstuvwxyz") | (set("äöüåæøőűčšžłńśżğışēāţã") if kind else set()))
         return text.lower().translate({ord(a): letters[k] for a, k in zip(letters, rng.permutation(len(letters)), strict=True)})
     scripts = ((97, 123), (48, 58), (0x430, 0x450), (0x3B1, 0x3CA), (0x5D0, 0x5EB), (0x627, 0x64B), (0x905, 0x93A), (0xE01, 0xE2F), (0x3041, 0x3097), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (33, 127))
     low, high = scripts[rng.integers(0, len(scripts))]
-    sizes = rng.integers(1, 12 if kind == 2 else 40, max(1, min(400, len(text) // 6)))
+    sizes = rng.integers(1, 12 if kind == 2 else 40, max(1, len(text) // 6))
     return " ".join("".join(map(chr, rng.integers(low, high, n))) for n in sizes.tolist())
 
 
@@ -119,7 +122,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.0,
             held.append((texts[i], langs[i]))
     whole = len(held)
     if refuse:
-        trained += [(_foreign(t, rng), NO_LANGUAGE) for t, _ in trained]
+        trained += [(_foreign(t, rng), NO_LANGUAGE) for t, _ in trained[::2]]
         held += [(_foreign(t, rng), NO_LANGUAGE) for t, _ in held]
     names = sorted(set(langs)) + [NO_LANGUAGE] * refuse
     number = {n: k for k, n in enumerate(names)}
@@ -159,6 +162,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.0,
         model.temperature = float(grid[int(np.argmin(loss))])
         best = _softmax(z / model.temperature)[:, : len(names) - refuse].max(1)
         model.threshold = float(np.quantile(best[full], REJECT_RATE) / 2) if full.any() else 0.0
+    del bags, emb, seen
+    give_back()
     return model
 
 
