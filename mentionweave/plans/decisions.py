@@ -27,31 +27,45 @@ def final_status(identifier_status: Column, resolution: Column, model_decision:
 PUBLIC, VERIFIED = "identified_public_firm", "identified_verified_company_no_public_id"
 
 
-#: What a rule decides: (status, rule or None for the action itself, identifiers or None, included).
-#: Reviews first, then actions, then extensions; of each kind the first that holds counts.
+#: Columns of which the first with text names the firm, by what the rule trusts.
+NAMES = {
+    "recovered": ("candidate_conm", "candidate_name", "candidate_original_name", "candidate_bridge_name", "suggested_alias_name"),
+    "evidence": ("candidate_conm", "candidate_name", "suggested_alias_name", "candidate_input_name"),
+    "candidate": ("candidate_conm", "candidate_name", "suggested_alias_name"),
+    "reviewed": ("partial_candidate_name", "candidate_conm", "candidate_name", "suggested_alias_name"),
+    "verified": ("partial_candidate_name", "suggested_alias_name", "competitor_name"),
+    "note": ("note2",),
+    "alias": ("suggested_alias_name", "candidate_input_name", "competitor_name"),
+    "partial": ("partial_candidate_name", "suggested_alias_name"),
+    "given": ("suggested_alias_name", "candidate_input_name", "competitor_name_standardized", "competitor_name"),
+}
+#: What a rule decides: (status, rule or None for the action itself, identifiers or None, included, where the
+#: decision comes from, names or None). Reviews first, then actions, then extensions; of each kind the first that holds counts.
 REVIEWS = (
-    (VERIFIED, "manual_decision_approve_verified_company_no_id", "none", True),
-    ("unresolved_unclear", "manual_unclear", None, False),
-    ("dropped_human_rejected", "manual_reject", None, False),
-    (PUBLIC, "manual_decision_approve_public_id", "reviewed", True),
-    (VERIFIED, "manual_decision_approve_verified_company_no_id", "none", True),
-    (VERIFIED, "reviewer_note_used_as_corrected_firm_name_no_id", "none", True),
-    ("unresolved_rejected_wrong_partial_candidate", "manual_reject_no_corrected_name", None, False),
-    ("unresolved_unclear", "manual_unclear", None, False),
+    (VERIFIED, "manual_decision_approve_verified_company_no_id", "none", True, "step3_human_approved_verified_no_id", "alias"),
+    ("unresolved_unclear", "manual_unclear", None, False, "step3_human_unclear", None),
+    ("dropped_human_rejected", "manual_reject", None, False, "step3_human_rejected", None),
+    (PUBLIC, "manual_decision_approve_public_id", "reviewed", True, "step2_human_approved_public_id", "reviewed"),
+    (VERIFIED, "manual_decision_approve_verified_company_no_id", "none", True, "step2_human_approved_verified_no_id", "verified"),
+    (VERIFIED, "reviewer_note_used_as_corrected_firm_name_no_id", "none", True, "step2_human_corrected_wrong_candidate", "note"),
+    ("unresolved_rejected_wrong_partial_candidate", "manual_reject_no_corrected_name", None, False, "step2_human_rejected_candidate", None),
+    ("unresolved_unclear", "manual_unclear", None, False, "step2_human_unclear", None),
 )
 ACTED = (
-    (PUBLIC, None, "proposed", True),
-    (VERIFIED, None, "none", True),
-    (PUBLIC, "valid_identifier_candidate_retained", "own", True),
-    (VERIFIED, "firm_like_candidate_no_public_id", "none", True),
+    (PUBLIC, None, "proposed", True, "step8_previously_recovered_public_id", "recovered"),
+    (VERIFIED, None, "none", True, "step8_company_evidence_no_public_id", "evidence"),
+    (PUBLIC, "valid_identifier_candidate_retained", "own", True, "step8_broad_public_candidate_accepted_by_wrapup", "candidate"),
+    (VERIFIED, "firm_like_candidate_no_public_id", "none", True, "step8_public_candidate_without_identifier", "candidate"),
 )
 EXTENDED = (
-    (PUBLIC, "exact_or_legal_partial_external_with_identifier_no_risk_terms", "partial", True),
-    (VERIFIED, "exact_or_legal_partial_external_no_risk_terms", "none", True),
-    (VERIFIED, "llm_company_like_confidence_ge_90_no_external_id", "none", True),
-    (VERIFIED, "unresolved_name_contains_legal_entity_suffix_no_public_id", "none", True),
-    ("unresolved_risky_partial_external_excluded", "partial_external_evidence_risky_not_exported", None, False),
+    (PUBLIC, "exact_or_legal_partial_external_with_identifier_no_risk_terms", "partial", True, "step2_rule_extended_strict_public_id", "partial"),
+    (VERIFIED, "exact_or_legal_partial_external_no_risk_terms", "none", True, "step2_rule_extended_verified_no_id", "partial"),
+    (VERIFIED, "llm_company_like_confidence_ge_90_no_external_id", "none", True, "step3_rule_extended_high_confidence_no_id", "alias"),
+    (VERIFIED, "unresolved_name_contains_legal_entity_suffix_no_public_id", "none", True, "step9_legal_suffix_verified_no_id", "alias"),
+    ("unresolved_risky_partial_external_excluded", "partial_external_evidence_risky_not_exported", None, False, None, None),
 )
+#: What stands where no rule holds.
+NO_RULE, NO_SOURCE = "no_safe_final_recovery_rule", "step9_unresolved_excluded"
 
 
 def _which(conditions: list[Column]) -> Column:
@@ -64,13 +78,15 @@ def _pick(table: tuple, which: str, field: int) -> Column:
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """`rows` with final_status, final_rule, final_gvkey, final_cik and include.
+    """`rows` with final_status, final_rule, final_source, final_name, final_gvkey, final_cik, identifier_status and include.
 
     `rows` has action, dec2, note2, dec3, exactish, risky, confident, legal_suffix, and gvkey and cik of the
-    candidate, of the consolidation (proposed_) and of partial evidence (partial_). Decisions of the
-    third review come before those of the second, those before the action's; rules are extended only where
-    none of these decided. A review that names no identifiers keeps those of the other review or the action.
+    candidate, of the consolidation (proposed_) and of partial evidence (partial_); ciq_gvkey and the columns of NAMES
+    count as empty where they are missing. Decisions of the third review come before those of the second, those before
+    the action's; rules are extended only where none of these decided. A review that names no identifiers or no firm
+    keeps those of the other review or the action.
     """
+    rows = rows.withColumns({c: F.lit("") for c in {"ciq_gvkey", *(c for cs in NAMES.values() for c in cs)} - set(rows.columns)})
     dec2, dec3, note, action = (names.no_null_word(c) for c in ("dec2", "dec3", "note2", "action"))
     broad, wrong = action == "manual_review_public_candidate", dec2 == "reject_wrong_match_or_nonfirm"
     left = action.isin("unresolved_no_accepted_evidence", "remain_unresolved_reason_coded")
@@ -90,20 +106,26 @@ def decide(rows: DataFrame) -> DataFrame:
     review = F.coalesce("__third", "__second")
     marked = marked.withColumns({"__review": review, "__more": F.when(review.isNull() & F.col("__act").isNull(), F.col("__more"))})
     first = lambda field: F.coalesce(_pick(REVIEWS, "__review", field), _pick(ACTED, "__act", field), _pick(EXTENDED, "__more", field))
-    kind = F.coalesce(_pick(REVIEWS, "__third", 2), _pick(REVIEWS, "__second", 2), _pick(ACTED, "__act", 2), _pick(EXTENDED, "__more", 2))
+    kept = lambda field: F.coalesce(_pick(REVIEWS, "__third", field), _pick(REVIEWS, "__second", field), _pick(ACTED, "__act", field), _pick(EXTENDED, "__more", field))
+    kind = kept(2)
+    clean = {c: f"__text_{c}" for c in sorted({c for cs in NAMES.values() for c in cs})}
+    marked = marked.withColumns({"__named": F.coalesce(kept(5), F.lit("given"))} | {n: ids.first_text([c]) for c, n in clean.items()})
+    full = lambda columns: F.coalesce(*[F.nullif(F.col(clean[c]), F.lit("")) for c in columns], F.lit(""))
+    marked = marked.withColumn("final_name", F.coalesce(*[F.when(F.col("__named") == k, full(columns)) for k, columns in NAMES.items()])).drop(*clean.values())
+    identified = F.when(kind == "none", "verified_company_no_public_identifier").when(kind.isNotNull(), "public_identifier_available").otherwise("unresolved_excluded")
     rule = F.when(review.isNull() & F.col("__act").isin(0, 1), action).otherwise(first(1))
-    out = marked.withColumns({"final_status": F.coalesce(first(0), F.lit("unresolved_no_safe_candidate_excluded")), "final_rule": F.coalesce(rule, F.lit("")), "include": F.coalesce(first(3), F.lit(False)), "__kind": kind})
+    out = marked.withColumns({"final_status": F.coalesce(first(0), F.lit("unresolved_no_safe_candidate_excluded")), "final_rule": F.coalesce(rule, F.lit(NO_RULE)), "final_source": F.coalesce(first(4), F.lit(NO_SOURCE)), "identifier_status": identified, "include": F.coalesce(first(3), F.lit(False)), "__kind": kind})
     for at in ("gvkey", "cik"):
         value = (
             F.when(F.col("__kind") == "none", "-99999")
             .when(F.col("__kind") == "reviewed", ids.first_valid([f"partial_{at}", at, f"proposed_{at}"]))
-            .when(F.col("__kind") == "proposed", ids.first_valid([f"proposed_{at}", at]))
+            .when(F.col("__kind") == "proposed", ids.first_valid([f"proposed_{at}", at, *(["ciq_gvkey"] if at == "gvkey" else [])]))
             .when(F.col("__kind") == "own", ids.first_valid([at, f"proposed_{at}"]))
             .when(F.col("__kind") == "partial", ids.first_valid([f"partial_{at}", at]))
             .otherwise("-1")
         )
         out = out.withColumn(f"final_{at}", value)
-    return out.drop("__third", "__second", "__act", "__more", "__review", "__kind")
+    return out.drop("__third", "__second", "__act", "__more", "__review", "__kind", "__named")
 
 
 def best_decision(decisions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from . import candidates as C
 from . import decisions as D
 from . import oracle as S
 from . import recovery as R
+from . import rescue as X
 from .derived import BRIDGE_SQL, bridge
 from .registering import collection
 
@@ -160,10 +161,14 @@ select p_partkey, case when refined = 'already_resolved_in_step85' then 'already
  when refined = 'needs_manual_review_broad_alias' then 'manual_review_public_candidate' when refined = 'company_evidence_public_identifier_missing' and near then 'verified_company_no_public_identifier' when refined = 'company_evidence_public_identifier_missing' then 'manual_review_company_no_identifier'
  when refined = 'no_external_evidence' and pattern <> '' then 'remain_unresolved_reason_coded' when refined = 'no_external_evidence' then 'remain_unresolved_no_evidence' else 'manual_review_residual' end action,
  case when refined = 'already_resolved_in_step85' or (refined = 'recovered_public_identifier_refined' and has_public and n_public_ids <= 1) then gvkey when ciq_upgrade and refined in ('recovered_public_identifier_refined', 'company_evidence_public_identifier_missing', 'no_external_evidence') then ciq_gvkey
- when refined = 'needs_manual_review_broad_alias' then case when has_public then gvkey else ciq_gvkey end when refined = 'company_evidence_public_identifier_missing' then '-99999' when refined = 'no_external_evidence' then '-1' else gvkey end gvkey from r""")
+ when refined = 'needs_manual_review_broad_alias' then case when has_public then gvkey else ciq_gvkey end when refined = 'company_evidence_public_identifier_missing' then '-99999' when refined = 'no_external_evidence' then '-1' else gvkey end gvkey,
+ case when refined = 'already_resolved_in_step85' then 'do_not_reprocess' when refined = 'recovered_public_identifier_refined' and ((has_public and n_public_ids <= 1) or ciq_upgrade) then 'auto_accept_candidate' when refined = 'company_evidence_public_identifier_missing' and ciq_upgrade then 'auto_accept_candidate'
+  when refined = 'company_evidence_public_identifier_missing' and near then 'auto_accept_verified_company_no_id' when refined = 'no_external_evidence' and not ciq_upgrade then 'leave_unresolved' else 'manual_review' end decision,
+ case when refined = 'recovered_public_identifier_refined' and not (has_public and n_public_ids <= 1) and ciq_upgrade then '' when ciq_upgrade and refined in ('company_evidence_public_identifier_missing', 'no_external_evidence') then ''
+  when refined = 'company_evidence_public_identifier_missing' then '-99999' when refined = 'no_external_evidence' then '-1' else cik end cik from r""")
 def _(t):
     s = t("part").selectExpr(*[x.strip() for x in _split(_CONS)])
-    return s.select("p_partkey", R.consolidate().alias("d")).select("p_partkey", "d.action", "d.gvkey")
+    return s.select("p_partkey", R.consolidate().alias("d")).select("p_partkey", "d.action", "d.decision", "d.gvkey", "d.cik")
 
 
 def _split(sql: str) -> list[str]:
@@ -195,13 +200,19 @@ _DECIDE = f"""p_partkey as record_id, p_partkey % 700 as merge_key, p_size as fr
  case p_partkey % 23 when 0 then 'approve_public_id' when 1 then 'approve_verified_company_no_id' when 2 then 'reject_wrong_match_or_nonfirm' when 3 then 'reject_wrong_match_or_nonfirm' when 4 then 'unclear' else '' end as dec2, case p_partkey % 23 when 2 then 'NEW NAME' else '' end as note2,
  case p_partkey % 29 when 0 then 'approve_verified_company_no_id' when 1 then 'unclear' when 2 then 'human_reject' else '' end as dec3, p_partkey % 2 = 0 as exactish, p_partkey % 5 = 0 as risky, p_partkey % 3 = 0 as confident, p_partkey % 7 < 3 as legal_suffix,
  case p_partkey % 4 when 0 then '-1' else concat('G', p_size) end as gvkey, case p_partkey % 3 when 0 then '-99999' else concat('C', p_size) end as cik, case p_partkey % 6 when 0 then concat('PG', p_size) else '' end as proposed_gvkey, '' as proposed_cik,
- case p_partkey % 5 when 1 then concat('XG', p_size) else '' end as partial_gvkey, '-88888' as partial_cik"""
+ case p_partkey % 5 when 1 then concat('XG', p_size) else '' end as partial_gvkey, '-88888' as partial_cik, case p_partkey % 7 when 0 then 'XW7' else '' end as ciq_gvkey,
+ case p_partkey % 11 when 0 then ' ' else concat('CONM ', p_size) end as candidate_conm, concat('CAND ', p_size) as candidate_name, case p_partkey % 2 when 0 then 'nan' else concat('ALIAS ', p_size) end as suggested_alias_name,
+ concat('INPUT ', p_size) as candidate_input_name, case p_partkey % 3 when 0 then '' else concat('PART ', p_size) end as partial_candidate_name, concat('NAME ', p_size) as competitor_name, '' as competitor_name_standardized"""
 
 
 def _valid(*columns: str) -> str:
     return "coalesce(" + ", ".join(f"case when {S.valid_id(c, 'final')} then {S.clean_id(c)} end" for c in columns) + ", '-1')"
 
 
+def _text(*columns: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(trim(case when lower(trim({c})) in ('nan', 'none', 'null', '<na>') then '' else {c} end), '')" for c in columns) + ", '')"
+
+
 _DECIDED_SQL = f"""s as (select {_DECIDE} from part),
 b as (select *, case when action = 'auto_recover_public_identifier' then 'P' when action = 'verified_company_no_public_identifier' then 'V' when action = 'manual_review_public_candidate' then case when {_valid('gvkey', 'cik', 'proposed_gvkey', 'proposed_cik')} <> '-1' then 'Q' else 'W' end end act,
  case when dec3 = 'approve_verified_company_no_id' then 'v' when dec3 = 'unclear' then 'u' when contains(dec3, 'reject') then 'r' when dec2 = 'approve_public_id' then 'p' when dec2 = 'approve_verified_company_no_id' then 'v' when dec2 = 'reject_wrong_match_or_nonfirm' and note2 <> '' then 'n'
@@ -212,14 +223,30 @@ e as (select *, case when rev is not null or act is not null then null when acti
 d as (select record_id, merge_key, frequency,
  case when rev in ('v', 'n') then 'identified_verified_company_no_public_id' when rev = 'u' then 'unresolved_unclear' when rev = 'r' then 'dropped_human_rejected' when rev = 'p' then 'identified_public_firm' when rev = 'x' then 'unresolved_rejected_wrong_partial_candidate'
   when act in ('P', 'Q') then 'identified_public_firm' when act in ('V', 'W') then 'identified_verified_company_no_public_id' when ext = 'a' then 'identified_public_firm' when ext in ('b', 'c', 'd') then 'identified_verified_company_no_public_id' when ext = 'k' then 'unresolved_risky_partial_external_excluded' else 'unresolved_no_safe_candidate_excluded' end final_status,
- case when rev in ('v', 'n') then '-99999' when dec2 = 'approve_public_id' and rev in ('p', 'u', 'r') then {_valid('partial_gvkey', 'gvkey', 'proposed_gvkey')} when rev in ('u', 'r') and (dec2 = 'approve_verified_company_no_id' or (dec2 = 'reject_wrong_match_or_nonfirm' and note2 <> '')) then '-99999' when act = 'P' then {_valid('proposed_gvkey', 'gvkey')} when act = 'Q' then {_valid('gvkey', 'proposed_gvkey')} when act in ('V', 'W') then '-99999'
+ case when rev in ('v', 'n') then '-99999' when dec2 = 'approve_public_id' and rev in ('p', 'u', 'r') then {_valid('partial_gvkey', 'gvkey', 'proposed_gvkey')} when rev in ('u', 'r') and (dec2 = 'approve_verified_company_no_id' or (dec2 = 'reject_wrong_match_or_nonfirm' and note2 <> '')) then '-99999' when act = 'P' then {_valid('proposed_gvkey', 'gvkey', 'ciq_gvkey')} when act = 'Q' then {_valid('gvkey', 'proposed_gvkey')} when act in ('V', 'W') then '-99999'
   when ext = 'a' then {_valid('partial_gvkey', 'gvkey')} when ext in ('b', 'c', 'd') then '-99999' else '-1' end final_gvkey,
+ case when rev in ('v', 'n') then '-99999' when dec2 = 'approve_public_id' and rev in ('p', 'u', 'r') then {_valid('partial_cik', 'cik', 'proposed_cik')} when rev in ('u', 'r') and (dec2 = 'approve_verified_company_no_id' or (dec2 = 'reject_wrong_match_or_nonfirm' and note2 <> '')) then '-99999' when act = 'P' then {_valid('proposed_cik', 'cik')} when act = 'Q' then {_valid('cik', 'proposed_cik')} when act in ('V', 'W') then '-99999'
+  when ext = 'a' then {_valid('partial_cik', 'cik')} when ext in ('b', 'c', 'd') then '-99999' else '-1' end final_cik,
+ case when dec3 = 'unclear' or dec3 like '%reject%' then case when dec3 = 'unclear' then 'manual_unclear' else 'manual_reject' end when dec3 <> '' or dec2 = 'approve_verified_company_no_id' then 'manual_decision_approve_verified_company_no_id' when dec2 = 'approve_public_id' then 'manual_decision_approve_public_id'
+  when rev = 'n' then 'reviewer_note_used_as_corrected_firm_name_no_id' when rev = 'x' then 'manual_reject_no_corrected_name' when rev = 'u' then 'manual_unclear' when act in ('P', 'V') then action when act = 'Q' then 'valid_identifier_candidate_retained' when act = 'W' then 'firm_like_candidate_no_public_id'
+  when ext = 'a' then 'exact_or_legal_partial_external_with_identifier_no_risk_terms' when ext = 'b' then 'exact_or_legal_partial_external_no_risk_terms' when ext = 'c' then 'llm_company_like_confidence_ge_90_no_external_id' when ext = 'd' then 'unresolved_name_contains_legal_entity_suffix_no_public_id'
+  when ext = 'k' then 'partial_external_evidence_risky_not_exported' else 'no_safe_final_recovery_rule' end final_rule,
+ case when dec3 <> '' then case dec3 when 'unclear' then 'step3_human_unclear' when 'human_reject' then 'step3_human_rejected' else 'step3_human_approved_verified_no_id' end
+  when dec2 <> '' then case when dec2 = 'approve_public_id' then 'step2_human_approved_public_id' when dec2 = 'approve_verified_company_no_id' then 'step2_human_approved_verified_no_id' when rev = 'n' then 'step2_human_corrected_wrong_candidate' when rev = 'x' then 'step2_human_rejected_candidate' else 'step2_human_unclear' end
+  else coalesce(case act when 'P' then 'step8_previously_recovered_public_id' when 'V' then 'step8_company_evidence_no_public_id' when 'Q' then 'step8_broad_public_candidate_accepted_by_wrapup' when 'W' then 'step8_public_candidate_without_identifier' end,
+   case ext when 'a' then 'step2_rule_extended_strict_public_id' when 'b' then 'step2_rule_extended_verified_no_id' when 'c' then 'step3_rule_extended_high_confidence_no_id' when 'd' then 'step9_legal_suffix_verified_no_id' end, 'step9_unresolved_excluded') end final_source,
+ case when dec3 = 'approve_verified_company_no_id' then {_text('suggested_alias_name', 'candidate_input_name', 'competitor_name')} when dec2 = 'approve_public_id' then {_text('partial_candidate_name', 'candidate_conm', 'candidate_name', 'suggested_alias_name')}
+  when dec2 = 'approve_verified_company_no_id' then {_text('partial_candidate_name', 'suggested_alias_name', 'competitor_name')} when dec2 = 'reject_wrong_match_or_nonfirm' and note2 <> '' then note2
+  when act = 'P' then {_text('candidate_conm', 'candidate_name', 'suggested_alias_name')} when act = 'V' then {_text('candidate_conm', 'candidate_name', 'suggested_alias_name', 'candidate_input_name')} when act in ('Q', 'W') then {_text('candidate_conm', 'candidate_name', 'suggested_alias_name')}
+  when ext in ('a', 'b') then {_text('partial_candidate_name', 'suggested_alias_name')} else {_text('suggested_alias_name', 'candidate_input_name', 'competitor_name')} end final_name,
+ case when dec3 = 'approve_verified_company_no_id' or dec2 = 'approve_verified_company_no_id' or (dec2 = 'reject_wrong_match_or_nonfirm' and note2 <> '') then 'verified_company_no_public_identifier' when dec2 = 'approve_public_id' then 'public_identifier_available'
+  when act in ('P', 'Q') or ext = 'a' then 'public_identifier_available' when act in ('V', 'W') or ext in ('b', 'c', 'd') then 'verified_company_no_public_identifier' else 'unresolved_excluded' end identifier_status,
  coalesce(rev in ('v', 'n', 'p') or (rev is null and (act is not null or ext in ('a', 'b', 'c', 'd'))), false) include from e)"""
 
 
-@query("final_actions", f"with {_DECIDED_SQL} select record_id, final_status, final_gvkey, include from d")
+@query("final_actions", f"with {_DECIDED_SQL} select record_id, final_status, final_rule, final_source, final_name, final_gvkey, final_cik, identifier_status, include from d")
 def _(t):
-    return D.decide(t("part").selectExpr(*_split(_DECIDE))).select("record_id", "final_status", "final_gvkey", "include")
+    return D.decide(t("part").selectExpr(*_split(_DECIDE))).select("record_id", "final_status", "final_rule", "final_source", "final_name", "final_gvkey", "final_cik", "identifier_status", "include")
 
 
 @query("best_decisions", f"with {_DECIDED_SQL} select merge_key, record_id, final_status from (select *, row_number() over (partition by merge_key order by include desc, frequency desc, record_id) k from d) where k = 1")
@@ -252,3 +279,100 @@ def _(t):
     o = t("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", fiscal_year("o_orderdate").alias("fyear"))
     m = o.join(t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("competitor"), F.col("l_linenumber").alias("competitor_order")), F.col("o_orderkey") == F.col("l_orderkey"))
     return D.edges(m, ["o_custkey", "fyear", "competitor"])
+
+
+# Rescue, residual and dated candidates meet their lists through the same keys: hits under the recovery name, and under it without legal forms.
+_OUTSIDE = "case p_partkey % 4 when 0 then 'REPRISK' when 1 then 'CIQ_COMMON' when 2 then 'TRUCOST' else 'CAPITAL_IQ' end"
+_OUTSIDE_NAME = "concat('K', cast(p_partkey % 5000 as string), ' ', p_name, case p_partkey % 3 when 0 then ' Incorporated' when 1 then ' Ltd' else '' end)"
+_IDENTIFIED = "concat('K', cast(p_partkey % 5000 as string), ' ', p_name, case p_partkey % 2 when 0 then ' Inc' else '' end)"
+_KEYS_SQL = f"""{_ALIASES_SQL}, {BRIDGE_SQL}, plain as (select p_partkey::varchar cik, lpad(p_partkey::varchar, 6, '0') gvkey, (1995 + p_partkey % 8)::int fyear from part),
+a1 as (select *, {S.recovery('alias')} exact from alias), a2 as (select *, {S.canonical('exact')} legal from a1 where exact <> ''),
+yb as (select *, {S.canonical('b_exact')} b_legal from (select name_original candidate, fyear, {S.clean_id('cik')} cik, gvkey, source, {S.recovery('name_original')} b_exact from bridge)),
+ib as (select *, {S.canonical('b_exact')} b_legal from (select {_IDENTIFIED.replace('as string', 'as varchar')} candidate, p_partkey::varchar cik, case p_partkey % 5 when 0 then '-1' else lpad(p_partkey::varchar, 6, '0') end gvkey, case p_partkey % 3 when 0 then null else 'WRDS_LOOKUP' end source, {S.recovery(_IDENTIFIED.replace('as string', 'as varchar'))} b_exact from part)),
+ob as (select *, {S.canonical('b_exact')} b_legal from (select {_OUTSIDE_NAME.replace('as string', 'as varchar')} candidate, null::varchar cik, case when p_partkey % 4 = 2 and p_partkey % 3 = 0 then 'T' || p_partkey else '' end gvkey, {_OUTSIDE} source, {S.recovery(_OUTSIDE_NAME.replace('as string', 'as varchar'))} b_exact from part)),
+{{meets}}
+iv as (select distinct * from ih where exists (select 1 from plain p where list_contains(ih.years, p.fyear) and ((p.cik = ih.cik and {S.valid_id('ih.cik', 'recovery')}) or (p.gvkey = ih.gvkey and {S.valid_id('ih.gvkey', 'recovery')}))))"""
+_KEYS_SQL = _KEYS_SQL.replace("{meets}", " ".join(f"{o} as (select a2.*, b.* exclude (b_exact, b_legal), b_exact, b_legal, 'exact' kind from a2 join {b} b on exact = b_exact union all select a2.*, b.* exclude (b_exact, b_legal), b_exact, b_legal, 'legal' from a2 join {b} b on legal = b_legal where legal <> ''), " .replace("{o}", o) for o, b in (("yh", "yb"), ("ih", "ib"), ("oh", "ob"))))
+
+
+def _listings(t):
+    p, b = t("part"), bridge(t("part"))
+    years = b.select(F.col("name_original").alias("candidate"), "fyear", F.regexp_replace("cik", r"\.0$", "").alias("cik"), "gvkey", "source")
+    known = p.selectExpr(f"{_IDENTIFIED} as candidate", "cast(p_partkey as string) as cik", "case p_partkey % 5 when 0 then '-1' else lpad(cast(p_partkey as string), 6, '0') end as gvkey", "case p_partkey % 3 when 0 then null else 'WRDS_LOOKUP' end as source")
+    panel = p.selectExpr("cast(p_partkey as string) as cik", "lpad(cast(p_partkey as string), 6, '0') as gvkey", "cast(1995 + p_partkey % 8 as int) as fyear")
+    outside = p.selectExpr(f"{_OUTSIDE_NAME} as candidate", "cast(null as string) as cik", "case when p_partkey % 4 = 2 and p_partkey % 3 = 0 then concat('T', p_partkey) else '' end as gvkey", f"{_OUTSIDE} as source")
+    return years, known, panel, outside
+
+
+_HAS = f"({S.valid_id('gvkey', 'recovery')} or {S.valid_id('cik', 'recovery')})"
+_LAST_SQL = "source, candidate, gvkey nulls first, cik nulls first, rule"
+
+
+def _ids_sql(condition: str) -> str:
+    return ", ".join(f"case when {condition} then '-99999' when {S.valid_id(c, 'recovery')} then {S.clean_id(c)} else '' end {c}" for c in ("gvkey", "cik"))
+
+
+@query("generic_rescue", f"""with {_KEYS_SQL},
+e as (select record_id, alias, coalesce(source, 'YEAR_SPECIFIC_BRIDGE') source, candidate, gvkey, cik, kind || '_year_specific' as rule from yh where list_contains(years, fyear) and (kind = 'exact' or b_exact <> b_legal)
+ union select record_id, alias, coalesce(source, 'IDENTIFIER_LEVEL_BRIDGE'), candidate, gvkey, cik, 'identifier_' || kind || '_validated' from iv union select record_id, alias, source, candidate, gvkey, cik, lower(source) || '_' || kind || case when source = 'CAPITAL_IQ' then '_company_name' else '_name' end from oh),
+s as (select *, case when {_HAS} then 'rescue_identifier_backed_exact' when ends_with(rule, '_name') then 'rescue_verified_company_no_public_id' else 'not_rescued_no_usable_identifier' end rescue_status,
+ {_case(V.RESCUE_SOURCE_SCORE, 'source', 0)} + {_case(V.RESCUE_RULE_SCORE, 'rule', 0)} + case when {S.valid_id('gvkey', 'recovery')} then 20 else 0 end + case when {S.valid_id('cik', 'recovery')} then 10 else 0 end rank_score from e),
+i as (select record_id, alias, source, candidate, rule, rescue_status, rank_score, {_ids_sql("rescue_status = 'rescue_verified_company_no_public_id'")} from s)
+select record_id, source, candidate, gvkey, cik, rule, rescue_status, rank_score::int rank_score, row_number() over (partition by record_id order by rank_score desc, {_LAST_SQL})::int candidate_rank from i""")
+def _(t):
+    found = X.rescue(_aliases(t), *_listings(t))
+    return found.select("record_id", "source", "candidate", "gvkey", "cik", "rule", "rescue_status", F.col("rank_score").cast("int").alias("rank_score"), "candidate_rank")
+
+
+_GENERIC_SQL = f"(len({S.tokens(S.recovery('candidate'))}) <= 2 and len(list_filter({S.tokens(S.recovery('candidate'))}, lambda t: list_contains({S.listed([*V.RESIDUAL_GENERIC, *V.RECOVERY_SUFFIXES])}, t))) = len({S.tokens(S.recovery('candidate'))}))"
+_RESIDUAL_SQL = f"""{_KEYS_SQL},
+e as (select record_id, source, candidate, gvkey, cik, kind || case when list_contains(years, fyear) then '_year_specific' else '_other_year' end as rule, case when list_contains(years, fyear) then 100 else 80 end - case kind when 'exact' then 0 else 10 end score from yh
+ union select record_id, 'WRDS_LOOKUP', candidate, gvkey, cik, 'identifier_' || kind || '_validated', case kind when 'exact' then 65 else 60 end from iv union select record_id, source, candidate, gvkey, cik, lower(source) || '_' || kind || '_name', {_case(V.OUTSIDE_SCORE, 'source', 0)} - case kind when 'exact' then 0 else 5 end from oh),
+s as (select * replace (score - case when {_GENERIC_SQL} then 30 else 0 end as score), {_HAS} has_public, case when {_HAS} then 'recovered_public_identifier' when source in ({', '.join(map(S.q, V.OUTSIDE_SCORE))}) then 'verified_company_no_public_identifier' else 'manual_review_candidate' end suggestion from e),
+i as (select record_id, source, candidate, rule, score, has_public, suggestion, {_ids_sql("suggestion = 'verified_company_no_public_identifier'")} from s),
+r as (select *, row_number() over (partition by record_id order by has_public desc, score desc, {_LAST_SQL}) candidate_rank from i),
+n as (select record_id, count(*) n_candidates, count(distinct case when {S.valid_id('gvkey', 'recovery')} then gvkey when {S.valid_id('cik', 'recovery')} then cik end) n_public_ids, string_agg(distinct source, '; ' order by source) sources_all, string_agg(distinct rule, '; ' order by rule) rules_all from r group by 1),
+z as (select a.record_id, source, candidate, rule, score, gvkey, cik, n_candidates, n_public_ids, sources_all, rules_all, case when n_candidates is null then 'no_external_evidence' when n_public_ids > 1 then 'manual_review_candidate' else suggestion end suggestion from alias a left join (select * from r where candidate_rank = 1) r using (record_id) left join n using (record_id))"""
+
+
+@query("residual_recovery", f"""with {_RESIDUAL_SQL} select record_id, source, candidate, rule, score::int score, gvkey, cik, n_candidates, n_public_ids, sources_all, rules_all, suggestion, {_case({k: S.q(v) for k, v in V.RESIDUAL_REASONS.items()}, 'suggestion', "''")} reason from z""")
+def _(t):
+    a = _aliases(t)
+    found = X.resolved(a.drop("years"), X.residual(a, *_listings(t)))
+    return found.select("record_id", "source", "candidate", "rule", F.col("score").cast("int").alias("score"), "gvkey", "cik", "n_candidates", "n_public_ids", "sources_all", "rules_all", "suggestion", "reason")
+
+
+_FLAGGED = "case p_partkey % 6 when 0 then concat('local ', p_name, ' providers') when 1 then 'Insurance Companies' when 2 then concat(p_name, ' Bank') when 3 then 'banks' when 4 then concat(p_type, ' Systems Inc') else '' end"
+_FLAG_WORDS = S.tokens(S.recovery("x"))
+
+
+@query("category_flags", f"""with s as (select p_partkey, {_FLAGGED} x from part), w as (select p_partkey, x, {_FLAG_WORDS} w from s),
+f as (select *, len(list_filter(w, lambda t: list_contains({S.listed(V.CATEGORY_TERMS)}, t))) = len(w) every, coalesce(w[-1] in ({', '.join(map(S.q, V.CATEGORY_ENDINGS))}), false) ending, regexp_extract(x, '[A-Za-z]', 0) l from w)
+select p_partkey, len(w) = 0 or (len(w) <= 2 and every) or ending category, l = lower(l) and len(w) > 0 and (ending or every) lower_category, list_has_any(w, {S.listed(V.COMPANY_SIGNALS)}) and len(list_filter(w, lambda t: not list_contains({S.listed([*V.CATEGORY_TERMS, *V.RESCUE_SUFFIXES])}, t))) > 0 company_signal from f""")
+def _(t):
+    return t("part").selectExpr("p_partkey", f"{_FLAGGED} as x").select("p_partkey", X.category_flags("x").alias("f")).select("p_partkey", "f.*")
+
+
+_START = "case p_partkey % 5 when 0 then '1996-01-01' when 1 then '1990-05-05 00:00:00' when 2 then '' when 3 then 'no date' else '2001-12-31' end"
+_END = "case p_partkey % 4 when 0 then '1998-06-30' when 1 then '' when 2 then '2003-01-01' else 'none' end"
+_LISTED = f"cast(p_partkey as string) as companyid, case p_partkey % 3 when 0 then 'us 12' else '' end as isin, {_OUTSIDE_NAME} as candidate, {_START} as startdate, {_END} as enddate"
+_CROSS = "concat(cast(p_partkey as string), '.0') as companyid, case p_partkey % 2 when 0 then cast(p_partkey % 7 as string) else 'nan' end as gvkey, '1995-01-01' as startdate, '1997-12-31' as enddate"
+
+
+def _year_of(c: str) -> str:
+    return f"year(try_cast(left(trim({c}), 10) as date))"
+
+
+@query("dated_recovery", f"""with {_ALIASES_SQL}, a1 as (select *, {S.recovery('alias')} exact from alias), a2 as (select *, {S.canonical('exact')} legal from a1 where exact <> ''),
+l as (select {_LISTED.replace('as string', 'as varchar')} from part), l2 as (select *, {S.recovery('candidate')} e from l), x as (select distinct company, ciq_gvkey from (select p_partkey::varchar company, case p_partkey % 2 when 0 then (p_partkey % 7)::varchar end ciq_gvkey from part) where ciq_gvkey is not null),
+m as (select record_id, years, l2.*, 'ciq_common_exact_name' as rule from a2 join l2 on exact = e union all select record_id, years, l2.*, 'ciq_common_legal_name' from a2 join l2 on legal = {S.canonical('e')} where legal <> ''),
+o as (select *, case when len(list_filter(years, lambda y: y between coalesce({_year_of('startdate')}, list_min(years)) and coalesce({_year_of('enddate')}, 2026))) > 0 then 'date_overlaps_residual_year' else 'date_outside_residual_year' end overlap,
+ case when len(list_filter(years, lambda y: y between 1995 and 1997)) > 0 then 'date_overlaps_residual_year' else 'date_outside_residual_year' end gvkey_overlap from m),
+u as (select record_id, candidate, companyid, upper(replace(isin, ' ', '')) isin, rule, overlap, x.ciq_gvkey, x.ciq_gvkey is not null has_gvkey, case when x.ciq_gvkey is not null then gvkey_overlap end gvkey_overlap, startdate, enddate from o left join x on companyid = company)
+select record_id, candidate, companyid, isin, rule, overlap, ciq_gvkey, has_gvkey, gvkey_overlap, has_gvkey and overlap = 'date_overlaps_residual_year' upgrade,
+ row_number() over (partition by record_id order by has_gvkey and overlap = 'date_overlaps_residual_year' desc, case overlap when 'date_overlaps_residual_year' then 2 else 0 end desc, rule, candidate, companyid, isin, ciq_gvkey nulls last, startdate, enddate)::int candidate_rank from u""")
+def _(t):
+    listing = t("part").selectExpr(*_split(_LISTED))
+    crosswalk = t("part").selectExpr(*_split(_CROSS))
+    found = X.dated_recovery(_aliases(t), listing, crosswalk)
+    return found.select("record_id", "candidate", "companyid", "isin", "rule", "overlap", "ciq_gvkey", "has_gvkey", "gvkey_overlap", "upgrade", "candidate_rank")

@@ -11,7 +11,7 @@ from ..operators.joins import either_key
 
 
 def recover(aliases: DataFrame, sources: DataFrame) -> DataFrame:
-    """Candidates whose recovery name or its core equals the alias's, one row a rule.
+    """Candidates of one list of sources whose recovery name or its core equals the alias's, one row a rule.
 
     `aliases`: record_id, alias. `sources`: source, candidate, cik, gvkey, base_score.
     """
