@@ -8,9 +8,16 @@ linear model over the presence of hashed words and word prefixes is trained in n
 with the logistic loss; where the second part falls below zero its gradient is ascended, which
 keeps a flexible model from driving the estimated negative risk under zero. pi is the class prior.
 
+The unlabelled sample is drawn from all documents, the confirmed ones among them, as R_u is of the whole population.
+
+Calibration. The logit is shifted so that a share `MATCH` of the prior scores above a half in the unlabelled sample (but
+never so far that half the largest weight alone does not decide: a prior that is too large flags no text without
+marks), and steepened to the slope that brings the mean score nearest to the prior.
+
 Defined results: a null text scores as an empty one (the bias alone); repeated rows and ties are
-scored row by row; a table without any confirmed example gives every document the prior; columns
-beyond the four that are named are ignored.
+scored row by row; of several labels of one doc_id any that is toxic counts; a table without any confirmed example gives
+every document the prior; bytes that are no UTF-8 are letters of words; an empty table gives no rows; columns beyond the
+four that are named are ignored.
 """
 
 from __future__ import annotations
@@ -26,27 +33,33 @@ from pyspark.sql import functions as F
 from .common import held_out, sample_ids, steps, strings, task
 from .features import word_features
 
-#: Documented bounds of the training sample.
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+#: Documented bounds of the training sample: confirmed and unlabelled texts, and characters of one that are trained on (a longer
+#: one's first; it stays in the sample, and every text is scored whole).
+MAX_POSITIVE, MAX_UNLABELLED, MAX_CHARS = 3000, 6000, 10_000
+#: Share of the prior that is to score above a half in the unlabelled sample, and the steepest slope.
+MATCH, STEEPEST = 0.9, 20.0
 #: Share of common features that makes a near copy in the training sample, and how many rare features find it.
 COPY, MARKS = 0.8, 3
 #: A feature is kept if this many confirmed examples of the sample hold it, if it is this many times as
 #: frequent in them as in the unlabelled texts, and if chance would give it so often less than once in
-#: `CHANCE` tries over all features of the examples (by a Poisson bound).
-MIN_POSITIVE_DF, MIN_LIFT, CHANCE = 4, 5.0, 20
+#: `CHANCE` tries over all features of the examples (by a Poisson bound). Weights may be of either sign.
+MIN_POSITIVE_DF, MIN_LIFT, CHANCE = 4, 2.0, 1
 
 
 @dataclass
 class PuModel:
-    keys: np.ndarray  # sorted uint64 features
+    keys: np.ndarray  # sorted features, the upper 32 bits of their hashes
     weights: np.ndarray
     bias: float
+    centre: float = 0.0  # the logit that scores a half
+    slope: float = 1.0
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Probability of the positive class for each text; whole texts, in bounded steps."""
         out = np.empty(len(off) - 1)
         for a, b in steps(off):
             doc, key = word_features(data, off[a : b + 1])
+            key = _short(key)
             total = np.zeros(b - a)
             if len(self.keys) and len(key):
                 hit = self._maybe(key)
@@ -55,19 +68,38 @@ class PuModel:
                 ok = self.keys[at] == key
                 pair = np.unique(doc[ok] * len(self.keys) + at[ok])
                 total = np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], b - a)
-            out[a:b] = 1 / (1 + np.exp(-np.clip(total + self.bias, -40, 40)))
+            out[a:b] = _sigmoid(self.slope * (total + self.bias - self.centre))
         return out
 
     def _maybe(self, key: np.ndarray) -> np.ndarray:
         """A 2**20-bit sieve before the exact look-up."""
         if not hasattr(self, "_sieve"):
             self._sieve = np.zeros(1 << 20, bool)
-            self._sieve[self.keys >> np.uint64(44)] = True
-        return self._sieve[key >> np.uint64(44)]
+            self._sieve[self.keys >> np.uint32(12)] = True
+        return self._sieve[key >> np.uint32(12)]
+
+    def calibrated(self, logits: np.ndarray, prior: float) -> PuModel:
+        """With centre and slope for logits of the population."""
+        largest = float(self.weights.max(initial=0.0))
+        centre = max(float(np.quantile(logits, 1 - MATCH * prior)), self.bias + largest / 2)
+        slope = min(np.linspace(1.0, STEEPEST, 77), key=lambda k: abs(_sigmoid(k * (logits - centre)).mean() - prior))
+        return PuModel(self.keys, self.weights, self.bias, centre, float(slope))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def _short(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
+def _untrained(prior: float) -> PuModel:
+    return PuModel(np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior))))
 
 
-def nnpu(ptr: np.ndarray, idx: np.ndarray, positive: np.ndarray, n_features: int, prior: float, epochs: int = 40, rate: float = 0.05, l2: float = 1e-5, seed: int = 7, nonnegative: bool = True) -> tuple[np.ndarray, float]:
-    """Train on documents whose present features are idx[ptr[i]:ptr[i+1]]; returns weights and bias."""
+def nnpu(ptr: np.ndarray, idx: np.ndarray, positive: np.ndarray, n_features: int, prior: float, epochs: int = 40, rate: float = 0.05, l2: float = 1e-5, seed: int = 7, correct: bool = True) -> tuple[np.ndarray, float]:
+    """Train on documents whose present features are idx[ptr[i]:ptr[i+1]]; returns weights and bias. Without `correct` the risk may fall below zero."""
     rng = np.random.default_rng(seed)
     w, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
@@ -96,15 +128,13 @@ def nnpu(ptr: np.ndarray, idx: np.ndarray, positive: np.ndarray, n_features: int
             negative = soft[~is_p].mean() - prior * soft[is_p].mean()
             g = np.where(is_p, prior * (s - 1) / len(pb), 0.0)
             g_neg = np.where(is_p, -prior * s / len(pb), s / len(ub))
-            g = g + g_neg if negative >= 0 else -g_neg
+            g = g + g_neg if negative >= 0 or not correct else -g_neg
             grad = np.bincount(col, g[row], n_features + 1) + l2 * w * (np.arange(n_features + 1) < n_features)
             grad[-1] += g.sum()
             t += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad**2
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            if nonnegative:
-                np.maximum(w[:-1], 0, out=w[:-1])
     return w[:-1], float(w[-1])
 
 
@@ -113,7 +143,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = strings(batch["text"])
         found = []
         for i in range(batch.num_rows):
-            found.append(np.unique(word_features(data, off[i : i + 2])[1]).tobytes())
+            found.append(np.unique(_short(word_features(data, off[i : i + 2])[1])).tobytes())
         yield pa.RecordBatch.from_arrays([batch["positive"], pa.array(found, pa.binary())], ["positive", "features"])
 
 
@@ -155,24 +185,23 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, m
     n, n_pos = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     prior = min(0.9, max(1e-3, n_pos / n)) if prior is None and n else (prior or 0.5)
     if not n_pos:
-        return PuModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
+        return _untrained(prior)
     pos = sample_ids(known.where(F.col("toxic") == 1).select("doc_id").distinct(), "doc_id", max_positive, 1)
     rest = sample_ids(documents.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id"), "doc_id", max_unlabelled, 2)
-    chosen = pos.withColumn("positive", F.lit(True)).unionByName(rest.withColumn("positive", F.lit(False)))
-    chosen = chosen.groupBy("doc_id").agg(F.max("positive").alias("positive"))  # at most max_positive + max_unlabelled rows
+    chosen = pos.withColumn("positive", F.lit(True)).unionByName(rest.withColumn("positive", F.lit(False))).distinct()  # at most max_positive + max_unlabelled rows
     rows = (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("positive", "text")
+        .select("positive", F.substring("text", 1, MAX_CHARS).alias("text"))
         .mapInArrow(task(_features_of), "positive boolean, features binary")
         .collect()
     )
-    sets = [np.frombuffer(r.features, np.uint64) for r in rows]
+    sets = [np.frombuffer(r.features, np.uint32) for r in rows]
     positive = np.array([r.positive for r in rows], bool)
     kept = _spread(sets, positive)
     sets, positive = [s for s, k in zip(sets, kept, strict=True) if k], positive[kept]
     if not positive.any():
-        return PuModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
+        return _untrained(prior)
     keys, df = np.unique(np.concatenate([s for s, p in zip(sets, positive, strict=True) if p]), return_counts=True)
     n_seen = len(keys)
     keys, df = keys[df >= MIN_POSITIVE_DF], df[df >= MIN_POSITIVE_DF]
@@ -185,11 +214,12 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, m
     surprise = df * np.log(df / expected) - df + expected  # minus the logarithm of the chance, at least
     keys = keys[(df / n_p >= MIN_LIFT * df_u / n_u) & (df > expected) & (surprise >= np.log(CHANCE * max(1, n_seen)))]
     if not len(keys):
-        return PuModel(keys, np.zeros(0), float(np.log(prior / (1 - prior))))
+        return _untrained(prior)
     cols = [np.flatnonzero(np.isin(keys, s, assume_unique=True)) for s in sets]
     ptr = np.concatenate([[0], np.cumsum([len(c) for c in cols])])
     w, bias = nnpu(ptr, np.concatenate(cols), positive, len(keys), prior)
-    return PuModel(keys, w, bias)
+    logits = np.array([w[c].sum() + bias for c, p in zip(cols, positive, strict=True) if not p])
+    return PuModel(keys, w, bias).calibrated(logits, prior) if len(logits) else PuModel(keys, w, bias)
 
 
 def score(documents: DataFrame, model: PuModel) -> DataFrame:
@@ -205,5 +235,5 @@ def score(documents: DataFrame, model: PuModel) -> DataFrame:
             )
 
     return documents.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(
-        task(scored), "doc_id long, held_out boolean, score double, predicted int"
+        task(scored), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"
     )

@@ -73,6 +73,29 @@ def test_nnpu_risk_gradient_prefers_positives():
     assert w[0] + b > 0 > w[1] + b
 
 
+def test_nnpu_correction_keeps_the_risk_from_falling_below_zero():
+    rng = np.random.default_rng(0)
+    n, n_features, prior = 1500, 400, 0.3  # most features are chance: the model can fit every text
+    positive = np.arange(n) < 150
+    mk = lambda toxic: np.unique(np.append(rng.integers(20, n_features, 30), rng.integers(0, 20, 2) if toxic else [])).astype(int)
+    texts = [mk(y) for y in positive | (rng.random(n) < prior)]
+    fresh, y = [mk(i < 300) for i in range(1000)], np.arange(1000) < 300
+    risk, loss = [], []
+    for correct in (True, False):
+        w, b = toxicity.nnpu(np.concatenate([[0], np.cumsum([len(d) for d in texts])]), np.concatenate(texts), positive, n_features, prior, correct=correct)
+        z, f = (np.array([w[d].sum() + b for d in x]) for x in (texts, fresh))
+        risk.append(np.logaddexp(0, z)[~positive].mean() - prior * np.logaddexp(0, z)[positive].mean())
+        loss.append(np.logaddexp(0, np.where(y, -f, f)).mean())
+    assert abs(risk[0]) < 0.3 and risk[1] < -2 and loss[0] < 1 < 2 < loss[1]
+
+
+def test_toxicity_is_calibrated(spark):
+    documents, labels, truth = toxic_corpus(spark, 3000)
+    got = toxicity.score(documents, toxicity.train(documents, labels)).collect()
+    share = len(truth) / len(got)
+    assert abs(np.mean([r.score for r in got]) - share) < 0.05 and abs(np.mean([r.predicted for r in got]) - share) < 0.05
+
+
 def test_spread_drops_near_copies_alone():
     rng = np.random.default_rng(4)
     own = [np.unique(np.append(rng.integers(100, 1 << 60, 60, np.uint64), np.uint64(i // 2))) for i in range(400)]  # each pair shares its least feature
