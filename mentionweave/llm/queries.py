@@ -71,27 +71,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vectors": op10_vectors,
 }
 
+_T = licenses.Templates()
+
 ORACLE_SQL: dict[str, str] = {
     "op6_licenses": """
-with tpl(k, license, notice) as (values """ + ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(licenses.TEMPLATES)) + """),
-tv as (select k, license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) t from tpl),
-tt as (select k, license, t, count(*) tf from tv group by all),
+with tpl(k, license, longer, least, notice) as (values """ + ", ".join(f"({k}, '{n}', {x}, {t}, '{' '.join(w)}')" for k, (n, x, t, w) in enumerate(zip(_T.names, _T.longer, _T.least, _T.terms, strict=True))) + """),
+tt as (select k, t, count(*) tf from (select k, unnest(string_split(notice, ' ')) t from tpl) group by all),
 voc as (select distinct t from tt),
 n as (select count(*) n from documents),
-terms as (select unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) t from documents),
-df as (select t, count(*) df from terms where t in (select t from voc) group by t),
+df as (select t, count(*) df from (select unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) t from documents) semi join voc using (t) group by t),
 idf as (select t, ln((1 + n) / (1 + coalesce(df, 0))::double) + 1 w from voc left join df using (t), n),
-vec as (select k, license, t, tf * w / sqrt(sum(tf * w * tf * w) over (partition by k)) w from tt join idf using (t)),
-docs as (select doc_id, text, source || '/' || lang || '/' || doc_id path, source || '/' || lang dir from documents),
-ln as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from docs),
-lt as (select doc_id, i, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) t from ln where regexp_matches(lower(line), '(^|[^a-z0-9])(' || (select string_agg(t, '|') from voc) || ')([^a-z0-9]|$)')),
-lf as (select doc_id, i, t, count(*) tf from lt group by all),
-lw as (select doc_id, i, t, tf, coalesce(w, (select ln(1 + n) + 1 from n)) w from lf left join idf using (t)),
-norm as (select doc_id, i, sqrt(sum(tf * w * tf * w)) norm, sum(tf) terms from lw group by all),
-sc as (select doc_id, i, k, license, any_value(terms) terms, round(sum(l.tf * l.w * v.w) / any_value(norm), 6) score from lw l join vec v using (t) join norm using (doc_id, i) group by doc_id, i, k, license),
-best as (select *, row_number() over (partition by doc_id, i order by score desc, k) r from sc where score >= 0.6),
-own as (select doc_id, arg_max(license, struct_pack(s := score, k := -k)) license, max(score) score, sum(terms) covered from best where r = 1 group by doc_id),
-judged as (select d.doc_id, path, dir, license, score, covered / len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 0.5 speaks from docs d left join own using (doc_id)),
+vec as (select k, t, tf * w / sqrt(sum(tf * w * tf * w) over (partition by k)) w from tt join idf using (t)),
+docs as (select row_number() over () r, doc_id, lower(text) x, source || '/' || lang || '/' || doc_id path, source || '/' || lang dir from documents),
+kinds as (select r, 0 kind, unnest(string_split(x, chr(10))) unit from docs union all select r, 1, unnest(string_split_regex(x, '\\n[ \\t\\r]*\\n')) from docs union all select r, 2, x from docs),
+un as (select distinct r, kind, unit from kinds where regexp_matches(unit, '(^|[^a-z0-9])(' || (select string_agg(t, '|') from voc) || ')([^a-z0-9]|$)')),
+u as (select row_number() over () u, kind, unit from (select distinct kind, unit from un)),
+lf as (select u, kind, t, count(*) tf from (select u, kind, unnest(regexp_extract_all(unit, '[a-z0-9]+')) t from u) group by all),
+lw as (select u, kind, t, tf, coalesce(w, (select ln(1 + n) + 1 from n)) w from lf left join idf using (t)),
+norm as (select u, sqrt(sum(tf * w * tf * w)) norm, sum(tf) terms from lw group by all),
+sc as (select u, v.k, license, least, any_value(terms) terms, round(sum(l.tf * l.w * v.w) / any_value(norm), 6) score from lw l join vec v using (t) join tpl on v.k = tpl.k and longer = (kind > 0) join norm using (u) group by u, v.k, license, least),
+best as (select *, row_number() over (partition by u order by score desc, k) c from sc where score >= least),
+met as (select r, un.kind, b.* from un join u using (kind, unit) join best b using (u) where c = 1),
+per as (select r, kind, sum(terms) covered from met group by all),
+own as (select m.r, arg_max(license, struct_pack(s := score, k := -k)) license, max(score) score, any_value(p.covered) covered from met m join (select r, max(covered) covered from per group by 1) p using (r) group by m.r),
+judged as (select d.doc_id, path, dir, license, score, covered / len(regexp_extract_all(x, '[a-z0-9]+')) >= 0.5 speaks from docs d left join own using (r)),
 files as (select dir up, license, score, row_number() over (partition by dir order by score desc, license) r from judged where license is not null and speaks),
 near as (select d.dir, f.up, f.license, f.score, row_number() over (partition by d.dir order by length(f.up) desc) r
          from (select distinct dir from judged) d join files f on f.r = 1 and (d.dir = f.up or starts_with(d.dir, f.up || '/')))

@@ -429,12 +429,36 @@ def test_license_inheritance(spark):
     assert licenses.scan(df.limit(0), F.col("p")).count() == 0
 
 
+def test_license_headers_and_files(spark):
+    texts = dict(licenses.TEXTS)
+    body = texts["MIT"].replace("subject to the following conditions: ", "subject to the following conditions:\n\n")
+    wrapped = "\n".join("# " + " ".join(texts["GPL-3.0" if k else "MPL-2.0"].split()[i : i + 9]) for k in (0,) for i in range(0, 60, 9))
+    apache = next(t for n, t in licenses.TEXTS if n == "Apache-2.0")
+    header = "\n".join(" * " + " ".join(apache.split()[i : i + 11]) for i in range(0, 90, 11))
+    data = [
+        (0, "p/LICENSE", "The MIT License\n\nCopyright (c) 2020 Some Author\n\n" + body),
+        (1, "p/src/a.py", "import os\n\nprint(os.name)"),
+        (2, "q/b.java", "/*\n" + header + "\n */\n\npackage x;\n\n" + "int unrelated = computed(value);\n" * 200),
+        (3, "q/c.java", "int x;"),
+        (4, "r/d.c", wrapped + "\n\nint main() { return 0; }"),
+        (5, "s/COPYING", "GNU GENERAL PUBLIC LICENSE\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n" + "Other paragraphs follow here at some length. " * 50),
+        (6, "s/deep/er/e.c", "int y;"),
+        (7, "t/essay.txt", "The software industry grants no warranty on happiness, and any person may use this copy of an essay without fee.\n\nNot a license at all."),
+    ]
+    df = spark.createDataFrame(data + [data[2]], "doc_id long, p string, text string")
+    rows_of = sorted((r.doc_id, r.license, r.origin, r.license_dir) for r in licenses.scan(df, F.col("p")).collect())
+    assert rows_of == [
+        (0, "MIT", "own", None), (1, "MIT", "inherited", "p"), (2, "Apache-2.0", "own", None), (2, "Apache-2.0", "own", None), (3, None, None, None),
+        (4, "MPL-2.0", "own", None), (5, "GPL-3.0", "own", None), (6, "GPL-3.0", "inherited", "s"), (7, None, None, None),
+    ]
+
+
 def test_license_heavy_terms_lose_nothing():
-    df = {t: 3 for _, text in licenses.TEMPLATES for t in re.findall("[a-z0-9]+", text.lower())}
-    _, _, vectors = licenses.weights(1000, df)
-    heavy = set(licenses.heavy_terms(vectors))
-    for _, v in vectors:
-        assert math.sqrt(sum(w * w for t, w in v.items() if t not in heavy)) < licenses.THRESHOLD
+    templates = licenses.Templates()
+    _, _, vectors = licenses.weights(1000, {t: 3 for t in templates.vocabulary}, templates)
+    heavy = set(licenses.heavy_terms(vectors, templates.least))
+    for v, least in zip(vectors, templates.least, strict=True):
+        assert math.sqrt(sum(w * w for t, w in v.items() if t not in heavy)) < least
 
 
 # 7. Language -----------------------------------------------------------------------------------
