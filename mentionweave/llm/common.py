@@ -76,7 +76,7 @@ def discard(df: DataFrame) -> None:
 
 
 def set_apart(df: DataFrame, *needed: Column | str) -> tuple[DataFrame, dict[str, str]]:
-    """(`df` with its columns under names of their own and copies of the `needed` ones, the own name of each column).
+    """(`df` with its columns under names of their own and the `needed` ones beside, the own name of each column).
 
     What an operator adds then clashes with no column, whatever it is called.
     """
@@ -84,6 +84,11 @@ def set_apart(df: DataFrame, *needed: Column | str) -> tuple[DataFrame, dict[str
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], *needed), own
 
 
+def own_name(own: dict[str, str], column: str) -> str:
+    """The name of a column that `set_apart` put aside."""
+    return next(n for c, n in own.items() if c.lower() == column.lower())
+
+
 def replacing(df: DataFrame, own: dict[str, str], added: list[str]) -> DataFrame:
     """The columns that `set_apart` put aside under their names, and `added` after them; one that is called like an added one goes."""
     taken = {a.lower() for a in added}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields_of, give_back, held_out, replacing, set_apart, steps, strings, task
+from .common import fields_of, give_back, held_out, own_name, replacing, set_apart, steps, strings, task
 from .features import gram_ids
 from .nearcopies import hashes, normal
 
@@ -195,21 +195,22 @@ def _judged(documents: DataFrame, model: LanguageModel | None) -> tuple[DataFram
         apart, own = set_apart(documents)
         return apart.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)}), own
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a table of at most MAX_LANGS languages
-    apart, own = set_apart(documents, "text", letter.alias("letter"))
+    apart, own = set_apart(documents, letter.alias("letter"))
+    text = own_name(own, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known = len(m.langs) - m.refuses
         langs = np.array([*m.langs[:known], "und"], object)
         for batch in batches:
-            p = _softmax(m.logits(*strings(batch["text"])) / m.temperature)
+            p = _softmax(m.logits(*strings(batch[text])) / m.temperature)
             ok = batch["letter"].to_numpy(zero_copy_only=False)
             best = np.where(ok, p[:, :known].argmax(1), known)
             s = np.where(ok, p[:, :known].max(1), 0.0)
             refused = ~ok | (s < m.threshold) | (p[:, known:].sum(1) > NONE)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in own.values()), pa.array(langs[best], pa.string()), pa.array(s), pa.array(refused)], [*own.values(), *_JUDGED])
 
-    return apart.mapInArrow(task(run), f"{fields_of(apart.drop('text', 'letter'))}, lang_pred string, score double, rejected boolean"), own
+    return apart.mapInArrow(task(run), f"{fields_of(apart.drop('letter'))}, lang_pred string, score double, rejected boolean"), own
 
 
 def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:

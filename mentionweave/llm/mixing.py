@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields_of, held_out, replacing, sample_ids, set_apart, task, written
+from .common import fields_of, held_out, own_name, replacing, sample_ids, set_apart, task, written
 from .common import strings as strings_of
 from .language import MAX_CHARS, LanguageModel, _softmax, fit
 from .toxicity import PuModel
@@ -124,22 +124,22 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     return DomainModel(quality, shares, toxic, scale)
 
 
-def _tokens() -> Column:
+def _tokens(text: str = "text") -> Column:
     """Number of words of the text, which stands for tokens."""
-    return F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def posteriors(documents: DataFrame, model: DomainModel) -> DataFrame:
+def posteriors(documents: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
     """`documents` with n_tokens and p, an array over DOMAINS, appended. Its columns must have other names."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a table of fixed size and the features of a bounded sample
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.posteriors(*strings_of(batch["text"]))
+            p = shared.value.posteriors(*strings_of(batch[text]))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), batch["n_tokens"], pa.array(list(p), pa.list_(pa.float64()))], [*names, "n_tokens", "p"])
 
-    return documents.withColumn("n_tokens", _tokens()).mapInArrow(task(run), f"{fields_of(documents)}, n_tokens long, p array<double>")
+    return documents.withColumn("n_tokens", _tokens(text)).mapInArrow(task(run), f"{fields_of(documents)}, n_tokens long, p array<double>")
 
 
 def replay(p: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def resample(documents: DataFrame, labels: DataFrame, targets: tuple[float, ...]
     if model is None:
         return documents
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 40)) / float(1 << 40)
-    apart, own = set_apart(documents, "text", u.alias("u"))
-    soft = written(posteriors(apart, model).drop("text"), "mixing-rows")  # the rows with their posteriors, so that no text is judged twice
+    apart, own = set_apart(documents, u.alias("u"))
+    soft = written(posteriors(apart, model, own_name(own, "text")), "mixing-rows")  # the rows with their posteriors, so that no text is judged twice
     times = F.floor(rate(fit_rates(soft, targets, HELD)) + F.col("u")).cast("int")
     return replacing(soft.withColumn("copy", F.explode(F.array_repeat(F.lit(True), times))), own, [])

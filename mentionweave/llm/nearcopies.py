@@ -8,7 +8,7 @@ shingles, until every two texts that meet are known to be of one component or no
 Comparisons go in rounds. A round takes the first texts of each band (those that meet most others, so that
 the middle of a group of copies leads it in all of its bands) and compares them with the band's texts of other
 components; they are done then and leave the band. Bands whose texts are of one component are done as a whole. The next
-round takes four times as many. No pair within a component is formed: a group of copies costs about one comparison a text,
+round takes `GROWTH` times as many. No pair within a component is formed: a group of copies costs about one comparison a text,
 while texts that meet in great number and are alike in none cost up to the square of a band's size.
 """
 
@@ -22,10 +22,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import strings, task, written
+from .common import replacing, set_apart, strings, task, written
 from .components import connected
 
 BANDS, ROWS, SEED = 24, 5, 42
+#: How many times the first texts of one round the next one takes.
+GROWTH = 32
 #: Shingles that are hashed under all functions at a time.
 BLOCK = 1 << 9
 _RNG = np.random.default_rng(SEED)
@@ -90,52 +92,42 @@ def _sets(documents: DataFrame, shingle: int) -> DataFrame:
 def components(rows: DataFrame, groups: DataFrame, index: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, component) of the keys that are alike to another by `similarity` or more, over links between such; all but the least of each.
 
-    `rows`: doc_id, mark, text; `groups`: key, doc_id, mark of one row of each text; `index`: band and key, texts of a band meet.
+    `rows`: r1, r2, text; `groups`: key, r1, r2 of one row of each text; `index`: band, key and n distinct shingles, texts of a band meet.
     """
-    crowded = index.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = index.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     index = written(index.join(crowded.hint("merge"), "band"), "nearcopies-index")
-    meets = index.groupBy("key").agg(F.sum("n").alias("meets"))
-    left = written(index.join(meets, "key").select("band", "key", "meets", F.col("key").alias("of")), "nearcopies-left")
-    wanted = groups.join(meets, "key", "left_semi").select("doc_id", "mark")
-    sets = written(_sets(rows.join(wanted, _same(rows, wanted), "left_semi"), shingle).groupBy("key").agg(F.first("hashes").alias("hashes")), "nearcopies-sets")
+    meets = index.groupBy("key").agg(F.sum("size").alias("meets"))
+    left = written(index.join(meets, "key").select("band", "key", "n", "meets", F.col("key").alias("of")), "nearcopies-left")
+    wanted = groups.join(meets, "key", "left_semi")
+    sets = written(_sets(rows.join(wanted.select("r1", "r2"), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]), shingle), "nearcopies-sets")
     alike, component, first = None, None, 1
     while not left.isEmpty():
         order = Window.partitionBy("band").orderBy(F.desc("meets"), "key")
         leaders = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
-        leaders = written(leaders.select("band", F.col("key").alias("a"), F.col("of").alias("of_a"), F.col("meets").alias("meets_a")), "nearcopies-first")
-        later = (F.col("meets") < F.col("meets_a")) | ((F.col("meets") == F.col("meets_a")) & (F.col("key") > F.col("a")))
-        met = left.join(leaders, "band").where(later & (F.col("of") != F.col("of_a"))).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        leaders = written(leaders.select("band", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "of", "meets"))), "nearcopies-first")
+        later = (F.col("meets") < F.col("meets_a")) | ((F.col("meets") == F.col("meets_a")) & (F.col("key") > F.col("key_a")))
+        may = F.least("n", "n_a") >= similarity * F.greatest("n", "n_a")  # sets so different in size can't be alike
+        met = left.join(leaders, "band").where(later & may & (F.col("of") != F.col("of_a"))).select(F.least("key_a", "key").alias("a"), F.greatest("key_a", "key").alias("b")).distinct()
         both = met.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
         common = F.size(F.array_intersect("ha", "hb"))
         found = written(both.where(common >= similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b"), "nearcopies-found")
         alike = found if alike is None else alike.unionByName(found)
         component = connected(alike)
-        left = left.join(leaders.select("band", F.col("a").alias("key")), ["band", "key"], "left_anti").drop("of")
+        left = left.join(leaders.select("band", F.col("key_a").alias("key")), ["band", "key"], "left_anti").drop("of")
         left = left.join(component.select(F.col("node").alias("key"), F.col("component").alias("of")), "key", "left").withColumn("of", F.coalesce("of", "key"))
         left = written(left, "nearcopies-labelled")
         open_bands = left.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high")).where("low <> high").select("band")
-        left, first = written(left.join(open_bands, "band", "left_semi"), "nearcopies-left"), first * 4
+        left, first = written(left.join(open_bands, "band", "left_semi"), "nearcopies-left"), first * GROWTH
     return connected(groups.select(F.col("key").alias("a"), F.col("key").alias("b"))) if component is None else component
 
 
-def _same(rows: DataFrame, kept: DataFrame) -> Column:
-    return rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["mark"] == kept["mark"])
-
-
-def mark(documents: DataFrame) -> Column:
-    """A hash of all columns: rows that share it and the doc_id are the same row."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]).alias("mark")
+def row_name(documents: DataFrame) -> tuple[Column, Column]:
+    """r1 and r2, 128 bits over all columns: rows that share both are the same row."""
+    every = [x for c in documents.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return F.xxhash64(*every).alias("r1"), F.xxhash64(F.lit(1), *every).alias("r2")
 
 
 def keep_one(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of `documents` that `chosen` (doc_id, mark) names, one of each."""
-    own = {c: f"own_{c}" for c in documents.columns}
-    rows = documents.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("doc_id"), mark(documents))
-    kept = rows.join(chosen, _same(rows, chosen), "left_semi").dropDuplicates(["doc_id", "mark"])
-    return kept.select(*[F.col(f"`{n}`").alias(c) for c, n in own.items()])
-
-
-def least_row(rows: DataFrame, by: str) -> DataFrame:
-    """`by`, doc_id and mark of the row of each group that is kept."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "mark")).alias("best")
-    return rows.groupBy(by).agg(best).select(by, "best.doc_id", "best.mark")
+    """The rows of `documents` that `chosen` (r1, r2) names, one of each."""
+    rows, own = set_apart(documents, *row_name(documents))
+    return replacing(rows.join(chosen, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]), own, [])

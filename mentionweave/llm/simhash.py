@@ -114,22 +114,23 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def _sketches(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, mark (the row's hash), key (the text's), fp and bands of every row."""
+    """doc_id, r1 and r2 (the row's name), key (the text's), n distinct shingles, fp and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, prints, found = [], [], []
+            keys, sizes, prints, found = [], [], [], []
             for words in nearcopies.texts(batch):
                 h = nearcopies.hashes(words, shingle)
+                distinct = np.unique(h)
                 keys.append(nearcopies.key_of(words))
+                sizes.append(len(distinct))
                 prints.append(combined(h) if len(h) else 0)
-                found.append(nearcopies.bands(np.unique(h)))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["mark"], pa.array(keys, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "mark", "key", "fp", "bands"],
-            )
+                found.append(nearcopies.bands(distinct))
+            values = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "r1", "r2")), *values], ["doc_id", "r1", "r2", "key", "n", "fp", "bands"])
 
-    return documents.mapInArrow(task(run), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, mark long, key long, fp long, bands array<long>")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.mapInArrow(task(run), f"doc_id {kind}, r1 long, r2 long, key long, n long, fp long, bands array<long>")
 
 
 def neighbourhoods(prints: DataFrame) -> DataFrame:
@@ -142,12 +143,13 @@ def neighbourhoods(prints: DataFrame) -> DataFrame:
 
 def deduplicate(documents: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group of texts linked by a similarity of `similarity` or more of their shingles."""
-    rows = documents.select("doc_id", nearcopies.mark(documents), "text")
+    rows = documents.select("doc_id", *nearcopies.row_name(documents), "text")
     sketches = written(_sketches(rows, shingle), "nearcopies-sketches")
-    groups = written(nearcopies.least_row(sketches, "key"), "nearcopies-groups")
-    index = sketches.select("key", F.explode("bands").alias("band")).distinct()
-    index = index.unionByName(neighbourhoods(written(sketches.select("key", "fp").distinct(), "nearcopies-prints")).select("key", "band"))
-    component = nearcopies.components(rows, groups, index, shingle, similarity)
-    named = groups.join(component, groups["key"] == component["node"], "left").select("doc_id", "mark", F.coalesce("component", "key").alias("component"))
-    chosen = written(nearcopies.least_row(named, "component").select("doc_id", "mark"), "nearcopies-chosen")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("best")  # the row that is kept
+    groups = written(sketches.groupBy("key").agg(best, *(F.first(c).alias(c) for c in ("n", "fp", "bands"))), "nearcopies-groups")
+    index = groups.select("key", "n", F.explode("bands").alias("band"))
+    index = index.unionByName(neighbourhoods(groups.select("key", "fp")).join(groups.select("key", "n"), "key").select("key", "n", "band"))
+    component = nearcopies.components(rows, groups.select("key", "best.r1", "best.r2"), index, shingle, similarity)
+    named = groups.join(component, groups["key"] == component["node"], "left").select("best", F.coalesce("component", "key").alias("component"))
+    chosen = written(named.groupBy("component").agg(F.min("best").alias("best")).select("best.r1", "best.r2"), "nearcopies-chosen")
     return nearcopies.keep_one(documents, chosen)
