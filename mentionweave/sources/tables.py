@@ -1,7 +1,10 @@
-"""Scans and sinks of tables: CSV as raw strings, many files with their stem, partitioned and resumable writes."""
+"""Scans and sinks of tables: CSV as raw strings, many files with their stem, partitioned, appended and resumable writes."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,22 +13,44 @@ from pyspark.sql import types as T
 NA_CELLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], na: bool = False, quote: str = '"') -> DataFrame:
-    """CSV with a header, every column a string by an explicit schema; nothing is inferred.
+def files_below(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Paths of the files of a folder, glob or list, in order; contents are not read."""
+    found = spark.read.format("binaryFile").load(path).select("path").collect()  # one short row a file, as a scan's own listing
+    return sorted(r.path for r in found)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], na: bool = False, quote: str = '"', multiline: bool = False, one_header: bool = False, stem: str | None = None) -> DataFrame:
+    """CSV with a header, every column a string by an explicit schema; nothing is inferred.
 
-    The header's order decides nothing: columns are taken by name from a first read of the header line, and
-    wanted columns that a file lacks are null. With `na`, cells that pandas reads as missing are null (T1);
-    otherwise the empty string stays one. Splits of the input are Spark's: nothing is read by chunks.
+    Columns are taken by name from each file's own header, and wanted columns that a file lacks are null: files are grouped
+    by their header, one scan a header, so that no file's order decides another's cells. With `one_header` they are read in one
+    scan, which fails at a file whose header is not the first one's. With `na`, cells that pandas reads as missing are null (T1); otherwise
+    the empty string stays one. Files are split by size, but for `multiline`, where cells may hold line breaks. `stem` adds the stem of a row's file.
     """
-    raw = spark.read.option("header", True).option("quote", quote).option("escape", quote).option("multiLine", True).option("inferSchema", False)
-    given = raw.csv(path)
-    have = {c.lower(): c for c in given.columns}
-    out = given.select(*[(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None).cast("string")).alias(c) for c in columns])
+    base = spark.read.option("quote", quote).option("escape", quote).option("multiLine", multiline).option("header", True).option("inferSchema", False)
+    if one_header:
+        groups = {tuple(base.csv(path).columns): path}
+    else:
+        groups: dict[tuple[str, ...], list[str]] = {}
+        files = files_below(spark, path)
+        with ThreadPoolExecutor(16) as pool:  # each reads a header line
+            for file, header in zip(files, pool.map(lambda p: tuple(base.csv(p).columns), files), strict=True):
+                groups.setdefault(header, []).append(file)
+    parts = [_by_name(base.schema(", ".join(f"`{c}` string" for c in header)).option("enforceSchema", False).csv(paths), columns, stem) for header, paths in groups.items() if header]
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*columns, *([stem] if stem else [])]))
+    out = reduce(DataFrame.unionByName, parts)
     if na:
-        return out.select(*[F.when(~F.col(c).isin(*NA_CELLS), F.col(c)).alias(c) for c in columns])
+        return out.withColumns({c: F.when(~F.col(c).isin(*NA_CELLS), F.col(c)) for c in columns})
     return out.na.fill("", columns)
 
 
+def _by_name(given: DataFrame, columns: list[str], stem: str | None) -> DataFrame:
+    have = {c.lower(): c for c in reversed(given.columns)}
+    marked = with_stem(given, stem) if stem else given
+    return marked.select(*[(F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None).cast("string")).alias(c) for c in columns], *([stem] if stem else []))
+
+
 def with_stem(df: DataFrame, name: str = "sic_file") -> DataFrame:
     """The stem of the file that a row comes from."""
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1))
@@ -37,24 +62,56 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("p", r"([^/]+)$", 1).alias("filename"), F.regexp_extract("p", r"([^/]+)/[^/]+$", 1).alias("sic"), "text")
 
 
-SUBMISSIONS = T.StructType().add(
-    "filings",
-    T.StructType().add("recent", T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("form", "filingDate", "reportDate", "accessionNumber", "primaryDocument")])).add("files", T.ArrayType(T.StructType().add("name", T.StringType()))),
-)
+#: Parallel arrays of a submissions document, and the document; further files hold the arrays alone.
+RECENT = T.StructType([T.StructField(c, T.ArrayType(T.StringType())) for c in ("form", "filingDate", "reportDate", "accessionNumber", "primaryDocument")])
+SUBMISSIONS = T.StructType().add("filings", T.StructType().add("recent", RECENT).add("files", T.ArrayType(T.StructType().add("name", T.StringType()))))
+FORMS = ("10-K", "20-F")
+
+
+def older_files(json_rows: DataFrame, column: str = "value") -> DataFrame:
+    """Name of each further file of older filings that a document lists, with the document's other columns."""
+    others = [c for c in json_rows.columns if c != column]
+    doc = json_rows.withColumn("__doc", F.from_json(column, SUBMISSIONS))
+    return doc.select(*others, F.explode("__doc.filings.files.name").alias("name"))
+
 
+def filings(json_rows: DataFrame, column: str = "value", forms: tuple[str, ...] = FORMS, older: DataFrame | None = None) -> DataFrame:
+    """One row a filing of the wanted forms from documents of parallel arrays; short arrays are padded with nulls.
 
-def filings(json_rows: DataFrame, column: str = "value", forms: tuple[str, ...] = ("10-K", "20-F")) -> DataFrame:
-    """One row a filing of the wanted forms from documents of parallel arrays; short arrays are padded with nulls."""
-    doc = json_rows.withColumn("doc", F.from_json(column, SUBMISSIONS))
-    recent = [f.name for f in SUBMISSIONS["filings"].dataType["recent"].dataType.fields]
+    `older` has the documents' other columns and the contents of the further files that `older_files` names (fetched, or
+    read from a folder); their filings follow. A document or file that does not parse has none.
+    """
     others = [c for c in json_rows.columns if c != column]
-    rows = doc.select(*others, F.inline(F.arrays_zip(*[F.col(f"doc.filings.recent.{c}").alias(c) for c in recent])))
+    found = json_rows.select(*others, F.from_json(column, SUBMISSIONS)["filings"]["recent"].alias("__r"))
+    if older is not None:
+        found = found.unionByName(older.select(*others, F.from_json(column, RECENT).alias("__r")))
+    rows = found.select(*others, F.inline(F.arrays_zip(*[F.col(f"__r.{c}").alias(c) for c in RECENT.fieldNames()])))
     return rows.where(F.col("form").isin(*forms))
 
 
-def write_parts(df: DataFrame, path: str, by: str, fmt: str = "parquet") -> None:
-    """One folder a value of `by`, written at once and over what was there. Rows are dealt out by value and a hash, so that a hot value has many writers."""
-    df.write.mode("overwrite").partitionBy(by).format(fmt).save(path)
+def links(found: DataFrame, base: str, cik: str = "cik") -> DataFrame:
+    """Filings with the address of their main document, the accession number without dashes."""
+    return found.withColumn("href", F.concat_ws("/", F.lit(base), F.col(cik).cast("string"), F.replace("accessionNumber", F.lit("-"), F.lit("")), "primaryDocument"))
+
+
+def capped(df: DataFrame, most: int | None, *order: Column | str) -> DataFrame:
+    """at most `most` rows, the first in order; None or 0 for all."""
+    return df.orderBy(*order).limit(most) if most else df
+
+
+def write_parts(df: DataFrame, path: str, by: str, fmt: str = "parquet", writers: int = 1, append: bool = False) -> None:
+    """One folder a value of `by`, over what was there or beside it.
+
+    Rows are dealt out by value and, with more than one writer a value, by a hash of the row, so that a value has that many files
+    and a hot one as many writers.
+    """
+    dealt = df.repartition(by) if writers <= 1 else df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(writers)))
+    dealt.write.mode("append" if append else "overwrite").partitionBy(by).format(fmt).save(path)
+
+
+def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Further rows beside those that are there; a failed write leaves them as they were."""
+    df.write.mode("append").format(fmt).save(path)
 
 
 def part_index(df: DataFrame, by: str, **metrics: Column) -> DataFrame:
@@ -73,7 +130,7 @@ def split_errors(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, bytes and time of every file below a folder; contents are not read."""
+    """Path, bytes and time of every file below a folder; contents are not read. Sections of a release are folders of their own."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
@@ -88,13 +145,15 @@ def read_excel(spark: SparkSession, path: str, sheets: list[str] | None = None)
     return spark.createDataFrame(table.astype(str))
 
 
-def write_excel(sheets: dict[str, DataFrame], path: str, most_rows: int = 100_000) -> None:
-    """Small review tables as sheets with a frozen head and filters; larger tables are refused, not cut."""
+def write_excel(sheets: dict[str, DataFrame], path: str, most_rows: int = 100_000, review: tuple[str, ...] = ()) -> None:
+    """Small review tables as sheets with a frozen head, filters and empty columns for the reviewer; larger tables are refused, not cut."""
     import pandas as pd
 
     for name, df in sheets.items():
-        if df.count() > most_rows:
+        if df.limit(most_rows + 1).count() > most_rows:
             raise ValueError(f"{name} has over {most_rows} rows; write it as Parquet or CSV")
-    with pd.ExcelWriter(path) as book:
+    with pd.ExcelWriter(path, engine="openpyxl") as book:
         for name, df in sheets.items():
-            df.toPandas().to_excel(book, sheet_name=name, index=False, freeze_panes=(1, 0))
+            df.select("*", *[F.lit("").alias(c) for c in review if c not in df.columns]).toPandas().to_excel(book, sheet_name=name, index=False, freeze_panes=(1, 0))
+            sheet = book.sheets[name]
+            sheet.auto_filter.ref = sheet.dimensions

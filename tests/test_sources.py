@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from mentionweave import settings
 from mentionweave.operators import joins, sets
 from mentionweave.sources import html, model, tables
 from mentionweave.streaming import incremental
@@ -22,6 +23,36 @@ def test_csv(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "a"), ["name"], na=True).where("name is null").count() == 1
 
 
+def test_csv_files_with_drifting_headers(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("name,cik\nA,1\n")
+    (tmp_path / "2.csv").write_text("cik,name,extra\n2,B,x\n")
+    (tmp_path / "3.csv").write_text("Name\nC\n")
+    (tmp_path / "4.csv").write_text("")
+    got = tables.read_csv(spark, str(tmp_path), ["name", "cik", "extra"], stem="sic_file")
+    assert sorted(tuple(r) for r in got.collect()) == [("A", "1", "", "1"), ("B", "2", "x", "2"), ("C", "", "", "3")]
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_csv(spark, [str(tmp_path / "1.csv"), str(tmp_path / "2.csv")], ["name", "cik"], one_header=True).collect()
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "5.csv").write_text('name,cik\n"a\nb",7\n')
+    assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "lines"), ["name", "cik"], multiline=True).collect()] == [("a\nb", "7")]
+
+
+def test_append_cap_and_settings(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    for _ in range(2):
+        tables.append(df, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    tables.write_parts(df, str(tmp_path / "parts"), "v", writers=4)
+    tables.write_parts(df, str(tmp_path / "parts"), "v", append=True)
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 4
+    assert [r.k for r in tables.capped(df, 1, "k").collect()] == [1] and tables.capped(df, 0, "k").count() == 2
+    (tmp_path / "c.yaml").write_text("llm:\n  model: 'small' # which\n  batch-size: 50\n# max_records: 3\nother: x\n")
+    got = settings.settings(spark, str(tmp_path / "c.yaml"), ["--max-records", "7", "--overwrite"])
+    assert (got.model, got.batch_size, got.max_records, got.overwrite) == ("small", 50, 7, True)
+    (tmp_path / "w.txt").write_text("rival\n\n# no\ncompete\nrival\n")
+    assert settings.words(spark, str(tmp_path / "w.txt"), ["x"]) == ("rival", "compete") and settings.words(spark, "", ["x"]) == ("x",)
+
+
 def test_documents_and_manifest(spark, tmp_path):
     (tmp_path / "2834").mkdir()
     (tmp_path / "2834" / "CIK1_10-K_20011231.txt").write_text("line 1\nline 2")
@@ -36,6 +67,25 @@ def test_filings_pads_short_arrays(spark):
     assert [tuple(r) for r in got.orderBy("form").collect()] == [(7, "10-K", "a", "r", "1", "x"), (7, "20-F", "c", None, "3", "z")]
 
 
+def test_filings_of_further_files(spark):
+    arrays = {"form": ["10-K"], "filingDate": ["d"], "reportDate": ["r"], "accessionNumber": ["0-1-2"], "primaryDocument": ["x.htm"]}
+    docs = spark.createDataFrame([(7, json.dumps({"filings": {"recent": arrays, "files": [{"name": "more.json"}]}})), (8, "no json")], "cik int, value string")
+    assert [tuple(r) for r in tables.older_files(docs).collect()] == [(7, "more.json")]
+    older = spark.createDataFrame([(7, json.dumps(arrays | {"form": ["20-F"]}))], "cik int, value string")
+    got = tables.links(tables.filings(docs, older=older), "https://host/data")
+    assert sorted((r.form, r.href) for r in got.collect()) == [("10-K", "https://host/data/7/012/x.htm"), ("20-F", "https://host/data/7/012/x.htm")]
+
+
+def test_workbooks(spark, tmp_path):
+    pytest.importorskip("openpyxl")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    tables.write_excel({"one": df}, str(tmp_path / "b.xlsx"), review=("manual_decision", "reviewer_notes"))
+    got = tables.read_excel(spark, str(tmp_path / "b.xlsx"), ["one"])
+    assert got.columns == ["k", "v", "manual_decision", "reviewer_notes", "sheet"] and got.count() == 2
+    with pytest.raises(ValueError, match="over 1 rows"):
+        tables.write_excel({"one": df}, str(tmp_path / "c.xlsx"), 1)
+
+
 def test_parts_todo_errors(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", None), (2, "b", "bad"), (3, "a", None)], "k int, sic string, error string")
     good, bad = tables.split_errors(df)
@@ -93,4 +143,16 @@ def test_incremental_upserts(spark, tmp_path):
     spark.createDataFrame([(2, "new"), (3, "c")], "k int, v string").coalesce(1).write.mode("append").parquet(source)
     run()
     assert {(r.k, r.v) for r in incremental.read(spark, target).collect()} == {(1, "a"), (2, "new"), (3, "c")}
+    spark.createDataFrame([(3, "newer"), (3, "newest")], "k int, v string").coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert {(r.k, r.v) for r in incremental.read(spark, target).collect()} == {(1, "a"), (2, "new"), (3, "newer")}
+    assert {r.k for r in incremental.read(spark, target, before=1).collect()} == {1, 2}
     assert incremental.read(spark, str(tmp_path / "nothing")) is None
+
+
+def test_running_counts(spark, tmp_path):
+    schema = "at timestamp, key string"
+    spark.createDataFrame([(1, "a"), (2, "a"), (4000, "b")], "s long, key string").select(F.timestamp_seconds("s").alias("at"), "key").write.parquet(str(tmp_path / "in"))
+    stream = incremental.running_counts(incremental.watch(spark, str(tmp_path / "in"), schema), "at", "key")
+    stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.key, r.n) for r in spark.table("counts").collect()} == {("a", 2), ("b", 1)}
