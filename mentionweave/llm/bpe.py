@@ -33,6 +33,8 @@ from .common import fields_of, replacing, set_apart, task
 
 #: Transitions and remembered pieces that one worker keeps before it starts anew.
 MAX_TRANSITIONS, MAX_PIECES = 500_000, 350_000
+#: Pieces of more characters are not remembered.
+LONG = 64
 #: Ids that the decoder takes at a time.
 DECODE_BLOCK = 4096
 
@@ -121,6 +123,7 @@ class Transducer:
         self._leaf = [node not in inner for node in range(len(self.token_at))]
         self._valid: dict[int, bool] = {}
         self._pairs: dict[int, bool] = {}  # by token before << 32 | token
+        self._last: dict[int, tuple[bytes, bytes] | None] = {}
         self._clear()
 
     @classmethod
@@ -157,19 +160,60 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _may_follow(self, before: int, token: int) -> bool:
+    def _reached(self, token: int) -> bool:
+        """Whether the merges make the token out of its bytes."""
         ok = self._valid.get(token)
         if ok is None:
             ok = self._valid[token] = self.merged(self.bytes_of[token]) == [token]
-        if not ok or before < 0:
-            return ok
+        return ok
+
+    def _halves(self, token: int) -> tuple[bytes, bytes] | None:
+        """The two parts of the token's last merge; None of a single byte."""
+        found = self._last.get(token, self)
+        if found is self:
+            whole = self.bytes_of[token]
+            parts = [whole[i : i + 1] for i in range(len(whole))]
+            while len(parts) > 2:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    r = self.ranks.get(parts[i] + parts[i + 1])
+                    if r is not None and (best is None or r < best):
+                        best, at = r, i
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            found = self._last[token] = (parts[0], parts[1]) if len(parts) == 2 else None
+        return found
+
+    def _may_follow(self, before: int, token: int) -> bool:
+        """Whether the merges of the two tokens' bytes together end with these two.
+
+        Undo the merges at the seam, the latest first. While two parts lay side by side there, they must not have
+        merged: neither at the end, nor before the merge that is undone, of equal ranks the one further left being first.
+        """
+        if not self._reached(token):
+            return False
+        if before < 0:
+            return True
         pair = self._pairs.get(before << 32 | token)
         if pair is None:
             if len(self._pairs) > 2 * MAX_TRANSITIONS:
                 self._pairs.clear()
-            pair = self._pairs[before << 32 | token] = self.merged(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+            pair = self._pairs[before << 32 | token] = self._apart(before, token)
         return pair
 
+    def _apart(self, left: int, right: int) -> bool:
+        ranks, bytes_of, until = self.ranks, self.bytes_of, 1 << 62
+        while True:
+            together = ranks.get(bytes_of[left] + bytes_of[right])
+            if together is not None and together < until:
+                return False
+            ends, begins = self._halves(left), self._halves(right)
+            if ends is None and begins is None:
+                return True
+            if begins is None or (ends is not None and left > right):
+                until, left = left, ranks[ends[1]]
+            else:
+                until, right = right + 1, ranks[begins[0]]
+
     def _step(self, state: int, byte: int) -> int | tuple:
         """Determinise one transition: the subset reached and the tokens all its branches agree on."""
         found, ended = [], None
@@ -206,15 +250,17 @@ class Transducer:
     def piece(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         whole = self.ranks.get(data)
-        if whole is not None:
+        if whole is not None and not self._reached(whole):  # a token that no merges make stands for itself alone
             return [whole]
-        if len(self._next) > MAX_TRANSITIONS:
-            self._clear()
         out: list[int] = []
         state, step = self.start, self._next.get
         for b in data:
             hit = step(state << 8 | b)
             if hit is None:
+                if len(self._next) > MAX_TRANSITIONS:  # start anew, from where the piece is
+                    members = self._members[state]
+                    self._clear()
+                    state, step = self._state(members), self._next.get
                 hit = self._step(state, b)
             if hit.__class__ is int:
                 state = hit
@@ -258,19 +304,14 @@ def encoded(path: str, pattern: str, texts: Iterable[str | None]) -> Iterator[li
     t, known = transducer(path, pattern)
     for text in texts:
         pieces = t.split(text or "")
-        out = list(map(known.get, pieces))
-        if None in out:
-            if len(known) >= MAX_PIECES:
-                known.clear()
-            for k, ids in enumerate(out):
-                if ids is None:
-                    p = pieces[k]
-                    out[k] = known.get(p)
-                    if out[k] is None:
-                        out[k] = tuple(t.piece(p.encode()))
-                        if len(p) <= 64 and len(known) < 2 * MAX_PIECES:
-                            known[p] = out[k]
-        yield out
+        fresh = {p: tuple(t.piece(p.encode())) for p in set(pieces).difference(known)}
+        if any(len(p) > LONG for p in fresh):
+            yield [fresh[p] if p in fresh else known[p] for p in pieces]
+            continue
+        known.update(fresh)
+        yield list(map(known.__getitem__, pieces))
+        if len(known) > MAX_PIECES:
+            known.clear()
 
 
 def texts_of(array: pa.Array) -> Iterator[str]:
