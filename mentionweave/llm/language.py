@@ -178,8 +178,8 @@ def train(documents: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | N
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, int(1.5 * each / n * (1 << 30)) + 1))])
     ids = known.select("doc_id", "lang", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")))
     ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
-    begun = F.substring("text", 1, MAX_CHARS).alias("text")
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id").select(begun, "lang").collect()
+    begun = F.min(F.substring("text", 1, MAX_CHARS)).alias("text")  # one row of those that share an id
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(begun).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, r.text))

@@ -108,7 +108,8 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
         return None
     low, high = (sample_ids(known.where(F.col("domain") == d), "doc_id", max_train // 2, 5) for d in ("low", "high"))
     chosen = low.unionByName(high)  # at most max_train rows
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.substring("text", 1, MAX_CHARS).alias("text"), "domain").collect()
+    begun = F.min(F.substring("text", 1, MAX_CHARS)).alias("text")  # one row of those that share an id
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(begun).collect()
     if len({r.domain for r in rows}) < 2:
         return None
     rows.sort(key=lambda r: (r.domain, r.text))
@@ -117,7 +118,8 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     toxic = train_toxicity(documents, labels)
     judged = labels.where(F.col("toxic").isNotNull() & held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = sample_ids(judged, "doc_id", max_train, 6)  # at most max_train rows
-    tested = toxic_scores(documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"), toxic)
+    tested = documents.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    tested = toxic_scores(tested.groupBy("doc_id").agg(F.min("text").alias("text")), toxic)
     seen = tested.join(F.broadcast(chosen), "doc_id").select("score", "toxic").collect()
     seen.sort()
     scale = scaling(np.array([r.score for r in seen]), np.array([r.toxic == 1 for r in seen], bool)) if seen else (1.0, 0.0)

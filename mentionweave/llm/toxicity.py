@@ -192,10 +192,13 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, m
     rows = (
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select("positive", F.substring("text", 1, MAX_CHARS).alias("text"))
+        .groupBy("doc_id", "positive")
+        .agg(F.min(F.substring("text", 1, MAX_CHARS)).alias("text"))  # one row of those that share an id
+        .select("positive", "text")
         .mapInArrow(task(_features_of), "positive boolean, features binary")
         .collect()
     )
+    rows.sort(key=lambda r: (r.positive, bytes(r.features)))
     sets = [np.frombuffer(r.features, np.uint32) for r in rows]
     positive = np.array([r.positive for r in rows], bool)
     kept = _spread(sets, positive)

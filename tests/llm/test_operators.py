@@ -132,6 +132,26 @@ def test_bpe_as_tiktoken(both):
         assert ours.encode(s) == theirs.encode_ordinary(s)
 
 
+def test_bpe_neighbours_are_those_of_the_merges(both):
+    ours, _ = both
+    rng = random.Random(11)
+    tokens = sorted(ours.bytes_of)
+    for _ in range(20_000):
+        a, b = rng.choice(tokens[: rng.choice((300, 3000, len(tokens)))]), rng.choice(tokens[: rng.choice((300, 3000, len(tokens)))])
+        if ours._reached(a) and ours._reached(b):
+            assert ours._apart(a, b) == (ours.merged(ours.bytes_of[a] + ours.bytes_of[b]) == [a, b])
+
+
+def test_bpe_bounds_transitions_inside_a_piece(both, monkeypatch):
+    theirs = both[1]
+    ours = bpe.Transducer(both[0].ranks, public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", 50)
+    rng = random.Random(12)
+    for _ in range(20):
+        s = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+        assert ours.encode(s) == theirs.encode_ordinary(s) and len(ours._next) <= 51
+
+
 def test_utf8_machine_in_any_pieces():
     rng = random.Random(4)
     data = "aé日😀z\u0301".encode() + b"\xff\xc3(\xe2\x82" + "ü".encode() + b"\xf0\x9f\x98"
@@ -244,6 +264,35 @@ def test_near_copies_are_dropped(spark):
     assert set(component.values()) <= kept and len(alike) > 200
 
 
+def test_near_copies_of_a_group_that_is_not_all_alike(spark, monkeypatch):
+    """Copies of one text with up to a third of its words changed: most meet, and many are alike to few."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(3000)]
+    base = rng.choices(words, k=150)
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 20)):
+            copy[at] = rng.choice(words)
+        texts.append(" ".join(copy))
+    sets = [shingle_set(t) for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = set(least_reachable(range(len(texts)), alike).values())
+    assert len(want) > 20
+    for block in (256, 16):
+        monkeypatch.setattr(nearcopies, "BLOCK", block)
+        assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), SF).collect()} == want
+
+
+def test_shared_shingles():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(0, 700))) for _ in range(40)]
+    got = nearcopies.shared(np.repeat(np.arange(40), [len(s) for s in sets]), np.concatenate(sets), 40)
+    assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(40) for b in range(40) if a != b)
+
+
 def test_near_copies_odd(spark):
     import corpus_pipeline
 
@@ -542,6 +591,19 @@ def slow_links(x, threshold=0.9):
     return [(ids[i], ids[j]) for i, j in zip(a, b, strict=True)]
 
 
+@pytest.mark.parametrize("dim, most", [(64, 6), (256, 4)])
+def test_recall_of_every_number_of_hashes(dim, most):
+    rng = np.random.default_rng(1)
+    assert {neardup_vectors.hashes_for(10**k, dim) for k in range(1, 30)} == set(range(1, most + 1))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(200, dim)))
+    b = rng.normal(size=a.shape)
+    b = 0.9 * a + math.sqrt(1 - 0.81) * unit(b - (b * a).sum(1, keepdims=True) * a)
+    for hashes in range(1, most + 1):
+        x, y = (neardup_vectors.codes(v, hashes, neardup_vectors.tables_for(hashes)) for v in (a, b))
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]) >= 0.9
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_vectors_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(neardup_vectors.links, "__defaults__", (neardup_vectors.THRESHOLD, None, block))
