@@ -96,6 +96,16 @@ def year_distance(a: Column, b: Column) -> Column:
     return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y)))))
 
 
+def year_audit(found: Column, wanted: Column) -> Column:
+    """struct(year_min, year_max, years_available, years_requested, distance, in_year) of a candidate's years against those asked for."""
+    have, asked = F.array_sort(F.array_distinct(F.array_compact(found))), F.array_sort(F.array_distinct(F.array_compact(wanted)))
+    inside = F.coalesce(F.arrays_overlap(have, asked), F.lit(False))
+    return F.struct(
+        F.array_min(have).alias("year_min"), F.array_max(have).alias("year_max"), format_years(have).alias("years_available"), format_years(asked).alias("years_requested"),
+        F.when(inside, 0).otherwise(year_distance(have, asked)).alias("distance"), inside.alias("in_year"),
+    )
+
+
 def fiscal_year(c: Column | str) -> Column:
     """June to December belong to their year, January to May to the one before."""
     return F.year(_c(c)) - F.when(F.month(_c(c)) > 5, 0).otherwise(1)

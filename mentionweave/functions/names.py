@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
@@ -128,11 +129,22 @@ def without_legal_terms(c: Column | str) -> Column:
     return F.array_join(F.filter(tokens(_c(c)), lambda t: ~F.array_contains(legal, t)), " ")
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Characters that are a plain ASCII one with marks or in another form, and that one, by Unicode's compatibility decomposition."""
+    found = {}
+    for code in range(0xA0, 0x10000):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain.isascii():
+            found[chr(code)] = plain
+    return "".join(found), "".join(found.values())
+
+
+MARKED, PLAIN = _plain_letters()
+
+
 def strip_accents(c: Column | str) -> Column:
-    """Latin letters without their marks."""
-    marked = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-    plain = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(_c(c), marked, plain)
+    """Letters without their marks and in their plain form; marks on their own go."""
+    return F.regexp_replace(F.translate(_c(c), MARKED, PLAIN), r"\p{Mn}+", "")
 
 
 def alnum_key(c: Column | str, accents: bool = False) -> Column:

@@ -87,8 +87,8 @@ def json_object(c: Column | str, schema: str) -> Column:
 
 
 def one_of(c: Column | str, allowed: Iterable[str], default: str) -> Column:
-    """The value if it is allowed, else the default."""
-    x = F.lower(strip(text(c)))
+    """The stripped value if it is allowed, else the default."""
+    x = strip(text(c))
     return F.when(x.isin(*allowed), x).otherwise(default)
 
 

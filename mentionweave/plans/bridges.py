@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, names
-from ..operators.aggregates import first_nonblank, joined_in_order, joined_set, keep_first
+from ..operators.aggregates import first_nonblank, joined_in_order, joined_set, keep_first, spread
 from ..operators.joins import first_key
+from .matcher import prepare_bridge, tier
 
 
 def dictionary(companies: DataFrame, order: Column) -> DataFrame:
@@ -62,6 +63,32 @@ def match_diagnostics(matched: DataFrame) -> DataFrame:
     return per.withColumn("share", F.round(F.try_divide("n_mentions", F.sum("n_mentions").over(Window.partitionBy())), 6))
 
 
+def name_diagnostics(mentions: DataFrame) -> DataFrame:
+    """Each raw name with its standard form, that of its parent, its safe core, and the prefixes it is tried under."""
+    rows = spread(mentions.select("raw").where(F.col("raw") != "").distinct(), "raw")
+    rows = rows.withColumns({"name_std": names.standard("raw"), "parent_recovered": names.standard("raw", parent=True)})
+    return rows.withColumns({"name_clean": F.coalesce(names.safe_core("name_std"), "name_std"), "parent_prefixes": F.array_join(names.prefixes("name_std"), "|")})
+
+
+def prefix_diagnostics(bridge: DataFrame) -> DataFrame:
+    """For each (prefix, fyear) its candidates and identities in all sources and in the best tier, and whether each is safe."""
+    b = prepare_bridge(bridge).withColumns({"tier": tier(F.col("source")), "prefix": F.explode(names.prefixes("name"))})
+    b = b.withColumns({"cik": F.coalesce("cik", F.lit("-1")), "gvkey": F.coalesce("gvkey", F.lit("-1"))})
+    listed = ("name", "name_original", "source", "cik", "gvkey")
+    # Tiers first, so that the sets of a common prefix are merged from three rows.
+    per = b.groupBy("prefix", "fyear", "tier").agg(F.count("*").alias("n"), F.collect_set(F.struct("cik", "gvkey")).alias("pairs"), *[F.collect_set(c).alias(c) for c in listed])
+    merged = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    best = F.min_by(F.struct("tier", "n", "pairs", *listed), "tier").alias("best")
+    out = per.groupBy("prefix", "fyear").agg(F.sum("n").alias("n"), merged("pairs").alias("pairs"), *[merged(c).alias(c) for c in listed], best)
+    rule = F.when(F.col("best.tier") == 1, "DISCERN_PRIORITY").when(F.col("best.tier") == 2, "CCM_PRIORITY").otherwise("ALL_SOURCES")
+    text = lambda c: F.array_join(F.array_sort(c), "|")
+    return out.select(
+        "prefix", "fyear", F.col("n").alias("n_candidates_all"), F.size("pairs").alias("n_identities_all"), (F.size("pairs") == 1).alias("is_safe_all"), rule.alias("priority_rule"),
+        F.col("best.n").alias("n_candidates_priority"), F.size("best.pairs").alias("n_identities_priority"), (F.size("best.pairs") == 1).alias("is_safe_priority"),
+        *[text(c).alias(f"{c}s_all") for c in listed], *[text(f"best.{c}").alias(f"{c}s_priority") for c in listed],
+    )
+
+
 def error_rates(reviews: DataFrame, stage: str, decision: str) -> DataFrame:
     """How many reviewed, and the shares approved, rejected and unclear, by stage of review."""
     share = lambda c: F.round(F.avg(c.cast("double")), 6)

@@ -11,7 +11,7 @@ from . import bridges as B
 from . import matcher
 from . import oracle as S
 from .derived import COMPANIES_SQL, bridge, companies, mentions
-from .queries_relational import _MATCH
+from .queries_relational import _MATCH, _PREFIXES, _PREPARED
 from .registering import collection
 
 query, QUERIES, ORACLES = collection()
@@ -89,3 +89,24 @@ def _(t):
 @query("word_sets", "select p_partkey, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(translate(p_name || '/' || p_brand || '-' || p_name, '/#-', '   '), '\\s+'), lambda w: w <> ''))), ' ') as bag from part")
 def _(t):
     return t("part").select("p_partkey", F.array_join(T.word_set(F.concat("p_name", F.lit("/"), "p_brand", F.lit("-"), "p_name")), " ").alias("bag"))
+
+
+_MENTIONED = f"with {COMPANIES_SQL}, r as (select distinct raw from companies where raw <> ''), d as (select raw, {S.standard('raw')} name_std, {S.finish(S.owner('raw'))} parent_recovered from r)"
+
+
+@query("name_diagnostics", f"""{_MENTIONED} select raw, name_std, parent_recovered, coalesce({S.safe_core('name_std')}, name_std) name_clean,
+ array_to_string(list_transform(list_reverse_sort(range(1, least(3, len({S.tokens('name_std')})) + 1)), lambda k: array_to_string({S.tokens('name_std')}[1:k], ' ')), '|') parent_prefixes from d""")
+def _(t):
+    return B.name_diagnostics(companies(t("part")))
+
+
+_LISTED = ("name", "name_original", "source", "cik", "gvkey")
+
+
+@query("prefix_diagnostics", f"""with {_PREPARED}, {_PREFIXES}, q as (select prefix, fyear, tier, name, name_original, source, coalesce(cik, '-1') cik, coalesce(gvkey, '-1') gvkey from p2),
+t as (select *, min(tier) over (partition by prefix, fyear) best from q)
+select prefix, fyear, count(*) n_candidates_all, count(distinct (cik, gvkey))::int n_identities_all, count(distinct (cik, gvkey)) = 1 is_safe_all, case min(best) when 1 then 'DISCERN_PRIORITY' when 2 then 'CCM_PRIORITY' else 'ALL_SOURCES' end priority_rule,
+ count(*) filter (where tier = best) n_candidates_priority, (count(distinct (cik, gvkey)) filter (where tier = best))::int n_identities_priority, count(distinct (cik, gvkey)) filter (where tier = best) = 1 is_safe_priority,
+ {', '.join(f"string_agg(distinct {c}, '|' order by {c}) {c}s_all, string_agg(distinct {c}, '|' order by {c}) filter (where tier = best) {c}s_priority" for c in _LISTED)} from t group by 1, 2""")
+def _(t):
+    return B.prefix_diagnostics(bridge(t("part")))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions import ids, names
 from ..functions import text as T
+from ..sources import model
 from . import oracle as S
 from .derived import COMPANIES_SQL, companies
+from .queries_resolution import _split
 from .registering import collection
 
 query, QUERIES, ORACLES = collection()
@@ -225,3 +227,65 @@ def _(t):
 @query("alignment_audit", f"""with w as (select p_partkey % 97 g, {_WIDE} from part group by 1), l as (select g, len(string_split(n, '|'))::int n_n, len(string_split(b, '|'))::int n_b from w) select * from l where n_n <> n_b""")
 def _(t):
     return T.misaligned(_wide(t), ["g"], ["n", "b"])
+
+
+_WORDS_MARKED = ("Nestlé", "Société Générale", "Müller & Söhne", "Łódź Å/S", "São João", "Crédit Agricole S.A.", "Škoda Žilina", "plain name")
+_MARKED = "case p_partkey % 8 " + " ".join(f"when {k} then {S.q(w)}" for k, w in enumerate(_WORDS_MARKED)) + " end"
+
+
+@query("accents_stripped", f"select p_partkey, strip_accents(p_name || ' ' || {_MARKED}) plain from part")
+def _(t):
+    return t("part").selectExpr("p_partkey", f"concat(p_name, ' ', {_MARKED}) as x").select("p_partkey", names.strip_accents("x").alias("plain"))
+
+
+_BROKEN = "case p_partkey % " + str(len(V.MOJIBAKE)) + " " + " ".join(f"when {k} then {S.q(a)}" for k, (a, _) in enumerate(V.MOJIBAKE)) + " end"
+
+
+@query("mojibake_repaired", f"with s as (select p_partkey, ' ' || p_name || {_BROKEN} || 's ' || p_brand || ' ' x from part) select p_partkey, {S.repair('x')} repaired from s")
+def _(t):
+    return t("part").selectExpr("p_partkey", f"concat(' ', p_name, {_BROKEN}, 's ', p_brand, ' ') as x").select("p_partkey", names.repair("x").alias("repaired"))
+
+
+_POSSESSIVE = "case p_partkey % 6 when 0 then concat('Wendy', chr(39), 's') when 1 then concat(p_brand, chr(39), 's') when 2 then 'Al S' when 3 then concat(p_name, chr(39), 's') when 4 then 'MACY S' else concat('K', p_partkey, ' & Sons') end"
+
+
+@query("possessive_names", f"with s as (select p_partkey, {_POSSESSIVE} x from part) select p_partkey, {S.partial('x')} partial_key, replace({S.partial('x')}, ' ', '') compact_key from s")
+def _(t):
+    s = t("part").selectExpr("p_partkey", f"{_POSSESSIVE} as x").select("p_partkey", names.partial_name("x").alias("partial_key"))
+    return s.withColumn("compact_key", names.compact(F.col("partial_key")))
+
+
+_ALIASED = "case p_partkey % " + str(len(V.ALIASES) + 1) + " " + " ".join(f"when {k} then {S.q(a)}" for k, a in enumerate(V.ALIASES)) + " else p_name end"
+
+
+@query("alias_equivalents", f"with s as (select p_partkey, lower({_ALIASED}) x from part) select p_partkey, {S.candidate('x')} candidate_key from s")
+def _(t):
+    return t("part").selectExpr("p_partkey", f"lower({_ALIASED}) as x").select("p_partkey", names.candidate_name("x").alias("candidate_key"))
+
+
+_FOUND = "case when p_partkey % 9 = 0 then [] else [(1995 + p_partkey % 7)::int, (1993 + p_partkey % 11)::int, (1995 + p_partkey % 7)::int] end"
+
+
+@query("year_audit", f"""with s as (select p_partkey, list_sort(list_distinct({_FOUND})) f, list_sort(list_distinct([(1996 + p_partkey % 5)::int, 1999])) w from part)
+select p_partkey, f[1] year_min, f[-1] year_max, array_to_string(f, ';') years_available, array_to_string(w, ';') years_requested, list_has_any(f, w) in_year,
+ case when list_has_any(f, w) then 0 else list_min(list_transform(f, lambda x: list_min(list_transform(w, lambda y: abs(x - y))))) end::int distance from s""")
+def _(t):
+    found = F.expr("if(p_partkey % 9 = 0, cast(array() as array<int>), array(cast(1995 + p_partkey % 7 as int), cast(1993 + p_partkey % 11 as int), cast(1995 + p_partkey % 7 as int)))")
+    wanted = F.expr("array(cast(1996 + p_partkey % 5 as int), 1999)")
+    return t("part").select("p_partkey", ids.year_audit(found, wanted).alias("a")).select("p_partkey", "a.*")
+
+
+_ANSWERS = """case p_partkey % 5 when 0 then ' company ' when 1 then 'Company' when 2 then 'person' else 'other' end as llm_classification, case p_partkey % 4 when 0 then 'drop' when 1 then 'accept_for_manual_alias_bridge' else 'maybe' end as llm_decision,
+ case p_partkey % 6 when 0 then '0.95' when 1 then '9' when 2 then '88' when 3 then 'high' when 4 then '-3' else '300' end as llm_confidence, case p_partkey % 3 when 0 then ' why ' end as llm_reason, case p_partkey % 2 when 0 then 'legal_entity' else '' end as suggested_alias_scope"""
+_CLASSES, _DECIDED = (", ".join(map(S.q, x)) for x in (V.CLASSES, V.DECISIONS))
+
+
+@query("normalized_answers", f"""with q as (select p_partkey record_id, p_name competitor_name from part), a as (select p_partkey record_id, p_partkey % 7 > 0 answered, {_ANSWERS} from part), j as (select q.*, answered, {', '.join(f"case when answered then {c} end {c}" for c in ('llm_classification', 'llm_decision', 'llm_confidence', 'llm_reason', 'suggested_alias_scope'))} from q join a using (record_id)),
+n as (select record_id, competitor_name, answered, case when trim(llm_classification) in ({_CLASSES}) then trim(llm_classification) else 'unclear' end llm_classification, case when trim(llm_decision) in ({_DECIDED}) then trim(llm_decision) else 'manual_review' end llm_decision,
+ coalesce(try_cast(llm_confidence as double), 0) c, case when answered then coalesce(trim(llm_reason), '') else '{V.MISSING_ANSWER}' end llm_reason, case when suggested_alias_scope = 'legal_entity' then 'legal_entity' else 'unclear' end suggested_alias_scope from j),
+m as (select * exclude (c, answered), greatest(0, least(100, case when c between 0 and 1 then c * 100 when c > 1 and c <= 10 then c * 10 else c end)) llm_confidence, '' suggested_alias_name, case when answered then '' else '{V.MISSING_ANSWER}' end suggested_alias_reason from n)
+select *, llm_confidence < 85 or llm_decision = 'manual_review' needs_manual_check from m""")
+def _(t):
+    asked = t("part").select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("competitor_name"))
+    answers = t("part").selectExpr("p_partkey as record_id", "p_partkey % 7 > 0 as answered", *_split(_ANSWERS)).where("answered").drop("answered")
+    return model.normalized(asked, answers)

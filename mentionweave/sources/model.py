@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import keyword_filter
+from .. import vocab as V
+from ..functions.ids import confidence
+from ..functions.names import keyword_filter, strip, text
+from ..functions.text import one_of
 from ..operators.sets import ensure_columns
 
 _NAME = re.compile(r"\b(?:[A-Z][\w&'’.-]*\s+){0,4}(?:Inc|Corp|Corporation|Company|Co|Ltd|Limited|LLC|PLC|Group|Holdings|AG|SA|NV)\b\.?")
@@ -69,6 +72,25 @@ def classify(residual: DataFrame, name: str, client: DataFrame | None = None) ->
     return joined.withColumns({"llm_classification": kind, "llm_decision": decision}).drop("__rule")
 
 
+def normalized(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every asked record with its answer brought into the schema; one that the model left out gets a row for review.
+
+    `answers`: record_id and any of the model's fields, as text. Values outside an enumeration become its default, of several
+    answers to a record the least in order counts, and whoever is unsure (confidence under 85) or undecided needs a manual check.
+    """
+    fields = ["llm_classification", "llm_decision", "llm_confidence", "llm_reason", "suggested_alias_name", "suggested_alias_scope", "suggested_alias_reason"]
+    given = ensure_columns(answers, fields).select("record_id", F.struct(*[F.col(c).cast("string").alias(c) for c in fields]).alias("__a"))
+    joined = asked.drop(*fields).join(given.groupBy("record_id").agg(F.min("__a").alias("__a")), "record_id", "left")
+    said = lambda c: F.col(f"__a.{c}")
+    missing = F.when(F.col("__a").isNull(), V.MISSING_ANSWER)
+    out = joined.withColumns({
+        "llm_classification": one_of(said("llm_classification"), V.CLASSES, "unclear"), "llm_decision": one_of(said("llm_decision"), V.DECISIONS, "manual_review"),
+        "llm_confidence": confidence(said("llm_confidence")), "llm_reason": F.coalesce(missing, strip(text(said("llm_reason")))), "suggested_alias_name": strip(text(said("suggested_alias_name"))),
+        "suggested_alias_scope": one_of(said("suggested_alias_scope"), V.ALIAS_SCOPES, "unclear"), "suggested_alias_reason": F.coalesce(missing, strip(text(said("suggested_alias_reason")))),
+    })
+    return out.withColumn("needs_manual_check", (F.col("llm_confidence") < 85) | (F.col("llm_decision") == "manual_review")).drop("__a")
+
+
 def overlay(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Second-pass answers over the first where there are any; as many rows as before, as `second` is reduced to one a key."""
     one = second.groupBy(key).agg(*[F.max(c).alias(f"__{c}") for c in columns])

@@ -146,7 +146,7 @@ def test_incremental_upserts(spark, tmp_path):
     spark.createDataFrame([(3, "newer"), (3, "newest")], "k int, v string").coalesce(1).write.mode("append").parquet(source)
     run()
     assert {(r.k, r.v) for r in incremental.read(spark, target).collect()} == {(1, "a"), (2, "new"), (3, "newer")}
-    assert {r.k for r in incremental.read(spark, target, before=1).collect()} == {1, 2}
+    assert {(r.k, r.v) for r in incremental.read(spark, target, before=2).collect()} == {(1, "a"), (2, "new"), (3, "c")}
     assert incremental.read(spark, str(tmp_path / "nothing")) is None
 
 
