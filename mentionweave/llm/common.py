@@ -47,12 +47,6 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a Parquet table under the shared folder and read it back (compressed, column-pruned)."""
     spark = df.sparkSession
@@ -64,15 +58,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame, shuffles: bool = False) -> None:
     """Delete the table that `written` gave and that nothing needs any more.
 
-    The driver's JVM is asked to collect what nothing refers to, as Spark deletes a shuffle's files no sooner.
+    With `shuffles`, the driver's JVM is asked to collect what nothing refers to, as Spark deletes a shuffle's files no sooner.
     """
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    sc._jvm.System.gc()
+    if shuffles:
+        sc._jvm.System.gc()
 
 
 def set_apart(df: DataFrame, *needed: Column | str) -> tuple[DataFrame, dict[str, str]]:

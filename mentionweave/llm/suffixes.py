@@ -356,7 +356,7 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = written(grams.select("gram", (F.col("u") != F.col("v")).alias("mixed")), "suffix-grams")  # a table of its own, so that Spark can split the join's hot keys
     again = written(found.join(grams, "gram"), "suffix-again")
     discard(found)
-    discard(grams)
+    discard(grams, shuffles=True)
     span = F.col("start").alias("a"), (F.col("stop") + WINDOW - 1).alias("b")
     whole = again.where("not mixed").select("key", "salt", *span)
     mixed = again.where("mixed").drop("mixed")
@@ -364,7 +364,7 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     units = written(units.select("gram", "unit", "n", "one.*"), "suffix-units")
     twice = mixed.join(units.where("n > 1").select("gram", "unit"), ["gram", "unit"]).select("key", "salt", *span)
     simple = written(whole.unionByName(twice), "suffix-whole")
-    discard(again)
+    discard(again, shuffles=True)
     large = written(_large(units), "suffix-large").withColumn("hot", F.lit(True))
     sized = units.join(large, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = sized.groupBy("key", "salt").agg(F.collect_list(F.struct("gram", "unit", "n", "start", "stop", "at", "hot")).alias("wanted"))
