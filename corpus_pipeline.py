@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each on what the one before it kept."""
+"""The corpus pipeline: five stages, each on what the one before it kept.
+
+For every stage: an empty table gives an empty one; columns beyond doc_id and text are carried along whatever their names (n_chars
+alone is counted anew where texts are cut), the last stage's result aside; rows without an id are rows like others, and rows that share one
+are told apart by all their columns; bytes that are no UTF-8 are handled as the operator says; nothing depends on the order of rows.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +18,13 @@ from mentionweave.llm.common import bounded, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is recognised; texts that are null or without a letter go, as do rejected ones."""
+    """Rows whose language is recognised; texts that are null or without a letter go, as do rejected ones. Ties go to the first language of the alphabet."""
     bounded(spark)
     return language.reject(docs, language.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts whose five-word shingles are alike by 0.8 or more."""
+    """One row of each group of texts whose five-word shingles are alike by 0.8 or more: that of the least id, then of the least hash of the row."""
     return simhash.deduplicate(docs)
 
 
@@ -32,7 +37,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the rates say that bring the labelled domains to their target shares."""
+    """Rows as often as the rates say that bring the labelled domains to their target shares; all once where there are no labels."""
     return mixing.resample(docs, table(spark, sf_dir, "labels"))
 
 
@@ -49,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: Trained models and merges of transforms are beyond SQL; tests hold the stages against brute force.
+#: Trained models and merges of transforms are beyond SQL; tests hold near copies, removals, rates and ids against brute force.
 ORACLE_SQL = None
 
 
