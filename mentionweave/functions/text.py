@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from ..operators.ordering import positions
 from .names import strip, text
 
 
@@ -18,23 +19,20 @@ def _c(c: Column | str) -> Column:
 def intervals(df: DataFrame, keys: list[str], body: str, words: Iterable[str] = V.KEYWORDS, before: int = 100, after: int = 1000) -> DataFrame:
     """Merged ranges (st, en), counted in characters from 0, around whole-word hits in `body`.
 
-    Offsets are sums of the lengths of what lies between and in the hits; overlapping and touching ranges
-    are merged by a running maximum inside one text's window.
+    Offsets are running sums of the lengths of what lies between the hits and of the hits; ranges that overlap or touch are
+    merged. Both run over one text's hits in their order, so that a text costs no more than its hits.
     """
     pattern = r"(?i)\b(?:" + "|".join(sorted(map(str.lower, words), key=lambda w: (-len(w), w))) + r")\b"
     lengths = lambda a: F.transform(a, lambda s: F.length(s))
-    cut = df.select(*keys, F.length(body).alias("n"), lengths(F.split(F.col(body), pattern, -1)).alias("p"), lengths(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0))).alias("m"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
-    hit = F.transform(
-        F.when(F.size("m") > 0, F.sequence(F.lit(1), F.size("m"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct((total(F.slice("p", F.lit(1), i)) + total(F.slice("m", F.lit(1), i - 1))).alias("s"), F.get("m", i - 1).alias("l")),
-    )
-    hits = cut.select(*keys, "n", F.inline(hit))
-    spans = hits.select(*keys, F.greatest(F.col("s") - before, F.lit(0)).alias("st"), F.least(F.col("s") + F.col("l") + after, F.col("n")).alias("en"))
-    order = Window.partitionBy(*keys).orderBy("st", "en")
-    reach = F.max("en").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gaps, hits = lengths(F.split(F.col(body), pattern, -1)), lengths(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0)))
+    cut = df.select(*keys, F.length(body).alias("n"), gaps.alias("gaps"), hits.alias("hits")).where(F.size("hits") > 0)
+    each = cut.select(*keys, "n", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("gap"), F.col("hits").alias("hit"))).alias("at", "z"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    ends = each.select(*keys, "n", "at", F.col("z.hit").alias("hit"), F.sum(F.col("z.gap") + F.col("z.hit")).over(order).cast("int").alias("end"))
+    spans = ends.select(*keys, "at", F.greatest(F.col("end") - F.col("hit") - before, F.lit(0)).alias("st"), F.least(F.col("end") + after, F.col("n")).alias("en"))
+    reach = F.lag("en").over(order)  # starts and ends only grow from hit to hit
     marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("st") > reach), 1).otherwise(0))
-    return marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "island").agg(F.min("st").alias("st"), F.max("en").alias("en"))
+    return marked.withColumn("island", F.sum("new").over(order)).groupBy(*keys, "island").agg(F.min("st").alias("st"), F.max("en").alias("en"))
 
 
 def snippets(df: DataFrame, keys: list[str], body: str, words: Iterable[str] = V.KEYWORDS, separator: str = r"\n[ \t]*\n", before: int = 100, after: int = 1000) -> DataFrame:
@@ -93,11 +91,8 @@ def one_of(c: Column | str, allowed: Iterable[str], default: str) -> Column:
 
 
 def requests(df: DataFrame, key: str, columns: list[str], size: int = 25) -> DataFrame:
-    """Batches of `size` rows in order of the key, each as one JSON array.
-
-    The order is global, as batches are; it runs over the reduced set of names that a model is to see.
-    """
-    numbered = df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(key)) - 1) / size))
+    """Batches of `size` rows in order of the key, each as one JSON array."""
+    numbered = positions(df, F.col(key), "__place").withColumn("batch", F.floor((F.col("__place") - 1) / size))
     items = F.array_sort(F.collect_list(F.struct(key, *[c for c in columns if c != key])))
     return numbered.groupBy("batch").agg(F.count("*").alias("n"), F.to_json(items).alias("records"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import keep_first
@@ -61,3 +61,11 @@ def count_difference(before: DataFrame, after: DataFrame, column: str) -> DataFr
     a, b = (df.groupBy(column).agg(F.count("*").alias(n)) for df, n in ((before, "n_before"), (after, "n_after")))
     both = a.join(b, column, "full").na.fill(0, ["n_before", "n_after"])
     return both.withColumn("difference", F.col("n_after") - F.col("n_before"))
+
+
+def diff_summary(changes: DataFrame, layer: str, key: str, spots: int = 3) -> DataFrame:
+    """Rows of `diff_runs` by layer and change, with the first `spots` keys of each for a look."""
+    counts = changes.groupBy(layer, "change").agg(F.count("*").alias("n"))
+    first = changes.withColumn("__k", F.row_number().over(Window.partitionBy(layer, "change").orderBy(key))).where(F.col("__k") <= spots)
+    looked = first.groupBy(layer, "change").agg(F.array_join(F.array_sort(F.collect_list(key)), ";").alias("spots"))
+    return counts.join(looked, [layer, "change"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions import ids, names
 from ..functions import text as T
-from ..sources import model
+from ..sources import model, tables
 from . import oracle as S
 from .derived import COMPANIES_SQL, companies
 from .queries_resolution import _split
@@ -176,6 +176,21 @@ def _(t):
     return T.intervals(t("documents"), ["doc_id"], "text", ["the", "and", "license"]).select("doc_id", "st", "en")
 
 
+@query("snippet_texts", r"""with pp as (select doc_id, unnest(string_split_regex(text, '\n[ \t]*\n')) x, generate_subscripts(string_split_regex(text, '\n[ \t]*\n'), 1) - 1 part from documents where doc_id is not null),
+a as (select doc_id, part, x, string_split_regex(x, '(?i)\b(?:license|the|and)\b') p, regexp_extract_all(x, '(?i)\b(?:license|the|and)\b', 0) m from pp where regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''),
+b as (select doc_id, part, x, p, m, unnest(generate_series(1, len(m))) i from a where len(m) > 0),
+c as (select doc_id, part, x, (list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0))::bigint s, length(m[i]) l from b),
+d as (select doc_id, part, x, greatest(s - 40, 0) st, least(s + l + 60, length(x)) en from c),
+e as (select *, max(en) over (partition by doc_id, part order by st, en rows between unbounded preceding and 1 preceding) pm from d),
+f as (select *, sum(case when pm is null or st > pm then 1 else 0 end) over (partition by doc_id, part order by st, en rows unbounded preceding) g from e),
+h as (select doc_id, part, any_value(x) x, min(st) st, max(en) en from f group by doc_id, part, g),
+k as (select doc_id, part, x, st, en, case when st > 0 then '...' || regexp_replace(substr(x, st + 1, en - st), '^\s+', '') else substr(x, st + 1, en - st) end y from h)
+select doc_id, part::int part, st::int st, md5(case when en < length(x) then regexp_replace(y, '\s+$', '') || '...' else y end) digest from k""")
+def _(t):
+    found = T.snippets(t("documents"), ["doc_id"], "text", ["the", "and", "license"], before=40, after=60)
+    return found.select("doc_id", "part", "st", F.md5(F.col("snippet").cast("binary")).alias("digest"))
+
+
 @query("snippet_stats", """select doc_id, length(text)::int chars, ((length(text) - length(replace(text, chr(10) || chr(10), ''))) / 2)::int paragraphs, round(100 * least(length(text), 1100) / nullif(length(text), 0)::double, 6) share from documents""")
 def _(t):
     s = T.stats("text", F.least(F.length("text"), F.lit(1100)))
@@ -210,6 +225,21 @@ def _(t):
     return rows.where(F.col("priority").isin("1-URGENT", "2-HIGH"))
 
 
+_FORM = "case o_orderkey % 4 when 0 then '10-K' when 1 then '20-F' when 2 then '8-K' else '10-K/A' end"
+
+
+@query("filing_lists", f"""select o_custkey cik, {_FORM} form, o_orderdate::varchar "filingDate", 'https://host/data/' || o_custkey || '/' || o_orderkey || '/' || o_orderpriority || '.htm' href from orders where {_FORM} in ('10-K', '20-F')""")
+def _(t):
+    # Odd lines stand in the documents themselves, the others in the further files that these name.
+    o = t("orders").selectExpr("o_custkey as cik", "o_orderkey", f"{_FORM} as form", "cast(o_orderdate as string) as filingDate", "concat(o_orderkey, '-') as accessionNumber", "concat(o_orderpriority, '.htm') as primaryDocument")
+    arrays = F.array_sort(F.collect_list(F.struct("o_orderkey", "form", "filingDate", "accessionNumber", "primaryDocument")))
+    held = o.groupBy("cik", (F.col("o_orderkey") % 2).alias("at")).agg(arrays.alias("s"))
+    record = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("form", "filingDate", "accessionNumber", "primaryDocument")])
+    docs = held.where("at = 1").select("cik", F.to_json(F.struct(F.struct(record.alias("recent")).alias("filings"))).alias("value"))
+    older = held.where("at = 0").select("cik", F.to_json(record).alias("value"))
+    return tables.links(tables.filings(docs, older=older), "https://host/data").select("cik", "form", "filingDate", "href")
+
+
 _WIDE = "string_agg(p_name, '|' order by p_partkey) n, string_agg(p_brand, '|' order by p_partkey) filter (where p_partkey % 5 <> 0) b"
 
 

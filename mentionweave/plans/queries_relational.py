@@ -10,6 +10,7 @@ from ..functions import ids, names
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import sets as U
+from ..operators.ordering import positions
 from . import matcher
 from . import oracle as S
 from .derived import BRIDGE_SQL, COMPANIES_SQL, MENTIONS_SQL, bridge, mentions
@@ -296,9 +297,9 @@ def _(t):
 
 @query("surrogate_ids", "select 'step7_residual_' || lpad(cast(row_number() over (order by n desc, p_name) as varchar), 6, '0') record_id, p_name, n from (select p_name, count(*) n from part group by 1)")
 def _(t):
-    # The order is global by definition of the id; it runs over the distinct names alone.
     g = t("part").groupBy("p_name").agg(F.count("*").alias("n"))
-    return g.select(F.format_string("step7_residual_%06d", F.row_number().over(Window.orderBy(F.col("n").desc(), "p_name"))).alias("record_id"), "p_name", "n")
+    placed = positions(g, F.struct((-F.col("n")).alias("n"), "p_name"))
+    return placed.select(F.format_string("step7_residual_%06d", F.col("place")).alias("record_id"), "p_name", "n")
 
 
 @query("explode_alternatives", "select p_partkey, unnest(string_split(p_name || '|' || p_type || '|' || p_name, '|')) alternative from part")
@@ -314,6 +315,18 @@ def _(t):
     return U.diff_runs(a, b, "o_orderkey", "s")
 
 
+@query("run_diff_summary", """with a as (select o_orderkey, o_orderstatus s from orders where o_orderpriority <> '1-URGENT'), b as (select o_orderkey, case when o_orderkey % 6 = 0 then 'X' else o_orderstatus end s from orders where o_orderpriority <> '5-LOW'),
+c as (select coalesce(a.o_orderkey, b.o_orderkey) k, case when a.s is null then 'added' when b.s is null then 'removed' when a.s = b.s then 'same' else 'changed' end change from a full join b on a.o_orderkey = b.o_orderkey),
+l as (select o_orderstatus as layer, change, k, row_number() over (partition by o_orderstatus, change order by k) r from c join orders on k = o_orderkey)
+select layer, change, count(*) n, string_agg(k, ';' order by k) filter (where r <= 3) spots from l group by 1, 2""")
+def _(t):
+    o = t("orders")
+    a = o.where("o_orderpriority <> '1-URGENT'").select("o_orderkey", F.col("o_orderstatus").alias("s"))
+    b = o.where("o_orderpriority <> '5-LOW'").select("o_orderkey", F.expr("case when o_orderkey % 6 = 0 then 'X' else o_orderstatus end").alias("s"))
+    changes = U.diff_runs(a, b, "o_orderkey", "s").join(o.select("o_orderkey", F.col("o_orderstatus").alias("layer")), "o_orderkey")
+    return U.diff_summary(changes, "layer", "o_orderkey")
+
+
 @query("count_difference", """with a as (select o_orderpriority, count(*) n from orders where o_orderkey % 2 = 0 group by 1), b as (select o_orderpriority, count(*) n from orders where o_orderkey % 3 = 0 group by 1)
 select coalesce(a.o_orderpriority, b.o_orderpriority) o_orderpriority, coalesce(a.n, 0) n_before, coalesce(b.n, 0) n_after, coalesce(b.n, 0) - coalesce(a.n, 0) difference from a full join b on a.o_orderpriority = b.o_orderpriority""")
 def _(t):
@@ -348,9 +361,9 @@ def _(t):
 
 @query("mixed_sort", "select o_orderkey, o_orderstatus, o_totalprice, row_number() over (order by o_orderstatus, o_totalprice desc nulls last, o_orderkey)::int as place from orders")
 def _(t):
-    # A global position is what the query reports; a plain multi-key sort needs no single task.
-    w = Window.orderBy(F.col("o_orderstatus").asc_nulls_last(), F.col("o_totalprice").desc_nulls_last(), "o_orderkey")
-    return t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.row_number().over(w).alias("place"))
+    o = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    order = F.struct(F.col("o_orderstatus").isNull().alias("a"), "o_orderstatus", F.col("o_totalprice").isNull().alias("b"), (-F.col("o_totalprice")).alias("c"), "o_orderkey")
+    return positions(o, order).withColumn("place", F.col("place").cast("int"))
 
 
 @query("worklist", "select distinct p_brand from part where p_brand is not null union select trim(x) from (select unnest(string_split('Brand#1, Brand#2,Brand#99', ',')) x)")

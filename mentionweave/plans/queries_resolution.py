@@ -376,3 +376,33 @@ def _(t):
     crosswalk = t("part").selectExpr(*_split(_CROSS))
     found = X.dated_recovery(_aliases(t), listing, crosswalk)
     return found.select("record_id", "candidate", "companyid", "isin", "rule", "overlap", "ciq_gvkey", "has_gvkey", "gvkey_overlap", "upgrade", "candidate_rank")
+
+
+# Abbreviations as aliases, and what to search for them as the names of a bridge.
+_SHORT = list(V.ABBREVIATIONS)
+_LONG = sorted({x for v in V.ABBREVIATIONS.values() for x in v.split("|")})
+
+
+def _nth(items: list[str], by: str) -> str:
+    return f"case {by} % {len(items)} " + " ".join(f"when {k} then {S.q(x)}" for k, x in enumerate(items)) + " end"
+
+
+_ABBREVIATED = f"{_nth(_SHORT, 'p_partkey')} as alias"
+_EXPANDED = f"{_nth(_LONG, 'p_partkey')} as name_original, cast(1995 + p_partkey % 5 as int) as fyear, case p_partkey % 4 when 0 then 'DISCERN' when 1 then 'COMPUSTAT_US' when 2 then 'SEC_HEADER' else 'COMPUSTAT_GLOBAL' end as source, concat('C', p_partkey % 300) as cik, concat('G', p_partkey % 200) as gvkey"
+
+
+@query("abbreviation_cascade", f"""with alias as (select p_partkey record_id, {_ABBREVIATED}, [(1994 + p_partkey % 4)::int] as years from part), bridge as (select {_EXPANDED} from part),
+panel as (select distinct 'C' || p_partkey % 300 cik, 'G' || p_partkey % 200 gvkey, (1994 + p_partkey % 3)::int fyear from part), ab(alias, search) as (values {', '.join(f"({S.q(k)}, {S.q(x)})" for k, v in V.ABBREVIATIONS.items() for x in v.split('|'))}),
+a as (select *, {S.without_legal('own')} legal from (select *, {S.candidate('alias')} own from alias)), b as (select *, {S.without_legal('name')} legal from (select name_original bridge_name, source, cik, gvkey, list(distinct fyear) bys, {S.candidate('name_original')} name from bridge group by 1, 2, 3, 4)),
+m as (select record_id, years, bridge_name, source, cik, gvkey, bys, 'n' kind from a join b on own = name union all select record_id, years, bridge_name, source, cik, gvkey, bys, 'l' from a join b on a.legal = b.legal where a.legal <> '' and own <> name
+ union all select distinct record_id, years, bridge_name, source, cik, gvkey, bys, 'a' from a join (select alias, {S.candidate('search')} x from ab) q using (alias) join b on x = name),
+s as (select record_id, bridge_name, source, cik, gvkey, case when kind = 'n' and list_has_any(bys, years) then 1 when kind = 'l' and list_has_any(bys, years) then 2 when kind = 'a' and list_has_any(bys, years) and source in ({', '.join(map(S.q, V.STRONG_SOURCES))}) then 3 when kind = 'n' and not list_has_any(bys, years) then 4 when kind = 'l' and not list_has_any(bys, years) then 5 end stage,
+ case when list_has_any(bys, years) then 0 else list_min(list_transform(bys, lambda x: list_min(list_transform(years, lambda y: abs(x - y))))) end distance from m
+ union all select record_id, bridge_name, source, cik, gvkey, 6, 0 from m where kind = 'n' and exists (select 1 from panel p where list_contains(m.years, p.fyear) and (p.cik = m.cik or p.gvkey = m.gvkey))),
+g as (select record_id, bridge_name, source, cik, gvkey, stage, min(distance)::int distance from s where stage is not null group by all)
+select *, case stage {' '.join(f"when {k} then '{v}'" for k, v in C.STAGES.items())} end as rule from g where stage = (select min(h.stage) from g h where h.record_id = g.record_id)""")
+def _(t):
+    p = t("part")
+    aliases = p.selectExpr("p_partkey as record_id", _ABBREVIATED, "array(cast(1994 + p_partkey % 4 as int)) as years")
+    panel = p.selectExpr("concat('C', p_partkey % 300) as cik", "concat('G', p_partkey % 200) as gvkey", "cast(1994 + p_partkey % 3 as int) as fyear").distinct()
+    return C.cascade(aliases, p.selectExpr(*_split(_EXPANDED)), panel).withColumn("distance", F.col("distance").cast("int"))

@@ -85,7 +85,8 @@ def filings(json_rows: DataFrame, column: str = "value", forms: tuple[str, ...]
     found = json_rows.select(*others, F.from_json(column, SUBMISSIONS)["filings"]["recent"].alias("__r"))
     if older is not None:
         found = found.unionByName(older.select(*others, F.from_json(column, RECENT).alias("__r")))
-    rows = found.select(*others, F.inline(F.arrays_zip(*[F.col(f"__r.{c}").alias(c) for c in RECENT.fieldNames()])))
+    arrays = [F.coalesce(f"__r.{c}", F.array().cast("array<string>")).alias(c) for c in RECENT.fieldNames()]  # a missing one is an empty one
+    rows = found.select(*others, F.inline(F.arrays_zip(*arrays)))
     return rows.where(F.col("form").isin(*forms))
 
 
