@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(spark: SparkSession, size: str = "4m") -> None:
-    """Hand texts to Python in Arrow batches of a few MB, unless the session has a size of its own."""
+def bounded(spark: SparkSession, size: str = "1m") -> None:
+    """Hand texts to Python in Arrow batches of a MB or one text, unless the session has a size of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, size)
