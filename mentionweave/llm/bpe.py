@@ -218,8 +218,7 @@ class Transducer:
         """Determinise one transition: the subset reached and the tokens all its branches agree on."""
         found, ended = [], None
         children, token_at, leaf, pairs = self.children, self.token_at, self._leaf, self._pairs
-        for member in self._members[state]:
-            before, node, out = member
+        for before, node, out in self._members[state]:
             nxt = children.get(node << 8 | byte)
             if nxt is None:
                 continue
@@ -230,21 +229,18 @@ class Transducer:
                 ok = pairs.get(before << 32 | token)
                 if ok or (ok is None and self._may_follow(before, token)):
                     ended = (token, 0, (*out, token))
-        found.append(ended)
         emitted = ended[2]
-        for *_, out in found[:-1]:
-            if not out:
+        for _, _, out in found:
+            if not out or out[0] != emitted[0]:
                 emitted = ()
                 break
-            n = 0
-            for x, y in zip(emitted, out, strict=False):
-                if x != y:
-                    break
-                n += 1
-            emitted = emitted[:n]
-        n = len(emitted)
-        reached = self._state(tuple((b, node, out[n:]) for b, node, out in found) if n else tuple(found))
-        hit = self._next[state << 8 | byte] = (reached, emitted) if emitted else reached
+        n = min([len(emitted), *[len(out) for _, _, out in found]]) if emitted else 0
+        for _, _, out in found if n else ():
+            while emitted[:n] != out[:n]:
+                n -= 1
+        found.append(ended)
+        reached = self._state(tuple([(b, node, out[n:]) for b, node, out in found] if n else found))
+        hit = self._next[state << 8 | byte] = (reached, emitted[:n]) if n else reached
         return hit
 
     def piece(self, data: bytes) -> list[int]:
