@@ -11,8 +11,9 @@ from .common import discard, written
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of (a, b) edges that isn't its component's least node.
 
-    Each round joins the edges to per-node minima, which Spark pre-aggregates. Both sides of a join are tables of their own,
-    so that Spark can split a node of great degree, which is never a group in one task. Rounds stop when the
+    Each round joins the edges to per-node minima, which Spark pre-aggregates and which are a table of their own, so that
+    Spark can split a node of great degree and none is a group in one task; in the second join a node has but its own
+    lesser neighbours' minima. Rounds stop when the
     edges no longer change: each node then points to the least node of its component. Null ends and
     loops are dropped; an empty table gives an empty table.
     """
@@ -22,10 +23,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = e.unionByName(e.select(b.alias("a"), a.alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-least")
-        large = written(both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct(), "edges-large")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "edges-low")
+        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.inline(F.array(F.struct(a, F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))))
-        done, e = [e, least, large, low], written(small.where(a != b).distinct(), "edges")
+        done, e = [e, least], written(small.where(a != b).distinct(), "edges")
         for table in done:
             discard(table)
         last, mark = mark, _mark(e)

@@ -117,6 +117,8 @@ TEXTS = (
         "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
 )
+#: Share of documents above which a term is common: texts are sieved by other terms where those do.
+COMMON = 0.02
 _WORD = "[a-z0-9]+"
 _FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 #: A blank line, between blocks.
@@ -157,16 +159,21 @@ def weights(n: int, df: dict[str, int], templates: Templates) -> tuple[dict[str,
     return idf, math.log(1 + n) + 1, out
 
 
-def heavy_terms(vectors: list[dict[str, float]], least: list[float]) -> list[str]:
-    """Terms of which a unit must hold one to reach the threshold with some template."""
-    heavy = set()
-    for v, threshold in zip(vectors, least, strict=True):
-        rest = 1.0
-        for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
-            if rest < threshold**2 - 1e-9:
+def heavy_terms(vectors: list[dict[str, float]], least: list[float], common: frozenset[str] = frozenset()) -> list[str]:
+    """Few terms of which a unit must hold one to reach the threshold with some template; `common` ones only if others don't do.
+
+    A unit without them has a cosine of at most the norm of what is left of the template.
+    """
+    heavy: set[str] = set()
+    over = [1 - t**2 + 1e-9 for t in least]  # mass that still has to go, by template
+    for allowed in (set().union(*vectors) - common, common):
+        while any(x > 0 for x in over):
+            gain = {t: sum(min(x, v.get(t, 0.0) ** 2) for x, v in zip(over, vectors, strict=True) if x > 0) for t in allowed - heavy}
+            best = min(gain, key=lambda t: (-gain[t], t), default=None)
+            if best is None or gain[best] <= 0:
                 break
-            heavy.add(t)
-            rest -= w * w
+            heavy.add(best)
+            over = [x - v.get(best, 0.0) ** 2 for x, v in zip(over, vectors, strict=True)]
     return sorted(heavy)
 
 
@@ -174,9 +181,11 @@ def heavy_terms(vectors: list[dict[str, float]], least: list[float]) -> list[str
 LINE, BLOCK, WHOLE = 0, 1, 2
 
 
-def _units(templates: Templates, vectors: list[dict[str, float]]) -> Column:
+def _units(templates: Templates, vectors: list[dict[str, float]], n: int, df: dict[str, int]) -> Column:
     """Structs (kind, unit) of the text that hold a heavy term of their kind's templates; null where there is none."""
-    heavy = {longer: heavy_terms([v for v, x in zip(vectors, templates.longer, strict=True) if x == longer], [t for t, x in zip(templates.least, templates.longer, strict=True) if x == longer]) for longer in (False, True)}
+    common = frozenset(t for t, k in df.items() if k > n * COMMON)
+    of_kind = lambda values, longer: [x for x, y in zip(values, templates.longer, strict=True) if y == longer]
+    heavy = {longer: heavy_terms(of_kind(vectors, longer), of_kind(templates.least, longer), common) for longer in (False, True)}
     pattern = lambda words: "(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])"
     text = F.lower("text")
 
@@ -219,7 +228,7 @@ def own_licenses(documents: DataFrame, templates: Templates) -> DataFrame:
     n, df = frequencies(documents, templates)
     vectors = weights(n, df, templates)[2]
     row = [c.alias(f"r{i}") for i, c in enumerate(_name("doc_id", F.col("path").isNull(), "path", "text"), 1)]
-    held = documents.select(*row, F.size(terms_of(F.col("text"))).alias("size"), _units(templates, vectors).alias("units")).where(F.size("units") > 0)
+    held = documents.select(*row, F.size(terms_of(F.col("text"))).alias("size"), _units(templates, vectors, n, df).alias("units")).where(F.size("units") > 0)
     held = written(held, "license-units").select("r1", "r2", "size", F.inline("units")).distinct()
     held = held.select("r1", "r2", "size", "kind", "unit", *_name("unit"))
     scores = written(unit_scores(held.select("k1", "k2", "kind", "unit").dropDuplicates(["k1", "k2", "kind"]), templates, n, df), "license-scores")
