@@ -55,9 +55,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
+    for made in _watched:
+        made.append(back)
     return back
 
 
+_watched: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def tidied() -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes, at its end, the tables that `written` made meanwhile, but for those that the given function is told to keep."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _watched.append(made)
+    try:
+        yield kept.append
+    finally:
+        _watched.pop()
+        for table in made:
+            if not any(table is k for k in kept):
+                discard(table)
+
+
 def discard(df: DataFrame, shuffles: bool = False) -> None:
     """Delete the table that `written` gave and that nothing needs any more.
 
