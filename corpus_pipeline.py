@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionweave.llm import bpe, language, mixing, simhash, suffixes
-from mentionweave.llm.common import bounded, table, written
+from mentionweave.llm.common import bounded, discard, table, tidied, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply STAGES to documents, each written as Parquet and read again; what a stage has used is deleted after it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with tidied() as keep:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
