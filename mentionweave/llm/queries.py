@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, mixing, neardup_vectors, simhash, suffixes, topk, toxicity, urlfilter
+from . import bpe, filteraudit, language, licenses, mixing, neardup_vectors, replytrees, simhash, suffixes, topk, toxicity, urlfilter, whitening
 from .common import held_out, table
 
 
@@ -58,6 +58,23 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.components(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation is a tree of one branch; conversation -1 is added, beside one of that id if there is one."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    messages = replytrees.chained(turns).unionByName(replytrees.chained(added, "+"))
+    return replytrees.read_back(replytrees.conversations(messages, carried=("conv_id",)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -69,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_urls": op9_urls,
     "op10_vectors": op10_vectors,
+    "op11_whitening": op11_whitening,
+    "op12_filters": op12_filters,
+    "op13_trees": op13_trees,
 }
 
 _T = licenses.Templates()
@@ -128,5 +148,33 @@ p as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id an
 c(x, y) as (select vec_id, vec_id from v union select c.x, p.b from c join p on c.y = p.a),
 n as (select a, count(*) n from p group by a), m as (select x, min(y) m from c group by x)
 select vec_id, coalesce(n, 0)::bigint n_links, m component_id, vec_id = m kept from v left join n on a = vec_id join m on x = vec_id
+""",
+    "op12_filters": r"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') words, min(doc_id) over (partition by t) least from d),
+l as (select doc_id, max(coalesce(quality = 1, false)) good, max(coalesce(toxic = 1, false)) toxic from labels group by 1),
+m as (select part, coalesce(good, false) good, coalesce(toxic, false) toxic,
+             (len(words) < 100)::int + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::int
+             + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > least, false)::int mask from w left join l using (doc_id)),
+h as (select part, mask, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from m group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) f),
+o as (select a.f || b.f || c.f || d.f || e.f filter_order from f a, f b, f c, f d, f e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s as (select filter_order, step, 1 << (ascii(filter_order[step]) - 65) bit, list_sum([0] || list_transform(string_split(left(filter_order, step - 1), ''), lambda x: case when x = '' then 0 else 1 << (ascii(x) - 65) end)) gone
+      from o, (select unnest(range(1, 6)) step)),
+r as (select part, filter_order, step, bit, coalesce(sum(n) filter (mask & bit = 0 and mask & gone = 0), 0) kept, coalesce(sum(n) filter (mask & bit <> 0 and mask & gone = 0), 0) removed,
+             coalesce(sum(n) filter (mask & bit <> 0 and mask & gone <> 0), 0) redundant, coalesce(sum(n) filter (mask = bit), 0) unique_fails,
+             coalesce(sum(good) filter (mask & bit <> 0 and mask & gone = 0), 0) good_lost, coalesce(sum(toxic) filter (mask & bit <> 0 and mask & gone = 0), 0) toxic_lost from h, s group by all)
+select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost,
+       (sum(removed) over (partition by part, bit))::bigint shapley from r
+""",
+    "op13_trees": r"""
+with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text, false added from conversations
+           union all select -1, k, case when k = 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]', true from range(2) r(k)),
+e as (select *, len(regexp_extract_all(role || chr(10) || text, '[<\[]\\*(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>)')) marks from t)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) loss_sha256,
+       sum(length(role) + length(text) + marks + 17)::bigint formatted_chars
+from e group by conv_id, added
 """,
 }
