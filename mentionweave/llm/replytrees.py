@@ -3,7 +3,8 @@
 Messages point to the message that they answer. Paths are found by self-joins whose steps double:
 
 1. `climbs`: after round k every message knows its 2^k-th ancestor and what is between (number of messages, sum of scores), from two
-   halves of round k - 1. After log2(depth) rounds every message knows its root, its depth and the score of its branch.
+   halves of round k - 1. After log2(depth) rounds every message knows its root, its depth and the score of its branch; one that does takes no
+   further part but as what others climb to.
 2. Leaves are ranked within their root, and the best are chosen, before any path is written out.
 3. `paths`: a chosen path starts as its leaf; each round, from the longest step to the shortest, adds to every message of a path so far the
    one that many steps up. Rows double from round to round and end as the rows of the output, so that all rounds together move twice that.
@@ -84,17 +85,16 @@ def climbs(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     state = messages.select("id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).join(known, "parent", "left")
     up = F.when(F.col("known"), F.col("parent"))
     state = written(state.select("id", up.alias("up"), F.coalesce(up, "id").alias("root"), F.when(up.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), "score"), "tree-climb")
-    steps: list[DataFrame] = []
     bound = state.count().bit_length()  # a longer climb than there are messages goes in circles
-    while len(steps) <= bound and not state.where("up is not null").isEmpty():
-        steps.append(state)
-        half = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        state = state.join(half, "up", "left").select(
-            "id", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-        )
-        state = written(state, "tree-climb")
-    return state.where("up is null").drop("up"), steps
+    steps: list[DataFrame] = []
+    climbing, there = state.where("up is not null"), state.where("up is null")
+    while len(steps) <= bound and not climbing.isEmpty():
+        steps.append(climbing)
+        half = climbing.unionByName(there).select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+        moved = climbing.join(half, "up").select("id", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score"))
+        moved = written(moved, "tree-climb")
+        climbing, there = moved.where("up is not null"), there.unionByName(moved.where("up is null"))
+    return there.drop("up"), steps
 
 
 def branches(messages: DataFrame, reached: DataFrame, best: int | None) -> DataFrame:
@@ -109,7 +109,7 @@ def paths(chosen: DataFrame, steps: list[DataFrame]) -> DataFrame:
     """leaf, id, below: the messages of each chosen path, and how far below them its leaf is."""
     rows = chosen.select("leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("below"))
     for k in range(len(steps) - 1, -1, -1):
-        joined = rows.join(steps[k].where("up is not null").select("id", "up"), "id", "left")
+        joined = rows.join(steps[k].select("id", "up"), "id", "left")
         both = F.array(F.struct("id", "below"), F.struct(F.col("up").alias("id"), (F.col("below") + (1 << k)).alias("below")))
         rows = joined.select("leaf", F.explode(F.filter(both, lambda x: x["id"].isNotNull())).alias("of")).select("leaf", "of.id", "of.below")
     return rows
