@@ -162,6 +162,31 @@ def recovery_name(c: Column | str) -> Column:
     return mapped(x, V.RECOVERY_TOKENS)
 
 
+#: A name whose first word no pattern of the recovery stages can change: ASCII letters and digits, after nothing but ASCII marks other than &.
+_HEAD = r"^[\x00-\x25\x27-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+([A-Za-z0-9]++)(?:[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]|\z)"
+
+
+def _first_word(c: Column | str, table: dict[str, str], whole) -> Column:
+    """The first word of whole(c), which is worked out for the few names alone that one cheap pattern can't read."""
+
+    def judged(head: Column) -> Column:
+        plain = (head != "") & (head != "AND") & ~F.lower(strip(text(c))).isin(*V.NULL_WORDS)
+        return F.when(plain, F.coalesce(F.try_element_at(lookup(table), head), head) if table else head).otherwise(F.split(whole(c), " ", 2)[0])
+
+    return let(F.upper(F.regexp_extract(text(c), _HEAD, 1)), judged)
+
+
+def recovery_first_word(c: Column | str) -> Column:
+    """The first word of the recovery name."""
+    return _first_word(c, V.RECOVERY_TOKENS, recovery_name)
+
+
+def partial_first_word(c: Column | str) -> Column:
+    """The first word of the partial-evidence name, which a possessive S may have been glued to."""
+    possessive = text(c).rlike(r"(?i)[^A-Z0-9]S[^A-Z0-9]*\z")
+    return F.when(possessive, F.split(partial_name(c), " ", 2)[0]).otherwise(_first_word(c, {}, partial_name))
+
+
 def candidate_name(c: Column | str) -> Column:
     """H12 of the candidate stage: separators as spaces, COMPANY as CO, words mapped, aliases applied."""
     x = strip_accents(repair(c))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import ids, names
-from ..operators.joins import either_key
+from .rescue import keyed, meets, sharing_first_word
 
 
 def recover(aliases: DataFrame, sources: DataFrame) -> DataFrame:
@@ -15,9 +15,7 @@ def recover(aliases: DataFrame, sources: DataFrame) -> DataFrame:
 
     `aliases`: record_id, alias. `sources`: source, candidate, cik, gvkey, base_score.
     """
-    a = aliases.withColumn("a_name", names.recovery_name("alias")).withColumn("a_core", names.canonical("a_name"))
-    s = sources.withColumn("c_name", names.recovery_name("candidate")).withColumn("c_core", names.canonical("c_name"))
-    hits = either_key(a, s, [("a_name", "c_name", "exact_name"), ("a_core", "c_core", "canonical_name")])
+    hits = meets(keyed(aliases, "alias"), sources).withColumn("rule", F.when(F.col("kind") == "exact", "exact_name").otherwise("canonical_name"))
     bonus = F.when(F.col("rule") == "exact_name", 20).otherwise(10)
     return hits.groupBy("record_id", "alias", "source", "candidate", "cik", "gvkey").agg(F.min_by("rule", -F.col("base_score") - bonus).alias("rule"), F.max(F.col("base_score") + bonus).alias("score"))
 
@@ -88,7 +86,7 @@ def partial_evidence(aliases: DataFrame, sources: DataFrame) -> DataFrame:
     Prefixes of one to six words of the candidate's core meet the alias's core by equality.
     """
     a = aliases.withColumn("a", names.partial_name("alias")).withColumn("ac", names.canonical("a", V.PARTIAL_SUFFIXES)).withColumn("key", F.when(F.col("ac") != "", F.col("ac")).otherwise(F.col("a"))).where("a <> ''")
-    c = sources.withColumn("c", names.partial_name("candidate")).withColumn("cc", names.canonical("c", V.PARTIAL_SUFFIXES)).withColumn("body", F.when(F.col("cc") != "", F.col("cc")).otherwise(F.col("c"))).where("c <> ''")
+    c = sharing_first_word(sources, aliases, names.partial_first_word).withColumn("c", names.partial_name("candidate")).withColumn("cc", names.canonical("c", V.PARTIAL_SUFFIXES)).withColumn("body", F.when(F.col("cc") != "", F.col("cc")).otherwise(F.col("c"))).where("c <> ''")
     spread = c.withColumn("key", F.explode(names.prefixes("body", 6)))
     met = a.join(spread, "key")
     rest = F.slice(names.tokens(F.col("body")), F.size(names.tokens(F.col("key"))) + 1, F.greatest(F.size(names.tokens(F.col("body"))), F.lit(1)))

@@ -2,7 +2,8 @@
 
 Aliases have record_id, alias and years (an array). A bridge has candidate, fyear (a year bridge alone), cik, gvkey,
 source; an outside list has candidate, cik, gvkey, source. Names meet by equality of their recovery names (exact) or of
-those without legal forms (legal), so that every join is a hash or merge join on one key.
+those without legal forms (legal), so that every join is a hash or merge join on one key. Both keys begin with the same word, which
+one cheap pattern finds in nearly any raw name, so a list is first reduced to the names whose first word an alias has.
 """
 
 from __future__ import annotations
@@ -21,9 +22,18 @@ def keyed(rows: DataFrame, name: str, exact: str = "exact", legal: str = "legal"
     return rows.withColumn(exact, names.recovery_name(name)).withColumn(legal, names.canonical(exact))
 
 
+def sharing_first_word(listed: DataFrame, aliases: DataFrame, first=names.recovery_first_word, name: str = "candidate", alias: str = "alias") -> DataFrame:
+    """The rows of `listed` whose name begins with the word that some alias's begins with; no other can meet one.
+
+    A semi-join, so that a word that many names begin with is in one task as often as Spark likes, and the list's patterns run after it.
+    """
+    wanted = aliases.select(first(alias).alias("__first")).where("__first <> ''").distinct()
+    return listed.withColumn("__first", first(name)).join(wanted, "__first", "left_semi").drop("__first")
+
+
 def meets(aliases: DataFrame, listed: DataFrame) -> DataFrame:
     """Keyed aliases with what is listed under either key: the alias's columns, the list's, and kind (exact or legal)."""
-    right = keyed(listed, "candidate", "b_exact", "b_legal")
+    right = keyed(sharing_first_word(listed, aliases), "candidate", "b_exact", "b_legal")
     hits = [aliases.join(right, (aliases[k] == right[f"b_{k}"]) & (aliases[k] != "")).withColumn("kind", F.lit(k)) for k in ("exact", "legal")]
     return hits[0].unionByName(hits[1])
 
