@@ -9,6 +9,7 @@ from ..functions import ids, names
 from ..operators.aggregates import first_nonblank, joined_in_order, joined_set, keep_first, spread
 from ..operators.joins import first_key
 from .matcher import prepare_bridge, tier
+from .nameindex import NameIndex
 
 
 def dictionary(companies: DataFrame, order: Column) -> DataFrame:
@@ -70,7 +71,7 @@ def name_diagnostics(mentions: DataFrame) -> DataFrame:
     return rows.withColumns({"name_clean": F.coalesce(names.safe_core("name_std"), "name_std"), "parent_prefixes": F.array_join(names.prefixes("name_std"), "|")})
 
 
-def prefix_diagnostics(bridge: DataFrame) -> DataFrame:
+def prefix_diagnostics(bridge: DataFrame | NameIndex) -> DataFrame:
     """For each (prefix, fyear) its candidates and identities in all sources and in the best tier, and whether each is safe."""
     b = prepare_bridge(bridge).withColumns({"tier": tier(F.col("source")), "prefix": F.explode(names.prefixes("name"))})
     b = b.withColumns({"cik": F.coalesce("cik", F.lit("-1")), "gvkey": F.coalesce("gvkey", F.lit("-1"))})

@@ -9,6 +9,8 @@ from .. import vocab as V
 from ..functions import ids, names
 from ..operators.aggregates import spread
 from ..operators.joins import in_panel
+from ..sources.kept import written
+from .nameindex import NameIndex
 
 
 def abbreviations(spark) -> DataFrame:
@@ -21,40 +23,57 @@ def abbreviations(spark) -> DataFrame:
 STAGES = {1: "exact_standardized_match", 2: "legal_form_normalization", 3: "approved_abbreviation_bridge_match", 4: "exact_other_year", 5: "legal_other_year", 6: "identifier_level"}
 
 
-def cascade(aliases: DataFrame, bridge: DataFrame, panel: DataFrame) -> DataFrame:
+_IDENTITY = ["bridge_name", "source", "cik", "gvkey"]
+
+
+def identities(bridge: DataFrame | NameIndex) -> DataFrame:
+    """kind (candidate or legal), key, name, identity, bridge_years: the identities of a bridge under their two keys, with the set of their years.
+
+    The index has both keys, and is grouped where its buckets are; a bridge's names are normalised here.
+    """
+    years = F.array_sort(F.collect_set("fyear")).alias("bridge_years")
+    if isinstance(bridge, NameIndex):
+        listed = bridge.under("candidate", "legal").withColumnRenamed("name_original", "bridge_name")
+        return listed.groupBy("kind", "key", "name", *_IDENTITY).agg(years)
+    key = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("key"))
+    b = spread(bridge.withColumnRenamed("name_original", "bridge_name"), "bridge_name").groupBy(*_IDENTITY).agg(years)
+    b = b.withColumn("name", names.candidate_name("bridge_name")).where("name <> ''")
+    return b.select("name", *_IDENTITY, "bridge_years", F.inline(F.array(key("candidate", F.col("name")), key("legal", names.without_legal_terms("name"))))).where("key <> ''")
+
+
+def cascade(aliases: DataFrame, bridge: DataFrame | NameIndex, panel: DataFrame) -> DataFrame:
     """record_id's candidates of the first stage that has any.
 
-    `aliases`: record_id, alias, years. `bridge`: name_original, fyear, source, cik, gvkey. `panel`: cik,
+    `aliases`: record_id, alias, years. `bridge`: name_original, fyear, source, cik, gvkey, or its kept index. `panel`: cik,
     gvkey, fyear. The bridge is reduced to identities with the set of their years, and both sides' names
-    and legal keys meet in one equality join; whether years overlap then tells the stages apart.
+    and legal keys meet in one equality join; whether years overlap then tells the stages apart. What met is written once, as
+    stages, panel and the choice of the first stage all read it.
     """
-    key = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("key"))
+    key = lambda kind, how, name: F.struct(F.lit(kind).alias("kind"), F.lit(how).alias("how"), name.alias("key"))
     short = abbreviations(aliases.sparkSession).groupBy("alias").agg(F.collect_set("search").alias("search"))
     a = spread(aliases, "record_id").join(short, "alias", "left").withColumn("own", names.candidate_name("alias"))
-    searched = F.transform(F.coalesce("search", F.array().cast("array<string>")), lambda x: key("abbreviation", names.candidate_name(x)))
-    a = a.select("record_id", "years", "own", F.inline(F.array_distinct(F.concat(F.array(key("name", F.col("own")), key("legal", names.without_legal_terms("own"))), searched)))).where("key <> ''")
-    identity = ["bridge_name", "source", "cik", "gvkey"]
-    b = spread(bridge.withColumnRenamed("name_original", "bridge_name"), "bridge_name").groupBy(*identity).agg(F.array_sort(F.collect_set("fyear")).alias("bridge_years"))
-    b = b.withColumn("name", names.candidate_name("bridge_name")).where("name <> ''")
-    b = b.select("name", *identity, "bridge_years", F.inline(F.array(key("name", F.col("name")), key("abbreviation", F.col("name")), key("legal", names.without_legal_terms("name")))))
-    met = a.join(b, ["kind", "key"]).where((F.col("kind") != "legal") | (F.col("own") != F.col("name")))
+    searched = F.transform(F.coalesce("search", F.array().cast("array<string>")), lambda x: key("candidate", "abbreviation", names.candidate_name(x)))
+    own = F.array(key("candidate", "name", F.col("own")), key("legal", "legal", names.without_legal_terms("own")))
+    a = a.select("record_id", "years", "own", F.inline(F.array_distinct(F.concat(own, searched)))).where("key <> ''")
+    met = a.join(identities(bridge), ["kind", "key"]).where((F.col("how") != "legal") | (F.col("own") != F.col("name")))
+    met = written(met.select("record_id", "years", "how", *_IDENTITY, "bridge_years"), "cascade-met")
     within = F.coalesce(F.arrays_overlap("bridge_years", "years"), F.lit(False))
     apart = ~within & (F.size("years") > 0)
-    kind, strong = F.col("kind"), F.col("source").isin(*V.STRONG_SOURCES)
+    how, strong = F.col("how"), F.col("source").isin(*V.STRONG_SOURCES)
     stage = (
-        F.when((kind == "name") & within, 1).when((kind == "legal") & within, 2).when((kind == "abbreviation") & within & strong, 3)
-        .when((kind == "name") & apart, 4).when((kind == "legal") & apart, 5)
+        F.when((how == "name") & within, 1).when((how == "legal") & within, 2).when((how == "abbreviation") & within & strong, 3)
+        .when((how == "name") & apart, 4).when((how == "legal") & apart, 5)
     )
-    item = ["record_id", *identity]
+    item = ["record_id", *_IDENTITY]
     distance = F.when(within, 0).otherwise(ids.year_distance(F.col("bridge_years"), F.col("years")))
     found = met.select(*item, stage.alias("stage"), distance.alias("distance")).where("stage is not null")
-    level = met.where(kind == "name").select(*item, "years").distinct().withColumn("__k", F.xxhash64(*item))
+    level = met.where(how == "name").select(*item, "years").distinct().withColumn("__k", F.xxhash64(*item))
     valid = in_panel(level, "__k", panel, ["cik", "gvkey"])
     level = level.join(valid, "__k", "left_semi").select(*item, F.lit(6).alias("stage"), F.lit(0).alias("distance"))
     every = found.unionByName(level).groupBy(*item, "stage").agg(F.min("distance").alias("distance"))
-    first = every.groupBy("record_id").agg(F.min("stage").alias("stage"))
     rule = F.try_element_at(names.lookup(STAGES), F.col("stage"))
-    return every.join(first, ["record_id", "stage"]).withColumn("rule", rule)
+    first = F.min("stage").over(Window.partitionBy("record_id"))
+    return every.withColumn("__first", first).where("stage = __first").drop("__first").withColumn("rule", rule)
 
 
 def score(candidates: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, names
 from ..operators.aggregates import duplicated, keep_first, spread
+from .nameindex import NameIndex
 
 
 def tier(source: Column) -> Column:
@@ -18,26 +19,31 @@ def _order() -> list[Column]:
     return [tier(F.col("source")), F.col("name_original"), F.col("cik").asc_nulls_last(), F.col("gvkey").asc_nulls_last()]
 
 
-def aliases(bridge: DataFrame) -> DataFrame:
-    """name_original, fyear, cik, gvkey, source under its standard name and, where safe, the core of it."""
+def aliases(bridge: DataFrame | NameIndex) -> DataFrame:
+    """name_original, fyear, cik, gvkey, source under its standard name and, where safe, the core of it; of a bridge, or as its index has them."""
+    if isinstance(bridge, NameIndex):
+        listed = bridge.under("name").withColumns({"cik": ids.clean_id("cik"), "gvkey": ids.clean_id("gvkey")})
+        return listed.select("kind", F.col("key").alias("name"), F.col("how").alias("alias"), "name_original", "fyear", "cik", "gvkey", "source")
     std = spread(bridge, "name_original").withColumns({"name": names.standard("name_original"), "cik": ids.clean_id("cik"), "gvkey": ids.clean_id("gvkey")})
     core = std.withColumn("name", names.safe_core("name")).where("name is not null")
     return std.where("name <> ''").withColumn("alias", F.lit("standard")).unionByName(core.withColumn("alias", F.lit("suffix_cleaned")))
 
 
-def prepare_bridge(bridge: DataFrame) -> DataFrame:
+def prepare_bridge(bridge: DataFrame | NameIndex) -> DataFrame:
     """One row for each (name, fyear), the first by source and then by its own values."""
+    if isinstance(bridge, NameIndex):  # grouped where the index's buckets already are
+        return keep_first(aliases(bridge), ["kind", "name", "fyear"], [*_order(), F.col("alias")]).drop("kind")
     return keep_first(aliases(bridge), ["name", "fyear"], [*_order(), F.col("alias")])
 
 
-def bridge_conflicts(bridge: DataFrame) -> DataFrame:
+def bridge_conflicts(bridge: DataFrame | NameIndex) -> DataFrame:
     """(name, fyear) with more than one identity, with how many rows and identities."""
     pairs = F.struct(F.coalesce("cik", F.lit("-1")), F.coalesce("gvkey", F.lit("-1")))
     again = duplicated(aliases(bridge).select("name", "fyear", "cik", "gvkey"), ["name", "fyear"])
     return again.groupBy("name", "fyear").agg(F.count("*").alias("n_rows"), F.count_distinct(pairs).alias("n_identities")).where("n_identities > 1")
 
 
-def prefix_table(bridge: DataFrame) -> DataFrame:
+def prefix_table(bridge: DataFrame | NameIndex) -> DataFrame:
     """For each (prefix, fyear) that names one identity in its best tier, that identity's best row.
 
     The bridge is reduced to this table before any name is joined with it, so that common first words
@@ -56,23 +62,31 @@ def prefix_table(bridge: DataFrame) -> DataFrame:
     return one.withColumn("unsafe", F.when(globally, F.array_join(unsafe, ";")).otherwise(""))
 
 
-def match(mentions: DataFrame, bridge: DataFrame) -> DataFrame:
+def _probes(bridge: DataFrame | NameIndex) -> DataFrame:
+    """kind (0 names, 1 safe prefixes), key, years: for each year the row that the key stands for. A key has a row a year at most."""
+    row = ["name", "name_original", "source", "cik", "gvkey"]
+    named = prepare_bridge(bridge).select(F.lit(0).alias("kind"), F.col("name").alias("key"), "fyear", F.lit("").alias("rule"), *row)
+    safe = prefix_table(bridge).where("unsafe = ''").select(F.lit(1).alias("kind"), F.col("prefix").alias("key"), "fyear", "rule", *row)
+    dated = named.unionByName(safe).where("fyear is not null")
+    return dated.groupBy("kind", "key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("fyear"), F.struct("rule", *row)))).alias("years"))
+
+
+def match(mentions: DataFrame, bridge: DataFrame | NameIndex) -> DataFrame:
     """Raw, fyear, method, matched_name, matched_original, source, cik, gvkey for each distinct (raw, fyear).
 
     A raw name is read once and years are joined after. All its keys - readings in order, then the
     prefixes of readings in order - meet one table of names and safe prefixes in one join, and the
-    first hit stays.
+    first hit stays. With a kept index that table stays where its buckets are.
     """
     wanted = mentions.select("raw", "fyear").distinct()
     item = lambda kind, k, key: F.struct(F.lit(kind).alias("kind"), k.alias("k"), key.alias("key"))
     keys = lambda v: F.concat(F.array(item(0, F.lit(0), v["name"])), F.transform(names.prefixes(v["name"]), lambda p, k: item(1, k, p)))
     read = spread(mentions.select("raw").distinct(), "raw").where(names.capital("raw")).select("raw", F.posexplode(names.variants("raw")).alias("place", "v"))
     probes = read.select("raw", "place", F.col("v.method").alias("reading"), F.inline(keys(F.col("v"))))
-    row = ["name", "name_original", "source", "cik", "gvkey"]
-    named = prepare_bridge(bridge).select(F.lit(0).alias("kind"), F.col("name").alias("key"), "fyear", F.lit("").alias("rule"), *row)
-    safe = prefix_table(bridge).where("unsafe = ''").select(F.lit(1).alias("kind"), F.col("prefix").alias("key"), "fyear", "rule", *row)
-    asked = wanted.where("fyear is not null").join(probes, "raw")
-    first = keep_first(asked.join(named.unionByName(safe), ["kind", "key", "fyear"]), ["raw", "fyear"], [F.col("kind"), F.col("place"), F.col("k")])
+    table = bridge.probes(lambda: _probes(bridge)) if isinstance(bridge, NameIndex) else _probes(bridge)
+    asked = wanted.where("fyear is not null").join(probes, "raw").join(table, ["kind", "key"])
+    dated = asked.withColumn("hit", F.try_element_at("years", F.col("fyear"))).where("hit is not null").select("raw", "fyear", "reading", "kind", "place", "k", "hit.*")
+    first = keep_first(dated, ["raw", "fyear"], [F.col("kind"), F.col("place"), F.col("k")])
     exact = F.col("kind") == 0
     hits = first.select(
         F.col("raw").alias("hit_raw"),

@@ -10,8 +10,9 @@ from ..functions import text as T
 from . import bridges as B
 from . import matcher
 from . import oracle as S
-from .derived import COMPANIES_SQL, bridge, companies, mentions
-from .queries_relational import _MATCH, _PREFIXES, _PREPARED
+from .derived import COMPANIES_SQL, bridge, companies
+from .nameindex import kept_index
+from .queries_relational import _MATCH, _PREFIXES, _PREPARED, counted_mentions
 from .registering import collection
 
 query, QUERIES, ORACLES = collection()
@@ -59,8 +60,8 @@ def _(t):
 
 @query("match_diagnostics", f"with {_MATCH}, j as (select * from mentions join matched using (raw, fyear)) select method, sum(n)::bigint n_mentions, count(distinct raw) n_names, round(sum(n) / (select sum(n) from j)::double, 6) as share from j group by 1")
 def _(t):
-    m = mentions(t("lineitem"), t("orders"), t("part"))
-    return B.match_diagnostics(m.join(matcher.match(m, bridge(t("part"))).select("raw", "fyear", "method"), ["raw", "fyear"]))
+    m = counted_mentions(t)
+    return B.match_diagnostics(m.join(matcher.match(m, kept_index(bridge(t("part")), "match")).select("raw", "fyear", "method"), ["raw", "fyear"]))
 
 
 @query("review_error_rates", """with s as (select event_type, case event_id % 5 when 0 then 'approve_public_id' when 1 then 'human_reject' when 2 then 'unclear' when 3 then 'nan' else 'approve_x' end d from events)
@@ -109,4 +110,4 @@ select prefix, fyear, count(*) n_candidates_all, count(distinct (cik, gvkey))::i
  count(*) filter (where tier = best) n_candidates_priority, (count(distinct (cik, gvkey)) filter (where tier = best))::int n_identities_priority, count(distinct (cik, gvkey)) filter (where tier = best) = 1 is_safe_priority,
  {', '.join(f"string_agg(distinct {c}, '|' order by {c}) {c}s_all, string_agg(distinct {c}, '|' order by {c}) filter (where tier = best) {c}s_priority" for c in _LISTED)} from t group by 1, 2""")
 def _(t):
-    return B.prefix_diagnostics(bridge(t("part")))
+    return B.prefix_diagnostics(kept_index(bridge(t("part")), "match"))

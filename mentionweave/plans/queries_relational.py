@@ -11,13 +11,20 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import sets as U
 from ..operators.ordering import positions
+from ..sources.kept import written
 from . import matcher
 from . import oracle as S
 from .derived import BRIDGE_SQL, COMPANIES_SQL, MENTIONS_SQL, bridge, mentions
+from .nameindex import kept_index
 from .registering import collection
 
 query, QUERIES, ORACLES = collection()
 
+
+def counted_mentions(t):
+    """The mentions of all line items, counted once for all that a matching run asks of them."""
+    return written(mentions(t("lineitem"), t("orders"), t("part")), "mentions")
+
 _TIER = "case when upper(source) = 'DISCERN' then 1 when upper(source) = 'CCM_COMPUSTAT_EXTENSION' then 2 else 3 end"
 _PREPARED = f"""{BRIDGE_SQL},
 b1 as (select name_original, fyear, {S.clean_id('cik')} cik, {S.clean_id('gvkey')} gvkey, source, {S.standard('name_original')} name from bridge),
@@ -66,14 +73,14 @@ matched as (select * from hits union all select raw, fyear, case when {S.strip('
 
 @query("mention_match", f"with {_MATCH} select * from matched")
 def _(t):
-    return matcher.match(mentions(t("lineitem"), t("orders"), t("part")), bridge(t("part")))
+    return matcher.match(counted_mentions(t), kept_index(bridge(t("part")), "match"))
 
 
 @query("match_rate_by_year", f"""with {_MATCH} select fyear, sum(n)::bigint n_mentions, coalesce(sum(n) filter (where not starts_with(method, 'unmatched')), 0)::bigint n_matched,
  round(coalesce(sum(n) filter (where not starts_with(method, 'unmatched')), 0) / sum(n)::double, 6) match_rate from mentions join matched using (raw, fyear) group by 1""")
 def _(t):
-    m = mentions(t("lineitem"), t("orders"), t("part"))
-    joined = m.join(matcher.match(m, bridge(t("part"))).select("raw", "fyear", "method"), ["raw", "fyear"])
+    m = counted_mentions(t)
+    joined = m.join(matcher.match(m, kept_index(bridge(t("part")), "match")).select("raw", "fyear", "method"), ["raw", "fyear"])
     hit = F.coalesce(F.sum(F.when(~F.col("method").startswith("unmatched"), F.col("n"))), F.lit(0))
     out = joined.groupBy("fyear").agg(F.sum("n").alias("n_mentions"), hit.alias("n_matched"))
     return out.withColumn("match_rate", F.round(F.try_divide("n_matched", "n_mentions"), 6))

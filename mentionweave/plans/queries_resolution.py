@@ -12,6 +12,7 @@ from . import oracle as S
 from . import recovery as R
 from . import rescue as X
 from .derived import BRIDGE_SQL, bridge
+from .nameindex import kept_index
 from .registering import collection
 
 query, QUERIES, ORACLES = collection()
@@ -47,7 +48,7 @@ cascade as (select * from c0 where stage = (select min(d.stage) from c0 d where
 
 @query("candidate_cascade", f"with {_CASCADE_SQL} select * from cascade")
 def _(t):
-    return C.cascade(_aliases(t), bridge(t("part")), _panel(t)).withColumn("distance", F.col("distance").cast("int"))
+    return C.cascade(_aliases(t), kept_index(bridge(t("part")), "cascade"), _panel(t)).withColumn("distance", F.col("distance").cast("int"))
 
 
 def _case(table: dict, key: str, default: object) -> str:
@@ -55,7 +56,7 @@ def _case(table: dict, key: str, default: object) -> str:
 
 
 def _scored(t):
-    found = C.cascade(_aliases(t), bridge(t("part")), _panel(t)).join(_aliases(t).select("record_id", "alias"), "record_id")
+    found = C.cascade(_aliases(t), kept_index(bridge(t("part")), "cascade"), _panel(t)).join(_aliases(t).select("record_id", "alias"), "record_id")
     found = found.withColumn("in_panel", F.coalesce(F.col("cik").isNotNull() & (F.substring("gvkey", -1, 1).isin("0", "2", "4", "6", "8")), F.lit(False)))
     return C.score(found).withColumn("score", F.col("score").cast("int"))
 
@@ -297,7 +298,7 @@ _KEYS_SQL = _KEYS_SQL.replace("{meets}", " ".join(f"{o} as (select a2.*, b.* exc
 
 def _listings(t):
     p, b = t("part"), bridge(t("part"))
-    years = b.select(F.col("name_original").alias("candidate"), "fyear", F.regexp_replace("cik", r"\.0$", "").alias("cik"), "gvkey", "source")
+    years = kept_index(b.withColumn("cik", F.regexp_replace("cik", r"\.0$", "")), "recovery")
     known = p.selectExpr(f"{_IDENTIFIED} as candidate", "cast(p_partkey as string) as cik", "case p_partkey % 5 when 0 then '-1' else lpad(cast(p_partkey as string), 6, '0') end as gvkey", "case p_partkey % 3 when 0 then null else 'WRDS_LOOKUP' end as source")
     panel = p.selectExpr("cast(p_partkey as string) as cik", "lpad(cast(p_partkey as string), 6, '0') as gvkey", "cast(1995 + p_partkey % 8 as int) as fyear")
     outside = p.selectExpr(f"{_OUTSIDE_NAME} as candidate", "cast(null as string) as cik", "case when p_partkey % 4 = 2 and p_partkey % 3 = 0 then concat('T', p_partkey) else '' end as gvkey", f"{_OUTSIDE} as source")

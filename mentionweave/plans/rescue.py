@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import ids, names
+from .nameindex import NameIndex
 
 _KEPT = ["record_id", "alias", "years", "exact", "legal", "source", "candidate", "gvkey", "cik"]
 
@@ -31,8 +32,17 @@ def sharing_first_word(listed: DataFrame, aliases: DataFrame, first=names.recove
     return listed.withColumn("__first", first(name)).join(wanted, "__first", "left_semi").drop("__first")
 
 
-def meets(aliases: DataFrame, listed: DataFrame) -> DataFrame:
-    """Keyed aliases with what is listed under either key: the alias's columns, the list's, and kind (exact or legal)."""
+def meets(aliases: DataFrame, listed: DataFrame | NameIndex) -> DataFrame:
+    """Keyed aliases with what is listed under either key: the alias's columns, the list's, and kind (exact or legal).
+
+    A year bridge's kept index is read where its buckets are; it has no b_legal for exact hits, which are told by their kind.
+    """
+    if isinstance(listed, NameIndex):
+        probe = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
+        asked = aliases.select("*", F.inline(F.array(probe("exact", "exact"), probe("core", "legal")))).where("key <> ''")
+        rows = listed.under("exact", "core").withColumnsRenamed({"name_original": "candidate", "name": "b_exact"}).drop("how")
+        core = F.col("kind") == "core"
+        return asked.join(rows, ["kind", "key"]).withColumns({"b_legal": F.when(core, F.col("key")), "kind": F.when(core, "legal").otherwise("exact")}).drop("key")
     right = keyed(sharing_first_word(listed, aliases), "candidate", "b_exact", "b_legal")
     hits = [aliases.join(right, (aliases[k] == right[f"b_{k}"]) & (aliases[k] != "")).withColumn("kind", F.lit(k)) for k in ("exact", "legal")]
     return hits[0].unionByName(hits[1])
