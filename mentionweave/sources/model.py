@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,19 +99,72 @@ def overlay(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -
     return out.drop(*[f"__{c}" for c in columns])
 
 
-def fetch(links: DataFrame, url: str, client: Callable[[str], bytes], done: DataFrame | None = None, tasks: int = 8, pause: float = 0.1) -> DataFrame:
-    """Url, content, error; links that are done are skipped, and at most `tasks` tasks call at once, each pausing between calls."""
+def status_of(failure: Exception) -> int | None:
+    """The status that a failed call came back with, as clients of the usual libraries carry it."""
+    held = (failure, getattr(failure, "response", None))
+    return next((v for x in held for c in ("status_code", "code", "status") if isinstance(v := getattr(x, c, None), int)), None)
+
+
+class Slots:
+    """A rate that tasks share without talking to each other.
+
+    Time is cut into slots of 1 / rate seconds from a fixed beginning, and task k of n may begin a call in every n-th slot alone, at
+    most one a slot. However many of the tasks run at once, and whether one of them was started again, no more than `rate` calls
+    begin in a second of a common clock; a machine whose clock is off by x seconds takes its slots x seconds off.
+    """
+
+    #: Of a slot's length, what a call may begin late without meeting the next slot's.
+    LATE = 0.25
+
+    def __init__(self, rate: float, task: int, tasks: int, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.length, self.task, self.tasks, self.clock, self.sleep = (1 + self.LATE) / rate, task, tasks, clock, sleep
+        self.last = -1
+
+    def wait(self) -> None:
+        """Returns within the next slot of this task."""
+        while True:
+            now = self.clock()
+            slot = max(int(now // self.length), self.last + 1)
+            slot += (self.task - slot) % self.tasks
+            begin = slot * self.length
+            if begin > now:
+                self.sleep(begin - now)
+                now = self.clock()
+            if now < begin + self.LATE * self.length:  # woken too late, the task waits for its next slot
+                self.last = slot
+                return
+            self.last = max(self.last, slot - 1) if now < begin else slot
+
+
+def fetch(links: DataFrame, url: str, client: Callable[[str], bytes], done: DataFrame | None = None, tasks: int = 8, rate: float = 10.0, busy: tuple[int, ...] = (503,), again: float = 1.0) -> DataFrame:
+    """Url, content, error, status; links that are done are skipped.
+
+    All tasks together begin at most `rate` calls a second. A call that comes back with a status of `busy` is made once more, in a slot of its
+    own after `again` seconds; any other failure is the link's result.
+    """
     left = links.select(url).distinct() if done is None else links.select(url).distinct().join(done.select(url), url, "left_anti")
-    call = retried(client, (1.0,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots(rate, TaskContext.get().partitionId() % tasks, tasks)
+
+        def call(x: str) -> bytes:
+            slots.wait()
+            try:
+                return client(x)
+            except Exception as failure:
+                if status_of(failure) not in busy:
+                    raise
+            time.sleep(again)
+            slots.wait()
+            return client(x)
+
         for batch in batches:
             for x in batch[url].to_pylist():
-                time.sleep(pause)
                 try:
-                    row = [x, call(x), None]
-                except Exception as e:
-                    row = [x, None, f"{type(e).__name__}: {e}"]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.string()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.string())], [url, "content", "error"])
+                    row = [x, call(x), None, None]
+                except Exception as failure:
+                    row = [x, None, f"{type(failure).__name__}: {failure}", status_of(failure)]
+                kinds = (pa.string(), pa.binary(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [url, "content", "error", "status"])
 
-    return left.repartition(tasks).mapInArrow(run, f"`{url}` string, content binary, error string")
+    return left.repartition(tasks).mapInArrow(run, f"`{url}` string, content binary, error string, status int")

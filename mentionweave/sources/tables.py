@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import csv
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,30 +16,43 @@ from pyspark.sql import types as T
 NA_CELLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def files_below(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Paths of the files of a folder, glob or list, in order; contents are not read."""
-    found = spark.read.format("binaryFile").load(path).select("path").collect()  # one short row a file, as a scan's own listing
-    return sorted(r.path for r in found)
+def headers(spark: SparkSession, path: str | list[str], quote: str = '"', separator: str = ",") -> DataFrame:
+    """header (its columns), paths: the files of a folder, glob or list by their first line; empty files are in none.
+
+    One scan, in which every file is one task's and ends after its first line, so a header may hold no line breaks. The driver gets a row a
+    distinct header.
+    """
+    apart = spark.newSession()  # its own settings; files that cost more to open than a task may read are one to a task, and are not split
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        apart.conf.set(key, str(1 << 50))
+    apart.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cells = next(csv.reader([batch["value"][0].as_py().rstrip("\r")], quotechar=quote, delimiter=separator), [])
+                yield pa.RecordBatch.from_arrays([pa.array([cells], pa.list_(pa.string())), batch["path"].slice(0, 1)], ["header", "path"])
+                return  # the rest of the file is not read
+
+    found = apart.read.text(path).select("value", F.col("_metadata.file_path").alias("path")).mapInArrow(columns, "header array<string>, path string")
+    return found.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], na: bool = False, quote: str = '"', multiline: bool = False, one_header: bool = False, stem: str | None = None) -> DataFrame:
     """CSV with a header, every column a string by an explicit schema; nothing is inferred.
 
     Columns are taken by name from each file's own header, and wanted columns that a file lacks are null: files are grouped
-    by their header, one scan a header, so that no file's order decides another's cells. With `one_header` they are read in one
-    scan, which fails at a file whose header is not the first one's. With `na`, cells that pandas reads as missing are null (T1); otherwise
-    the empty string stays one. Files are split by size, but for `multiline`, where cells may hold line breaks. `stem` adds the stem of a row's file.
+    by their header, found in one scan of first lines, and read in one scan a header, so that no file's order decides another's cells. With
+    `one_header` they are read in one scan, which fails at a file whose header is not the first one's. With `na`, cells that pandas reads as
+    missing are null (T1); otherwise the empty string stays one. Files are split by size, but for `multiline`, where cells may hold line breaks.
+    `stem` adds the stem of a row's file.
     """
     base = spark.read.option("quote", quote).option("escape", quote).option("multiLine", multiline).option("header", True).option("inferSchema", False)
     if one_header:
-        groups = {tuple(base.csv(path).columns): path}
+        groups = [(tuple(base.csv(path).columns), path)]
     else:
-        groups: dict[tuple[str, ...], list[str]] = {}
-        files = files_below(spark, path)
-        with ThreadPoolExecutor(16) as pool:  # each reads a header line
-            for file, header in zip(files, pool.map(lambda p: tuple(base.csv(p).columns), files), strict=True):
-                groups.setdefault(header, []).append(file)
-    parts = [_by_name(base.schema(", ".join(f"`{c}` string" for c in header)).option("enforceSchema", False).csv(paths), columns, stem) for header, paths in groups.items() if header]
+        groups = sorted((_distinct(r.header), list(r.paths)) for r in headers(spark, path, quote).collect())
+    parts = [_by_name(base.schema(", ".join(f"`{c}` string" for c in header)).option("enforceSchema", False).csv(paths), columns, stem) for header, paths in groups if header]
     if not parts:
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*columns, *([stem] if stem else [])]))
     out = reduce(DataFrame.unionByName, parts)
@@ -45,6 +61,13 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], na:
     return out.na.fill("", columns)
 
 
+def _distinct(header: list[str]) -> tuple[str, ...]:
+    """Names as Spark gives them to columns: blank ones _c0, _c1 and so on, and those that occur again with their place at the end."""
+    named = [c or f"_c{k}" for k, c in enumerate(header)]
+    often = Counter(c.lower() for c in header)
+    return tuple(f"{c}{k}" if header[k] and often[c.lower()] > 1 else c for k, c in enumerate(named))
+
+
 def _by_name(given: DataFrame, columns: list[str], stem: str | None) -> DataFrame:
     have = {c.lower(): c for c in reversed(given.columns)}
     marked = with_stem(given, stem) if stem else given

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,82 @@ def test_csv_files_with_drifting_headers(spark, tmp_path):
     assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "lines"), ["name", "cik"], multiline=True).collect()] == [("a\nb", "7")]
 
 
+def test_headers_take_a_constant_number_of_jobs(spark, tmp_path):
+    """One scan however many files there are, and only the first lines of long ones."""
+    names = ["name,cik", "cik,name", '"a, b",name']
+    long = "x,y\n" * 400_000
+    for k in range(120):
+        (tmp_path / f"{k}.csv").write_text(names[k % 3] + "\n" + (long if k == 0 else f"p{k},q{k}\n"))
+
+    def jobs(files):
+        group = f"headers-{files}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = tables.headers(spark, [str(tmp_path / f"{k}.csv") for k in range(files)]).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(3), jobs(120)
+    assert few[1] <= 3 and many[1] <= 3  # the listing of many paths, the scan, and the grouping
+    assert {tuple(r.header): len(r.paths) for r in many[0]} == {("name", "cik"): 40, ("cik", "name"): 40, ("a, b", "name"): 40}
+    got = tables.read_csv(spark, str(tmp_path), ["name", "cik"])
+    assert got.where("name = 'p1' and cik = 'q1' or name = 'q1' and cik = 'p1'").count() == 1 and got.count() == 400_119
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a.csv").write_text("name,,NAME\r\n1,2,3\r\n")
+    spark_names = spark.read.option("header", True).csv(str(tmp_path / "odd")).columns
+    assert list(tables._distinct(["name", "", "NAME"])) == spark_names
+
+
+class Busy(Exception):
+    def __init__(self, code):
+        super().__init__(f"status {code}")
+        self.code = code
+
+
+@pytest.mark.parametrize("tasks", [1, 8])
+def test_fetch_keeps_the_rate_of_all_tasks(spark, tmp_path, tasks):
+    folder = str(tmp_path)
+
+    def client(u):
+        with open(f"{folder}/{u}", "a") as calls:  # every call, when it began
+            calls.write(f"{time.time()}\n")
+        times = len(open(f"{folder}/{u}").readlines())
+        if u in ("busy", "down"):
+            if u == "down" or times == 1:
+                raise Busy(503)
+        if u == "gone":
+            raise Busy(404)
+        if u == "broken":
+            raise ValueError("no status")
+        return u.encode()
+
+    links = spark.createDataFrame([(f"u{k}",) for k in range(26)] + [("busy",), ("down",), ("gone",), ("broken",), ("u0",)], "url string")
+    got = {r.url: r for r in model.fetch(links, "url", client, tasks=tasks, again=0.2).collect()}
+    calls = {p.name: [float(x) for x in p.read_text().split()] for p in tmp_path.iterdir()}
+    began = sorted(x for v in calls.values() for x in v)
+    assert len(began) == 32 and max(sum(a <= b < a + 1 for b in began) for a in began) <= 10
+    assert {u: len(v) for u, v in calls.items() if len(v) > 1} == {"busy": 2, "down": 2}  # only what was busy is tried again, and once
+    assert bytes(got["busy"].content) == b"busy" and got["down"].status == 503 and got["gone"].status == 404 and got["broken"].error == "ValueError: no status" and got["broken"].status is None
+    assert len(got) == 30 and all(got[f"u{k}"].error is None for k in range(26))
+
+
+def test_slots_of_all_tasks_never_meet():
+    for late in (0.0, 0.01, 0.3):
+        begun = []
+        for task in range(5):
+            now, slept = [100.0 + task / 7], []
+
+            def sleep(x, now=now, late=late, slept=slept):
+                slept.append(x)
+                now[0] += x + late * (len(slept) % 3 == 0)
+
+            slots = model.Slots(10, task, 5, clock=lambda now=now: now[0], sleep=sleep)
+            for _ in range(40):
+                slots.wait()
+                begun.append((int(now[0] // slots.length), now[0]))
+                now[0] += 0.02
+        assert len({s for s, _ in begun}) == len(begun) and all(s % 5 == k // 40 for k, (s, _) in enumerate(begun))
+
+
 def test_append_cap_and_settings(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     for _ in range(2):
@@ -115,7 +192,7 @@ def test_model_steps(spark):
     second = spark.createDataFrame([(1, "accept")], "k int, d string")
     assert {(r.k, r.d) for r in model.overlay(first, second, "k", ["d"]).collect()} == {(1, "accept"), (2, "drop")}
     links = spark.createDataFrame([("u1",), ("u2",)], "url string")
-    got = model.fetch(links, "url", lambda u: u.encode(), done=links.where("url = 'u1'"), tasks=1, pause=0)
+    got = model.fetch(links, "url", lambda u: u.encode(), done=links.where("url = 'u1'"), tasks=1)
     assert [(r.url, bytes(r.content)) for r in got.collect()] == [("u2", b"u2")]
 
 
