@@ -30,7 +30,7 @@ BANDS, ROWS, SEED = 24, 5, 42
 #: Texts and shingles of one block, about, and columns of one product.
 BLOCK, ENTRIES, COLUMNS = 256, 200_000, 2048
 #: Shingles that are hashed under all functions at a time.
-BLOCK = 1 << 9
+HASHED = 1 << 9
 _RNG = np.random.default_rng(SEED)
 _MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -58,8 +58,8 @@ def bands(distinct: np.ndarray) -> list[int]:
     if not len(distinct):
         return []
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(distinct), BLOCK):
-        mixed = distinct[k : k + BLOCK, None] * _MUL + _ADD
+    for k in range(0, len(distinct), HASHED):
+        mixed = distinct[k : k + HASHED, None] * _MUL + _ADD
         least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(0))
     rows = least.reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(rows[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
