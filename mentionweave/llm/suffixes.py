@@ -22,7 +22,10 @@ told apart by how far into them the gram starts; all that have it in one range o
 around it than the gram, and those name a smaller group. A gram of more than `SHARD` different strings is
 narrowed so, halving the range until no group is larger, at most eight times, as a range of one place names
 the whole window. Every string goes on as its two halves: the work is linear, no pair of strings is formed,
-and a task holds at most `SHARD` strings of one group.
+and a task holds at most `SHARD` strings of one group. Rows that share id and text are one text there: a place in it is one string.
+
+What is merged across tasks: nothing is. A transform is that of the strings around one gram, whose shards are merged in one task; strings
+around different grams have no window in common, so that one transform of the corpus would add no interval to those found.
 
 Defined results: null counts as empty; texts under 200 bytes hold no window and stay whole; copies of
 a text of 200 bytes or more are removed entirely, rows with the same doc_id or none included; bytes that are no
@@ -264,13 +267,28 @@ def _unpacked(array: pa.Array) -> pa.Array:
     return pa.array([b"" if t is None else z.decompress(t) for t in array.to_pylist()], pa.large_binary())
 
 
+def _once(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """The first of neighbouring rows that share the columns; rows come in their order, across batches."""
+    last: np.ndarray | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], 1)
+        before = np.concatenate([now[:1] - 1 if last is None else last, now[:-1]])
+        last = now[-1:]
+        new = (now != before).any(1)
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
 _STRINGS = "gram long, unit long, n long, key long, salt long, start int, at short, hot boolean, bytes binary"
 _STRING_NAMES = [x.split()[0] for x in _STRINGS.split(", ")]
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the wanted strings out of their texts."""
-    for batch in batches:
+    """Cut the wanted strings out of their texts; of rows that share id and text and stand together, out of one."""
+    for batch in _once(batches, "key", "salt"):
+        if not batch.num_rows:
+            continue
         data, off = strings(_unpacked(batch["text"]))
         wanted = batch["wanted"]
         flat, ends = wanted.flatten(), np.concatenate([[0], np.cumsum(np.array(pc.list_value_length(wanted)))])
@@ -379,7 +397,9 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         narrow, equal = _narrowed(cut.where("hot"))
         ready = cut.where("not hot").select("gram", "n", "key", "salt", "start", "bytes").unionByName(narrow)
         removed = removed.unionByName(equal)
-    partly = ready.repartition("gram").sortWithinPartitions("gram").mapInArrow(task(_merge), "key long, salt long, a int, b int")
+    # A place is one string however many rows share id and text, so a group has no more strings than were counted above.
+    places = ready.repartition("gram").sortWithinPartitions("gram", "key", "salt", "start")
+    partly = places.mapInArrow(task(lambda batches: _merge(_once(batches, "gram", "key", "salt", "start"))), "key long, salt long, a int, b int")
     return texts, removed.unionByName(partly).groupBy("key", "salt").agg(F.collect_set(F.struct("a", "b")).alias("removed"))
 
 

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -370,6 +371,23 @@ def test_suffixes_rows_without_or_with_shared_ids(spark):
         assert Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.report(df).collect()) == want
 
 
+def test_suffixes_rows_that_share_id_and_text_are_one_in_the_merge(spark, monkeypatch):
+    rows = [(g, k, s, at) for g in range(3) for k, s, at in ((5, 1, 7), (5, 2, 7), (6, 1, 7), (6, 1, 9)) for _ in range(400)]
+    table = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["gram", "key", "salt", "start"])
+    for size in (1, 7, 400, 10_000):
+        batches = [*table.to_batches(max_chunksize=size), table.slice(0, 0).to_batches()[0] if table.slice(0, 0).to_batches() else pa.RecordBatch.from_pylist([], table.schema)]
+        got = [tuple(r.values()) for b in suffixes._once(iter(batches), "gram", "key", "salt", "start") for r in b.to_pylist()]
+        assert got == sorted(set(rows), key=rows.index)
+    monkeypatch.setattr(suffixes, "SHARD", 2)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    texts = [f"one {passage} end of it"] * 3000 + [f"another {passage} with a tail", passage[:250] + " cut", "x" * 10]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    want = Counter(slow_removal(texts[:2] + texts[3000:]))  # copies among themselves are removed whole either way
+    got = Counter((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.report(df).collect())
+    assert set(got) == set(want) and max(got.values()) == 3000
+
+
 def test_merged_transform_is_that_of_all_texts(monkeypatch):
     rng = random.Random(8)
     passage = bytes(rng.choice(b"abc") for _ in range(260))
