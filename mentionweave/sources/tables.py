@@ -157,27 +157,3 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Path, bytes and time of every file below a folder; contents are not read. Sections of a release are folders of their own."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-
-
-def read_excel(spark: SparkSession, path: str, sheets: list[str] | None = None) -> DataFrame:
-    """Named sheets of a workbook, as strings with a sheet column; for review files of a person's size, read on the driver."""
-    import pandas as pd
-
-    found = pd.read_excel(path, sheet_name=sheets, dtype=str)
-    frames = found if isinstance(found, dict) else {"": found}
-    table = pd.concat([f.assign(sheet=n) for n, f in frames.items()], ignore_index=True).fillna("")
-    return spark.createDataFrame(table.astype(str))
-
-
-def write_excel(sheets: dict[str, DataFrame], path: str, most_rows: int = 100_000, review: tuple[str, ...] = ()) -> None:
-    """Small review tables as sheets with a frozen head, filters and empty columns for the reviewer; larger tables are refused, not cut."""
-    import pandas as pd
-
-    for name, df in sheets.items():
-        if df.limit(most_rows + 1).count() > most_rows:
-            raise ValueError(f"{name} has over {most_rows} rows; write it as Parquet or CSV")
-    with pd.ExcelWriter(path, engine="openpyxl") as book:
-        for name, df in sheets.items():
-            df.select("*", *[F.lit("").alias(c) for c in review if c not in df.columns]).toPandas().to_excel(book, sheet_name=name, index=False, freeze_panes=(1, 0))
-            sheet = book.sheets[name]
-            sheet.auto_filter.ref = sheet.dimensions

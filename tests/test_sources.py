@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from mentionweave import settings
 from mentionweave.operators import joins, sets
-from mentionweave.sources import html, model, tables
+from mentionweave.sources import html, model, tables, workbook
 from mentionweave.streaming import incremental
 
 
@@ -154,13 +156,63 @@ def test_filings_of_further_files(spark):
 
 
 def test_workbooks(spark, tmp_path):
-    pytest.importorskip("openpyxl")
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    tables.write_excel({"one": df}, str(tmp_path / "b.xlsx"), review=("manual_decision", "reviewer_notes"))
-    got = tables.read_excel(spark, str(tmp_path / "b.xlsx"), ["one"])
-    assert got.columns == ["k", "v", "manual_decision", "reviewer_notes", "sheet"] and got.count() == 2
-    with pytest.raises(ValueError, match="over 1 rows"):
-        tables.write_excel({"one": df}, str(tmp_path / "c.xlsx"), 1)
+    odd = ["a", "", None, " two\nlines\t", "<&>\"'", "_x0041_", "\u0001\u000b", "=1+1", "é日😀", "x" * 32_767, "1.50", "nan"]
+    df = spark.createDataFrame([(k, v, k / 4, k % 2 == 0, None) for k, v in enumerate(odd)], "k long, v string, x double, flag boolean, none string").repartition(3, "k")
+    path = str(tmp_path / "b.xlsx")
+    wide = spark.createDataFrame([(1 << 60, "y")], "k long, `Ünï name` string")
+    workbook.write_excel({"one": df.orderBy("k"), "two & <3>": wide}, path, review=("manual_decision", "reviewer_notes"))
+    got = workbook.read_excel(spark, path, ["one"])
+    assert got.columns == ["k", "v", "x", "flag", "none", "manual_decision", "reviewer_notes", "sheet"]
+    shown = [(str(k), v or "", str(k // 4) if k % 4 == 0 else repr(k / 4), str(k % 2 == 0), "", "", "", "one") for k, v in enumerate(odd)]
+    assert [tuple(r) for r in got.collect()] == shown  # in the order in which they were written
+    both = workbook.read_excel(spark, path)
+    assert both.columns == ["k", "v", "x", "flag", "none", "manual_decision", "reviewer_notes", "Ünï name", "sheet"] and both.count() == 13
+    assert both.where("sheet = 'two & <3>'").first()["k"] == str(1 << 60)
+    with zipfile.ZipFile(path) as book:
+        sheet = book.read("xl/worksheets/sheet1.xml").decode()
+    assert 'state="frozen"' in sheet and '<autoFilter ref="A1:G13"/>' in sheet
+    assert re.findall(r'width="(\d+)"', sheet) == ["10", "60", "10", "10", "10", "17", "16"]  # at least 8 and at most 58, and 2
+    assert [p.name for p in tmp_path.iterdir()] == ["b.xlsx"]
+    with pytest.raises(Exception, match="over 1 rows"):
+        workbook.write_excel({"one": df}, str(tmp_path / "c.xlsx"), 1)
+    with pytest.raises(Exception, match="32768 characters"):
+        workbook.write_excel({"one": df.select(F.lit("x" * 32_768).alias("v"))}, str(tmp_path / "c.xlsx"))
+    with pytest.raises(Exception, match="no sheet 'three'"):
+        workbook.read_excel(spark, path, ["three"])
+    with pytest.raises(Exception, match="already"):
+        wide.write.format("workbook").mode("append").option("sheet", "one").save(path)
+    assert [p.name for p in tmp_path.iterdir()] == ["b.xlsx"]  # a failed write leaves nothing
+
+
+def test_workbook_of_many_rows_in_ranges(spark, tmp_path):
+    path = str(tmp_path / "m.xlsx")
+    workbook.write_excel({"rows": spark.range(25_000, numPartitions=7).selectExpr("id", "concat('name ', id) as name")}, path)
+    reader = spark.read.format("workbook").option("rowsPerPartition", 4000)
+    got = reader.load(path)
+    assert got.rdd.getNumPartitions() == 7
+    assert got.agg(F.count("*"), F.count_distinct("id"), F.sum(F.col("id").cast("long"))).first()[:] == (25_000, 25_000, 25_000 * 24_999 // 2)
+    assert got.where("name <> concat('name ', id)").count() == 0
+
+
+def test_workbook_of_another_program(spark, tmp_path):
+    """Shared strings with runs, references with gaps, booleans, errors and formulas, as other programs write them."""
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = (
+        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c><c r="D1" t="s"><v>0</v></c></row><row r="2"/><row r="4"><c r="A4"><v>12</v></c><c r="C4" t="b"><v>1</v></c><c r="D4" t="e"><v>#N/A</v></c></row>'
+        '<row r="9"><c r="B9"><v>0.1</v></c><c r="C9" t="str"><f>A1</f><v>said</v></c><c r="AB9"><v>7</v></c></row>'
+    )
+    parts = workbook._frame(["S"]) | {
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>id</t></si><si><r><t>no</t></r><r><t>te</t></r><rPh sb="0" eb="1"><t>x</t></rPh></si></sst>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}" xmlns:r="{office}"><sheetData>{sheet}</sheetData></worksheet>',
+    }
+    with zipfile.ZipFile(tmp_path / "o.xlsx", "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    got = workbook.read_excel(spark, f"file:{tmp_path}/o.xlsx")
+    assert got.columns == ["id0", "_c1", "note", "id3", "sheet"]
+    assert [tuple(r) for r in got.collect()] == [("12", "", "True", "", "S"), ("", "0.1", "said", "", "S")]
+    with pytest.raises(Exception, match="another program"):
+        got.write.format("workbook").mode("append").option("sheet", "T").save(str(tmp_path / "o.xlsx"))
 
 
 def test_parts_todo_errors(spark, tmp_path):
