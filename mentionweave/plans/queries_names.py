@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions import ids, names
+from ..functions import synonyms as Y
 from ..functions import text as T
+from ..operators import aggregates as A
 from ..sources import model, tables
 from . import oracle as S
 from .derived import COMPANIES_SQL, companies
@@ -319,3 +321,38 @@ def _(t):
     asked = t("part").select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("competitor_name"))
     answers = t("part").selectExpr("p_partkey as record_id", "p_partkey % 7 > 0 as answered", *_split(_ANSWERS)).where("answered").drop("answered")
     return model.normalized(asked, answers)
+
+
+def _cost_sql(x: str) -> str:
+    runs = lambda p, by: f"len(regexp_extract_all({x}, {S.q(p)}))" if by == "run" else f"length(list_aggregate(list_concat([''], regexp_extract_all({x}, {S.q(p)})), 'string_agg', ''))"
+    return "(999 + " + " + ".join(f"{n} * {runs(p, by)}" for p, by, n in V.TOKEN_COST) + ") // 1000"
+
+
+@query("token_chunks", f"""with e as (select doc_id, coalesce(text, '') x, ({_cost_sql("coalesce(text, '')")})::bigint tokens from documents), n as (select *, greatest(ceil(tokens / 500.0), 1)::int n from e), s as (select *, greatest(length(x) // n, 1)::int size from n)
+select doc_id, tokens, n n_wanted, len(p)::int n_parts, md5(array_to_string(p, '|')) digest from (select *, list_filter(list_transform(range(n), lambda i: case when i = n - 1 then substr(x, (i * size + 1)::int) else substr(x, (i * size + 1)::int, size) end), lambda v: v <> '') p from s)""")
+def _(t):
+    tokens = T.token_estimate("text")
+    parts = T.token_chunks("text", 500)
+    wanted = F.greatest(F.ceil(tokens / 500), F.lit(1)).cast("int")
+    return t("documents").select("doc_id", tokens.alias("tokens"), wanted.alias("n_wanted"), F.size(parts).alias("n_parts"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
+
+
+_OPTIONS = Y.synonyms()
+_TAILED = "concat(p_name, case p_partkey % 5 when 0 then ' /DE/' when 1 then ' Group-NEW' when 2 then ' Services /California' when 3 then ' Labs Holding Ltd' else ' Hldgs, Inc.' end)"
+_TAILED_SQL = _TAILED
+
+
+@query("synonym_names", f"""with recursive opt(word, r, c) as (values {", ".join(f"({S.q(w)}, {S.q(r)}, {k})" for w, others in _OPTIONS.items() for k, r in [(0, w), *[(1, o) for o in others]])}),
+n as (select p_partkey, trim(regexp_replace(upper({_TAILED_SQL}), '\\s+', ' ', 'g')) x from part), t as (select *, regexp_extract_all(x, '[A-Z0-9]+|[^A-Z0-9]+') toks from n),
+e(p, x, toks, i, changed, name) as (select p_partkey, x, toks, 0, 0, '' from t union all select p, x, toks, i + 1, changed + coalesce(c, 0), name || coalesce(r, toks[i + 1]) from e left join opt on word = toks[i + 1] where i < len(toks)),
+f as (select p, x, changed, trim(regexp_replace(name, '\\s+', ' ', 'g')) name from e where i = len(toks))
+select p p_partkey, name, min(changed)::int changed from f where name <> '' and name <> x group by 1, 2""")
+def _(t):
+    found = t("part").select("p_partkey", F.expr(_TAILED).alias("x"))
+    return A.spread(found, "p_partkey").select("p_partkey", F.inline(Y.expanded("x", _OPTIONS, 1024))).select("p_partkey", "name", "changed")
+
+
+@query("tailless_names", rf"""with n as (select p_partkey, trim(regexp_replace({_TAILED_SQL}, '\s+', ' ', 'g')) x from part), c as (select p_partkey, x, unnest(['/([^/]+/?)$', '-([^-]*)$']) tail, unnest(['^(.*)/[^/]+/?$', '^(.*)-[^-]*$']) head from n)
+select distinct p_partkey, trim(regexp_extract(x, head, 1)) as name from c where length(regexp_extract(x, tail, 1)) <= 7 and trim(regexp_extract(x, head, 1)) <> ''""")
+def _(t):
+    return t("part").select("p_partkey", F.explode(Y.without_tail(F.expr(_TAILED))).alias("name"))
