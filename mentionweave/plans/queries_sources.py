@@ -21,6 +21,16 @@ def _(t):
     return html.visible_text(t("pages"), "page_id", markdown=True)
 
 
+@query("markdown_counts", """with b as (select page_id, regexp_replace(regexp_replace(html, '(?s)<(script|style|title)[^>]*>.*?</(script|style|title)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') h from pages)
+select page_id, len(regexp_extract_all(h, '<li[ >]'))::int n_items, len(regexp_extract_all(h, '<h[1-6][ >]'))::int n_headings, len(regexp_extract_all(h, '<a [^>]*href="[^"]+"'))::int n_links, len(regexp_extract_all(h, '<tr[ >]'))::int n_rows from b""")
+def _(t):
+    found = html.visible_text(t("pages"), "page_id", markdown=True)
+    lines = F.split("text", "\n")
+    having = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
+    rows = having(r"^ *(\* |> )*\| ") - having(r"^ *\|( --- \|)+$")
+    return found.select("page_id", having(r"^ *\* \S").alias("n_items"), having("^#{1,6} ").alias("n_headings"), F.regexp_count("text", F.lit(r"\]\([^)]+\)")).alias("n_links"), rows.alias("n_rows"))
+
+
 @query("extracted_names")
 def _(t):
     passages = T.snippets(t("documents"), ["doc_id"], "text", ["license", "licensed", "released"], before=100, after=200)

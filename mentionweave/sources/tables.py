@@ -154,6 +154,6 @@ def split_errors(rows: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, bytes and time of every file below a folder; contents are not read. Sections of a release are folders of their own."""
+    """Path, bytes and time of every file below a folder; contents are not read. `sources.release` copies, digests and archives them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
 import time
 import zipfile
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mentionweave import settings
 from mentionweave.operators import joins, sets
-from mentionweave.sources import html, model, tables, workbook
+from mentionweave.sources import html, model, release, runlog, tables, workbook
 from mentionweave.streaming import incremental
 
 
@@ -227,10 +229,115 @@ def test_parts_todo_errors(spark, tmp_path):
 def test_html():
     page = "<html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body><p>A &amp; <b>B</b><br>C<!-- no --></p><a href='/x'>link</a><table><tr><td>1</td></tr></table>"
     assert html.to_text(page) == "A & B\nC\nlink\n1"
-    assert html.to_text(page, markdown=True) == "A & **B**\nC\n[link](/x)\n| 1"
+    assert html.to_text(page, markdown=True) == "A & **B**\nC\n[link](/x)\n| 1 |\n| --- |"
     assert html.to_text(None) is None and html.to_text("") == ""
 
 
+MARKDOWN = {
+    "<table><thead><tr><th>a<th colspan=2>b|c</thead><tr><td rowspan=2>x<td>1<td><b>2</b><tr><td>3</table>": "| a | b\\|c |  |\n| --- | --- | --- |\n| x | 1 | **2** |\n|  | 3 |  |",
+    "<table><caption>C</caption><tr><td>1<br>2</td><td><table><tr><td>in</td></tr></table></td></tr></table>": "C\n| 1 2 | in |\n| --- | --- |",
+    "<table><tr><td> </td></tr></table><table></table>x": "x",
+    "<table><tr><td colspan='0' rowspan='x'>a</td><td colspan='99999999999'>b</td></tr></table>": "| a | b |" + "  |" * 998 + "\n|" + " --- |" * 1000,
+    "<ul><li>a<ul><li>b<ol start=3><li>c<li>d</ol></ul><li>e</ul>": "* a\n  * b\n    3. c\n    4. d\n* e",
+    "<p>x <img src=a alt=b>y <a href='/u'><i>z</i></a> <a>w</a><p>v": "x y [_z_](/u) w\nv",
+    "<h2> H <b>i</b></h2><blockquote><p>q</p><ul><li>r</ul></blockquote><hr><pre>\n a\n  b</pre>": "## H **i**\n> q\n> * r\n* * *\n```\n a\n  b\n```",
+    "</p></table>a</b><script>no</script><!-- no -->&lt;b": "a<b",
+    "<div>" * 5000 + "deep" + "</div>" * 5000: "deep",
+    "": "", " \n ": "",
+}
+
+
+@pytest.mark.parametrize("page", MARKDOWN)
+def test_markdown(page):
+    assert html.to_text(page, markdown=True) == MARKDOWN[page]
+
+
+def test_run_record_of_a_batch_run(spark, tmp_path):
+    log = runlog.RunLog(spark, str(tmp_path / "log"), "first")
+    rows = spark.createDataFrame([(k, "bad" if k % 5 == 0 else None) for k in range(100)], "k long, error string")
+
+    def work(part, stage):
+        if part == "c":
+            raise ValueError("no such part")
+        stage.watch(rows.where(F.col("k") < ord(part) - 90), "error").write.parquet(str(tmp_path / part))
+
+    assert log.each("extract", ["a", "b", "c", "d"], work, go_on=True) == ["c"]
+    with pytest.raises(ValueError, match="no such"):
+        log.each("strict", ["c", "a"], work)
+    with runlog.RunLog(spark, str(tmp_path / "log"), "second").stage("two tables") as stage:
+        for _ in range(2):
+            stage.watch(rows).write.format("noop").mode("overwrite").save()
+    with log.stage("nothing watched"):
+        pass
+    got = {(r.run, r.stage, r.part): r for r in log.read().collect()}
+    seen = [got["first", "extract", p] for p in "abcd"]
+    assert [(r.rows, r.errors, r.done, r.total) for r in seen] == [(7, 2, 1, 4), (8, 2, 2, 4), (None, None, 3, 4), (10, 2, 4, 4)]
+    assert seen[2].failure == "ValueError: no such part" and seen[3].failure is None and all(r.seconds >= 0 for r in seen)
+    assert seen[3].remaining_seconds == 0 and 0 < seen[0].remaining_seconds and seen[0].remaining_seconds >= 2.9 * seen[0].seconds
+    assert ("first", "strict", "c") in got and ("first", "strict", "a") not in got
+    assert got["second", "two tables", ""].rows == 200 and got["second", "two tables", ""].errors == 0 and got["first", "nothing watched", ""].rows is None
+
+
+def test_run_record_of_an_incremental_run(spark, tmp_path):
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    log = runlog.RunLog(spark, str(tmp_path / "log"))
+    for part in range(3):
+        spark.createDataFrame([(part, k, "bad" if k == 0 else None) for k in range(4)], "p long, k long, error string").coalesce(1).write.mode("append").parquet(source)
+    with log.follow("merge"):
+        stream = log.observed(incremental.watch(spark, source, "p long, k long, error string", files_per_batch=1), "error")
+        incremental.upserts(stream, target, mark, ["p", "k"], [F.col("error")]).awaitTermination()
+    got = sorted((r.part, r.rows, r.errors) for r in log.read().collect())
+    assert got == [(f"batch {k}", 4, 1) for k in range(3)] and incremental.read(spark, target).count() == 12
+
+    def fails(batch):
+        raise RuntimeError("this batch fails")
+
+    spark.createDataFrame([(9, 9, None)], "p long, k long, error string").coalesce(1).write.mode("append").parquet(source)
+    with log.follow("failing"), pytest.raises(Exception, match="this batch fails"):
+        incremental.upserts(incremental.watch(spark, source, "p long, k long, error string"), target, mark, ["p", "k"], [F.col("error")], fails).awaitTermination()
+    assert "this batch fails" in log.read().where("stage = 'failing' and part = 'end'").first().failure
+
+
+def test_release(spark, tmp_path):
+    source, target = tmp_path / "results", str(tmp_path / "release")
+    for name, body in {"a.csv": b"x,y\n1,2\n", "deep/b c.bin": bytes(range(256)) * 9000, "empty": b"", "\u00fcn.txt": b"u"}.items():
+        (source / name).parent.mkdir(parents=True, exist_ok=True)
+        (source / name).write_bytes(body)
+    files = release.sections({"03_outcomes": str(source), "04_by_sic": str(source / "deep")})
+    got = {r.release_path: r for r in release.publish(spark, files, target).collect()}
+    assert set(got) == {"03_outcomes/a.csv", "03_outcomes/deep/b c.bin", "03_outcomes/empty", "03_outcomes/\u00fcn.txt", "04_by_sic/b c.bin"}
+    assert all(r.sha256 == hashlib.sha256(open(files[p], "rb").read()).hexdigest() and r.bytes == os.path.getsize(files[p]) and r.section == p.split("/")[0] for p, r in got.items())
+    assert release.broken(spark, target).count() == 0
+    assert release.archive(spark, target, str(tmp_path / "r.zip")) == 5
+    with zipfile.ZipFile(tmp_path / "r.zip") as book:
+        assert book.testzip() is None and {n: book.read(n) for n in book.namelist()} == {p: open(s, "rb").read() for p, s in files.items()}
+        assert book.namelist() == sorted(book.namelist())
+
+    # a broken copy is found, keeps the archive from being made, and is mended by the next run, which leaves the other copies alone
+    untouched = os.stat(f"{target}/03_outcomes/a.csv").st_ino
+    with open(f"{target}/04_by_sic/b c.bin", "r+b") as out:
+        out.write(b"?")
+    os.remove(f"{target}/03_outcomes/empty")
+    assert {tuple(r) for r in release.broken(spark, target).collect()} == {("04_by_sic/b c.bin", "different"), ("03_outcomes/empty", "missing")}
+    before = (tmp_path / "r.zip").read_bytes()
+    with pytest.raises(Exception, match="empty|manifest says"):
+        release.archive(spark, target, str(tmp_path / "r.zip"))
+    assert (tmp_path / "r.zip").read_bytes() == before and not list(tmp_path.glob("r.zip.parts*"))
+    (source / "a2.csv").write_bytes(b"new")
+    os.remove(source / "\u00fcn.txt")
+    release.publish(spark, release.sections({"03_outcomes": str(source), "04_by_sic": str(source / "deep")}), target)
+    assert release.broken(spark, target).count() == 0 and release.manifest(spark, target).count() == 5
+    assert os.stat(f"{target}/03_outcomes/a.csv").st_ino == untouched and not os.path.exists(f"{target}/03_outcomes/\u00fcn.txt")
+
+    # a run that fails leaves the release as its manifest says
+    with pytest.raises(Exception, match="absent"):
+        release.publish(spark, {"03_outcomes/x": str(source / "absent")}, target)
+    assert release.manifest(spark, target).count() == 5
+    with pytest.raises(ValueError, match="no path"):
+        release.publish(spark, {"../x": str(source / "a.csv")}, target)
+    assert release.archive(spark, str(tmp_path / "nothing"), str(tmp_path / "none.zip")) == 0 and zipfile.ZipFile(tmp_path / "none.zip").namelist() == []
+
+
 def test_model_steps(spark):
     def client(x):
         if "boom" in x:
