@@ -6,6 +6,10 @@ document frequencies of the templates' terms are counted over all documents; oth
 reach its threshold only with one of a template's heavy terms, those without which the rest of the template's norm
 stays below it; units without any are not scored.
 
+Siblings. Versions and variants of a license are nearly alike by their cosine, so each is a template, a unit must hold the terms that
+tell one from its siblings (its version, say), and the best license must be ahead of the second by `MARGIN`; a unit that names no version names no
+license.
+
 Equal units are scored once: what is dealt out by term is each distinct unit, named by 128 bits, however many documents hold
 it. Scores come back to the documents' units by an equality join, and a document's best unit is its own license.
 
@@ -37,9 +41,15 @@ THRESHOLD, TEXT_THRESHOLD = 0.6, 0.7
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
+    ("MIT-0", "Released under the MIT No Attribution License."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -70,6 +80,38 @@ TEXTS = (
         "https://www.gnu.org/licenses/.",
     ),
     ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will "
+        "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
+        "Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software "
+        "Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will "
+        "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General "
+        "Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see "
+        "https://www.gnu.org/licenses/.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will "
+        "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General "
+        "Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software "
+        "Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will "
+        "be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General "
+        "Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see "
+        "https://www.gnu.org/licenses/.",
+    ),
     (
         "LGPL-3.0",
         "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, "
@@ -90,6 +132,15 @@ TEXTS = (
         "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
         "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
+    (
+        "MIT-0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to "
+        "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
+        "sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED AS IS, WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. "
@@ -103,6 +154,18 @@ TEXTS = (
         "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
         "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in "
+        "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+        "CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
@@ -117,6 +180,14 @@ TEXTS = (
         "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
 )
+#: Terms that a unit must hold to be of a license, which tell it from its siblings; of them those count that a template itself has.
+NEEDED = {
+    "Apache-1.1": ("apache", "1"), "Apache-2.0": ("apache", "2", "0"), "GPL-2.0": ("gnu", "2"), "GPL-3.0": ("gnu", "3"), "LGPL-2.1": ("lesser", "2", "1"), "LGPL-3.0": ("lesser", "3"),
+    "AGPL-3.0": ("affero", "3"), "MIT": ("mit", "notice"), "MIT-0": ("mit", "no", "attribution"), "BSD-2-Clause": ("bsd", "2"), "BSD-3-Clause": ("bsd", "3"), "MPL-2.0": ("mozilla", "2", "0"),
+    "CC-BY-4.0": ("cc", "by", "4", "0"), "CC-BY-SA-4.0": ("cc", "sa", "4", "0"), "CC-BY-NC-4.0": ("cc", "nc", "4", "0"),
+}
+#: By how much the best license's cosine must exceed that of the second.
+MARGIN = 0.001
 #: Share of documents above which a term is common: texts are sieved by other terms where those do.
 COMMON = 0.02
 _WORD = "[a-z0-9]+"
@@ -133,6 +204,8 @@ class Templates:
         self.terms = [re.findall(_WORD, t.lower()) for _, t in (*notices, *texts)]
         self.longer = [False] * len(notices) + [True] * len(texts)
         self.least = [text_threshold if x else threshold for x in self.longer]
+        needed = [set(NEEDED.get(n, ())) for n in self.names]
+        self.needed = [sorted(n & set(t)) for n, t in zip(needed, self.terms, strict=True)]
         self.vocabulary = sorted({t for terms in self.terms for t in terms})
 
 
@@ -204,20 +277,28 @@ def _name(*columns: Column | str) -> list[Column]:
 
 
 def unit_scores(units: DataFrame, templates: Templates, n: int, df: dict[str, int]) -> DataFrame:
-    """k1, k2, kind, score, at (the template's place), terms of distinct units (k1, k2, kind, unit) that reach a template's threshold."""
+    """k1, k2, kind, score, order (the template's place, negative), terms of distinct units (k1, k2, kind, unit) that are a license's.
+
+    A unit is one's if it reaches a template's threshold, holds what tells the license from its siblings, and the best license is ahead of the second.
+    """
     idf, unseen, vectors = weights(n, df, templates)
     spark = units.sparkSession
-    rows = [(t, k, templates.longer[k], templates.least[k], v * idf[t]) for k, vector in enumerate(vectors) for t, v in vector.items()]
-    vector = spark.createDataFrame(rows, "term string, at int, longer boolean, least double, w double")
+    rows = [
+        (t, k, templates.names[k], templates.longer[k], templates.least[k], v * idf[t], int(t in templates.needed[k]), len(templates.needed[k])) for k, vector in enumerate(vectors) for t, v in vector.items()
+    ]
+    vector = spark.createDataFrame(rows, "term string, at int, license string, longer boolean, least double, w double, need int, needs int")
     weight = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
     counted = units.select("k1", "k2", "kind", F.explode(terms_of(F.col("unit"))).alias("term")).groupBy("k1", "k2", "kind", "term").agg(F.count("*").alias("tf"))
     counted = written(counted, "license-terms")
     weighed = counted.join(F.broadcast(weight), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))  # of the templates' vocabulary
     norms = weighed.groupBy("k1", "k2", "kind").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("terms"))
-    dots = counted.join(F.broadcast(vector), "term").where((F.col("kind") > LINE) == F.col("longer")).groupBy("k1", "k2", "kind", "at", "least").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, ["k1", "k2", "kind"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= F.col("least"))
-    best = F.max(F.struct("score", (-F.col("at")).alias("order"), "terms")).alias("best")
-    return scored.groupBy("k1", "k2", "kind").agg(best).select("k1", "k2", "kind", "best.score", "best.order", "best.terms")
+    dots = counted.join(F.broadcast(vector), "term").where((F.col("kind") > LINE) == F.col("longer")).groupBy("k1", "k2", "kind", "at", "license", "least", "needs").agg(F.sum(F.col("tf") * F.col("w")).alias("dot"), F.sum("need").alias("held"))
+    scored = dots.where("held = needs").join(norms, ["k1", "k2", "kind"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= F.col("least"))
+    every = F.sort_array(F.collect_list(F.struct("score", (-F.col("at")).alias("order"), "terms", "license")), asc=False).alias("every")  # one a template at most
+    judged = scored.groupBy("k1", "k2", "kind").agg(every).withColumn("best", F.col("every")[0])
+    second = F.get(F.filter("every", lambda x: x["license"] != F.col("best.license")), F.lit(0))["score"]
+    ahead = second.isNull() | (F.round(F.col("best.score") - second, 6) >= MARGIN)
+    return judged.where(ahead).select("k1", "k2", "kind", "best.score", "best.order", "best.terms")
 
 
 def own_licenses(documents: DataFrame, templates: Templates) -> DataFrame:

@@ -96,6 +96,7 @@ _T = licenses.Templates()
 ORACLE_SQL: dict[str, str] = {
     "op6_licenses": """
 with tpl(k, license, longer, least, notice) as (values """ + ", ".join(f"({k}, '{n}', {x}, {t}, '{' '.join(w)}')" for k, (n, x, t, w) in enumerate(zip(_T.names, _T.longer, _T.least, _T.terms, strict=True))) + """),
+need(k, t) as (values """ + ", ".join(f"({k}, '{t}')" for k, terms in enumerate(_T.needed) for t in terms) + """), needs as (select k, count(*) needs from need group by 1),
 tt as (select k, t, count(*) tf from (select k, unnest(string_split(notice, ' ')) t from tpl) group by all),
 voc as (select distinct t from tt),
 n as (select count(*) n from documents),
@@ -109,9 +110,10 @@ u as (select row_number() over () u, kind, unit from (select distinct kind, unit
 lf as (select u, kind, t, count(*) tf from (select u, kind, unnest(regexp_extract_all(unit, '[a-z0-9]+')) t from u) group by all),
 lw as (select u, kind, t, tf, coalesce(w, (select ln(1 + n) + 1 from n)) w from lf left join idf using (t)),
 norm as (select u, sqrt(sum(tf * w * tf * w)) norm, sum(tf) terms from lw group by all),
-sc as (select u, v.k, license, least, any_value(terms) terms, round(sum(l.tf * l.w * v.w) / any_value(norm), 6) score from lw l join vec v using (t) join tpl on v.k = tpl.k and longer = (kind > 0) join norm using (u) group by u, v.k, license, least),
-best as (select *, row_number() over (partition by u order by score desc, k) c from sc where score >= least),
-met as (select r, un.kind, b.* from un join u using (kind, unit) join best b using (u) where c = 1),
+sc as (select u, v.k, license, least, any_value(terms) terms, round(sum(l.tf * l.w * v.w) / any_value(norm), 6) score, count(need.t) held from lw l join vec v using (t) join tpl on v.k = tpl.k and longer = (kind > 0) join norm using (u) left join need on need.k = v.k and need.t = l.t group by u, v.k, license, least),
+best as (select *, row_number() over (partition by u order by score desc, k) c from sc left join needs using (k) where score >= least and held = coalesce(needs, 0)),
+second as (select b.u, max(o.score) score from best b join best o on b.u = o.u and b.license <> o.license where b.c = 1 group by 1),
+met as (select r, un.kind, b.* from un join u using (kind, unit) join best b using (u) left join second s using (u) where c = 1 and (s.score is null or round(b.score - s.score, 6) >= """ + str(licenses.MARGIN) + """)),
 per as (select r, kind, sum(terms) covered from met group by all),
 own as (select m.r, arg_max(license, struct_pack(s := score, k := -k)) license, max(score) score, any_value(p.covered) covered from met m join (select r, max(covered) covered from per group by 1) p using (r) group by m.r),
 judged as (select d.doc_id, path, dir, license, score, covered / len(regexp_extract_all(x, '[a-z0-9]+')) >= 0.5 speaks from docs d left join own using (r)),

@@ -520,6 +520,24 @@ def test_license_headers_and_files(spark):
     ]
 
 
+@pytest.mark.parametrize("longer", [False, True])
+def test_licenses_are_told_from_their_siblings(spark, longer):
+    """Every template, its versions, and texts that name no version or another one."""
+    every = licenses.TEXTS if longer else licenses.TEMPLATES
+    texts = [(n, t) for n, t in every]
+    if longer:
+        text = lambda license: next(t for n, t in every if n == license)
+        texts += [("GPL-2.0", text("GPL-2.0").split(" You should")[0]), (None, next(t for n, t in every if n == "GPL-3.0").replace("version 3", "version 9"))]
+        texts += [("Apache-2.0", "Copyright 2020 The Authors. " + text("Apache-2.0")), ("BSD-2-Clause", "Copyright (c) 2019, Someone. All rights reserved. " + text("BSD-2-Clause"))]
+    else:
+        texts += [(None, "This work is licensed under the GNU General Public License."), ("GPL-2.0", "Licensed under the GNU General Public License, version 2 or later."), (None, "Licensed under CC BY-SA 3.0.")]
+        texts += [("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"), ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1"), (None, "Released under the BSD License.")]
+    filler = [f"plain words of document {k} that say nothing of rights, {'x' * k}" for k in range(60)]
+    given = spark.createDataFrame([(i, f"d{i}", t) for i, (_, t) in enumerate(texts)] + [(1000 + k, f"f{k}", t) for k, t in enumerate(filler)], "doc_id long, d string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(given, F.concat_ws("/", "d", F.col("doc_id").cast("string"))).where("origin = 'own'").collect()}
+    assert {i: got.get(i) for i in range(len(texts))} == {i: n for i, (n, _) in enumerate(texts)}
+
+
 def test_license_heavy_terms_lose_nothing():
     templates = licenses.Templates()
     _, _, vectors = licenses.weights(1000, {t: 3 for t in templates.vocabulary}, templates)
