@@ -130,6 +130,14 @@ def sample_ids(ids: DataFrame, key: str, bound: int, salt: int) -> DataFrame:
     return ids.orderBy(h, key).limit(bound)
 
 
+def excerpt(text: Column | str, most: int, windows: int = 8) -> Column:
+    """A text for a training sample: whole if it has at most `most` characters, else that many from windows spread evenly from its beginning to its end."""
+    x = F.col(text) if isinstance(text, str) else text
+    n, size = F.length(x), most // windows
+    at = lambda k: F.floor(k * (n - size) / (windows - 1)).cast("int") + 1
+    return F.when(n > most, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda k: F.substr(x, at(k), F.lit(size))), " ")).otherwise(x)
+
+
 def give_back() -> None:
     """Return freed memory to the system."""
     pa.default_memory_pool().release_unused()

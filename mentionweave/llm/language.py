@@ -29,25 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fields_of, give_back, held_out, own_name, replacing, set_apart, steps, strings, task
+from .common import excerpt, fields_of, give_back, held_out, own_name, replacing, set_apart, steps, strings, task
 from .features import gram_ids
 from .nearcopies import hashes, normal
 
 GRAMS, BITS, DIM = (2, 3, 4), 15, 16
 #: Documented bounds of the training sample: texts, shared out evenly over the languages, languages, and characters of a
-#: text that are trained on (a longer one's first; it stays in the sample, and every text is judged whole).
+#: text that are trained on (a longer one's in windows from its beginning to its end; every text is judged whole).
 MAX_TRAIN, MAX_LANGS, MAX_CHARS = 3000, 200, 20_000
 #: Share of whole held-back texts that the least score may cost, and how likely of no language a rejected text is.
 REJECT_RATE, NONE = 0.001, 0.5
 #: Most characters of an example of no language.
 FOREIGN = 1000
-#: The class of no language.
-NO_LANGUAGE = ""
+#: The class of no language, which no label equals.
+NO_LANGUAGE = None
 
 
 @dataclass
 class LanguageModel:
-    langs: list[str]
+    langs: list[str | None]
     table: np.ndarray  # (languages, len(GRAMS) * (2**BITS + 1)): softmax weights times embeddings
     bias: np.ndarray
     temperature: float
@@ -178,7 +178,7 @@ def train(documents: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel | N
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, int(1.5 * each / n * (1 << 30)) + 1))])
     ids = known.select("doc_id", "lang", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")))
     ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= each)
-    begun = F.min(F.substring("text", 1, MAX_CHARS)).alias("text")  # one row of those that share an id
+    begun = F.min(excerpt("text", MAX_CHARS)).alias("text")  # one row of those that share an id
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(begun).collect()
     if not rows:
         return None

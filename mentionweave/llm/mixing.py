@@ -9,12 +9,13 @@ that tells low from high quality, weighted with the labelled classes' shares. No
 
 where n_i are tokens, p_id posteriors and T all tokens.
 
-Projected gradient. A step moves every rate along its posteriors times the domains' residuals, which are scaled by
-the inverse of the posteriors' second moments over the rows with a rate above zero, and projects it onto r_i >= 0. As
-steps start at 1, a rate is always max(0, 1 - p_i . m) with one multiplier m_d a domain, so that a step is one pass over
-the posteriors that sums up residuals and moments at several step lengths, of which the best is taken; nothing of a
-document's size is sent and no pass repeats an earlier one. The least value is where the residuals are ridge times
-m. The ridge `HELD` vanishes against the data term: totals are the targets, and rates as near to 1 as that allows.
+Projected gradient, projected lazily. A gradient step moves every rate along its posteriors times the domains' residuals, which are scaled by
+the inverse of the posteriors' second moments over the rows with a rate above zero. Steps are added up, and the sum is projected onto
+r_i >= 0 where a rate is read: r_i = max(0, 1 - p_i . m), m the sum of the scaled residuals, one number a domain. Projecting every iterate
+itself has the same least value as its fixed point, but would have to keep a rate a document, and a rate that was cut off once would come back at
+the pace of the ridge alone; tests hold the rates against that slow form. A step is one pass over the posteriors that sums up residuals and
+moments at several step lengths, of which the best is taken; nothing of a document's size is sent and no pass repeats an earlier one. The
+least value is where the residuals are ridge times m. The ridge `HELD` vanishes against the data term: totals are the targets, and rates as near to 1 as that allows.
 Steps end at a gradient below `TOLERANCE`; a warning tells the shares reached where they miss the targets, as
 when no row is likely enough of a domain.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields_of, held_out, own_name, replacing, sample_ids, set_apart, task, written
+from .common import excerpt, fields_of, held_out, own_name, replacing, sample_ids, set_apart, task, written
 from .common import strings as strings_of
 from .language import MAX_CHARS, LanguageModel, _softmax, fit
 from .toxicity import PuModel
@@ -108,7 +109,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
         return None
     low, high = (sample_ids(known.where(F.col("domain") == d), "doc_id", max_train // 2, 5) for d in ("low", "high"))
     chosen = low.unionByName(high)  # at most max_train rows
-    begun = F.min(F.substring("text", 1, MAX_CHARS)).alias("text")  # one row of those that share an id
+    begun = F.min(excerpt("text", MAX_CHARS)).alias("text")  # one row of those that share an id
     rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(begun).collect()
     if len({r.domain for r in rows}) < 2:
         return None
@@ -159,7 +160,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit_rates(soft: DataFrame, targets: tuple[float, ...] = TARGETS, ridge: float = RIDGE, rounds: int = ROUNDS) -> np.ndarray:
-    """The domains' multipliers, by one pass over `soft` a Newton step."""
+    """The domains' summed steps m, by one pass over `soft` a step."""
     total = soft.agg(F.sum("n_tokens")).first()[0] or 0
     n, m = len(DOMAINS), np.zeros(len(DOMAINS))
     if not total:

@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_ids, steps, strings, task
+from .common import excerpt, held_out, sample_ids, steps, strings, task
 from .features import word_features
 
 #: Documented bounds of the training sample: confirmed and unlabelled texts, and characters of one that are trained on (a longer
-#: one's first; it stays in the sample, and every text is scored whole).
+#: one's in windows from its beginning to its end; every text is scored whole).
 MAX_POSITIVE, MAX_UNLABELLED, MAX_CHARS = 3000, 6000, 10_000
 #: Share of the prior that is to score above a half in the unlabelled sample, and the steepest slope.
 MATCH, STEEPEST = 0.9, 20.0
@@ -193,7 +193,7 @@ def train(documents: DataFrame, labels: DataFrame, prior: float | None = None, m
         documents.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "positive")
-        .agg(F.min(F.substring("text", 1, MAX_CHARS)).alias("text"))  # one row of those that share an id
+        .agg(F.min(excerpt("text", MAX_CHARS)).alias("text"))  # one row of those that share an id
         .select("positive", "text")
         .mapInArrow(task(_features_of), "positive boolean, features binary")
         .collect()

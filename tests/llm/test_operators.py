@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from mentionweave.llm import bpe, language, licenses, mixing, nearcopies, neardup_vectors, queries, simhash, suffixes, topk, toxicity, urlfilter
+from mentionweave.llm import bpe, common, language, licenses, mixing, nearcopies, neardup_vectors, queries, simhash, suffixes, topk, toxicity, urlfilter
 from mentionweave.llm.components import connected
 
 from ..compare import SF, connect, rows
@@ -549,6 +549,30 @@ def test_license_heavy_terms_lose_nothing():
 # 7. Language -----------------------------------------------------------------------------------
 
 
+def test_excerpts_reach_from_beginning_to_end(spark):
+    rng = random.Random(9)
+    texts = ["", None, "short", "é" * 80, *("".join(rng.choices("abcdefgh ", k=n)) for n in (79, 80, 81, 500, 12_345))]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", common.excerpt("t", 80).alias("x")).collect():
+        if r.t is None or len(r.t) <= 80:
+            assert r.x == r.t
+        else:
+            parts = [r.x[k * 11 : k * 11 + 10] for k in range(8)]
+            at = [k * (len(r.t) - 10) // 7 for k in range(8)]
+            assert len(r.x) == 87 and parts == [r.t[a : a + 10] for a in at] and r.x.endswith(r.t[-10:])
+
+
+def test_a_language_may_be_called_anything(spark):
+    """An empty label is a language like others, beside the class of no language."""
+    rng = random.Random(4)
+    words = {"": ["alpha", "beta", "gamma", "delta"], "und": ["один", "два", "три", "четыре"]}
+    rows = [(i, " ".join(rng.choices(words[lang], k=12)), lang) for i, lang in enumerate(list(words) * 150)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(given)
+    assert model.langs == ["", "und", None]
+    got = language.identify(given, model)
+    assert got.where("not rejected and lang_pred = lang").count() >= 0.98 * len(rows)
+
+
 def test_language_held_out(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.train(df)
