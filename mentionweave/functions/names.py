@@ -339,14 +339,13 @@ def keyword_filter(c: Column | str) -> Column:
     low = F.lower(name)
     found = owner(name)
     item = lambda decision, kind, source: F.struct(F.lit(decision).alias("decision"), F.lit(kind).alias("kind"), F.lit(source).alias("source"))
-    firm = r"\b(?:inc|llc|ltd|limited|corp|corporation|company|communications|group)\b"
-    counted = r"^\d+\s+(?:other\s+)?(?:companies|company|insurers|insurer|banks|casinos|institutions|financial institutions|competitors|firms|customers|suppliers|operations)\b"
+    firm, counted, technical = (rf"{before}(?:{'|'.join(w)})\b" for before, w in ((r"\b", V.FIRM_WORDS), (r"^\d+\s+(?:other\s+)?", V.COUNTED_NOUNS), (r"\b", V.TECHNICAL_TERMS)))
     return (
         F.when(name == "", item("drop", "artifact", "deterministic_empty"))
-        .when(low.isin("...inc", "...inc.", ".xyz"), item("drop", "artifact", "deterministic_artifact"))
+        .when(low.isin(*V.ARTIFACTS), item("drop", "artifact", "deterministic_artifact"))
         .when(found != repair(name), item("accept", "company", "deterministic_parent_recovery"))
         .when(has_legal_suffix(low), item("accept", "company", "deterministic_legal_suffix"))
         .when(name.startswith("@") & ~low.rlike(firm), item("drop", "social_handle", "deterministic_social_handle"))
         .when(low.rlike(counted), item("drop", "generic_phrase", "deterministic_generic_phrase"))
-        .when(low.rlike(r"\b(?:nanometer|duv source|technology node)\b"), item("drop", "technical_term", "deterministic_technical_term"))
+        .when(low.rlike(technical), item("drop", "technical_term", "deterministic_technical_term"))
     )

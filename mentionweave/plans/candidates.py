@@ -140,6 +140,17 @@ def reliability(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("gv", F.coalesce(gv, F.lit(""))).join(per, "record_id").join(sec, ["record_id", "gv"]).drop("gv")
 
 
+def generic_name(c: Column | str) -> Column:
+    """A candidate's name that tells no company from another: empty, digits alone, two characters at most, or four fifths generic words."""
+
+    def judged(name: Column, words: Column) -> Column:
+        known = F.size(F.filter(words, lambda t: F.array_contains(names.words(V.CANDIDATE_GENERIC), t)))
+        short = F.length(F.replace(name, F.lit(" "), F.lit(""))) <= 2
+        return (name == "") | name.rlike(r"^\d+( \d+)*$") | short | (5 * known >= 4 * F.size(words))
+
+    return names.let(F.struct(names.candidate_name(c).alias("name")), lambda s: judged(s["name"], names.tokens(s["name"])))
+
+
 def tier(generic: Column) -> Column:
     """The acceptance tier of a candidate with reliability()'s columns."""
     priority = F.coalesce(F.try_element_at(names.lookup(V.SOURCE_PRIORITY), F.upper("source")), F.lit(999))
@@ -175,4 +186,4 @@ def scenarios(tiered: DataFrame) -> DataFrame:
     for name, letters in SCENARIOS.items():
         accepted = F.col("recommended") if not letters else F.col("tier").isin(*[f"Tier {x} auto_accept" for x in letters])
         rows.append(F.struct(F.lit(name).alias("scenario"), F.when(accepted, "auto_accept").otherwise("manual_review").alias("status")))
-    return tiered.where("candidate_rank = 1").select("record_id", "rule", F.inline(F.array(*rows)))
+    return tiered.where("candidate_rank = 1").select("record_id", "rule", "tier", F.inline(F.array(*rows)))

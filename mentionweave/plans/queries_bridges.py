@@ -79,6 +79,13 @@ def _(t):
     return B.ticker_candidates(a, b).select("record_id", "tic", "fyear", "gvkey", "rule")
 
 
+@query("prefix_candidates", f"""with {_PREPARED}, {_PREFIXES}, w as (select distinct p_partkey record_id, concat('K', p_partkey % 5000, ' ', p_name) alias, y fyear from part, (values (1996), (1998)) v(y)), a as (select record_id, {S.standard('alias')} prefix, fyear from w)
+select record_id, fyear, name, source, cik, gvkey, 'parent_prefix_recovery' rule_found from a join prefixes using (prefix, fyear) where unsafe = '' and prefix <> ''""")
+def _(t):
+    a = t("part").selectExpr("p_partkey as record_id", "concat('K', p_partkey % 5000, ' ', p_name) as alias", "array(1996, 1998) as years")
+    return B.prefix_candidates(a, bridge(t("part")))
+
+
 @query("text_cleaning", rf"""with s as (select doc_id, 'Table of Contents' || chr(10) || '  12 ' || chr(10) || 'Acme Inc.' || chr(10) || text || chr(10) || 'Page - 7' x from documents),
 z as (select doc_id, replace(replace(x, 'Inc.' || chr(10), 'Inc. '), 'Corp.' || chr(10), 'Corp. ') x from s)
 select doc_id, length(y)::int n, md5(y) digest from (select doc_id, regexp_replace(regexp_replace(regexp_replace(x, '(?im){V.CONTENTS_LINE}', '', 'g'), '(?im){V.PAGE_LINE}', '', 'g'), '\n\s*\n', chr(10), 'g') y from z)""")

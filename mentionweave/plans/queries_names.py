@@ -99,14 +99,19 @@ def _(t):
     return s.select("p_partkey", names.has_risk_term("x").alias("risky"), names.has_legal_suffix("x").alias("legal"))
 
 
+def _judged(decision: str, kind: str, source: str) -> str:
+    return f"{{'decision': '{decision}', 'kind': '{kind}', 'source': 'deterministic_{source}'}}"
+
+
 @query("prefilter_names", f"""with s as (select p_partkey, case p_partkey % 9 when 0 then '' when 1 then '.xyz' when 2 then p_name || ' (owned by ' || p_brand || ')' when 3 then p_name || ' Inc' when 4 then '@' || p_name
  when 5 then '12 other banks' when 6 then 'a 7 nanometer line' when 7 then p_name else p_name || '''s ' || p_type end x from part), o as (select p_partkey, {S.strip('x')} x, lower({S.strip('x')}) w, {S.owner('x')} o, {S.repair('x')} r from s)
-select p_partkey, case when x = '' or w in ('...inc', '...inc.', '.xyz') then 'drop' when o <> r then 'accept' when regexp_matches(w, '(?i)\\b(?:{'|'.join(V.LEGAL_SUFFIX_WORDS)})\\b') then 'accept'
- when starts_with(x, '@') then 'drop' when regexp_matches(w, '^\\d+\\s+(?:other\\s+)?(?:companies|company|insurers|insurer|banks|casinos|institutions|financial institutions|competitors|firms|customers|suppliers|operations)\\b') then 'drop'
- when regexp_matches(w, '\\b(?:nanometer|duv source|technology node)\\b') then 'drop' end decision from o""")
+select p_partkey, unnest(case when x = '' then {_judged('drop', 'artifact', 'empty')} when w in ({', '.join(map(S.q, V.ARTIFACTS))}) then {_judged('drop', 'artifact', 'artifact')} when o <> r then {_judged('accept', 'company', 'parent_recovery')}
+ when regexp_matches(w, '(?i)\\b(?:{'|'.join(V.LEGAL_SUFFIX_WORDS)})\\b') then {_judged('accept', 'company', 'legal_suffix')} when starts_with(x, '@') and not regexp_matches(w, '\\b(?:{'|'.join(V.FIRM_WORDS)})\\b') then {_judged('drop', 'social_handle', 'social_handle')}
+ when regexp_matches(w, '^\\d+\\s+(?:other\\s+)?(?:{'|'.join(V.COUNTED_NOUNS)})\\b') then {_judged('drop', 'generic_phrase', 'generic_phrase')}
+ when regexp_matches(w, '\\b(?:{'|'.join(V.TECHNICAL_TERMS)})\\b') then {_judged('drop', 'technical_term', 'technical_term')} else {{'decision': null::varchar, 'kind': null::varchar, 'source': null::varchar}} end) from o""")
 def _(t):
     s = t("part").selectExpr("p_partkey", "case p_partkey % 9 when 0 then '' when 1 then '.xyz' when 2 then concat(p_name, ' (owned by ', p_brand, ')') when 3 then concat(p_name, ' Inc') when 4 then concat('@', p_name) when 5 then '12 other banks' when 6 then 'a 7 nanometer line' when 7 then p_name else concat(p_name, '''s ', p_type) end as x")
-    return s.select("p_partkey", names.keyword_filter("x")["decision"].alias("decision"))
+    return s.select("p_partkey", names.keyword_filter("x").alias("f")).select("p_partkey", "f.*")
 
 
 _ID = "case c_custkey % 7 when 0 then '-1' when 1 then c_custkey || '.0' when 2 then ' nan ' when 3 then '-99999' when 4 then '-88888' when 5 then null else cast(c_custkey as varchar) end"

@@ -56,14 +56,17 @@ def _case(table: dict, key: str, default: object) -> str:
 
 
 def _scored(t):
-    found = C.cascade(_aliases(t), kept_index(bridge(t("part")), "cascade"), _panel(t)).join(_aliases(t).select("record_id", "alias"), "record_id")
+    return _judged(C.cascade(_aliases(t), kept_index(bridge(t("part")), "cascade"), _panel(t)), _aliases(t))
+
+
+def _judged(candidates, aliases):
+    found = candidates.join(aliases.select("record_id", "alias"), "record_id")
     found = found.withColumn("in_panel", F.coalesce(F.col("cik").isNotNull() & (F.substring("gvkey", -1, 1).isin("0", "2", "4", "6", "8")), F.lit(False)))
     return C.score(found).withColumn("score", F.col("score").cast("int"))
 
 
 _OVER = S.listed([*V.LEGAL_TERMS, "LIMITED"])
-_SCORED_SQL = f"""{_CASCADE_SQL},
-j as (select c.*, a.alias, {S.candidate('a.alias')} x, {S.candidate('c.bridge_name')} z, coalesce(c.cik is not null and right(c.gvkey, 1) in ('0', '2', '4', '6', '8'), false) in_panel from cascade c join alias a using (record_id)),
+_JUDGED_SQL = f"""j as (select c.*, a.alias, {S.candidate('a.alias')} x, {S.candidate('c.bridge_name')} z, coalesce(c.cik is not null and right(c.gvkey, 1) in ('0', '2', '4', '6', '8'), false) in_panel from cascade c join alias a using (record_id)),
 k as (select *, {S.strip_suffixes('x', V.LEGAL_TERMS)} xc, {S.strip_suffixes('z', V.LEGAL_TERMS)} zc, {S.valid_id('cik', 'candidate')} hc, {S.valid_id('gvkey', 'candidate')} hg, {S.tokens('z')} zt, {S.tokens('x')} xt from j),
 scored as (select record_id, bridge_name, source, cik, gvkey, stage, rule, distance, alias, in_panel, ({_case(V.SOURCE_SCORE, 'upper(source)', 0)} + greatest(0, 60 - 10 * {_case(V.SOURCE_PRIORITY, 'upper(source)', 9)})
  + case when hc then 20 else 0 end + case when hg then 10 else 0 end + case when hc and hg then 10 else 0 end + case when in_panel then 5 else 0 end + {_case(V.RULE_SCORE, 'rule', 0)}
@@ -75,6 +78,7 @@ scored as (select record_id, bridge_name, source, cik, gvkey, stage, rule, dista
 ranked as (select *, row_number() over w candidate_rank, lead(score) over w nx, {S.valid_id('cik', 'candidate')}::int + {S.valid_id('gvkey', 'candidate')}::int n_ids from scored
  window w as (partition by record_id order by {_case(V.RULE_RANK, 'rule', 9)}, {_case(V.SOURCE_PRIORITY, 'upper(source)', 9)}, {S.valid_id('cik', 'candidate')}::int + {S.valid_id('gvkey', 'candidate')}::int desc, in_panel desc, score desc, source, bridge_name, cik nulls last, gvkey nulls last)),
 final as (select * exclude (nx, n_ids), candidate_rank = 1 and rule in ('exact_standardized_match', 'legal_form_normalization', 'exact_other_year', 'legal_other_year') and (nx is null or score >= nx + 30) and n_ids > 0 recommended from ranked)"""
+_SCORED_SQL = f"{_CASCADE_SQL}, {_JUDGED_SQL}"
 
 
 @query("candidate_ranking", f"with {_SCORED_SQL} select record_id, bridge_name, source, rule, score, candidate_rank::int candidate_rank, recommended from final")
@@ -82,17 +86,23 @@ def _(t):
     return C.rank(_scored(t)).select("record_id", "bridge_name", "source", "rule", "score", "candidate_rank", "recommended")
 
 
-@query("tier_scenarios", f"""with {_SCORED_SQL}, g as (select *, case when {S.valid_id('gvkey', 'candidate')} then {S.clean_id('gvkey')} end gv from final),
+_NAMED = S.tokens("z")
+_TIERED_SQL = f"""g as (select *, case when {S.valid_id('gvkey', 'candidate')} then {S.clean_id('gvkey')} end gv from final),
 p as (select record_id, count(distinct case when distance = 0 then gv end) n_year, count(distinct gv) n_all, count(distinct case when rule in ('legal_form_normalization', 'suffix_stripped_match', 'legal_other_year') then gv end) n_legal from g group by 1),
 q as (select record_id, coalesce(gv, '') gv, bool_and(upper(source) in ('SEC_HEADER', 'SEC_FILING_HEADER')) sec_only from g group by 1, 2),
-t as (select g.*, n_year, n_all, n_legal, sec_only, {_case(V.SOURCE_PRIORITY, 'upper(source)', 999)} pr, upper(source) in ({', '.join(map(S.q, V.STRONG_SOURCES))}) strong from g join p using (record_id) join q on g.record_id = q.record_id and coalesce(g.gv, '') = q.gv),
-u as (select record_id, rule, recommended, candidate_rank, case rule when 'exact_standardized_match' then 'Tier A ' || case when n_year = 1 and in_panel then 'auto_accept' else 'manual_review' end
+gn as (select bridge_name, z = '' or regexp_matches(z, '^[0-9]+( [0-9]+)*$') or length(replace(z, ' ', '')) <= 2 or 5 * len(list_filter({_NAMED}, lambda w: list_contains({S.listed(V.CANDIDATE_GENERIC)}, w))) >= 4 * len({_NAMED}) generic
+ from (select bridge_name, {S.candidate('bridge_name')} z from (select distinct bridge_name from final))),
+t as (select g.*, generic, n_year, n_all, n_legal, sec_only, {_case(V.SOURCE_PRIORITY, 'upper(source)', 999)} pr, upper(source) in ({', '.join(map(S.q, V.STRONG_SOURCES))}) strong from g join gn using (bridge_name) join p using (record_id) join q on g.record_id = q.record_id and coalesce(g.gv, '') = q.gv),
+u as (select record_id, bridge_name, generic, rule, recommended, candidate_rank, case rule when 'exact_standardized_match' then 'Tier A ' || case when n_year = 1 and in_panel then 'auto_accept' else 'manual_review' end
  when 'legal_form_normalization' then 'Tier B ' || case when n_year = 1 and pr <= 3 and not sec_only then 'auto_accept' else 'manual_review' end when 'exact_other_year' then 'Tier C ' || case when n_all = 1 and (distance <= 3 or strong) then 'auto_accept' else 'manual_review' end
- when 'legal_other_year' then 'Tier D ' || case when n_legal = 1 and not sec_only then 'auto_accept' else 'manual_review' end when 'identifier_level' then 'Tier E ' || case when n_all = 1 and in_panel then 'auto_accept' else 'manual_review' end else 'manual_review' end tier from t),
-sc(scenario, tiers) as (values {', '.join(f"({S.q(k)}, {S.listed(v) if v else '[]::varchar[]'})" for k, v in C.SCENARIOS.items())})
-select scenario, case when (len(tiers) = 0 and recommended) or list_contains(tiers, regexp_extract(tier, '^Tier (.*) auto_accept$', 1)) and tier like '%auto_accept' then 'auto_accept' else 'manual_review' end status, count(*) n from u, sc where candidate_rank = 1 group by all""")
+ when 'legal_other_year' then 'Tier D ' || case when n_legal = 1 and not sec_only and not generic then 'auto_accept' else 'manual_review' end when 'approved_abbreviation_bridge_match' then 'Tier TIC-SAFE ' || case when n_year = 1 and in_panel and strong then 'auto_accept' else 'manual_review' end when 'identifier_level' then 'Tier E ' || case when n_all = 1 and in_panel then 'auto_accept' else 'manual_review' end else 'manual_review' end tier from t),
+sc(scenario, tiers) as (values {', '.join(f"({S.q(k)}, {S.listed(v) if v else '[]::varchar[]'})" for k, v in C.SCENARIOS.items())}),
+told as (select record_id, bridge_name, rule, generic, tier, scenario, case when (len(tiers) = 0 and recommended) or list_contains(tiers, regexp_extract(tier, '^Tier (.*) auto_accept$', 1)) and tier like '%auto_accept' then 'auto_accept' else 'manual_review' end status from u, sc where candidate_rank = 1)"""
+
+
+@query("tier_scenarios", f"with {_SCORED_SQL}, {_TIERED_SQL} select scenario, status, count(*) n from told group by all")
 def _(t):
-    tiered = C.reliability(C.rank(_scored(t))).withColumn("tier", C.tier(F.lit(False)))
+    tiered = C.reliability(C.rank(_scored(t))).withColumn("tier", C.tier(C.generic_name("bridge_name")))
     return C.scenarios(tiered).groupBy("scenario", "status").agg(F.count("*").alias("n"))
 
 
@@ -151,6 +161,17 @@ def _(t):
     return R.refine(ranked).select("record_id", "candidate", "source", "sic_support", F.col("refined_score").cast("long").alias("refined_score"), F.col("gap").cast("long").alias("gap"))
 
 
+_STATUS = """case when p_partkey % 9 = 0 then 'already_resolved_in_step85' when has_public and n_public_ids <= 1 and (strong_name or sic_support in ('sic4_match', 'sic3_match', 'sic2_match') or gap >= 30) then 'recovered_public_identifier_refined'
+ when has_public then 'needs_manual_review_broad_alias' when p_partkey % 2 = 0 then 'company_evidence_public_identifier_missing' else 'needs_manual_review_broad_alias' end"""
+_STRONG = "case p_partkey % 5 when 0 then 'sic2_match' when 1 then 'sic_mismatch' when 2 then 'sic4_match' else 'no_sic_available' end as sic_support, p_size * 2 - 40 as gap, p_partkey % 4 = 1 as strong_name, p_partkey % 3 > 0 as has_public, p_partkey % 7 as n_public_ids"
+
+
+@query("refined_status", f"with s as (select p_partkey, {_STRONG} from part) select p_partkey, {_STATUS} as refined from s")
+def _(t):
+    s = t("part").selectExpr("p_partkey", *_split(_STRONG))
+    return s.select("p_partkey", R.refined_status(F.expr("p_partkey % 9 = 0"), F.expr("p_partkey % 2 = 0")).alias("refined"))
+
+
 _REFINED = "case p_partkey % 6 when 0 then 'already_resolved_in_step85' when 1 then 'recovered_public_identifier_refined' when 2 then 'company_evidence_public_identifier_missing' when 3 then 'no_external_evidence' when 4 then 'needs_manual_review_broad_alias' else 'other' end"
 _CONS = f"""p_partkey, {_REFINED} as refined, p_partkey % 4 = 0 as ciq_upgrade, p_partkey % 5 > 0 as has_public, p_partkey % 3 as n_public_ids, case p_partkey % 7 when 0 then 'sic4_match' when 1 then 'sic_mismatch' else '' end as sic_support,
  p_partkey % 60 as gap, concat('G', p_size) as gvkey, concat('C', p_size) as cik, 'X1' as ciq_gvkey, case p_partkey % 8 when 3 then 'multiple_or_compound_name' else '' end as pattern"""
@@ -392,18 +413,43 @@ _ABBREVIATED = f"{_nth(_SHORT, 'p_partkey')} as alias"
 _EXPANDED = f"{_nth(_LONG, 'p_partkey')} as name_original, cast(1995 + p_partkey % 5 as int) as fyear, case p_partkey % 4 when 0 then 'DISCERN' when 1 then 'COMPUSTAT_US' when 2 then 'SEC_HEADER' else 'COMPUSTAT_GLOBAL' end as source, concat('C', p_partkey % 300) as cik, concat('G', p_partkey % 200) as gvkey"
 
 
-@query("abbreviation_cascade", f"""with alias as (select p_partkey record_id, {_ABBREVIATED}, [(1994 + p_partkey % 4)::int] as years from part), bridge as (select {_EXPANDED} from part),
-panel as (select distinct 'C' || p_partkey % 300 cik, 'G' || p_partkey % 200 gvkey, (1994 + p_partkey % 3)::int fyear from part), ab(alias, search) as (values {', '.join(f"({S.q(k)}, {S.q(x)})" for k, v in V.ABBREVIATIONS.items() for x in v.split('|'))}),
+_PANEL_SQL = "panel as (select distinct 'C' || p_partkey % 300 cik, 'G' || p_partkey % 200 gvkey, (1994 + p_partkey % 3)::int fyear from part)"
+_BY_ABBREVIATION_SQL = f"""ab(alias, search) as (values {', '.join(f"({S.q(k)}, {S.q(x)})" for k, v in V.ABBREVIATIONS.items() for x in v.split('|'))}),
 a as (select *, {S.without_legal('own')} legal from (select *, {S.candidate('alias')} own from alias)), b as (select *, {S.without_legal('name')} legal from (select name_original bridge_name, source, cik, gvkey, list(distinct fyear) bys, {S.candidate('name_original')} name from bridge group by 1, 2, 3, 4)),
 m as (select record_id, years, bridge_name, source, cik, gvkey, bys, 'n' kind from a join b on own = name union all select record_id, years, bridge_name, source, cik, gvkey, bys, 'l' from a join b on a.legal = b.legal where a.legal <> '' and own <> name
  union all select distinct record_id, years, bridge_name, source, cik, gvkey, bys, 'a' from a join (select alias, {S.candidate('search')} x from ab) q using (alias) join b on x = name),
-s as (select record_id, bridge_name, source, cik, gvkey, case when kind = 'n' and list_has_any(bys, years) then 1 when kind = 'l' and list_has_any(bys, years) then 2 when kind = 'a' and list_has_any(bys, years) and source in ({', '.join(map(S.q, V.STRONG_SOURCES))}) then 3 when kind = 'n' and not list_has_any(bys, years) then 4 when kind = 'l' and not list_has_any(bys, years) then 5 end stage,
+sh as (select record_id, bridge_name, source, cik, gvkey, case when kind = 'n' and list_has_any(bys, years) then 1 when kind = 'l' and list_has_any(bys, years) then 2 when kind = 'a' and list_has_any(bys, years) and source in ({', '.join(map(S.q, V.STRONG_SOURCES))}) then 3 when kind = 'n' and not list_has_any(bys, years) then 4 when kind = 'l' and not list_has_any(bys, years) then 5 end stage,
  case when list_has_any(bys, years) then 0 else list_min(list_transform(bys, lambda x: list_min(list_transform(years, lambda y: abs(x - y))))) end distance from m
  union all select record_id, bridge_name, source, cik, gvkey, 6, 0 from m where kind = 'n' and exists (select 1 from panel p where list_contains(m.years, p.fyear) and (p.cik = m.cik or p.gvkey = m.gvkey))),
-g as (select record_id, bridge_name, source, cik, gvkey, stage, min(distance)::int distance from s where stage is not null group by all)
-select *, case stage {' '.join(f"when {k} then '{v}'" for k, v in C.STAGES.items())} end as rule from g where stage = (select min(h.stage) from g h where h.record_id = g.record_id)""")
+g0 as (select record_id, bridge_name, source, cik, gvkey, stage, min(distance)::int distance from sh where stage is not null group by all),
+cascade as (select *, case stage {' '.join(f"when {k} then '{v}'" for k, v in C.STAGES.items())} end as rule from g0 where stage = (select min(h.stage) from g0 h where h.record_id = g0.record_id))"""
+
+
+@query("abbreviation_cascade", f"""with alias as (select p_partkey record_id, {_ABBREVIATED}, [(1994 + p_partkey % 4)::int] as years from part), bridge as (select {_EXPANDED} from part),
+{_PANEL_SQL}, {_BY_ABBREVIATION_SQL} select * from cascade""")
 def _(t):
-    p = t("part")
-    aliases = p.selectExpr("p_partkey as record_id", _ABBREVIATED, "array(cast(1994 + p_partkey % 4 as int)) as years")
+    return _by_abbreviation(t("part"), _ABBREVIATED, _EXPANDED)[0]
+
+
+def _by_abbreviation(p, alias: str, listed: str):
+    """Candidates of a part's alias in a bridge of the parts' names, and the aliases."""
+    aliases = p.selectExpr("p_partkey as record_id", alias, "array(cast(1994 + p_partkey % 4 as int)) as years")
     panel = p.selectExpr("concat('C', p_partkey % 300) as cik", "concat('G', p_partkey % 200) as gvkey", "cast(1994 + p_partkey % 3 as int) as fyear").distinct()
-    return C.cascade(aliases, p.selectExpr(*_split(_EXPANDED)), panel).withColumn("distance", F.col("distance").cast("int"))
+    return C.cascade(aliases, p.selectExpr(*_split(listed)), panel).withColumn("distance", F.col("distance").cast("int")), aliases
+
+
+# A third of the aliases are abbreviations, a third generic names, a third others; the bridge has full names, a name's gvkey being of its length.
+_FULL = [x for x in _LONG if x not in V.ABBREVIATIONS]
+_TOLD_ALIAS = f"case p_partkey % 3 when 0 then {_nth(_SHORT, 'p_partkey')} when 1 then concat('Global Systems Capital Trust ', p_partkey) else concat('Widget Systems ', p_partkey) end"
+_TOLD_NAME = f"case p_partkey % 3 when 0 then {_nth(_FULL, 'p_partkey')} when 1 then concat('Global Systems Capital Trust ', p_partkey, ' Inc') else concat('Widget Systems ', p_partkey, ' Inc') end"
+_TOLD_BRIDGE = f"{_TOLD_NAME} as name_original, cast(1995 + p_partkey % 5 as int) as fyear, case p_partkey % 4 when 0 then 'DISCERN' when 1 then 'COMPUSTAT_US' when 2 then 'SEC_HEADER' else 'COMPUSTAT_GLOBAL' end as source, concat('C', p_partkey % 300) as cik, concat('G', length({_TOLD_NAME})) as gvkey"
+
+
+@query("acceptance_tiers", f"""with alias as (select p_partkey record_id, {_TOLD_ALIAS} as alias, [(1994 + p_partkey % 4)::int] as years from part), bridge as (select {_TOLD_BRIDGE} from part),
+{_PANEL_SQL}, {_BY_ABBREVIATION_SQL}, {_JUDGED_SQL}, {_TIERED_SQL} select record_id, bridge_name, rule, generic, tier, scenario, status from told""")
+def _(t):
+    found, aliases = _by_abbreviation(t("part"), f"{_TOLD_ALIAS} as alias", _TOLD_BRIDGE)
+    ranked = C.rank(_judged(found, aliases)).withColumn("generic", C.generic_name("bridge_name"))
+    tiered = C.reliability(ranked).withColumn("tier", C.tier(F.col("generic")))
+    first = tiered.where("candidate_rank = 1").select("record_id", "bridge_name", "generic")
+    return C.scenarios(tiered).join(first, "record_id").select("record_id", "bridge_name", "rule", "generic", "tier", "scenario", "status")
