@@ -129,7 +129,11 @@ def rank(candidates: DataFrame, margin: int = 30) -> DataFrame:
 
 
 def reliability(candidates: DataFrame) -> DataFrame:
-    """Distinct gvkeys of a record in year, overall and among legal matches; whether a gvkey has SEC sources only."""
+    """Distinct gvkeys of a record in year, overall and among legal matches; whether a gvkey has SEC sources only.
+
+    The candidates are written once, as the counts and the rows themselves read them.
+    """
+    candidates = written(candidates, "reliability")
     in_year = F.col("distance") == 0
     gv = F.when(ids.valid_id("gvkey", "candidate"), ids.clean_id("gvkey"))
     legal = F.col("rule").isin("legal_form_normalization", "suffix_stripped_match", "legal_other_year")
@@ -180,10 +184,10 @@ SCENARIOS = {
 }
 
 
-def scenarios(tiered: DataFrame) -> DataFrame:
-    """Each record's first candidate under each of the five scenarios (exploded from a literal list)."""
+def scenarios(tiered: DataFrame, *kept: str) -> DataFrame:
+    """Each record's first candidate, with its columns `kept`, under each of the five scenarios (exploded from a literal list)."""
     rows = []
     for name, letters in SCENARIOS.items():
         accepted = F.col("recommended") if not letters else F.col("tier").isin(*[f"Tier {x} auto_accept" for x in letters])
         rows.append(F.struct(F.lit(name).alias("scenario"), F.when(accepted, "auto_accept").otherwise("manual_review").alias("status")))
-    return tiered.where("candidate_rank = 1").select("record_id", "rule", "tier", F.inline(F.array(*rows)))
+    return tiered.where("candidate_rank = 1").select("record_id", "rule", "tier", *kept, F.inline(F.array(*rows)))

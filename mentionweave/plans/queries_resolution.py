@@ -440,8 +440,8 @@ def _by_abbreviation(p, alias: str, listed: str):
 
 # A third of the aliases are abbreviations, a third generic names, a third others; the bridge has full names, a name's gvkey being of its length.
 _FULL = [x for x in _LONG if x not in V.ABBREVIATIONS]
-_TOLD_ALIAS = f"case p_partkey % 3 when 0 then {_nth(_SHORT, 'p_partkey')} when 1 then concat('Global Systems Capital Trust ', p_partkey) else concat('Widget Systems ', p_partkey) end"
-_TOLD_NAME = f"case p_partkey % 3 when 0 then {_nth(_FULL, 'p_partkey')} when 1 then concat('Global Systems Capital Trust ', p_partkey, ' Inc') else concat('Widget Systems ', p_partkey, ' Inc') end"
+_TOLD_ALIAS = f"case p_partkey % 3 when 0 then {_nth(_SHORT, 'p_partkey')} when 1 then concat('Tech Systems Capital Trust ', p_partkey) else concat('Widget Systems ', p_partkey) end"
+_TOLD_NAME = f"case p_partkey % 3 when 0 then {_nth(_FULL, 'p_partkey')} when 1 then concat('Tech Systems Capital Trust ', p_partkey, ' Inc') else concat('Widget Systems ', p_partkey, ' Inc') end"
 _TOLD_BRIDGE = f"{_TOLD_NAME} as name_original, cast(1995 + p_partkey % 5 as int) as fyear, case p_partkey % 4 when 0 then 'DISCERN' when 1 then 'COMPUSTAT_US' when 2 then 'SEC_HEADER' else 'COMPUSTAT_GLOBAL' end as source, concat('C', p_partkey % 300) as cik, concat('G', length({_TOLD_NAME})) as gvkey"
 
 
@@ -451,5 +451,4 @@ def _(t):
     found, aliases = _by_abbreviation(t("part"), f"{_TOLD_ALIAS} as alias", _TOLD_BRIDGE)
     ranked = C.rank(_judged(found, aliases)).withColumn("generic", C.generic_name("bridge_name"))
     tiered = C.reliability(ranked).withColumn("tier", C.tier(F.col("generic")))
-    first = tiered.where("candidate_rank = 1").select("record_id", "bridge_name", "generic")
-    return C.scenarios(tiered).join(first, "record_id").select("record_id", "bridge_name", "rule", "generic", "tier", "scenario", "status")
+    return C.scenarios(tiered, "bridge_name", "generic")
