@@ -96,3 +96,11 @@ def test_match_methods(spark):
         ("Omega Games", 2000): ("unmatched_after_all_candidates", None), ("Sigma Games", 2000): ("parent_prefix_recovery_ALL_SOURCES_full_raw", "55"), ("Pi Three", 2000): ("unmatched_after_all_candidates", None),
         ("acme", 2000): ("unmatched_invalid_or_lowercase", None), ("", 2000): ("unmatched_empty", None), ("Acme", None): ("unmatched_missing_fyear", None), ("Acme Widgets", 1999): ("unmatched_after_all_candidates", None),
     }
+
+
+def test_generic_names_of_candidates(spark):
+    from mentionweave.plans.candidates import generic_name
+
+    told = {None: True, "": True, "12 34": True, "AB": True, "Holdings Group": True, "Tech Systems Capital Trust 17": True, "Tech Capital Trust 17": False, "Widget Fund": False, "Widget": False}
+    rows = spark.createDataFrame([(x,) for x in told], "x string").select("x", generic_name("x").alias("g")).collect()
+    assert {r.x: r.g for r in rows} == told
