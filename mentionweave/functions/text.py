@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..operators.ordering import positions
-from .names import strip, text
+from .names import let, strip, text
 
 
 def _c(c: Column | str) -> Column:
@@ -46,11 +46,21 @@ def snippets(df: DataFrame, keys: list[str], body: str, words: Iterable[str] = V
 
 
 def chunks(c: Column | str, n: Column) -> Column:
-    """The text in n parts of equal length, what is left over joined to the last."""
-    x, size = text(c), F.greatest(F.floor(F.length(text(c)) / n), F.lit(1)).cast("int")
-    last = F.greatest(n, F.lit(1)).cast("int")
-    part = lambda i: F.when(i == last - 1, F.substr(x, i * size + 1)).otherwise(F.substr(x, i * size + 1, size))
-    return F.filter(F.transform(F.sequence(F.lit(0), last - 1), part), lambda p: p != "")
+    """The text in n parts of equal length, what is left over joined to the last.
+
+    Number, size and pieces are worked out once a text. One pass cuts it into pieces of that size, as a substring by its place would
+    read the text from its beginning for every part.
+    """
+
+    def sized(s: Column) -> Column:
+        size = F.greatest(F.floor(F.length(s["x"]) / s["n"]), F.lit(1)).cast("int")
+        return F.struct(s["n"].alias("n"), F.regexp_extract_all(s["x"], F.format_string("(?s).{1,%d}", size), F.lit(0)).alias("pieces"))
+
+    def parts(s: Column) -> Column:
+        last = F.array_join(F.slice(s["pieces"], s["n"], F.greatest(F.size(s["pieces"]), F.lit(1))), "")
+        return F.filter(F.concat(F.slice(s["pieces"], F.lit(1), s["n"] - 1), F.array(last)), lambda p: p != "")
+
+    return let(let(F.struct(text(c).alias("x"), F.greatest(n, F.lit(1)).cast("int").alias("n")), sized), parts)
 
 
 def token_estimate(c: Column | str) -> Column:
@@ -63,12 +73,13 @@ def token_estimate(c: Column | str) -> Column:
     kept = {p: F.regexp_extract_all(x, F.lit(p), F.lit(0)) for p in dict.fromkeys(p for p, _, _ in V.TOKEN_COST)}
     size = lambda p, by: F.size(kept[p]) if by == "run" else F.aggregate(kept[p], F.lit(0).cast("long"), lambda n, run: n + F.length(run))
     cost = sum((size(p, by).cast("long") * n for p, by, n in V.TOKEN_COST), F.lit(999).cast("long"))
-    return ((cost - F.pmod(cost, F.lit(1000))) / 1000).cast("long")
+    return let(cost, lambda n: ((n - F.pmod(n, F.lit(1000))) / 1000).cast("long"))
 
 
-def token_chunks(c: Column | str, budget: int) -> Column:
-    """The text in as many parts of equal length as its estimated tokens need, each about `budget` tokens at most."""
-    return chunks(c, F.greatest(F.ceil(token_estimate(c) / budget), F.lit(1)).cast("int"))
+def token_chunks(c: Column | str, budget: int, tokens: Column | None = None) -> Column:
+    """The text in as many parts of equal length as its estimated tokens need, each about `budget` tokens at most. `tokens`: the estimate, where it is known."""
+    known = token_estimate(c) if tokens is None else tokens
+    return chunks(c, F.greatest(F.ceil(known / budget), F.lit(1)).cast("int"))
 
 
 def stats(c: Column | str, extracted: Column) -> Column:

@@ -336,10 +336,11 @@ def _cost_sql(x: str) -> str:
 @query("token_chunks", f"""with e as (select doc_id, coalesce(text, '') x, ({_cost_sql("coalesce(text, '')")})::bigint tokens from documents), n as (select *, greatest(ceil(tokens / 500.0), 1)::int n from e), s as (select *, greatest(length(x) // n, 1)::int size from n)
 select doc_id, tokens, n n_wanted, len(p)::int n_parts, md5(array_to_string(p, '|')) digest from (select *, list_filter(list_transform(range(n), lambda i: case when i = n - 1 then substr(x, (i * size + 1)::int) else substr(x, (i * size + 1)::int, size) end), lambda v: v <> '') p from s)""")
 def _(t):
-    tokens = T.token_estimate("text")
-    parts = T.token_chunks("text", 500)
-    wanted = F.greatest(F.ceil(tokens / 500), F.lit(1)).cast("int")
-    return t("documents").select("doc_id", tokens.alias("tokens"), wanted.alias("n_wanted"), F.size(parts).alias("n_parts"), F.md5(F.array_join(parts, "|").cast("binary")).alias("digest"))
+    # In steps of their own, so that estimate and parts are worked out once a text.
+    e = t("documents").select("doc_id", "text", T.token_estimate("text").alias("tokens"))
+    p = e.select("doc_id", "tokens", T.token_chunks("text", 500, F.col("tokens")).alias("parts"))
+    wanted = F.greatest(F.ceil(F.col("tokens") / 500), F.lit(1)).cast("int")
+    return p.select("doc_id", "tokens", wanted.alias("n_wanted"), F.size("parts").alias("n_parts"), F.md5(F.array_join("parts", "|").cast("binary")).alias("digest"))
 
 
 _OPTIONS = Y.synonyms()
