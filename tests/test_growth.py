@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mentionweave.functions import text as T
+from mentionweave.plans import rescue
 
 
 def test_parts_are_cut_in_one_pass(spark):
@@ -19,3 +20,26 @@ def test_parts_are_cut_in_one_pass(spark):
     # The estimate stands outside what runs for each part.
     plan = df.select(T.token_chunks("x", 500))._jdf.queryExecution().analyzed().toString()
     assert plan.count("[A-Za-z]+") <= 8 and "substr" not in plan
+
+
+def _collected(df) -> list[str]:
+    """The plan's joins that collect a side on the driver, but for the semi-joins on first words."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [x for x in plan if "BroadcastHashJoin" in x and "__first" not in x]
+
+
+def _listings(spark):
+    """More names than their files' size tells: a size from the file would have them broadcast."""
+    made = spark.range(200)
+    aliases = made.selectExpr("id as record_id", "concat('Acme', id) as alias", "array(2000) as years")
+    bridge = made.selectExpr("concat('Acme', id, ' Inc') as candidate", "2000 as fyear", "cast(id as string) as gvkey", "cast(null as string) as cik", "'CIQ_COMMON' as source")
+    panel = made.selectExpr("cast(id as string) as gvkey", "cast(null as string) as cik", "2000 as fyear")
+    return aliases, bridge, panel
+
+
+def test_rescue_collects_no_names_on_the_driver(spark):
+    aliases, bridge, panel = _listings(spark)
+    listed = bridge.drop("fyear")
+    found = rescue.rescue(aliases, bridge, listed, panel, listed)
+    assert _collected(found) == []
+    assert found.where("rule = 'legal_year_specific'").count() == 200 and found.where("rule = 'identifier_legal_validated'").count() == 200
