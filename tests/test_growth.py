@@ -43,3 +43,11 @@ def test_rescue_collects_no_names_on_the_driver(spark):
     found = rescue.rescue(aliases, bridge, listed, panel, listed)
     assert _collected(found) == []
     assert found.where("rule = 'legal_year_specific'").count() == 200 and found.where("rule = 'identifier_legal_validated'").count() == 200
+
+
+def test_residual_collects_no_names_on_the_driver(spark):
+    aliases, bridge, panel = _listings(spark)
+    listed = bridge.drop("fyear")
+    found = rescue.resolved(aliases.drop("years"), rescue.residual(aliases, bridge, listed, panel, listed))
+    assert _collected(found) == []
+    assert {(r.rule, r.score, r.suggestion) for r in found.collect()} == {("legal_year_specific", 90, "recovered_public_identifier")}
