@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mentionweave.functions import text as T
+from mentionweave.operators import joins as J
 from mentionweave.plans import rescue
 
 
@@ -51,3 +52,14 @@ def test_residual_collects_no_names_on_the_driver(spark):
     found = rescue.resolved(aliases.drop("years"), rescue.residual(aliases, bridge, listed, panel, listed))
     assert _collected(found) == []
     assert {(r.rule, r.score, r.suggestion) for r in found.collect()} == {("legal_year_specific", 90, "recovered_public_identifier")}
+
+
+def test_pairs_of_a_hot_key_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL", 8)
+    monkeypatch.setattr(J, "PAIRS", 100)
+    left = spark.createDataFrame([(i, "hot" if i < 60 else "cold") for i in range(63)] + [(70, ""), (71, None)], "s int, k string")
+    right = spark.createDataFrame([(i, "hot" if i < 90 else "cold") for i in range(92)] + [(99, "")], "c int, x string")
+    out = J.either_key(left, right, [("k", "x", "exact")])
+    each = out.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in each) == out.distinct().count() == 60 * 90 + 3 * 2
+    assert max(r["count"] for r in each) < 1000  # in one task before
