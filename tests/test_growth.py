@@ -63,3 +63,15 @@ def test_pairs_of_a_hot_key_are_dealt_over_tasks(spark, monkeypatch):
     each = out.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in each) == out.distinct().count() == 60 * 90 + 3 * 2
     assert max(r["count"] for r in each) < 1000  # in one task before
+
+
+def test_dated_candidates_are_made_distinct_before_they_meet(spark):
+    aliases = spark.createDataFrame([(1, "Acme Inc", [1996]), (1, "ACME, Inc.", [1996]), (2, "Acme", [2005])], "record_id long, alias string, years array<int>")
+    listing = spark.createDataFrame([("7", "us 1", "Acme Inc", "1995-01-01", "1999-01-01")] * 3, "companyid string, isin string, candidate string, startdate string, enddate string")
+    crosswalk = spark.createDataFrame([("7.0", "5", "1995-01-01", "1997-12-31")] * 2, "companyid string, gvkey string, startdate string, enddate string")
+    found = rescue.dated_recovery(aliases, listing, crosswalk)
+    rows = {(r.record_id, r.rule, r.isin, r.ciq_gvkey, r.upgrade, r.candidate_rank) for r in found.collect()}
+    assert rows == {(1, "ciq_common_exact_name", "US1", "5", True, 1), (1, "ciq_common_legal_name", "US1", "5", True, 2), (2, "ciq_common_legal_name", "US1", "5", False, 1)} and found.count() == 3
+    assert _collected(found) == []
+    moved = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(record_id" in x and "enddate" in x.split("],")[0]]
+    assert moved == []  # what met is moved by its record alone, once
