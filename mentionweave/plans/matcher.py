@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, names
-from ..operators.aggregates import duplicated, keep_first, spread
+from ..operators.aggregates import keep_first, spread
 from .nameindex import NameIndex
 
 
@@ -24,9 +24,13 @@ def aliases(bridge: DataFrame | NameIndex) -> DataFrame:
     if isinstance(bridge, NameIndex):
         listed = bridge.under("name").withColumns({"cik": ids.clean_id("cik"), "gvkey": ids.clean_id("gvkey")})
         return listed.select("kind", F.col("key").alias("name"), F.col("how").alias("alias"), "name_original", "fyear", "cik", "gvkey", "source")
-    std = spread(bridge, "name_original").withColumns({"name": names.standard("name_original"), "cik": ids.clean_id("cik"), "gvkey": ids.clean_id("gvkey")})
-    core = std.withColumn("name", names.safe_core("name")).where("name is not null")
-    return std.where("name <> ''").withColumn("alias", F.lit("standard")).unionByName(core.withColumn("alias", F.lit("suffix_cleaned")))
+    # Patterns run once for each distinct raw name; a name's rows, one for each year and identity, only join what they made.
+    form = lambda name, how: F.struct(name.alias("name"), F.lit(how).alias("alias"))
+    raw = F.coalesce("name_original", F.lit(""))
+    forms = names.let(names.standard("__raw"), lambda n: F.array(form(n, "standard"), form(names.safe_core(n), "suffix_cleaned")))
+    read = spread(bridge.select(raw.alias("__raw")).distinct(), "__raw").select("__raw", F.inline(forms)).where("(alias = 'standard' and name <> '') or (alias <> 'standard' and name is not null)")
+    rows = bridge.withColumns({"cik": ids.clean_id("cik"), "gvkey": ids.clean_id("gvkey"), "__raw": raw})
+    return rows.hint("merge").join(read, "__raw").drop("__raw")
 
 
 def prepare_bridge(bridge: DataFrame | NameIndex) -> DataFrame:
@@ -38,9 +42,9 @@ def prepare_bridge(bridge: DataFrame | NameIndex) -> DataFrame:
 
 def bridge_conflicts(bridge: DataFrame | NameIndex) -> DataFrame:
     """(name, fyear) with more than one identity, with how many rows and identities."""
-    pairs = F.struct(F.coalesce("cik", F.lit("-1")), F.coalesce("gvkey", F.lit("-1")))
-    again = duplicated(aliases(bridge).select("name", "fyear", "cik", "gvkey"), ["name", "fyear"])
-    return again.groupBy("name", "fyear").agg(F.count("*").alias("n_rows"), F.count_distinct(pairs).alias("n_identities")).where("n_identities > 1")
+    # Rows of one identity are counted before they move, so a frequent name costs as many rows as it has identities; two of them are two rows.
+    each = aliases(bridge).groupBy("name", "fyear", F.coalesce("cik", F.lit("-1")).alias("cik"), F.coalesce("gvkey", F.lit("-1")).alias("gvkey")).agg(F.count("*").alias("n"))
+    return each.groupBy("name", "fyear").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_identities")).where("n_identities > 1")
 
 
 def prefix_table(bridge: DataFrame | NameIndex) -> DataFrame:

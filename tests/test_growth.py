@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mentionweave.functions import text as T
 from mentionweave.operators import joins as J
-from mentionweave.plans import rescue
+from mentionweave.plans import matcher, rescue
 
 
 def test_parts_are_cut_in_one_pass(spark):
@@ -75,3 +75,12 @@ def test_dated_candidates_are_made_distinct_before_they_meet(spark):
     assert _collected(found) == []
     moved = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(record_id" in x and "enddate" in x.split("],")[0]]
     assert moved == []  # what met is moved by its record alone, once
+
+
+def test_names_of_a_bridge_are_read_once_each(spark):
+    row = [("Acme Inc", 1995, "1", "2", "X"), ("Acme Inc", 1995, None, "2", "Y"), ("ACME INC", 1995, "1", "2", "Z"), (None, 1995, "1", "2", "X"), ("Sole Ltd", 1995, "1", "2", "X")]
+    bridge = spark.createDataFrame(row, "name_original string, fyear int, cik string, gvkey string, source string")
+    found = matcher.bridge_conflicts(bridge)
+    assert ("ACME INC", 3, 2) in {(r.name, r.n_rows, r.n_identities) for r in found.collect()} and not any(r.name.startswith("SOLE") for r in found.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and _collected(found) == []  # distinct names and their rows; four readings of the bridge before
