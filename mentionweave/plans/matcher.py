@@ -109,6 +109,8 @@ def match(mentions: DataFrame, bridge: DataFrame | NameIndex) -> DataFrame:
 
 def blocked(mentions: DataFrame, bridge: DataFrame) -> DataFrame:
     """Readings whose prefix names one global parent with an unsafe continuation."""
-    read = spread(mentions.select("raw", "fyear").distinct(), "raw").withColumn("v", F.explode(names.variants("raw")))
-    tried = read.select("raw", "fyear", F.col("v.method").alias("method"), F.explode(names.prefixes(F.col("v.name"))).alias("prefix"))
+    # A raw name is read once; its years are joined after.
+    read = spread(mentions.select("raw").distinct(), "raw").withColumn("v", F.explode(names.variants("raw")))
+    probes = read.select("raw", F.col("v.method").alias("method"), F.explode(names.prefixes(F.col("v.name"))).alias("prefix"))
+    tried = mentions.select("raw", "fyear").distinct().hint("merge").join(probes, "raw")
     return tried.join(prefix_table(bridge).where("unsafe <> ''"), ["prefix", "fyear"]).select("raw", "fyear", "method", "prefix", "name", "source", "unsafe")

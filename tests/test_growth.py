@@ -84,3 +84,14 @@ def test_names_of_a_bridge_are_read_once_each(spark):
     assert ("ACME INC", 3, 2) in {(r.name, r.n_rows, r.n_identities) for r in found.collect()} and not any(r.name.startswith("SOLE") for r in found.collect())
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 2 and _collected(found) == []  # distinct names and their rows; four readings of the bridge before
+
+
+def test_blocked_readings_are_made_once_a_name(spark):
+    mentions = spark.createDataFrame([("Acme Widgets Inc", y) for y in (1995, 1996, 1997)], "raw string, fyear int")
+    bridge = spark.createDataFrame([("Acme Widgets Foods", y, "1", "2", "COMPUSTAT_GLOBAL") for y in (1995, 1996)], "name_original string, fyear int, cik string, gvkey string, source string")
+    found = matcher.blocked(mentions, bridge)
+    assert {(r.fyear, r.prefix, r.unsafe) for r in found.collect()} >= {(1995, "ACME WIDGETS", "FOODS"), (1996, "ACME WIDGETS", "FOODS")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    k = next(i for i, x in enumerate(plan) if "Generate explode" in x and "parent" in x)
+    below = next(x for x in plan[k + 1 :] if "Aggregate [" in x)
+    assert "fyear" not in below  # names are distinct without their years where they are read
