@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mentionweave.functions import text as T
 from mentionweave.operators import joins as J
+from mentionweave.plans import candidates as C
 from mentionweave.plans import matcher, rescue
 
 
@@ -95,3 +96,15 @@ def test_blocked_readings_are_made_once_a_name(spark):
     k = next(i for i, x in enumerate(plan) if "Generate explode" in x and "parent" in x)
     below = next(x for x in plan[k + 1 :] if "Aggregate [" in x)
     assert "fyear" not in below  # names are distinct without their years where they are read
+
+
+def test_records_of_one_request_share_its_candidates(spark):
+    aliases = spark.createDataFrame([(k, "Acme" if k % 2 else "Other Co", [1995]) for k in range(40)], "record_id long, alias string, years array<int>")
+    requests, members = C.asked_once(aliases)
+    assert {(r.record_id, r.alias) for r in requests.collect()} == {(0, "Other Co"), (1, "Acme")}
+    bridge = spark.createDataFrame([("Acme", 1995, "DISCERN", str(k), str(k)) for k in range(30)], "name_original string, fyear int, source string, cik string, gvkey string")
+    panel = spark.createDataFrame([("1", "1", 1995)], "cik string, gvkey string, fyear int")
+    few = C.cascade(requests, bridge, panel)
+    assert few.count() == 30  # 600 before the records' ids are joined
+    both = [sorted(map(str, x.select("record_id", "bridge_name", "gvkey", "stage").collect())) for x in (C.for_all(few, members), C.cascade(aliases, bridge, panel))]
+    assert both[0] == both[1] and len(both[0]) == 600
