@@ -8,6 +8,7 @@ from mentionweave.functions import text as T
 from mentionweave.operators import joins as J
 from mentionweave.plans import candidates as C
 from mentionweave.plans import matcher, rescue
+from mentionweave.sources import html
 
 
 def test_parts_are_cut_in_one_pass(spark):
@@ -108,3 +109,11 @@ def test_records_of_one_request_share_its_candidates(spark):
     assert few.count() == 30  # 600 before the records' ids are joined
     both = [sorted(map(str, x.select("record_id", "bridge_name", "gvkey", "stage").collect())) for x in (C.for_all(few, members), C.cascade(aliases, bridge, panel))]
     assert both[0] == both[1] and len(both[0]) == 600
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    pages = spark.range(0, 200, 1, 1).selectExpr("id as page_id", "concat('<p>', id, '</p>') as html")
+    got = {r.page_id: r.text for r in html.visible_text(pages, "page_id", markdown=True).collect()}
+    assert got == {k: str(k) for k in range(200)} and spark.conf.get(key, None) == html.BATCH
