@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mentionweave.functions import text as T
 from mentionweave.operators import joins as J
 from mentionweave.plans import candidates as C
-from mentionweave.plans import matcher, rescue
+from mentionweave.plans import matcher, nameindex, rescue
 from mentionweave.sources import html
 
 
@@ -111,6 +111,60 @@ def test_records_of_one_request_share_its_candidates(spark):
     assert both[0] == both[1] and len(both[0]) == 600
 
 
+def _named_alike(spark):
+    """Thirty records and two hundred identities of one name, a record that has two aliases and one that has the same alias twice."""
+    rows = [(k, "Acme" if k % 2 else "Acme Inc", [1995 + k % 3]) for k in range(30)] + [(40, "Acme", [1995]), (40, "Acme Ltd", [1996]), (41, "Acme", [1995]), (41, "Acme", [1995]), (42, None, [1995]), (None, "Acme", [1995])]
+    aliases = spark.createDataFrame(rows, "record_id long, alias string, years array<int>")
+    bridge = [("Acme" if k % 4 else "ACME INC", 1995 + k % 5, ("DISCERN", "sec_header", None)[k % 3], str(k) if k % 7 else None, f"{k:06d}" if k % 6 else "-1") for k in range(200)]
+    return aliases, spark.createDataFrame(bridge, "name_original string, fyear int, source string, cik string, gvkey string"), spark.createDataFrame([("1", "1", 1995)], "cik string, gvkey string, fyear int")
+
+
+def test_stages_are_told_for_kinds_of_identities(spark, monkeypatch):
+    aliases, bridge, panel = _named_alike(spark)
+    kept, rows = C.written, {}
+
+    def written(df, name):
+        out = kept(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(C, "written", written)
+    found = C.cascade(aliases, bridge, panel)
+    assert found.count() == 690
+    more = bridge.withColumns({"cik": F.concat("cik", F.lit("7")), "gvkey": F.when(F.col("gvkey") == "-1", "-1").otherwise(F.concat("gvkey", F.lit("7")))})
+    met = rows["cascade-met"]
+    assert C.cascade(aliases, bridge.unionByName(more), panel).count() > 1300
+    assert rows["cascade-met"] == met  # twice the identities are no more kinds; a row for each pair before
+
+
+def test_ranks_by_kinds_are_those_of_identities(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANKS", 4)
+    aliases, bridge, panel = _named_alike(spark)
+    inside = F.coalesce(F.col("cik").isNotNull() & (F.substring("gvkey", -1, 1) == "0"), F.lit(False))
+    kinds, members = C.alike(bridge, inside)
+    scored = C.score(C.first_stage(aliases, kinds, members, panel).join(aliases.select("record_id", "alias"), "record_id").withColumn("in_panel", inside))
+    got, want = C.rank_kinds(scored), C.rank(C.score(C.cascade(aliases, bridge, panel).join(aliases.select("record_id", "alias"), "record_id").withColumn("in_panel", inside)))
+    bag = lambda df: sorted(map(str, df.select("record_id", "bridge_name", "source", "rule", "score", "candidate_rank", "recommended").collect()))
+    assert bag(got) == bag(want) == bag(C.rank(C.each_identity(scored, members))) and got.count() > 690
+    assert {r.candidate_rank for r in got.where("record_id = 41").collect()} == set(range(1, got.where("record_id = 41").count() + 1))
+
+
+def test_one_recommended_kind_is_one_identity(spark):
+    row = ("Acme", "X", "exact_standardized_match", True)
+    cases = {1: [(*row, "1", "1", 90, 1)], 2: [(*row, "1", "1", 90, 2)], 3: [(*row, "1", "1", 90, 1), (*row, "1", None, 70, 1)], 4: [(*row, "1", "1", 90, 1), (*row, "1", None, 60, 3)]}
+    scored = spark.createDataFrame([(k, *x) for k, v in cases.items() for x in v], "record_id long, bridge_name string, source string, rule string, in_panel boolean, cik string, gvkey string, score int, n long")
+    got = {(r.record_id, r.candidate_rank): r.recommended for r in C.rank_kinds(scored).collect()}
+    assert got == {(1, 1): True, (2, 1): False, (2, 2): False, (3, 1): False, (3, 2): False, (4, 1): True, (4, 2): False, (4, 3): False, (4, 4): False}
+
+
+def test_keys_of_a_bridge_are_worked_out_above_its_distinct_names(spark, monkeypatch):
+    plans, add = [], nameindex.kept.Bucketed.add
+    monkeypatch.setattr(nameindex.kept.Bucketed, "add", lambda self, rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or add(self, rows))
+    _, bridge, _ = _named_alike(spark)
+    nameindex.kept_index(bridge, "cascade")
+    assert len(plans) == 1 and [x for x in plans[0].splitlines() if "Filter" in x and "regexp_replace" in x] == []
+
+
 def test_pages_reach_python_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(key)
