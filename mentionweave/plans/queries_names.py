@@ -207,7 +207,9 @@ def _(t):
 @query("chunks", """with s as (select doc_id, text, ceil(greatest(length(text), 1) / 2000.0)::int n from documents), k as (select *, greatest(length(text) // n, 1)::int z, unnest(range(n)) i from s)
 select doc_id, i::int part, length(x)::int n_chars, md5(x) digest from (select doc_id, i, case when i = n - 1 then substr(text, (i * z + 1)::bigint) else substr(text, (i * z + 1)::bigint, z) end x from k)""")
 def _(t):
-    s = t("documents").select("doc_id", F.posexplode(T.chunks("text", F.ceil(F.greatest(F.length("text"), F.lit(1)) / 2000))).alias("part", "x"))
+    # A text without a character is one part as it is, null or empty.
+    parts = F.when(F.length("text") > 0, T.chunks("text", F.ceil(F.length("text") / 2000))).otherwise(F.array("text"))
+    s = t("documents").select("doc_id", F.posexplode(parts).alias("part", "x"))
     return s.select("doc_id", "part", F.length("x").alias("n_chars"), F.md5(F.col("x").cast("binary")).alias("digest"))
 
 
