@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,20 +20,24 @@ def _c(c: Column | str) -> Column:
 def intervals(df: DataFrame, keys: list[str], body: str, words: Iterable[str] = V.KEYWORDS, before: int = 100, after: int = 1000) -> DataFrame:
     """Merged ranges (st, en), counted in characters from 0, around whole-word hits in `body`.
 
-    Offsets are running sums of the lengths of what lies between the hits and of the hits; ranges that overlap or touch are
-    merged. Both run over one text's hits in their order, so that a text costs no more than its hits.
+    Offsets are running sums of the lengths of what lies between the hits and of the hits, over one row's hits in their order, so that a
+    text costs no more than its hits; ranges of the same keys that overlap or touch are merged. A word is bounded by what is no ASCII
+    letter, digit or underscore, and case is that of simple folding (long s and the Kelvin sign are an s and a k).
     """
-    pattern = r"(?i)\b(?:" + "|".join(sorted(map(str.lower, words), key=lambda w: (-len(w), w))) + r")\b"
+    folded = lambda w: re.sub("[sk]", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}[m[0]], w.lower())
+    pattern = r"(?i)(?<!\w)(?:" + "|".join(map(folded, sorted(words, key=lambda w: (-len(w), w.lower())))) + r")(?!\w)"
     lengths = lambda a: F.transform(a, lambda s: F.length(s))
     gaps, hits = lengths(F.split(F.col(body), pattern, -1)), lengths(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0)))
-    cut = df.select(*keys, F.length(body).alias("n"), gaps.alias("gaps"), hits.alias("hits")).where(F.size("hits") > 0)
-    each = cut.select(*keys, "n", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("gap"), F.col("hits").alias("hit"))).alias("at", "z"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    ends = each.select(*keys, "n", "at", F.col("z.hit").alias("hit"), F.sum(F.col("z.gap") + F.col("z.hit")).over(order).cast("int").alias("end"))
-    spans = ends.select(*keys, "at", F.greatest(F.col("end") - F.col("hit") - before, F.lit(0)).alias("st"), F.least(F.col("end") + after, F.col("n")).alias("en"))
-    reach = F.lag("en").over(order)  # starts and ends only grow from hit to hit
-    marked = spans.withColumn("new", F.when(reach.isNull() | (F.col("st") > reach), 1).otherwise(0))
-    return marked.withColumn("island", F.sum("new").over(order)).groupBy(*keys, "island").agg(F.min("st").alias("st"), F.max("en").alias("en"))
+    cut = df.select(*keys, F.length(body).alias("n"), gaps.alias("gaps"), hits.alias("hits")).where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id())
+    each = cut.select(*keys, "row", "n", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("gap"), F.col("hits").alias("hit"))).alias("at", "z"))
+    # Dealt by the keys alone, which also serves the windows and groups below, as rows that share keys (texts of one id) are merged in the end.
+    order = Window.partitionBy(*keys, "row").orderBy("at")
+    ends = each.repartition(*keys).select(*keys, "n", F.col("z.hit").alias("hit"), F.sum(F.col("z.gap") + F.col("z.hit")).over(order).cast("int").alias("end"))
+    spans = ends.select(*keys, F.greatest(F.col("end") - F.col("hit") - before, F.lit(0)).alias("st"), F.least(F.col("end") + after, F.col("n")).alias("en")).distinct()
+    along = Window.partitionBy(*keys).orderBy("st", "en")
+    reach = F.max("en").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.when(F.coalesce(F.col("st") <= reach, F.lit(False)), 0).otherwise(1))
+    return marked.withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(*keys, "island").agg(F.min("st").alias("st"), F.max("en").alias("en"))
 
 
 def snippets(df: DataFrame, keys: list[str], body: str, words: Iterable[str] = V.KEYWORDS, separator: str = r"\n[ \t]*\n", before: int = 100, after: int = 1000) -> DataFrame:

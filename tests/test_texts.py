@@ -16,7 +16,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["chunks"])
+@pytest.mark.parametrize("name", ["chunks", "snippets"])
 def test_odd_texts(spark, tmp_path, name):
     path = f"{tmp_path}/documents.parquet"
     spark.createDataFrame(TEXTS, "doc_id long, text string").coalesce(1).write.parquet(path)
