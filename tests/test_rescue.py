@@ -25,6 +25,27 @@ def _bag(df) -> list[str]:
     return sorted(str(tuple(sorted((k, str(v)) for k, v in r.asDict(recursive=True).items() if k not in ("flags", "kind")))) for r in df.collect())
 
 
+def test_recovered_is_what_all_candidates_say(spark, monkeypatch):
+    kept, rows = rescue.written, {}
+
+    def written(df, name):
+        out = kept(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(rescue, "written", written)
+    aliases, *lists = _alike(spark)
+    want = rescue.resolved(aliases.drop("years"), rescue.residual(aliases.where("record_id <> 40"), *lists))
+    alone = lambda df: df.where("record_id <> 40 or record_id is null").drop("years")
+    columns = ["record_id", "alias", "source", "candidate", "gvkey", "cik", "rule", "score", "n_candidates", "n_public_ids", "n_names", "sources_all", "rules_all", "suggestion", "reason"]
+    found = rescue.recovered(aliases, *lists)
+    assert _bag(alone(found).select(columns)) == _bag(alone(want).select(columns))
+    met, before = rows["residual-met"], found.agg(F.max("n_candidates")).first()[0]
+    more = rescue.recovered(aliases, *_alike(spark, 4)[1:])
+    assert more.agg(F.max("n_candidates")).first()[0] > 2 * before
+    assert rows["residual-met"] < 1.5 * met  # more identities are few more kinds; a row for each pair before
+
+
 def test_rescued_pairs_are_ranked_where_they_met(spark, monkeypatch):
     aliases, *lists = _alike(spark)
     found = rescue.rescue(aliases, *lists)
